@@ -60,15 +60,35 @@ def page_range(page_nums: Column, page_ends: Column, start: Column, end: Column)
     return F.when(F.size(hit) == 0, "").otherwise(text)
 
 
+OFFSET_BLOCK = 256
+
+
 def page_offsets(pages: DataFrame) -> DataFrame:
     """Start and end offset of every page in its document's joined text.
 
-    Only page numbers and lengths cross the shuffle, never the text.
+    Only page numbers and lengths cross the shuffle, never the text. Sums run over blocks of pages first, so a
+    document of any length is spread over as many groups as it has blocks.
     """
-    before = Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
-    slim = pages.select("doc_id", "page_num", F.length(F.coalesce("page_content", F.lit(""))).alias("_n"))
-    start = F.coalesce(F.sum(F.col("_n") + 1).over(before), F.lit(0))
-    return slim.select("doc_id", "page_num", start.alias("start"), (start + F.col("_n")).alias("end"))
+    slim = pages.select(
+        "doc_id",
+        "page_num",
+        F.expr(f"page_num div {OFFSET_BLOCK}").alias("_block"),
+        F.length(F.coalesce("page_content", F.lit(""))).cast("bigint").alias("_n"),
+    )
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = slim.groupBy("doc_id", "_block").agg(F.sum(F.col("_n") + 1).alias("_size"))
+    starts = blocks.select(
+        "doc_id",
+        "_block",
+        F.coalesce(F.sum("_size").over(earlier("doc_id").orderBy("_block")), F.lit(0)).alias("_base"),
+    )
+    inside = F.coalesce(F.sum(F.col("_n") + 1).over(earlier("doc_id", "_block").orderBy("page_num")), F.lit(0))
+    start = F.col("_base") + F.col("_inside")
+    return (
+        slim.withColumn("_inside", inside)
+        .join(starts, ["doc_id", "_block"])
+        .select("doc_id", "page_num", start.alias("start"), (start + F.col("_n")).alias("end"))
+    )
 
 
 def search_pages(pages: DataFrame, query: str) -> DataFrame:

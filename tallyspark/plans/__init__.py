@@ -1,0 +1,4 @@
+"""All named queries; importing the package registers them."""
+
+from tallyspark.plans import reports  # noqa: F401
+from tallyspark.plans.registry import ORACLES, QUERIES  # noqa: F401

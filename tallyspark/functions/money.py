@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tallyspark import fixed
-from tallyspark.functions.text import all_matches, first_match
+from tallyspark.functions.text import all_matches, first_text
 from tallyspark.schema import MONEY_COLUMNS, MONEY_TYPE
 
 
@@ -20,7 +20,7 @@ def amounts_in(text: Column) -> Column:
 
 def amount_after(text: Column, pattern: str, flags: str = "i") -> Column:
     """First amount captured by ``pattern``, or null."""
-    return to_cents(first_match(text, pattern, 1, flags))
+    return to_cents(first_text(text, pattern, 1, flags))
 
 
 def labelled_amount(text: Column, label: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.text import (
-    all_matches, blank_to_null, distinct_ignoring_case, first_match, has, let, lines_of, rx, squeeze, strip,
+    all_matches, blank_to_null, distinct_ignoring_case, first_text, has, let, lines_of, rx, squeeze, strip,
 )
 
 
@@ -103,7 +103,7 @@ def party_name(value: Column, prescribers: Column | None = None, drugs: Column |
 
 def detail_names(text: Column) -> Column:
     """Names listed in a payer detail section, or an empty list."""
-    section = first_match(text, fixed.PARTY_DETAIL, 0, "is")
+    section = first_text(text, fixed.PARTY_DETAIL, 0, "is")
     rows = F.filter(
         F.transform(lines_of(section), squeeze),
         lambda row: (row != "") & ~has(row, fixed.PARTY_DETAIL_HEADER, "i") & has(row, fixed.MONEY),
@@ -140,8 +140,8 @@ def _names_in_party_column(text: Column, lines: Column, prescribers: Column, dru
 
     def one(line: Column, i: Column) -> Column:
         def from_row(row: Column) -> Column:
-            tail = F.trim(first_match(row, rf"^.*?\b{fixed.ITEM_CODE}\b(.*)$"))
-            cell = first_match(tail, fixed.PARTY_COLUMN_TAIL)
+            tail = F.trim(first_text(row, rf"^.*?\b{fixed.ITEM_CODE}\b(.*)$"))
+            cell = first_text(tail, fixed.PARTY_COLUMN_TAIL)
             beside = F.concat_ws(
                 " ",
                 party_fragment(F.when(i > 0, F.get(lines, i - 1)), prescribers, drugs),
@@ -157,6 +157,15 @@ def _names_in_party_column(text: Column, lines: Column, prescribers: Column, dru
     return F.when(has(text, fixed.PARTY_COLUMN_HEADER, "i"), listed).otherwise(_empty())
 
 
+def _named(names: Column, prescribers: Column, drugs: Column) -> Column:
+    """Plausible names in order; a name that occurs often is read once."""
+    different = F.array_distinct(names)
+    return let(
+        F.map_from_arrays(different, F.transform(different, lambda name: party_name(name, prescribers, drugs))),
+        lambda read: F.array_compact(F.transform(names, lambda name: F.element_at(read, name))),
+    )
+
+
 def _frequent(names: Column) -> Column:
     """Names seen often enough, first-seen order; long lists drop rare ones as reading noise."""
 
@@ -213,7 +222,7 @@ def third_parties(text: Column, section: Column) -> Column:
             found = F.concat(
                 _names_before_bin(lines, people, drugs), _names_in_party_column(t, lines, people, drugs)
             )
-            return F.array_compact(F.transform(found, lambda name: party_name(name, people, drugs)))
+            return let(found, lambda names: _named(names, people, drugs))
 
         return _compact(_frequent(let(bound, names)))
 

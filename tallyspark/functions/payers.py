@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from tallyspark import fixed
 from tallyspark.fixed import DATE, MONEY
 from tallyspark.functions.text import (
-    all_matches, blank_to_null, first_match, has, let, rx, squeeze, strip,
+    all_matches, blank_to_null, first_text, has, let, rx, squeeze, strip,
 )
 
 
@@ -23,9 +23,9 @@ def clean_payer(name: Column) -> Column:
 
 def labelled_payer(text: Column) -> Column:
     return F.coalesce(
-        clean_payer(first_match(text, fixed.PAYER_LABEL, 1, "im")),
-        clean_payer(first_match(text, fixed.PAYER_TABLE, 1, "im")),
-        clean_payer(first_match(text, fixed.PAYER_INLINE, 1, "im")),
+        clean_payer(first_text(text, fixed.PAYER_LABEL, 1, "im")),
+        clean_payer(first_text(text, fixed.PAYER_TABLE, 1, "im")),
+        clean_payer(first_text(text, fixed.PAYER_INLINE, 1, "im")),
     )
 
 
@@ -56,32 +56,29 @@ def _ends_with_word(text: Column, tail: Column) -> Column:
 def payer_after_slash(block: Column) -> Column:
     """``service / Payer $amount`` where the payer may go on after the amount."""
 
-    def named(flat: Column) -> Column:
-        marked = first_match(flat, fixed.PAYER_SLASH)
-        tail = strip(first_match(flat, fixed.PAYER_CONTINUED, 1, "i"))
-        wrapped = first_match(flat, fixed.PAYER_SLASH_WRAPPED, 1, "i")
-
-        cut = F.regexp_replace(marked, rx(fixed.CLAIM_ROW_INSIDE + ".*"), "")
-        head = F.trim(F.regexp_replace(F.trim(cut), rx(_TRAILING_NAMES), ""))
-
-        def joined(pair: Column) -> Column:
-            start, more = pair["head"], pair["tail"]
-            return (
-                F.when(more.isNull(), start)
-                .when(clean_payer(start).isNull(), more)
-                .when(_ends_with_word(start, more), start)
-                .otherwise(F.concat(start, F.lit(" "), more))
-            )
-
-        from_marked = clean_payer(let(F.struct(head.alias("head"), tail.alias("tail")), joined))
-        return (
-            F.when(marked.isNotNull(), from_marked)
-            .when(wrapped.isNotNull(), clean_payer(wrapped))
-            .when(tail.isNotNull(), clean_payer(tail))
-            .otherwise(unnamed_payer(block))
+    def parts(flat: Column) -> Column:
+        marked = first_text(flat, fixed.PAYER_SLASH)
+        cut = F.trim(F.regexp_replace(marked, rx(fixed.CLAIM_ROW_INSIDE + ".*"), ""))
+        return F.struct(
+            (marked != "").alias("is_marked"),
+            F.trim(F.regexp_replace(cut, rx(_TRAILING_NAMES), "")).alias("head"),
+            strip(first_text(flat, fixed.PAYER_CONTINUED, 1, "i")).alias("tail"),
+            flat.alias("flat"),
         )
 
-    return let(squeeze(block), named)
+    def chosen(found: Column) -> Column:
+        head, tail = found["head"], found["tail"]
+        joined = (
+            F.when(tail == "", head)
+            .when(clean_payer(head).isNull(), tail)
+            .when(_ends_with_word(head, tail), head)
+            .otherwise(F.concat(head, F.lit(" "), tail))
+        )
+        wrapped = first_text(found["flat"], fixed.PAYER_SLASH_WRAPPED, 1, "i")
+        unmarked = let(wrapped, lambda w: F.when(w != "", w).otherwise(tail))
+        return F.when(found["is_marked"], joined).otherwise(unmarked)
+
+    return clean_payer(let(let(squeeze(block), parts), chosen))
 
 
 def _last_title_name(text: Column) -> Column:

@@ -22,7 +22,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def blank_to_null(value: Column) -> Column:
-    return F.when(value != "", value)
+    return let(value, lambda v: F.when(v != "", v))
 
 
 def strip(value: Column) -> Column:
@@ -41,9 +41,14 @@ def lines_of(value: Column) -> Column:
     return F.split(value, LINE_BREAK, -1)
 
 
+def first_text(value: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
+    """First match of a group, or an empty text."""
+    return F.regexp_extract(value, rx(pattern, flags), group)
+
+
 def first_match(value: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
     """First match of a group, or null; every pattern here needs at least one character in its group."""
-    return blank_to_null(F.regexp_extract(value, rx(pattern, flags), group))
+    return blank_to_null(first_text(value, pattern, group, flags))
 
 
 def all_matches(value: Column, pattern: str, group: int = 1, flags: str = "") -> Column:

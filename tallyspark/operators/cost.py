@@ -31,8 +31,11 @@ def price_of(model: Column) -> Column:
 
     A handful of constant rates needs no join: longer names are tried first.
     """
-    rates = {name: F.struct(F.lit(i).alias("input"), F.lit(c).alias("cached"), F.lit(o).alias("output"))
-             for name, i, c, o in fixed.MODEL_PRICES}
+    exact = lambda rate, name: F.lit(str(rate)).cast("decimal(9,4)").alias(name)
+    rates = {
+        name: F.struct(exact(i, "input"), exact(c, "cached"), exact(o, "output"))
+        for name, i, c, o in fixed.MODEL_PRICES
+    }
     ordered = sorted(rates, key=len, reverse=True)
     chain = reduce(
         lambda chain, name: chain.when(model.startswith(name), rates[name]), ordered, F.when(F.lit(False), None)
@@ -41,10 +44,11 @@ def price_of(model: Column) -> Column:
 
 
 def cost_usd(model: Column, input_tokens: Column, cached: Column, output_tokens: Column) -> Column:
+    """Spend in USD, in exact decimals, rounded half-even to six places."""
     price = price_of(model)
     fresh = F.greatest(F.lit(0), input_tokens - cached)
     spend = fresh * price["input"] + cached * price["cached"] + output_tokens * price["output"]
-    return F.bround(spend / 1_000_000, 6)
+    return F.bround(spend * F.lit("0.000001").cast("decimal(6,6)"), 6).cast("double")
 
 
 def with_cost(usage: DataFrame) -> DataFrame:

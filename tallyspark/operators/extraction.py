@@ -18,7 +18,7 @@ from tallyspark.functions.parties import billing_section, third_parties
 from tallyspark.functions.payers import claim_payer, payer_in
 from tallyspark.functions.providers import provider_of
 from tallyspark.functions.text import (
-    all_matches, first_match, has, let, lines_of, name_words, rx, strip,
+    all_matches, first_match, first_text, has, let, lines_of, name_words, rx, strip,
 )
 from tallyspark.operators.pages import documents_of, page_range
 from tallyspark.schema import FLAG, MONEY_TYPE, RECORD, RECORD_FIELDS
@@ -133,14 +133,14 @@ def _marker_group(number: int, layouts: list[str]) -> Column:
     for name in layouts:
         marker, indented = _MARKERS[name]
         lead = r"[^\S\n]*" if indented else ""
-        choices[name] = first_match(F.col("segment"), rf"\A{lead}{marker}", number, "im")
+        choices[name] = first_text(F.col("segment"), rf"\A{lead}{marker}", number, "im")
     return _by_layout(choices)
 
 
 def _four_amounts() -> Column:
     """Charges, insurer, adjustment and balance; null entries or a short list mean the row is skipped."""
     segment = F.col("segment")
-    total = lambda pattern: amounts_in(first_match(segment, pattern, 0, "im"))
+    total = lambda pattern: amounts_in(first_text(segment, pattern, 0, "im"))
     labels = lambda names: F.array(*[labelled_amount(segment, n) for n in names])
     return _by_layout(
         {
@@ -155,13 +155,17 @@ def _four_amounts() -> Column:
 
 def _pharmacy_amounts(text: Column) -> Column:
     """Charges, insurer, adjustment, payments from a totals line or the payment summary."""
+    totals = F.concat(*[first_text(text, p, 0, "im") for p in fixed.PHARMACY_TOTALS])
+    summary = first_text(text, fixed.PHARMACY_SUMMARY, 0, "i")
     null = F.lit(None).cast(MONEY_TYPE)
-    totals = F.coalesce(*[first_match(text, p, 0, "im") for p in fixed.PHARMACY_TOTALS])
-    summary = first_match(text, fixed.PHARMACY_SUMMARY, 0, "i")
     pick = lambda a, *places: F.array(*[F.get(a, F.lit(p)) if p is not None else null for p in places])
-    from_totals = let(amounts_in(totals), lambda a: pick(a, 0, 1, None, 2))
-    from_summary = let(amounts_in(summary), lambda a: pick(a, 3, 1, 2, 0))
-    return F.when(totals.isNotNull(), from_totals).when(summary.isNotNull(), from_summary)
+    both = F.struct(amounts_in(totals).alias("totals"), amounts_in(summary).alias("summary"))
+    return let(
+        both,
+        lambda x: F.when(F.size(x["totals"]) > 0, pick(x["totals"], 0, 1, None, 2)).when(
+            F.size(x["summary"]) > 0, pick(x["summary"], 3, 1, 2, 0)
+        ),
+    )
 
 
 def _continued_diagnosis() -> Column:
@@ -176,6 +180,11 @@ def _continued_diagnosis() -> Column:
 
 
 def _segment_records(segments: DataFrame) -> DataFrame:
+    """Every segment read as a record, with ``valid`` telling whether it is one.
+
+    A filter on ``valid`` here would be pushed below the projections and repeat all their expressions, so the
+    caller leaves invalid segments out while it gathers the rest.
+    """
     segment, layout = F.col("segment"), F.col("layout")
 
     groups = (
@@ -184,7 +193,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
         .withColumn("_group3", _marker_group(3, [ADMISSION, DIALYSIS]))
         .withColumn("_group4", _marker_group(4, [DIALYSIS]))
     )
-    claim_id = F.coalesce("_group1", "_group2")
+    claim_id = F.concat("_group1", "_group2")
     claim_row = F.concat(
         F.lit(rx(r"^\s*", "m")), claim_id, F.lit(rf"\s+({fixed.CODE})\s+({fixed.DATE})\s+.*?\bCHARGE\b")
     )
@@ -215,13 +224,11 @@ def _segment_records(segments: DataFrame) -> DataFrame:
             CLAIM: complete & (F.size("_codes") > 0),
             ACCOUNT: complete & (F.size("_codes") > 0),
             ADMISSION: complete,
-            INPATIENT: complete & first_match(segment, fixed.INPATIENT_DIAGNOSIS, 1, "im").isNotNull(),
+            INPATIENT: complete & has(segment, fixed.INPATIENT_DIAGNOSIS, "im"),
             DIALYSIS: complete,
             PHARMACY: F.col("_amounts").isNotNull() & (F.size("_dates") > 0),
         }
     )
-    kept = read.where(valid)
-
     marker_range = F.concat("_group1", F.lit(" - "), "_group2")
     dates = _by_layout(
         {
@@ -234,7 +241,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
     description = _by_layout(
         {
             ADMISSION: _continued_diagnosis(),
-            INPATIENT: strip(first_match(segment, fixed.INPATIENT_DIAGNOSIS, 1, "im")),
+            INPATIENT: strip(first_text(segment, fixed.INPATIENT_DIAGNOSIS, 1, "im")),
             DIALYSIS: F.concat(
                 F.lit("Dialysis — "), F.col("_group3").cast("decimal(38,0)").cast("string"), F.lit(" treatments")
             ),
@@ -243,12 +250,14 @@ def _segment_records(segments: DataFrame) -> DataFrame:
             ),
         }
     )
-    payer = _by_layout(
+    own_payer = _by_layout(
         {
-            CLAIM: F.coalesce(claim_payer(lines_of(segment), claim_id), payer_in(segment)),
-            DIALYSIS: F.coalesce(strip(first_match(segment, fixed.DIALYSIS_INSURER, 1, "i")), payer_in(segment)),
-        },
-        F.col("document_payer"),
+            CLAIM: claim_payer(lines_of(segment), claim_id),
+            DIALYSIS: strip(first_match(segment, fixed.DIALYSIS_INSURER, 1, "i")),
+        }
+    )
+    payer = F.coalesce(
+        own_payer, F.when(layout.isin(CLAIM, DIALYSIS), payer_in(segment)).otherwise(F.col("document_payer"))
     )
     fields = {
         "invoice_number": _by_layout(
@@ -271,7 +280,9 @@ def _segment_records(segments: DataFrame) -> DataFrame:
         "balance": F.when(layout == PHARMACY, F.lit(0).cast(MONEY_TYPE)).otherwise(amount(3)),
         "page": page_range(F.col("page_nums"), F.col("page_ends"), F.col("start"), F.col("end")),
     }
-    return kept.select("doc_id", "layout", "seg", *[fields[name].alias(name) for name in RECORD_FIELDS])
+    return read.select(
+        "doc_id", "layout", "seg", valid.alias("valid"), *[fields[name].alias(name) for name in RECORD_FIELDS]
+    )
 
 
 def settle_claim_payers(records: Column) -> Column:
@@ -328,31 +339,26 @@ def extract_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> Dat
     Documents without a known layout, without a readable row, or longer than the limit yield nothing here;
     they are what ``unextracted_documents`` lists.
     """
-    rows = _segment_records(segments_of(read_documents(pages, max_pages).where(F.col("layout").isNotNull())))
+    rows = _segment_records(segments_of(read_documents(pages, max_pages)))
     numbered = F.struct("seg", F.struct(*RECORD_FIELDS).cast(RECORD).alias("record"))
     gathered = rows.groupBy("doc_id").agg(
-        F.first("layout").alias("layout"), F.array_sort(F.collect_list(numbered)).alias("_rows")
+        F.first("layout").alias("layout"), F.array_sort(F.collect_list(F.when(F.col("valid"), numbered))).alias("_rows")
     )
-    records = F.transform("_rows", lambda r: r["record"])
     bad_date = F.exists("_rows", lambda r: r["record"]["treatment_date"].isNull())
-    return (
-        gathered.where(~bad_date)
-        .select("doc_id", "layout", records.alias("records"))
-        .select(
-            "doc_id",
-            "layout",
-            F.when(F.col("layout") == CLAIM, settle_claim_payers(F.col("records")))
-            .otherwise(F.col("records"))
-            .alias("records"),
-            F.array().cast(f"array<{FLAG}>").alias("flagged"),
-        )
+    records = F.transform("_rows", lambda r: r["record"])
+    return gathered.where((F.size("_rows") > 0) & ~bad_date).select(
+        "doc_id",
+        "layout",
+        let(records, lambda r: F.when(F.col("layout") == CLAIM, settle_claim_payers(r)).otherwise(r)).alias("records"),
+        F.array().cast(f"array<{FLAG}>").alias("flagged"),
     )
 
 
 def extract_records(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
     """One row per billing record, numbered from zero within its document."""
+    # every document here has records; the outer form keeps the planner from testing their number beforehand
     return extract_documents(pages, max_pages).select(
-        "doc_id", "layout", F.posexplode("records").alias("idx", "_r")
+        "doc_id", "layout", F.posexplode_outer("records").alias("idx", "_r")
     ).select("doc_id", "layout", "idx", "_r.*")
 
 

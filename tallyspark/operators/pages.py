@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.page_kinds import page_kind, page_use
-from tallyspark.functions.text import snippet, strip
+from tallyspark.functions.text import let, snippet, strip
 
 
 def documents_of(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
@@ -53,11 +53,14 @@ def page_range(page_nums: Column, page_ends: Column, start: Column, end: Column)
         F.filter(spans, lambda s: s["n"].isNotNull() & (s["begin"] < end) & (s["stop"] > start)),
         lambda s: s["n"],
     )
-    first, last = F.array_min(hit), F.array_max(hit)
-    text = F.when(first == last, first.cast("string")).otherwise(
-        F.concat(first.cast("string"), F.lit("-"), last.cast("string"))
-    )
-    return F.when(F.size(hit) == 0, "").otherwise(text)
+
+    def shown(found: Column) -> Column:
+        first, last = F.array_min(found).cast("string"), F.array_max(found).cast("string")
+        return (
+            F.when(F.size(found) == 0, "").when(first == last, first).otherwise(F.concat(first, F.lit("-"), last))
+        )
+
+    return let(hit, shown)
 
 
 OFFSET_BLOCK = 256

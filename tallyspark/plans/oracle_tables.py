@@ -58,7 +58,7 @@ JOBS = """jobs AS (
     CASE WHEN status IN ('completed','failed','cancelled')
       THEN created_at + to_minutes(CAST(k % 50 + 10 AS BIGINT)) END AS completed_at,
     CASE WHEN status = 'failed' THEN 'ParseError: no table' END AS error,
-    CASE WHEN status = 'completed' THEN CASE WHEN k % 5 = 0 THEN 0.0 ELSE (k % 900) / 10.0 END END AS duration
+    CASE WHEN status = 'completed' THEN CASE WHEN k % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE (k % 900) / CAST(10 AS DOUBLE) END END AS duration
   FROM jobs)"""
 
 REPORT = RECORDS + ", " + JOBS + """, report AS (

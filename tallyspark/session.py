@@ -17,6 +17,23 @@ RUNTIME_CONF = {
 }
 
 
+# settings that only a new session can take
+STARTUP_CONF = {
+    # extraction builds large expressions; do not look up a call site for each small part of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def new_session(name: str, master: str | None = None, **conf: str) -> SparkSession:
+    """A tuned session; without a master the one of the cluster launcher is used."""
+    builder = SparkSession.builder.appName(name)
+    if master:
+        builder = builder.master(master)
+    for key, value in {**STARTUP_CONF, **RUNTIME_CONF, **conf}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every query here relies on."""
     for key, value in RUNTIME_CONF.items():

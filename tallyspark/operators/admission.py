@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark import fixed
-from tallyspark.session import checkpointed
+from tallyspark.session import stored
 
 SECOND = 1_000_000
 HITS = "key string, ts_us bigint, seq bigint, budget int"
@@ -155,7 +155,7 @@ def settle_slices(rows: DataFrame, carry: DataFrame, window_us: int) -> DataFram
     bounds = rows.groupBy("key", "slice").agg(F.min("ts_us").alias("first_us"))
     closing = _run(_opened(rows, _no_states(rows)), window_us, "states")
     empty = F.array().cast("array<bigint>")
-    states = checkpointed(bounds.join(closing, ["key", "slice"]).withColumn("opening", empty))
+    states = stored(bounds.join(closing, ["key", "slice"]).withColumn("opening", empty), "states")
 
     by_time = Window.partitionBy("key").orderBy("slice")
     start = carry.select("key", F.col("live").alias("_carried"))
@@ -164,60 +164,80 @@ def settle_slices(rows: DataFrame, carry: DataFrame, window_us: int) -> DataFram
             "_given", F.coalesce(F.lag("live").over(by_time), F.col("_carried"), empty)
         )
         wanted = handed.withColumn("_given", _still_live(F.col("_given"), F.col("first_us"), window_us))
-        changed = checkpointed(
-            wanted.where(F.col("_given") != F.col("opening")).select("key", "slice", F.col("_given").alias("live"))
-        )
+        differs = F.col("_given") != F.col("opening")
+        changed = stored(wanted.where(differs).select("key", "slice", F.col("_given").alias("live")), "changed")
         if changed.isEmpty():
             return states.select("key", "slice", "first_us", "opening", "live")
         again = rows.join(changed.select("key", "slice"), ["key", "slice"], "left_semi")
         closed = _run(_opened(again, changed), window_us, "states").withColumnRenamed("live", "_live")
         update = changed.withColumnRenamed("live", "_opening").join(closed, ["key", "slice"])
-        states = checkpointed(
-            states.join(update, ["key", "slice"], "left").select(
-                "key", "slice", "first_us",
-                F.coalesce("_live", "live").alias("live"),
-                F.coalesce("_opening", "opening").alias("opening"),
-            )
+        renewed = states.join(update, ["key", "slice"], "left").select(
+            "key", "slice", "first_us",
+            F.coalesce("_live", "live").alias("live"),
+            F.coalesce("_opening", "opening").alias("opening"),
         )
+        states = stored(renewed, "states")
 
 
 def _no_states(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([], _STATES)
 
 
-def _sliced(requests: DataFrame, window_us: int, slices: int) -> tuple[DataFrame, int | None]:
-    """Number the time slices: ``slices`` over the whole span, none shorter than the window."""
-    first, last = requests.agg(F.min("ts_us"), F.max("ts_us")).first()
-    if first is None:
-        return requests.withColumn("slice", F.lit(0).cast("bigint")), None
+def _sliced(
+    requests: DataFrame, window_us: int, rows_per_slice: int, max_slices: int
+) -> tuple[DataFrame, int, int | None]:
+    """Number the time slices, none shorter than the window; also their count and the latest time.
+
+    As many slices as would keep one key, should it hold all rows, at ``rows_per_slice`` each.
+    """
+    first, last, rows = requests.agg(F.min("ts_us"), F.max("ts_us"), F.count(F.lit(1))).first()
+    if rows == 0:
+        return requests.withColumn("slice", F.lit(0).cast("bigint")), 1, None
+    slices = min(max_slices, -(-rows // rows_per_slice))
     width = max(window_us, (last - first) // slices + 1)
-    return requests.withColumn("slice", F.expr(f"(ts_us - {first}L) div {width}L")), last
+    return requests.withColumn("slice", F.expr(f"(ts_us - {first}L) div {width}L")), slices, last
+
+
+def _forget_idle(states: DataFrame, carry: DataFrame, latest: int | None, window_us: int) -> DataFrame:
+    """Latest accepted times per key; keys idle for a whole window before the latest request are dropped."""
+    last = states.groupBy("key").agg(F.max_by("live", "slice").alias("_new"))
+    merged = carry.join(last, "key", "full").select("key", F.coalesce("_new", "live").alias("live"))
+    return merged if latest is None else merged.where(F.array_max("live") >= latest - window_us)
 
 
 def admit_with_state(
-    requests: DataFrame, window_seconds: float, slices: int = 64, carry: DataFrame | None = None
+    requests: DataFrame,
+    window_seconds: float,
+    rows_per_slice: int = 2_000_000,
+    max_slices: int = 256,
+    carry: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Decisions for ``requests`` (see ``HITS``) and the times each key carries into later requests.
 
-    ``carry(key, live)`` is what an earlier call returned. Keys whose last accepted request is older than the
-    window before the latest request are forgotten.
+    ``carry(key, live)`` is what an earlier call returned.
     """
     window_us = int(window_seconds * SECOND)
     spark = requests.sparkSession
     carry = spark.createDataFrame([], CARRY) if carry is None else carry
-    sliced, latest = _sliced(requests, window_us, slices)
-    rows = checkpointed(sliced)
-    states = settle_slices(rows, carry, window_us)
-    opening = states.where(F.size("opening") > 0).select("key", "slice", F.col("opening").alias("live"))
+    sliced, slices, latest = _sliced(requests, window_us, rows_per_slice, max_slices)
+    rows = stored(sliced, "requests")
+    if slices == 1:
+        opening = carry.join(rows.select("key").distinct(), "key", "left_semi").select(
+            "key", F.lit(0).cast("bigint").alias("slice"), "live"
+        )
+        states = _run(_opened(rows, opening), window_us, "states")
+    else:
+        states = settle_slices(rows, carry, window_us)
+        opening = states.where(F.size("opening") > 0).select("key", "slice", F.col("opening").alias("live"))
     decisions = _run(_opened(rows, opening), window_us, "decisions")
-
-    last = states.groupBy("key").agg(F.max_by("live", "slice").alias("_new"))
-    merged = carry.join(last, "key", "full").select("key", F.coalesce("_new", "live").alias("live"))
-    if latest is not None:
-        merged = merged.where(F.array_max("live") >= latest - window_us)
-    return decisions, merged
+    return decisions, _forget_idle(states, carry, latest, window_us)
 
 
-def admit(requests: DataFrame, window_seconds: float = fixed.RATE_WINDOW_SECONDS, slices: int = 64) -> DataFrame:
+def admit(
+    requests: DataFrame,
+    window_seconds: float = fixed.RATE_WINDOW_SECONDS,
+    rows_per_slice: int = 2_000_000,
+    max_slices: int = 256,
+) -> DataFrame:
     """``key, seq, ts_us, admitted, retry_after`` for every request, in time order per key."""
-    return admit_with_state(requests, window_seconds, slices)[0]
+    return admit_with_state(requests, window_seconds, rows_per_slice, max_slices)[0]

@@ -59,10 +59,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage, so later steps neither recompute it nor depend on executors."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    Later steps neither recompute it nor depend on executors, and a loop starts each round from a fresh plan
+    with real file sizes (a checkpoint would keep the predicates it was derived from, which pile up in loops).
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

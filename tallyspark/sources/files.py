@@ -29,6 +29,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary_documents(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """Files under ``root`` at any depth. Spark lists no files of zero bytes, so empty ones never get in."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

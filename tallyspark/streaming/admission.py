@@ -20,10 +20,9 @@ class StreamAdmission:
     forgotten one window after the latest request seen.
     """
 
-    def __init__(self, folder: str, window_seconds: float, slices: int = 16):
+    def __init__(self, folder: str, window_seconds: float):
         self.folder = folder.rstrip("/")
         self.window_seconds = window_seconds
-        self.slices = slices
 
     def _state_path(self, batch: int) -> str:
         return f"{self.folder}/state/batch={batch}"
@@ -31,7 +30,7 @@ class StreamAdmission:
     def process(self, requests: DataFrame, batch: int) -> None:
         spark = requests.sparkSession
         carry = spark.read.schema(CARRY).parquet(self._state_path(batch - 1)) if batch > 0 else None
-        decisions, state = admit_with_state(requests, self.window_seconds, self.slices, carry)
+        decisions, state = admit_with_state(requests, self.window_seconds, carry=carry)
         decisions.write.mode("overwrite").parquet(f"{self.folder}/decisions/batch={batch}")
         state.write.mode("overwrite").parquet(self._state_path(batch))
 

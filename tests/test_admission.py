@@ -23,9 +23,10 @@ def simulate(rows, window_us):
     return out
 
 
-def run(spark, rows, window, slices=64):
+def run(spark, rows, window, rows_per_slice=1000):
     frame = spark.createDataFrame(rows, HITS)
-    return {r["seq"]: (None if r["admitted"] else r["retry_after"]) for r in admit(frame, window, slices).collect()}
+    decided = admit(frame, window, rows_per_slice).collect()
+    return {r["seq"]: (None if r["admitted"] else r["retry_after"]) for r in decided}
 
 
 def seconds(times, budget, key="u"):
@@ -61,7 +62,7 @@ def test_hot_key_cut_into_slices_equals_the_chain(spark):
     for i in range(3000, 4000):
         rows.append((f"k{draw.randrange(20)}", draw.randrange(2100) * SECOND, i, draw.choice([2, 3])))
     expected = simulate(rows, 60 * SECOND)
-    assert run(spark, rows, 60, slices=12) == expected
+    assert run(spark, rows, 60, rows_per_slice=400) == expected
 
 
 def test_state_carries_over_to_later_requests(spark):
@@ -71,7 +72,7 @@ def test_state_carries_over_to_later_requests(spark):
     carry, found = None, {}
     for low, high in [(0, 200), (200, 210), (210, 600)]:
         part = [r for r in rows if low <= r[1] // SECOND < high]
-        decisions, carry = admit_with_state(spark.createDataFrame(part, HITS), 60, 4, carry)
+        decisions, carry = admit_with_state(spark.createDataFrame(part, HITS), 60, 60, carry=carry)
         carry = spark.createDataFrame(carry.collect(), carry.schema)
         found.update({r["seq"]: (None if r["admitted"] else r["retry_after"]) for r in decisions.collect()})
     assert found == expected

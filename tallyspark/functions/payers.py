@@ -138,9 +138,7 @@ def payer_of_charge_line(lines: Column, index: Column, block_ends: Column) -> Co
 
 def claim_payer(segment_lines: Column, claim_id: Column) -> Column:
     """Payer of the first charge line of a claim that names one."""
-    row = F.concat(
-        F.lit(rx(r"^\s*", "i")), claim_id, F.lit(rf"\s+{fixed.CODE}\s+{DATE}\s+.*?\bCHARGE\b.*$")
-    )
+    row = rf"^\s*(\d+)\s+{fixed.CODE}\s+{DATE}\s+.*?\bCHARGE\b"
     end = rx(fixed.CLAIM_BLOCK_END, "i")
 
     def positions(lines: Column, test) -> Column:
@@ -149,7 +147,7 @@ def claim_payer(segment_lines: Column, claim_id: Column) -> Column:
 
     def searched(lines: Column) -> Column:
         ends = positions(lines, lambda line: line.rlike(end))
-        rows = positions(lines, lambda line: F.rlike(line, row))
+        rows = positions(lines, lambda line: first_text(line, row, 1, "i") == claim_id)
         return let(
             ends,
             lambda stops: F.aggregate(

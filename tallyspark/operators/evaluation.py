@@ -17,7 +17,7 @@ def comparable(value: Column, kind: DataType) -> Column:
     """
     if isinstance(kind, ArrayType):
         items = F.transform(value, lambda v: comparable(v, kind.elementType))
-        ordered = F.array_sort(F.transform(items, lambda i: F.coalesce(F.concat(F.lit("="), i), F.lit("~"))))
+        ordered = F.sort_array(F.transform(items, lambda i: F.coalesce(F.concat(F.lit("="), i), F.lit("~"))))
         return F.to_json(ordered)
     if isinstance(kind, BooleanType):
         return F.concat(F.lit("bool:"), value.cast("string"))

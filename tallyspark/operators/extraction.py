@@ -342,7 +342,7 @@ def extract_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> Dat
     rows = _segment_records(segments_of(read_documents(pages, max_pages)))
     numbered = F.struct("seg", F.struct(*RECORD_FIELDS).cast(RECORD).alias("record"))
     gathered = rows.groupBy("doc_id").agg(
-        F.first("layout").alias("layout"), F.array_sort(F.collect_list(F.when(F.col("valid"), numbered))).alias("_rows")
+        F.first("layout").alias("layout"), F.sort_array(F.collect_list(F.when(F.col("valid"), numbered))).alias("_rows")
     )
     bad_date = F.exists("_rows", lambda r: r["record"]["treatment_date"].isNull())
     records = F.transform("_rows", lambda r: r["record"])

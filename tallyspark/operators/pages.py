@@ -20,7 +20,7 @@ def documents_of(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFram
     gathered = (
         pages.where(F.col("page_num") <= max_pages + 1)
         .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(page)).alias("_pages"))
+        .agg(F.sort_array(F.collect_list(page)).alias("_pages"))
     )
     too_long = F.element_at(F.col("_pages.page_num"), -1) > max_pages
     lengths = F.transform("_pages", lambda p: F.length(p["page_content"]) + 1)
@@ -153,8 +153,8 @@ def route_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataF
     per_document = marked.groupBy("doc_id").agg(
         F.count("page_num").alias("n_pages"),
         F.count_if("filled").alias("n_filled"),
-        F.array_sort(F.collect_list(F.when(listable & F.col("visual"), F.col("page_num")))).alias("_visual"),
-        F.array_sort(F.collect_list(F.when(listable, F.col("page_num")))).alias("_all"),
+        F.sort_array(F.collect_list(F.when(listable & F.col("visual"), F.col("page_num")))).alias("_visual"),
+        F.sort_array(F.collect_list(F.when(listable, F.col("page_num")))).alias("_all"),
     )
     none = F.array().cast("array<int>")
     route = (

@@ -152,7 +152,7 @@ def invoice_groups(rows: DataFrame) -> DataFrame:
     grouped = rows.groupBy("job_id", "invoice_number").agg(
         F.min("idx").alias("first_idx"),
         F.count(F.lit(1)).alias("records"),
-        F.array_sort(F.collect_list("idx")).alias("record_idx"),
+        F.sort_array(F.collect_list("idx")).alias("record_idx"),
         *totals_or_null(),
     )
     order = Window.partitionBy("job_id").orderBy("first_idx")

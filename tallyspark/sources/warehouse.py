@@ -98,7 +98,7 @@ def slot_record() -> Column:
 def order_records(spark: SparkSession, folder: str) -> DataFrame:
     """``k, records, flagged`` per order that has line items; flags mark slots of high quantity."""
     slots = line_slots(spark, folder).select("k", F.struct("slot", "qty", slot_record().alias("record")).alias("_s"))
-    gathered = slots.groupBy("k").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    gathered = slots.groupBy("k").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     flags = F.array_compact(
         F.transform(
             "_s",
@@ -279,7 +279,7 @@ def _order_totals(spark: SparkSession, folder: str) -> DataFrame:
     slots = line_slots(spark, folder).withColumn("amount", _cents(F.col("gross")))
     line = F.struct("slot", "part", "first_ship", "amount", "n")
     totals = slots.groupBy("k").agg(
-        F.array_sort(F.collect_list(line)).alias("lines"),
+        F.sort_array(F.collect_list(line)).alias("lines"),
         F.sum("gross").alias("gross"),
         F.sum("disc").alias("disc"),
         F.min("first_ship").alias("first_ship"),
@@ -441,13 +441,13 @@ def ledger_pages(spark: SparkSession, folder: str, layout: str | None = None) ->
     printed = printed.withColumn("parts", F.when(F.col("split") & F.col("ending").isNotNull(), halves).otherwise(whole))
     documents = printed.groupBy("doc").agg(
         F.first("layout").alias("layout"),
-        F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"),
+        F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"),
         F.sum("total").alias("total"),
         F.sum("paid").alias("paid"),
         F.sum("open").alias("open"),
     )
     heading = F.element_at(F.create_map(*[F.lit(x) for item in _HEADINGS.items() for x in item]), F.col("layout"))
-    numbers = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["page"])))
+    numbers = F.sort_array(F.array_distinct(F.transform("parts", lambda p: p["page"])))
     texts = F.transform(
         numbers,
         lambda n: F.struct(

@@ -43,7 +43,8 @@ def _comparable_rows(df: DataFrame, names: list[str], side: str) -> DataFrame:
         (comparable(record[name], kinds[name]) if name in kinds else F.lit(None).cast("string")).alias(f"{side}{i}")
         for i, name in enumerate(names)
     ]
-    return df.select("doc_id", F.posexplode("records").alias("pos", "_r")).select(
+    rows = df.select("doc_id", F.posexplode_outer("records").alias("pos", "_r")).where(F.col("pos").isNotNull())
+    return rows.select(
         "doc_id", "pos", record.isNotNull().alias(f"{side}_here"), *values
     )
 

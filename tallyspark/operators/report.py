@@ -43,12 +43,17 @@ def flatten_report(jobs: DataFrame) -> DataFrame:
 
     Flags without a row number belong to every record of their document and come first.
     """
-    rows = jobs.where(F.col("status") == fixed.COMPLETED).select(
-        F.col("id").alias("job_id"),
-        "owner_id",
-        "pdf_path",
-        F.coalesce(F.col("result.flagged"), F.array()).alias("_flags"),
-        F.posexplode("result.records").alias("idx", "_r"),
+    # the outer form, filtered afterwards: the plain one makes the planner evaluate the result a second time
+    rows = (
+        jobs.where(F.col("status") == fixed.COMPLETED)
+        .select(
+            F.col("id").alias("job_id"),
+            "owner_id",
+            "pdf_path",
+            F.coalesce(F.col("result.flagged"), F.array()).alias("_flags"),
+            F.posexplode_outer("result.records").alias("idx", "_r"),
+        )
+        .where(F.col("idx").isNotNull())
     )
     flags = F.concat(
         F.filter("_flags", lambda f: f["row"].isNull()),

@@ -22,27 +22,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def line_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items per order ``k`` and ``slot``, combined before the shuffle."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    rate = lambda name: F.col(name).cast("decimal(4,2)")
-    return (
+    """Line items per order ``k`` and ``slot``, combined before the shuffle.
+
+    Amounts are summed as whole cents (and hundredths of cents), which is exact and stays in machine integers.
+    One-letter flags are compared as numbers: a text minimum would turn the hash aggregate into two sorts.
+    """
+    hundredths = lambda name: F.round(F.col(name) * 100).cast("bigint")
+    price = hundredths("l_extendedprice")
+    sums = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % SLOTS).alias("slot"))
         .agg(
             F.sum(price).alias("gross"),
-            F.sum(price * rate("l_discount")).alias("disc"),
-            F.sum(price * rate("l_tax")).alias("tax"),
+            F.sum(price * hundredths("l_discount")).alias("disc"),
+            F.sum(price * hundredths("l_tax")).alias("tax"),
             F.max("l_tax").alias("max_tax"),
             F.min("l_shipdate").alias("first_ship"),
             F.max("l_shipdate").alias("last_ship"),
-            F.min("l_returnflag").alias("flag"),
-            F.min("l_linestatus").alias("line_status"),
+            F.min(F.ascii("l_returnflag")).alias("flag"),
+            F.min(F.ascii("l_linestatus")).alias("line_status"),
             F.min("l_suppkey").alias("supp"),
             F.min("l_partkey").alias("part"),
             F.max("l_quantity").alias("qty"),
             F.count(F.lit(1)).alias("n"),
         )
     )
+    scaled = lambda name, unit: (F.col(name).cast("decimal(18,0)") * F.lit(unit).cast("decimal(4,4)"))
+    return (
+        sums.withColumn("gross", scaled("gross", "0.01").cast("decimal(18,2)"))
+        .withColumn("disc", scaled("disc", "0.0001"))
+        .withColumn("tax", scaled("tax", "0.0001"))
+        .withColumn("flag", F.char("flag"))
+        .withColumn("line_status", F.char("line_status"))
+    )
 
 
 def _cents(value: Column) -> Column:

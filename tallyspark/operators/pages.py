@@ -14,7 +14,7 @@ def documents_of(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFram
 
     Pages beyond the limit are dropped before the shuffle, except the first of them, which marks the
     document as too long. A gathered document thus never exceeds ``max_pages + 1`` pages, whatever the input
-    holds; too long documents come out with a null text, as the reference rejects them whole.
+    holds; too long documents come out with a null text: they are rejected whole.
     """
     page = F.struct("page_num", F.coalesce("page_content", F.lit("")).alias("page_content"))
     gathered = (

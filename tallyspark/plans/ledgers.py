@@ -207,7 +207,7 @@ def claim_segments(spark, folder):
 )
 def summary_over_items(spark, folder):
     """Order totals from a summary where there is one (every second order), else from the items."""
-    orders = warehouse._order_totals(spark, folder)
+    orders = warehouse.order_totals(spark, folder)
     null = lambda *names: [F.lit(None).cast("decimal(18,2)").alias(n) for n in names]
     items = warehouse.line_slots(spark, folder).select(
         "k", F.col("gross").cast("decimal(18,2)").alias("total_charges"),
@@ -232,7 +232,7 @@ def summary_over_items(spark, folder):
 )
 def ledger_over_form(spark, folder):
     """Ledger rows win; claim forms fill a missing description and stand alone where there is no ledger."""
-    orders = warehouse._order_totals(spark, folder).select("k", "total")
+    orders = warehouse.order_totals(spark, folder).select("k", "total")
     k = F.col("k")
     ledger = orders.where(k % 4 != 0).select(
         "k", F.col("total").alias("total_charges"), F.when(k % 3 != 0, "ledger").alias("description")

@@ -286,7 +286,7 @@ def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ledger documents
 
-def _order_totals(spark: SparkSession, folder: str) -> DataFrame:
+def order_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Per order: totals, dates and its at most eight slot lines, with the document and page it is printed on."""
     slots = line_slots(spark, folder).withColumn("amount", _cents(F.col("gross")))
     line = F.struct("slot", "part", "first_ship", "amount", "n")
@@ -433,7 +433,7 @@ def ledger_pages(spark: SparkSession, folder: str, layout: str | None = None) ->
     Page 1 is a heading; three orders fill a page, and the third one ends on the next page. Without a layout,
     documents take turns through all of them. The pages stay where their document was gathered.
     """
-    orders = _order_totals(spark, folder)
+    orders = order_totals(spark, folder)
     kind = F.lit(layout) if layout else _pick(MIXED_LAYOUTS, F.col("doc") % len(MIXED_LAYOUTS))
     orders = orders.withColumn("layout", kind)
     wanted = [layout] if layout else list(_BLOCKS)

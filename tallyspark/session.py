@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +37,31 @@ def new_session(name: str, master: str | None = None, **conf: str) -> SparkSessi
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every query here relies on."""
+    """Apply the runtime settings every query here relies on, and give the executors this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    send_package(spark)
     return spark
 
 
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, from whatever folder the driver runs in."""
+    context = spark.sparkContext
+    name = f"{__package__}.zip"
+    if any(os.path.basename(path) == name for path in context.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # the driver serves the archive to the executors itself, so its place need not be shared
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{__package__}-"), name)
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, from ``spark.checkpoint.dir``; a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,3 +17,10 @@ def utf8(text: Column) -> Column:
 def hex64(value: Column) -> Column:
     """A long's 64 bits as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in small parts, so that the Python objects of a whole batch do not live at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)

@@ -13,13 +13,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tallyspark.llm.base import utf8
+from tallyspark.llm.base import slices, utf8
 
 # How byte-level vocabularies split a text and which characters stand for the bytes that print.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-KNOWN_WORDS = 400_000  # words a task remembers; then it starts anew, which costs time but changes nothing
+KNOWN_WORDS = 300_000  # words a task remembers; then it starts anew, which costs time but changes nothing
 KNOWN_LENGTH = 48
 CHUNK = 200_000  # words split off at once
 LONG_TEXT = 1_000_000
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         of = tables(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [of.encode(t.decode("utf-8", errors="replace")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -156,7 +156,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         of = tables(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [of.decode(i or b"") for i in batch.column(1).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"])

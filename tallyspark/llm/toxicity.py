@@ -6,14 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyspark.llm.base import utf8
+from tallyspark.llm.base import slices, utf8
 from tallyspark.llm.linear import Logistic, logit
 from tallyspark.session import stored
 
 # The chain is fitted on a sample of about so many labelled rows, chosen by a hash of doc_id; see ``labelled_terms``.
 LABELLED_ROWS = 15_000
 FOLDS = 5
-LEAST_SUPPORT = 4  # labelled documents that must hold a term
+LEAST_SUPPORT = 4  # labelled documents that must hold a term, two of them of a category
 TERMS = 4_000  # of a category, with the largest log odds, that the models look up
 TOP = 5  # largest log odds of a document that are features of their own
 TOXIC = 0.5
@@ -45,7 +45,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, categories: list[str]) ->
     rows = texts.where(chosen).join(wanted.where(chosen), "doc_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array([sorted(terms(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.binary()))
             others = [batch.column(k) for k in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), found, *others], names=names)
@@ -99,37 +99,57 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     either, so at use the chain meets inputs as good as those it was trained on.
     """
     rows = stored(labelled_terms(docs, labels, categories), "labelled")
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")
     sums = [F.sum(c).alias(c) for c in categories]
     counted = (
-        rows.select(F.explode("terms").alias("term"), fold.alias("fold"), *categories)
+        rows.select(F.explode("terms").alias("term"), fold, *categories)
         .groupBy("term", "fold")
         .agg(F.count("*").alias("n"), *sums)
     )
     counted = stored(counted, "terms")
-    common = counted.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SUPPORT).select("term")
+    # a term of no category has no positive log odds
+    common = counted.groupBy("term").agg(F.sum("n").alias("n"), *sums)
+    most = F.greatest(F.lit(0), *categories, F.lit(0))
+    common = common.where((F.col("n") >= LEAST_SUPPORT) & (most >= 2)).select("term")
     counts = counted.join(common, "term").toPandas()  # terms of the sample, bounded by its rows
-    seen = rows.withColumn("fold", fold).orderBy("doc_id").toPandas()
-    documents = [set(found) for found in seen["terms"]]
-    place = seen["fold"].to_numpy(np.int64)
-    y = seen[categories].to_numpy(np.int64).reshape(len(seen), len(categories))
     names, row = np.unique(np.array(counts["term"].tolist(), dtype=object), return_inverse=True)
     tables = np.zeros((FOLDS, len(names), len(categories) + 1))
     if len(names):
         tables[counts["fold"].to_numpy(np.int64), row] = counts[["n", *categories]].to_numpy(np.float64)
+    totals = np.zeros((FOLDS, len(categories) + 1))
+    for found in rows.groupBy(fold).agg(F.count("*").alias("n"), *sums).collect():
+        totals[found["fold"]] = [found[c] for c in ["n", *categories]]
 
     def lexicon(k: int, left_out: int | None) -> Lexicon:
         kept = [f for f in range(FOLDS) if f != left_out]
-        table, rows_in = tables[kept].sum(axis=0), place != (-1 if left_out is None else left_out)
-        n_with = int(y[rows_in, k].sum())
-        return Lexicon.of(names, table[:, k + 1], table[:, 0] - table[:, k + 1], n_with, int(rows_in.sum()) - n_with)
+        table, total = tables[kept].sum(axis=0), totals[kept].sum(axis=0)
+        return Lexicon.of(names, table[:, k + 1], table[:, 0] - table[:, k + 1], total[k + 1], total[0] - total[k + 1])
+
+    # the features of a row come from the lexicons that have not seen its fold
+    sent = rows.sparkSession.sparkContext.broadcast(
+        [[lexicon(k, f) for k in range(len(categories))] for f in range(FOLDS)]
+    )
 
+    def features(batches):
+        for batch in slices(batches):
+            found = []
+            for terms_of_row, f in zip(batch.column("terms").to_pylist(), batch.column("fold").to_pylist()):
+                held = set(terms_of_row)
+                found.append([x for one in sent.value[f] for x in one.features(held)])
+            batch = batch.drop_columns(["terms"])
+            yield batch.append_column("features", pa.array(found, pa.list_(pa.float64())))
+
+    kinds = ", ".join(f"`{c}` int" for c in categories)
+    seen = rows.select("doc_id", fold, "terms", *categories)
+    seen = seen.mapInArrow(features, f"doc_id long, fold long, {kinds}, features array<double>")
+    seen = seen.orderBy("doc_id").toPandas()
+    place = seen["fold"].to_numpy(np.int64)
+    y = seen[categories].to_numpy(np.int64).reshape(len(seen), len(categories))
+    own = np.array(seen["features"].tolist()).reshape(len(seen), len(categories), TOP + 3)
     chain = Chain(categories)
     before = np.zeros((len(seen), 0))
     for k in range(len(categories)):
-        by_fold = [lexicon(k, f) for f in range(FOLDS)]
-        own = [by_fold[f].features(d) for f, d in zip(place, documents)]
-        x = np.hstack([np.array(own).reshape(len(seen), TOP + 3), before])
+        x = np.hstack([own[:, k], before])
         held = np.zeros(len(seen))
         for f in range(FOLDS):
             test = place == f
@@ -145,7 +165,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = sent.value.probabilities([terms(t) for t in batch.column(1).to_pylist()])
             columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(found.shape[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *chain.categories])

@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.base import utf8
+from tallyspark.llm.base import slices, utf8
 from tallyspark.llm.linear import Logistic, folds_of, logit, sigmoid
 from tallyspark.session import stored
 
 # The classifiers are fitted on samples of about these many rows, chosen by a hash of doc_id; see ``fit``.
-LABELLED_ROWS = 12_000
-POOL_ROWS = 12_000
+LABELLED_ROWS = 10_000
+POOL_ROWS = 10_000
 ROUNDS = 4
 TAUGHT = 0.1  # of the pool, in a round and for each view
 CONFIDENT = 0.95
@@ -61,18 +61,18 @@ def metadata_view(lang: str | None, source: str | None, n_chars: int | None) ->
 
 
 def views(docs: DataFrame) -> DataFrame:
-    """``(doc_id, content, metadata)``, the last two arrays of floats."""
+    """``(doc_id, content, metadata)``, the last two as the bytes of their numbers."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, langs, sources, lengths = (batch.column(k) for k in range(5))
-            content = [text_view(t).tolist() for t in texts.to_pylist()]
-            meta = [metadata_view(*x).tolist() for x in zip(langs.to_pylist(), sources.to_pylist(), lengths.to_pylist())]
-            floats = pa.list_(pa.float64())
-            columns = [ids, pa.array(content, floats), pa.array(meta, floats)]
+            content = [text_view(t).tobytes() for t in texts.to_pylist()]
+            rows = zip(langs.to_pylist(), sources.to_pylist(), lengths.to_pylist())
+            meta = [metadata_view(*row).tobytes() for row in rows]
+            columns = [ids, pa.array(content, pa.binary()), pa.array(meta, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "metadata"])
 
-    return docs.select(*inputs()).mapInArrow(run, "doc_id long, content array<double>, metadata array<double>")
+    return docs.select(*inputs()).mapInArrow(run, "doc_id long, content binary, metadata binary")
 
 
 def inputs() -> list[Column]:
@@ -103,9 +103,9 @@ class CoTrained:
         for k in range(FOLDS):
             test = known & (fold == k)
             if test.any():
-                for view, model in enumerate(co_train(x, np.where(test, np.nan, y), ~known)):
+                for view, model in enumerate(co_train(x, np.where(test, np.nan, y), ~known, fold)):
                     held[view][test] = model.probability(x[view][test])
-        self.models = co_train(x, y, ~known)
+        self.models = co_train(x, y, ~known, fold)
         self.calibrations = [Logistic(1e-3).fit(logit(h[known])[:, None], y[known]) for h in held]
         joint = np.column_stack([self.calibrated(v, h[known]) for v, h in enumerate(held)])
         self.joint = Logistic(1e-3).fit(joint, y[known])
@@ -120,9 +120,23 @@ class CoTrained:
         return self.joint.probability(np.column_stack(odds)), sigmoid(odds[0]), sigmoid(odds[1])
 
 
-def co_train(x, y, pool) -> list[Logistic]:
+def earned_confidence(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Logistic:
+    """What a view's odds are worth, from predictions of labelled rows by models that have not seen them.
+
+    A view that knows nothing gets the share of the class for every row, and so is never confident enough to teach.
+    """
+    known, half = ~np.isnan(y), fold % 2 == 0
+    odds = np.zeros(len(y))
+    for test in (half, ~half):
+        rows = known & ~test
+        odds[known & test] = logit(Logistic(5.0).fit(x[rows], y[rows]).probability(x[known & test]))
+    return Logistic(1.0).fit(odds[known][:, None], y[known])
+
+
+def co_train(x, y, pool, fold) -> list[Logistic]:
     """Fit both views; in each round, a view's most confident labels of pool rows go to the other view."""
     labels = [y.copy(), y.copy()]
+    earned = [earned_confidence(x[view], y, fold) for view in range(2)]
     models = []
     for round_number in range(ROUNDS + 1):
         models = []
@@ -133,7 +147,7 @@ def co_train(x, y, pool) -> list[Logistic]:
         if round_number == ROUNDS or not pool.any():
             break
         for view in range(2):
-            p = models[view].probability(x[view])
+            p = earned[view].probability(logit(models[view].probability(x[view]))[:, None])
             other = labels[1 - view]
             sure = pool & np.isnan(other) & (np.maximum(p, 1 - p) >= CONFIDENT)
             order = np.flatnonzero(sure)[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")]
@@ -159,21 +173,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     seen = views(sample).join(wanted.where(place("doc_id") < max(near, far)), "doc_id", "left")
     chosen = F.when(F.col("y").isNotNull(), place("doc_id") < near).otherwise(place("doc_id") < far)
     rows = seen.where(chosen).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    x = tuple(
-        np.array(rows[c].tolist(), dtype=np.float64).reshape(len(rows), -1)
-        if len(rows)
-        else np.zeros((0, len(empty)))
-        for c, empty in (("content", text_view(b"")), ("metadata", metadata_view(None, None, None)))
-    )
+    sizes = {"content": len(text_view(b"")), "metadata": len(metadata_view(None, None, None))}
+    x = tuple(np.frombuffer(b"".join(map(bytes, rows[c])), np.float64).reshape(-1, size) for c, size in sizes.items())
     return CoTrained().fit(rows["doc_id"].to_numpy(np.int64), x, rows["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: CoTrained, *extra: str) -> DataFrame:
-    """``extra`` columns of ``docs`` and ``quality``, ``content_quality``, ``metadata_quality`` for every row."""
+    """``kept_0``, ``kept_1`` and so on, the ``extra`` columns of ``docs``, and ``quality``, ``content_quality``,
+    ``metadata_quality`` for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs, sources, lengths = (batch.column(c).to_pylist() for c in range(1, 5))
             if not texts:
                 continue
@@ -187,7 +198,7 @@ def score(docs: DataFrame, model: CoTrained, *extra: str) -> DataFrame:
     rows = docs.select(*inputs(), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(extra)))
     kinds = [f"kept_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(extra)]
     kinds += [f"{name} double" for name in names[len(extra) :]]
-    return rows.mapInArrow(run, ", ".join(kinds)).toDF(*extra, *names[len(extra) :])
+    return rows.mapInArrow(run, ", ".join(kinds))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,11 +208,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is empty; a null language, source or length is a value of its own. Without labels every row has quality one
     half. Repeated rows score alike; other columns are not looked at; an empty table gives no rows.
     """
-    scored = score(docs, fit(docs, labels), "doc_id")
+    scored = score(docs, fit(docs, labels), "doc_id").withColumnRenamed("kept_0", "doc_id")
     return scored.withColumn("keep", F.col("quality") >= KEEP)
 
 
 def of_good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     scored = score(docs, fit(docs, labels), *docs.columns)
-    return scored.where(F.col("quality") >= KEEP).select(*docs.columns)
+    kept = scored.where(F.col("quality") >= KEEP).drop("quality", "content_quality", "metadata_quality")
+    return kept.toDF(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.base import hex64, utf8
+from tallyspark.llm.base import hex64, slices, utf8
 from tallyspark.llm.components import connected_components
 from tallyspark.session import stored
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``(doc_id long, fp long)`` of every row; null or wordless texts have fingerprint zero."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

@@ -165,6 +165,9 @@ DEFAULT_PRICE_MODEL = "gpt-5.4-mini"
 
 # ---- limits
 MAX_PAGES = 400
+PAGE_MISSING = "(out of range)"
+PAGE_BLANK = "(no extractable text on this page)"
+STALL_MESSAGE = "Recovered after worker stall; max attempts ({}) exhausted"
 MIN_CHARS_ON_IMAGE_PAGE = 20
 MIN_IMAGE_AREA_RATIO = 0.20
 MAX_FILE_BYTES = 25 * 1024 * 1024

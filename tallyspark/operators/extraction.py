@@ -115,7 +115,7 @@ def segments_of(documents: DataFrame) -> DataFrame:
     return documents.select(*kept, F.inline(with_ends))
 
 
-def read_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def read_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Documents with their joined text, layout, provider, and document-wide payer."""
     documents = documents_of(pages, max_pages)
     text = F.col("text")
@@ -243,7 +243,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
             ADMISSION: _continued_diagnosis(),
             INPATIENT: strip(first_text(segment, fixed.INPATIENT_DIAGNOSIS, 1, "im")),
             DIALYSIS: F.concat(
-                F.lit("Dialysis — "), F.col("_group3").cast("decimal(38,0)").cast("string"), F.lit(" treatments")
+                F.lit("Dialysis — "), F.col("_group3").try_cast("decimal(38,0)").cast("string"), F.lit(" treatments")
             ),
             PHARMACY: F.when(segment.contains(fixed.PHARMACY_REPORT), fixed.PHARMACY_REPORT).otherwise(
                 fixed.PHARMACY_RECORD
@@ -333,20 +333,15 @@ def settle_claim_payers(records: Column) -> Column:
     return let(records, settled)
 
 
-def extract_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def extract_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """``doc_id, layout, records, flagged`` for every document that yields records.
 
     Documents without a known layout, without a readable row, or longer than the limit yield nothing here;
     they are what ``unextracted_documents`` lists.
     """
-    rows = _segment_records(segments_of(read_documents(pages, max_pages)))
-    numbered = F.struct("seg", F.struct(*RECORD_FIELDS).cast(RECORD).alias("record"))
-    gathered = rows.groupBy("doc_id").agg(
-        F.first("layout").alias("layout"), F.sort_array(F.collect_list(F.when(F.col("valid"), numbered))).alias("_rows")
-    )
-    bad_date = F.exists("_rows", lambda r: r["record"]["treatment_date"].isNull())
+    found = _gathered_records(pages, max_pages).where(F.col("_state") == _DONE)
     records = F.transform("_rows", lambda r: r["record"])
-    return gathered.where((F.size("_rows") > 0) & ~bad_date).select(
+    return found.select(
         "doc_id",
         "layout",
         let(records, lambda r: F.when(F.col("layout") == CLAIM, settle_claim_payers(r)).otherwise(r)).alias("records"),
@@ -354,7 +349,22 @@ def extract_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> Dat
     )
 
 
-def extract_records(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+_DONE = "done"
+
+
+def _gathered_records(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    """Records of every document that has segments, and whether they are usable."""
+    rows = _segment_records(segments_of(read_documents(pages, max_pages)))
+    numbered = F.struct("seg", F.struct(*RECORD_FIELDS).cast(RECORD).alias("record"))
+    gathered = rows.groupBy("doc_id").agg(
+        F.first("layout").alias("layout"), F.sort_array(F.collect_list(F.when(F.col("valid"), numbered))).alias("_rows")
+    )
+    bad_date = F.exists("_rows", lambda r: r["record"]["treatment_date"].isNull())
+    state = F.when(F.size("_rows") == 0, "no_readable_rows").when(bad_date, "bad_date").otherwise(_DONE)
+    return gathered.withColumn("_state", state)
+
+
+def extract_records(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """One row per billing record, numbered from zero within its document."""
     # every document here has records; the outer form keeps the planner from testing their number beforehand
     return extract_documents(pages, max_pages).select(
@@ -362,14 +372,14 @@ def extract_records(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataF
     ).select("doc_id", "layout", "idx", "_r.*")
 
 
-def unextracted_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def unextracted_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Documents that need another way of extraction, and why."""
     documents = read_documents(pages, max_pages).select("doc_id", "layout", F.col("text").isNull().alias("_long"))
-    done = extract_documents(pages, max_pages).select("doc_id")
+    states = _gathered_records(pages, max_pages).select("doc_id", "_state")
     reason = (
         F.when(F.col("_long"), "too_long")
         .when(F.col("layout").isNull(), "unknown_layout")
-        .otherwise("no_readable_rows")
+        .otherwise(F.coalesce("_state", F.lit("no_readable_rows")))
     )
-    return documents.join(done, "doc_id", "left_anti").select("doc_id", "layout", reason.alias("reason"))
-
+    found = documents.join(states, "doc_id", "left").select("doc_id", "layout", reason.alias("reason"))
+    return found.where(F.col("reason") != _DONE)

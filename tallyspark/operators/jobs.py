@@ -289,7 +289,7 @@ def reuse_while_processing(jobs: DataFrame) -> DataFrame:
 def claim_oldest(jobs: DataFrame, workers: int, now: Column) -> DataFrame:
     """Start the ``workers`` oldest pending jobs; the others stay as they are.
 
-    The claimed ids are a top-k of bounded size (one per free worker), so the join broadcasts them.
+    The claimed ids are a top-k, one per free worker; the planner knows its size and picks the join.
     """
     queue = jobs.where(F.col("status") == fixed.PENDING).select("id", "created_at")
     claimed = queue.orderBy("created_at", "id").limit(workers).select("id", F.lit(True).alias("_claimed"))
@@ -301,19 +301,22 @@ def claim_oldest(jobs: DataFrame, workers: int, now: Column) -> DataFrame:
         "attempts": F.col("attempts") + 1,
         "updated_at": now,
     }
-    return jobs.join(F.broadcast(claimed), "id", "left").select(
+    return jobs.join(claimed, "id", "left").select(
         *[change(c, new[c]) if c in new else F.col(c) for c in jobs.columns]
     )
 
 
 def apply_updates(jobs: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """Guarded status writes, at most one per job id.
+    """Guarded status writes.
 
     ``updates(id, new_status, expected_status, expected_attempts[, result, error, token_usage, cost_usd,
-    processing_duration_seconds])``. A null expectation is no guard; a null value leaves the column alone.
+    processing_duration_seconds, seq])``. A null expectation is no guard; a null value leaves the column alone. Of
+    several updates of one job the last by ``seq`` counts, without ``seq`` the greatest by status and guards.
     """
-    given = [c for c in updates.columns if c not in ("id",)]
-    renamed = updates.select("id", *[F.col(c).alias(f"_{c}") for c in given])
+    given = [c for c in updates.columns if c not in ("id", "seq")]
+    order = F.col("seq") if "seq" in updates.columns else F.struct("new_status", "expected_status", "expected_attempts")
+    last = updates.groupBy("id").agg(F.max_by(F.struct(*given), order).alias("_u"))
+    renamed = last.select("id", *[F.col("_u")[c].alias(f"_{c}") for c in given])
     applies = (
         F.col("_new_status").isNotNull()
         & (F.col("_expected_status").isNull() | (F.col("_expected_status") == F.col("status")))
@@ -358,7 +361,7 @@ def recover_stalled(
     """Put stalled jobs back in the queue, or fail them once their attempts are used up."""
     stalled = is_stalled(now, timeout_minutes)
     spent = stalled & (F.col("attempts") >= max_attempts)
-    message = f"Recovered after worker stall; max attempts ({max_attempts}) exhausted"
+    message = fixed.STALL_MESSAGE.format(max_attempts)
     new = {
         "status": F.when(spent, fixed.FAILED).when(stalled, fixed.PENDING).otherwise(F.col("status")),
         "error": F.when(spent, message).otherwise(F.col("error")),
@@ -376,3 +379,9 @@ def active_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataF
     """Sessions that have not expired, with their user."""
     live = sessions.where(F.col("expires_at") > now).select("token", "user_id")
     return live.join(users.select("user_id", "email", "name"), "user_id")
+
+
+def session_lookup(tokens: DataFrame, sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """The live session and its user for each asked ``token``; unknown and expired tokens give nothing."""
+    asked = tokens.select("token").distinct()
+    return active_sessions(sessions.join(asked, "token", "left_semi"), users, now)

@@ -9,20 +9,15 @@ from tallyspark.functions.page_kinds import page_kind, page_use
 from tallyspark.functions.text import let, snippet, strip
 
 
-def documents_of(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def documents_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Join the pages of each document into one text and keep where each page ends.
 
-    Pages beyond the limit are dropped before the shuffle, except the first of them, which marks the
-    document as too long. A gathered document thus never exceeds ``max_pages + 1`` pages, whatever the input
-    holds; too long documents come out with a null text: they are rejected whole.
+    No page is dropped, whatever its number. With ``max_pages`` a document of more pages is refused whole: it comes
+    out with a null text.
     """
     page = F.struct("page_num", F.coalesce("page_content", F.lit("")).alias("page_content"))
-    gathered = (
-        pages.where(F.col("page_num") <= max_pages + 1)
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(page)).alias("_pages"))
-    )
-    too_long = F.element_at(F.col("_pages.page_num"), -1) > max_pages
+    gathered = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("_pages"))
+    too_long = F.lit(False) if max_pages is None else F.size("_pages") > max_pages
     lengths = F.transform("_pages", lambda p: F.length(p["page_content"]) + 1)
     ends = F.aggregate(
         lengths,
@@ -127,18 +122,18 @@ def read_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
         "pos",
         "page_num",
         F.when(F.col("body").isNull(), "missing").when(F.col("body") == "", "blank").otherwise("text").alias("status"),
-        F.when(F.col("body").isNull(), "(out of range)")
-        .when(F.col("body") == "", "(no extractable text on this page)")
+        F.when(F.col("body").isNull(), fixed.PAGE_MISSING)
+        .when(F.col("body") == "", fixed.PAGE_BLANK)
         .otherwise(F.col("body"))
         .alias("body"),
     )
 
 
-def route_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def route_documents(pages: DataFrame, max_pages: int | None = fixed.MAX_PAGES) -> DataFrame:
     """Decide per document between text extraction, visual extraction and rejection.
 
     Expects ``n_images`` and ``image_area_ratio`` per page. Counts and flags are combined before the shuffle.
-    The listed pages stop at the page limit, beyond which a document is rejected and lists none.
+    Pages are counted, whatever their numbers; a document of more than ``max_pages`` is rejected and lists none.
     """
     text = strip(F.coalesce("page_content", F.lit("")))
     has_images = F.coalesce(F.col("n_images") > 0, F.lit(False))
@@ -149,17 +144,16 @@ def route_documents(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataF
     marked = pages.select(
         "doc_id", "page_num", visual.alias("visual"), (text != "").alias("filled")
     )
-    listable = F.col("page_num") <= max_pages
     per_document = marked.groupBy("doc_id").agg(
         F.count("page_num").alias("n_pages"),
         F.count_if("filled").alias("n_filled"),
-        F.sort_array(F.collect_list(F.when(listable & F.col("visual"), F.col("page_num")))).alias("_visual"),
-        F.sort_array(F.collect_list(F.when(listable, F.col("page_num")))).alias("_all"),
+        F.sort_array(F.collect_list(F.when(F.col("visual"), F.col("page_num")))).alias("_visual"),
+        F.sort_array(F.collect_list("page_num")).alias("_all"),
     )
     none = F.array().cast("array<int>")
     route = (
         F.when(F.col("n_pages") == 0, "reject_empty")
-        .when(F.col("n_pages") > max_pages, "reject_too_long")
+        .when(F.lit(False) if max_pages is None else F.col("n_pages") > max_pages, "reject_too_long")
         .when((F.col("n_filled") == 0) | (F.size("_visual") > 0), "visual")
         .otherwise("text")
     )

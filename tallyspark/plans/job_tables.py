@@ -470,6 +470,26 @@ WHERE ts + INTERVAL 8 HOUR > TIMESTAMP '2024-01-20 00:00:00'""",
 )
 def active_sessions(spark, folder):
     """Sessions opened by events, eight hours each, that are still alive."""
+    found = ops.active_sessions(*_sessions(spark, folder))
+    return found.select("token", "user_id", "email", "name")
+
+
+@query(
+    "session_lookup",
+    """SELECT 'token-' || event_id AS token, user_id, 'user' || user_id || '@example.org' AS email, c_name AS name
+FROM events JOIN customer ON user_id = c_custkey JOIN (SELECT DISTINCT o_orderkey AS asked FROM orders) ON asked = event_id
+WHERE ts + INTERVAL 8 HOUR > TIMESTAMP '2024-01-20 00:00:00'""",
+)
+def session_lookup(spark, folder):
+    """Tokens asked for by number, one for every order: some live, some expired, some never given out."""
+    tokens = warehouse.table(spark, folder, "orders").select(
+        F.concat(F.lit("token-"), F.col("o_orderkey").cast("string")).alias("token")
+    )
+    found = ops.session_lookup(tokens, *_sessions(spark, folder))
+    return found.select("token", "user_id", "email", "name")
+
+
+def _sessions(spark, folder):
     sessions = warehouse.table(spark, folder, "events").select(
         F.concat(F.lit("token-"), F.col("event_id").cast("string")).alias("token"),
         "user_id",
@@ -480,5 +500,4 @@ def active_sessions(spark, folder):
         F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.org")).alias("email"),
         F.col("c_name").alias("name"),
     )
-    found = ops.active_sessions(sessions, users, F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return found.select("token", "user_id", "email", "name")
+    return sessions, users, F.lit("2024-01-20 00:00:00").cast("timestamp")

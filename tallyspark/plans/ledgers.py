@@ -34,25 +34,25 @@ def _sql(layout, invoice="NULL", date="d1 || ' - ' || d2", codes="''", descripti
 # The payer named most often in a document (at least twice and by a quarter of the claims, the first seen on a
 # tie) replaces the other payer that shares words with it.
 _CLAIM_PAYERS = ORDER_TOTALS + """, named AS (
-  SELECT *, CASE part % 5 WHEN 0 THEN 'Blue River Health' WHEN 1 THEN 'Blue River Plan' WHEN 2 THEN 'Granite Mutual'
+  SELECT *, CASE part % 5 WHEN 0 THEN 'Quartz Meadow Health' WHEN 1 THEN 'Quartz Meadow Plan' WHEN 2 THEN 'Granite Mutual'
     WHEN 3 THEN 'Harbor Life' ELSE 'Insurance Payment' END AS payer FROM ledger), votes AS (
   SELECT doc, payer, count(*) AS n, min(idx) AS first_idx FROM named WHERE part % 5 <> 4 GROUP BY doc, payer),
   top AS (SELECT doc, payer AS top_payer, n AS top_n FROM (
     SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first_idx) AS rn FROM votes) WHERE rn = 1),
   sizes AS (SELECT doc, count(*) AS claims FROM named GROUP BY doc), settled AS (
-  SELECT n.*, CASE WHEN top_n >= greatest(2, claims // 4) AND left(n.payer, 4) = 'Blue' AND left(top_payer, 4) = 'Blue'
+  SELECT n.*, CASE WHEN top_n >= greatest(2, claims // 4) AND left(n.payer, 6) = 'Quartz' AND left(top_payer, 6) = 'Quartz'
     THEN top_payer ELSE n.payer END AS insurer
   FROM named n JOIN sizes s ON n.doc = s.doc LEFT JOIN top t ON n.doc = t.doc)"""
 
 CLAIMS_SQL = _sql(
-    "claim", "'Claim ' || (k + 100000)", "dc", "claim_codes", provider="Smith Medical, PC", insurers="insurer"
+    "claim", "'Claim ' || (k + 100000)", "dc", "claim_codes", provider="Alder Grove Clinic, PC", insurers="insurer"
 ) + " FROM settled"
 ACCOUNTS_SQL = _sql(
-    "account", "'Account ' || k", "d1 || ' - ' || d3", "account_codes", provider="Any Imaging Associates, Inc.",
-    insurers="'North Star Coverage'",
+    "account", "'Account ' || k", "d1 || ' - ' || d3", "account_codes", provider="Pinecrest Scan Partners, Inc.",
+    insurers="'Lantern Bay Coverage'",
 ) + " FROM ledger"
 ADMISSIONS_SQL = _sql(
-    "admission", provider="General Care", insurers="'Valley Mutual Plan'",
+    "admission", provider="Harrow Lane Care", insurers="'Cedar Mutual Plan'",
     description="'Condition ' || (part % 50) || ' with acute' || CASE WHEN k % 2 = 1 THEN ' exacerbation' ELSE '' END",
 ) + " FROM ledger"
 INPATIENT_SQL = _sql(
@@ -60,8 +60,8 @@ INPATIENT_SQL = _sql(
 ) + " FROM ledger"
 DIALYSIS_SQL = _sql(
     "dialysis", "'CLM' || k", provider="Kidney Partners", description="'Dialysis — ' || n || ' treatments'",
-    insurers="""CASE WHEN part % 3 = 0 THEN '' ELSE CASE part % 4 WHEN 0 THEN 'Blue River Health'
-    WHEN 1 THEN 'Blue River Plan' WHEN 2 THEN 'Granite Mutual' ELSE 'Harbor Life' END END""",
+    insurers="""CASE WHEN part % 3 = 0 THEN '' ELSE CASE part % 4 WHEN 0 THEN 'Quartz Meadow Health'
+    WHEN 1 THEN 'Quartz Meadow Plan' WHEN 2 THEN 'Granite Mutual' ELSE 'Harbor Life' END END""",
 ) + " FROM ledger"
 
 
@@ -98,7 +98,7 @@ _PHARMACY = ORDER_TOTALS + """, fills AS (
   SELECT doc, party, count(*) AS n, min(pos) AS pos FROM fills GROUP BY doc, party), sized AS (
   SELECT doc, count(*) AS fills, strftime(min(first_ship), '%m/%d/%Y') AS d1, strftime(max(first_ship), '%m/%d/%Y') AS d2
   FROM fills GROUP BY doc), parties AS (
-  SELECT s.doc, string_agg(CASE party WHEN 0 THEN 'Local Discount' WHEN 1 THEN 'River PBM' WHEN 2 THEN 'Sun Saver Card'
+  SELECT s.doc, string_agg(CASE party WHEN 0 THEN 'Corner Discount' WHEN 1 THEN 'Delta PBM' WHEN 2 THEN 'Sun Saver Card'
     ELSE 'CAREX' END, '|' ORDER BY pos) AS names
   FROM sized s JOIN counted c ON s.doc = c.doc WHERE n >= CASE WHEN fills >= 50 THEN 3 ELSE 1 END GROUP BY s.doc),
   sums_of AS (SELECT doc, sum(total) AS total, sum(paid) AS paid, sum(open) AS open FROM ledger GROUP BY doc)"""
@@ -110,7 +110,7 @@ _PHARMACY = ORDER_TOTALS + """, fills AS (
         _PHARMACY,
         """SELECT CAST(d.doc AS VARCHAR) AS doc_id, 'pharmacy' AS layout, 0 AS idx, NULL AS invoice_number,
   d1 || ' - ' || d2 AS treatment_date, '' AS cpt_codes, 'Pharmacy Expense Report' AS description,
-  'Metro Care Pharmacy' AS provider, '' AS insurers, names AS third_parties, CAST(total AS DOUBLE) AS total_charges,
+  'Juniper Street Pharmacy' AS provider, '' AS insurers, names AS third_parties, CAST(total AS DOUBLE) AS total_charges,
   CAST(paid AS DOUBLE) AS ins_paid, CAST(0 AS DOUBLE) AS adjustment, CAST(open AS DOUBLE) AS payments,
   CAST(0 AS DOUBLE) AS balance, '1-9' AS page
 FROM sized d JOIN parties p ON d.doc = p.doc JOIN sums_of s ON d.doc = s.doc""",
@@ -170,8 +170,8 @@ def unextracted_documents(spark, folder):
         ORDER_TOTALS,
         """SELECT CAST(doc AS VARCHAR) AS doc_id, CASE doc % 7 WHEN 0 THEN 'claim' WHEN 1 THEN 'account'
   WHEN 2 THEN 'admission' WHEN 3 THEN 'inpatient' WHEN 4 THEN 'dialysis' WHEN 5 THEN 'pharmacy' END AS layout,
-  CASE doc % 7 WHEN 0 THEN 'Smith Medical, PC' WHEN 1 THEN 'Any Imaging Associates, Inc.' WHEN 2 THEN 'General Care'
-    WHEN 3 THEN 'Mercy Hospital' WHEN 4 THEN 'Kidney Partners' WHEN 5 THEN 'Metro Care Pharmacy' END AS provider
+  CASE doc % 7 WHEN 0 THEN 'Alder Grove Clinic, PC' WHEN 1 THEN 'Pinecrest Scan Partners, Inc.' WHEN 2 THEN 'Harrow Lane Care'
+    WHEN 3 THEN 'Mercy Hospital' WHEN 4 THEN 'Kidney Partners' WHEN 5 THEN 'Juniper Street Pharmacy' END AS provider
 FROM ledger GROUP BY doc""",
     ),
 )

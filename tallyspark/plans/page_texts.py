@@ -118,16 +118,19 @@ def document_routes(spark, folder):
 
 @query(
     "document_fingerprints",
-    """SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc
-FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 26214400 GROUP BY sha256(text)""",
+    """SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc,
+  CASE WHEN max(octet_length(encode(text))) > 26214400 THEN 'too_large' ELSE 'accepted' END AS state
+FROM documents WHERE octet_length(encode(text)) >= 1 GROUP BY sha256(text)""",
 )
 def document_fingerprints(spark, folder):
-    """Exact copies by the hash of their bytes: each content is to be processed once."""
+    """Exact copies by the hash of their bytes: each content is to be processed once, too large ones are marked."""
     texts = warehouse.table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     size = F.length("content")
-    fit = texts.where((size > 0) & (size <= fixed.MAX_FILE_BYTES))
-    return fit.groupBy(F.sha2("content", 256).alias("content_hash")).agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")
+    hashed = texts.where(size > 0).select("doc_id", F.sha2("content", 256).alias("content_hash"), size.alias("size"))
+    return hashed.groupBy("content_hash").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min("doc_id").alias("first_doc"),
+        F.when(F.max("size") > fixed.MAX_FILE_BYTES, "too_large").otherwise("accepted").alias("state"),
     )
 
 

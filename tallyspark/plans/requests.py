@@ -11,7 +11,7 @@ from tallyspark.plans.registry import query, stamp
 from tallyspark.session import new_folder
 from tallyspark.sources import warehouse
 from tallyspark.streaming.admission import StreamAdmission
-from tallyspark.streaming.jobs import first_submissions, live_summary, stall_sweep
+from tallyspark.streaming.jobs import first_submissions, live_summary, newest_states, stall_sweep
 
 DAY = 86_400
 
@@ -80,8 +80,13 @@ def admission_totals(spark, folder):
 # ---------------------------------------------------------------- streams
 
 def _stream(spark: SparkSession, folder: str, name: str):
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream, whether it is one file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    stream = spark.readStream.schema(rows.schema)
+    if any(file.endswith(f"/{name}.parquet") for file in rows.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 @query("stream_admission", _chain("CAST(user_id AS VARCHAR)", "2"))
@@ -136,7 +141,16 @@ def _drain(frame, spark, mode: str, label: str):
     ),
 )
 def stream_live_summary(spark, folder):
-    return _drain(live_summary(_job_events(spark, folder)), spark, "complete", "summary")
+    """Three events for most jobs: only the newest state of each counts."""
+    events = _job_events(spark, folder)
+    hours = lambda n: F.col("at") + F.expr(f"interval {n} hours")
+    steps = F.array(
+        F.struct(F.lit("pending").alias("status"), F.col("at")),
+        F.struct(F.lit("processing").alias("status"), hours(1).alias("at")),
+        F.struct("status", hours(2).alias("at")),
+    )
+    events = events.withColumn("step", F.explode(steps)).select("job_id", "owner_id", "step.status", "step.at")
+    return live_summary(_drain(newest_states(events), spark, "complete", "summary"))
 
 
 @query(
@@ -162,12 +176,17 @@ def stream_first_submissions(spark, folder):
 def stream_stall_sweep(spark, folder):
     """The job table after a timer-driven recovery of stalled jobs."""
     target = new_folder(spark, "sweep")
-    sweep = stall_sweep(
-        lambda: warehouse.job_rows(spark, folder),
-        lambda jobs, batch: jobs.write.mode("overwrite").parquet(f"{target}/batch={batch}"),
-        F.lit(NOW).cast("timestamp"), 60, 2,
-    )
+    versions = []  # each tick reads the table that the last one wrote
+
+    def current():
+        return spark.read.parquet(versions[-1]) if versions else warehouse.job_rows(spark, folder)
+
+    def replace(jobs, batch):
+        jobs.write.mode("overwrite").parquet(f"{target}/{batch}")
+        versions.append(f"{target}/{batch}")
+
+    sweep = stall_sweep(current, replace, F.lit(NOW).cast("timestamp"), 60, 2)
     ticks = _stream(spark, folder, "orders").select("o_orderkey").where(F.lit(True))
     stream = ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{target}-progress")
     stream.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).select("id", "status", stamp("updated_at"))
+    return current().select("id", "status", stamp("updated_at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark import fixed
@@ -29,13 +30,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary_documents(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files under ``root`` at any depth. Spark lists no files of zero bytes, so empty ones never get in."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
+    """Files under ``root`` at any depth; a root that is not there has none.
+
+    Spark lists no files of zero bytes, so empty ones never get in.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    try:
+        return reader.load(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
 
 
 def admission_state(content: Column, length: Column, max_bytes: int = fixed.MAX_FILE_BYTES) -> Column:

@@ -13,8 +13,8 @@ from tallyspark.schema import FLAG, MONEY_COLUMNS, RECORD, RESULT
 
 SLOTS = 8
 ORDERS_PER_DOCUMENT = 8
-PAYER_NAMES = ["Blue River Health", "Blue River Plan", "Granite Mutual", "Harbor Life", fixed.UNNAMED_PAYER]
-PARTY_NAMES = ["Local Discount", "River PBM", "Sun Saver Card", "CAREX"]
+PAYER_NAMES = ["Quartz Meadow Health", "Quartz Meadow Plan", "Granite Mutual", "Harbor Life", fixed.UNNAMED_PAYER]
+PARTY_NAMES = ["Corner Discount", "Delta PBM", "Sun Saver Card", "CAREX"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -341,8 +341,8 @@ def _claim_block() -> tuple[Column, Column]:
     tail = F.when(unnamed, "\nPayment").otherwise("")
     opening = F.when(F.col("k") % 2 == 0, _text("** CLAIM ", number, " **")).otherwise(_text("Claim ID ", number))
     charge = lambda s: _text(
-        "Office visit / ", shown, "\n", number, " 9", F.lpad((s["part"] % 10000).cast("string"), 4, "0"), " ",
-        _us(s["first_ship"]), " CHARGE JONES AMY ", _money(s["amount"]), tail, "\nPAYMENT ACH ****1234 $-1.00",
+        "Therapy hour / ", shown, "\n", number, " 9", F.lpad((s["part"] % 10000).cast("string"), 4, "0"), " ",
+        _us(s["first_ship"]), " CHARGE OKORO LENA ", _money(s["amount"]), tail, "\nPAYMENT ACH ****1234 $-1.00",
     )
     body = _text(opening, "\n", F.array_join(F.transform("lines", charge), "\n"))
     return body, _text("CLAIM TOTAL: ", _amounts())
@@ -399,8 +399,8 @@ def _dialysis_block() -> tuple[Column, Column]:
 def _pharmacy_block() -> tuple[Column, Column]:
     fill = lambda s: _text(
         _us(s["first_ship"]), " ", (F.col("k") % 9000000 + 1000000).cast("string"),
-        " Amoxicillin 500mg 00093-0815-01 SAUNDERS APRIL 14 90 ", _money(s["amount"]), " ",
-        _pick(PARTY_NAMES, s["part"] % len(PARTY_NAMES)), " (BIN 123456)",
+        " Loratadine 10mg 51079-0246-20 WEBER NADIA 14 90 ", _money(s["amount"]), " ",
+        _pick(PARTY_NAMES, s["part"] % len(PARTY_NAMES)), " (BIN 730418)",
     )
     lines = F.transform("lines", fill)
     all_but_last = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
@@ -414,13 +414,13 @@ _BLOCKS = {
     "inpatient": _inpatient_block, "dialysis": _dialysis_block, "pharmacy": _pharmacy_block,
 }
 _HEADINGS = {
-    "claim": "Page one\nRECORDS CUSTODIAN:\nSMITH MEDICAL, PC (Billing Records)",
-    "account": "Any Imaging Associates, Inc. Patient Billing Statement\nPatient Name Date of Birth Insurance\n"
-    "Diane Taylor 07/27/1966 North Star Coverage",
-    "admission": "General Care Patient Account Statement\nInsurance: Valley Mutual Plan",
+    "claim": "Page one\nRECORDS CUSTODIAN:\nALDER GROVE CLINIC, PC (Billing Records)",
+    "account": "Pinecrest Scan Partners, Inc. Patient Billing Statement\nPatient Name Date of Birth Insurance\n"
+    "Ruth Okafor 03/14/1971 Lantern Bay Coverage",
+    "admission": "Harrow Lane Care Patient Account Statement\nInsurance: Cedar Mutual Plan",
     "inpatient": "MERCY HOSPITAL\nPayer: Harbor Life (HL 22)",
     "dialysis": "Kidney Partners Patient Billing Statement",
-    "pharmacy": "Metro Care Pharmacy Pharmacy Expense Report\n"
+    "pharmacy": "Juniper Street Pharmacy Pharmacy Expense Report\n"
     "Date Rx # Drug NDC Prescriber Qty Days Charge 3rd Party",
     "prose": "Some unrelated page of prose.",
 }

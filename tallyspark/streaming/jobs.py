@@ -10,9 +10,15 @@ from tallyspark.operators.jobs import recover_stalled
 JOB_EVENT = "job_id string, owner_id string, content_hash string, status string, at timestamp"
 
 
-def live_summary(events: DataFrame) -> DataFrame:
-    """Running count of state changes per owner and status, for complete output mode."""
-    return events.groupBy("owner_id").agg(
+def newest_states(events: DataFrame) -> DataFrame:
+    """``(job_id, owner_id, status)``: the newest event of each job, for complete output mode; state is a row a job."""
+    newest = events.groupBy("job_id").agg(F.max_by(F.struct("owner_id", "status"), F.struct("at", "status")).alias("s"))
+    return newest.select("job_id", "s.owner_id", "s.status")
+
+
+def live_summary(states: DataFrame) -> DataFrame:
+    """Jobs per owner and status, from the newest state of every job."""
+    return states.groupBy("owner_id").agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(F.col("status") == s).alias(s) for s in fixed.STATUSES],
         F.count_if(F.col("status").isin(fixed.LIVE_STATUSES)).alias("live"),

@@ -10,7 +10,7 @@ from tallyspark.operators.cost import token_usage, with_cost
 from tallyspark.sources.files import read_predictions, read_truth, write_report
 
 TRUTH = dict(
-    treatmentDate="01/01/2024", cptCodes=["99213", "36415"], description="Office visit", provider="Alpha", insurers=["B", "A"],
+    treatmentDate="01/01/2024", cptCodes=["90832", "36415"], description="Therapy hour", provider="Alpha", insurers=["B", "A"],
     thirdParties=[], totalCharges=100.0, insPaid=60.0, adjustment=None, payments=2.675, balance=0.125, page="1",
 )
 NAMES = dict(
@@ -41,7 +41,7 @@ def score(spark, folder, truth, predictions):
         ([prediction()], (12, 12)),
         ([prediction(provider="Beta")], (11, 12)),
         (
-            [prediction(provider="  Alpha ", description="Office\n visit", insurers=["A", "B"], cpt_codes=["36415", "99213"],
+            [prediction(provider="  Alpha ", description="Office\n visit", insurers=["A", "B"], cpt_codes=["36415", "90832"],
                         total_charges=100.001, payments=2.68, balance=0.13)],
             (12, 12),
         ),

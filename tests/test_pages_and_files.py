@@ -15,10 +15,10 @@ from tallyspark.sources import files
 @pytest.mark.parametrize(
     "text, kind",
     [
-        ("FAKITAS RECORDS PERTAINING TO: Jane Doe", "cover"),
+        ("COPY OF RECORDS PERTAINING TO: M. Arnt", "cover"),
         ("Certification of Records\nPlease complete", "certification"),
         ("Test Name Value Reference Range", "lab_report"),
-        ("Billing Summary\nClaim ID 731262\nClaim Total: $493.20", "billing_ledger"),
+        ("Billing Summary\nClaim ID 88\nClaim Total: $12.00", "billing_ledger"),
         ("PHARMACY\nRX # FILL DATE PRESCRIBER DRUG NAME NDC QTY CHARGE 3RD PARTY", "pharmacy_ledger"),
         ("Prescriber: X\nNPI: 1\nDiagnosis: J06.9", "prescription"),
         ("  \n ", "empty"),

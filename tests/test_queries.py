@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyspark.plans import QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = entry_points.SMOKE_FOLDER
@@ -24,7 +25,7 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     frame = entry_points.queries()[name](spark, FOLDER)
     assert compare(frame, database, entry_points.oracle_sql()[name]) is None

@@ -15,8 +15,8 @@ from tallyspark.operators.report import (
 from tallyspark.schema import JOBS, RECORD_FIELDS
 
 BASE = dict(
-    invoice_number="INV-100", treatment_date="01/01/2026", cpt_codes=["99213"], description="Office visit",
-    provider="Alpha Clinic", insurers=["Example Health"], third_parties=[], total_charges=Decimal(100),
+    invoice_number="BILL-7", treatment_date="01/01/2026", cpt_codes=["90832"], description="Therapy hour",
+    provider="Aster Clinic", insurers=["Ember Health"], third_parties=[], total_charges=Decimal(100),
     ins_paid=Decimal(60), adjustment=Decimal(20), payments=Decimal(5), balance=Decimal(15), page="1",
 )
 
@@ -26,7 +26,7 @@ def record(**changes):
     return tuple(row[f] for f in RECORD_FIELDS)
 
 
-def flag(row=0, reason="Balance unclear"):
+def flag(row=0, reason="Total looks off"):
     return (row, ["balance"], reason, "1", "medium")
 
 
@@ -76,7 +76,7 @@ def table(spark):
             ],
             [flag(1)],
         ),
-        job("b", [record(treatment_date="2026-06-03", cpt_codes=["A1234", "99213,25"])]),
+        job("b", [record(treatment_date="2026-06-03", cpt_codes=["A1234", "90832,25"])]),
     ).cache()
 
 
@@ -86,7 +86,7 @@ def table(spark):
         (dict(), ["a:0", "a:1", "a:2", "b:0"]),
         (dict(query="  BETA "), ["a:1"]),
         (dict(query="invoice not found"), ["a:1", "a:2"]),
-        (dict(query="a1234 99213,25"), ["b:0"]),
+        (dict(query="a1234 90832,25"), ["b:0"]),
         (dict(query="100%"), []),
         (dict(provider="Beta Lab"), ["a:1"]),
         (dict(invoice="__missing_invoice__"), ["a:1", "a:2"]),
@@ -125,10 +125,10 @@ def test_facets_are_distinct_and_ordered(spark):
 
 
 def test_invoice_groups_in_first_seen_order(spark):
-    names = ["INV-200", "INV-100", "INV-200", None, "   "]
+    names = ["INV-200", "BILL-7", "INV-200", None, "   "]
     found = invoice_groups(rows(spark, job("a", [record(invoice_number=n) for n in names]))).orderBy("group_no").collect()
     assert [(r["label"], r["record_idx"]) for r in found] == [
-        ("Invoice INV-200", [0, 2]), ("Invoice INV-100", [1]), ("Invoice not found", [3, 4]),
+        ("Invoice INV-200", [0, 2]), ("Invoice BILL-7", [1]), ("Invoice not found", [3, 4]),
     ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import bpe, decontamination, langid, quality, similar
 from tallyspark.llm.base import table
@@ -37,13 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, as little-endian 32-bit integers, with digests of the ids and the text."""
     tune(spark)
-    return bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER).select(
-        "doc_id",
-        "ids",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(docs, TOKENIZER)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ from tallyspark.llm.base import slices, utf8
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-KNOWN_WORDS = 350_000  # words a task remembers, in each of two generations; more would only save time
+KNOWN_WORDS = 300_000  # words a task remembers, in each of two generations; more would only save time
 KNOWN_LENGTH = 48
 CHUNK = 200_000  # words split off at once
 LONG_TEXT = 1_000_000
@@ -168,9 +168,23 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: documents encoded, then decoded from their ids."""
-    return decode(encode(docs, path), path).select(
+    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)``: documents encoded, then decoded from their ids.
+
+    Both steps are one pass, so a core holds one set of tables. Rows are treated as in ``encode``.
+    """
+
+    def run(batches):
+        of = tables(path)
+        for batch in slices(batches):
+            ids = [of.encode(t.decode("utf-8", errors="replace")) for t in batch.column(1).to_pylist()]
+            texts = [of.decode(i) for i in ids]
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, text binary").select(
         "doc_id",
+        "ids",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),

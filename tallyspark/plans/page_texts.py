@@ -14,7 +14,7 @@ from tallyspark.sources import files, warehouse
 
 PAGES = r"""pages_of AS (
   SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn + 1 AS INTEGER) AS page_num, conv_id, turn, role,
-    CASE WHEN role = 'system' THEN ' ' || chr(10) ELSE text END AS page_content FROM conversations),
+    text AS page_content FROM conversations),
   texts AS (SELECT *, trim(regexp_replace(page_content, '\s+', ' ', 'g')) AS squeezed FROM pages_of)"""
 
 

@@ -269,7 +269,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns as pages; system turns stand for scanned pages without text."""
+    """Conversation turns as pages, every text whole."""
     width = F.lit(60.0) * (F.col("conv_id") % 10)
     image = F.struct(
         F.lit(0.0).alias("x0"), width.alias("x1"), F.lit(100.0).alias("top"), F.lit(500.0).alias("bottom")
@@ -277,7 +277,7 @@ def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select(
         F.col("conv_id").cast("string").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page_num"),
-        F.when(F.col("role") == "system", " \n").otherwise(F.col("text")).alias("page_content"),
+        F.col("text").alias("page_content"),
         F.when(F.col("turn") % 3 == 0, F.array(image)).otherwise(F.array()).alias("images"),
         F.lit(600.0).alias("width"),
         F.lit(800.0).alias("height"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.money import guarded_number
+from tallyspark.operators.paging import Places
 from tallyspark.schema import MONEY_COLUMNS, RESULT
 
 NEWEST = ("created_at", "id")
@@ -146,9 +147,9 @@ def list_jobs(
         if created_at is not None:
             cursor = F.struct(F.lit(created_at).cast("timestamp"), F.lit(job_id))
             rows, offset = rows.where(F.struct(*NEWEST) < cursor), 0
-    rows = newest_first(rows)
     if offset:
-        rows = rows.offset(offset)
+        return Places(rows, dict.fromkeys(NEWEST, True)).from_place(rows, offset, limit)
+    rows = newest_first(rows)
     return rows if limit is None else rows.limit(limit)
 
 

@@ -14,6 +14,7 @@ from tallyspark.functions.invoices import (
 )
 from tallyspark.functions.money import has_money, totals_or_null, totals_or_zero
 from tallyspark.functions.text import file_name
+from tallyspark.operators.paging import Places
 from tallyspark.schema import MONEY_COLUMNS
 
 
@@ -180,16 +181,14 @@ def job_totals(rows: DataFrame) -> DataFrame:
 
 def report_page(rows: DataFrame, page: int, page_rows: int = fixed.REPORT_PAGE_ROWS) -> DataFrame:
     """One page of the report in job and record order, the page number kept within what exists."""
-    found = rows.count()
-    pages = max(1, -(-found // page_rows))
+    places = Places(rows, {"job_id": False, "idx": False})
+    pages = max(1, -(-places.total // page_rows))
     page = min(max(1, page), pages)
-    return (
-        rows.orderBy("job_id", "idx")
-        .offset((page - 1) * page_rows)
-        .limit(page_rows)
-        .withColumn("page_no", F.lit(page))
-        .withColumn("page_count", F.lit(pages))
-    )
+    first = (page - 1) * page_rows
+    shown = places.from_place(rows, first, page_rows)
+    # a page's rows are few, so numbering them needs no partitions
+    number = F.row_number().over(Window.orderBy("job_id", "idx")) + first
+    return shown.withColumns({"row_no": number, "page_no": F.lit(page), "page_count": F.lit(pages)})
 
 
 def job_cards(jobs: DataFrame) -> DataFrame:

@@ -139,22 +139,37 @@ def invoice_groups(spark, folder):
     )
 
 
-@query(
-    "report_page",
-    with_tables(
-        REPORT + """, pager AS (SELECT greatest(1, CAST(ceil(count(*) / 50.0) AS INTEGER)) AS page_count FROM report)""",
+def _page_sql(page: str) -> str:
+    """SQL of one page of the report, ``page`` being what asks for it; the rank shows the order."""
+    return with_tables(
+        REPORT
+        + f""", pager AS (SELECT greatest(1, CAST(ceil(count(*) / 50.0) AS INTEGER)) AS page_count FROM report),
+  placed AS (SELECT *, CAST(row_number() OVER (ORDER BY job_id, idx) AS INTEGER) AS row_no FROM report),
+  asked AS (SELECT page_count, {page} AS page_no FROM pager)""",
         """
 SELECT job_id, CAST(idx AS INTEGER) AS idx, provider, CAST(total_charges AS DOUBLE) AS total_charges,
-  least(3, page_count) AS page_no, page_count
-FROM report, pager ORDER BY job_id, idx
-LIMIT 50 OFFSET (SELECT (least(3, page_count) - 1) * 50 FROM pager)""",
-    ),
-)
+  row_no, page_no, page_count
+FROM placed, asked WHERE row_no > (page_no - 1) * 50 AND row_no <= page_no * 50""",
+    )
+
+
+def _page(spark, folder, page: int):
+    rows = report_rows(spark, folder).select("job_id", "idx", "provider", "total_charges")
+    return ops.report_page(rows, page).select(
+        "job_id", "idx", "provider", *as_double("total_charges"), "row_no", "page_no", "page_count"
+    )
+
+
+@query("report_page", _page_sql("least(3, page_count)"))
 def report_page(spark, folder):
     """The third page of the report, fifty rows each."""
-    rows = report_rows(spark, folder).select("job_id", "idx", "provider", "total_charges")
-    page = ops.report_page(rows, 3)
-    return page.select("job_id", "idx", "provider", *as_double("total_charges"), "page_no", "page_count")
+    return _page(spark, folder, 3)
+
+
+@query("report_last_page", _page_sql("page_count"))
+def report_last_page(spark, folder):
+    """The last page of the report, asked for by a number beyond it."""
+    return _page(spark, folder, 1_000_000_000)
 
 
 CARDS = RECORDS + ", " + JOBS + """, counted AS (

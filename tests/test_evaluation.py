@@ -41,7 +41,7 @@ def score(spark, folder, truth, predictions):
         ([prediction()], (12, 12)),
         ([prediction(provider="Beta")], (11, 12)),
         (
-            [prediction(provider="  Alpha ", description="Office\n visit", insurers=["A", "B"], cpt_codes=["36415", "90832"],
+            [prediction(provider="  Alpha ", description="Therapy\n hour", insurers=["A", "B"], cpt_codes=["36415", "90832"],
                         total_charges=100.001, payments=2.68, balance=0.13)],
             (12, 12),
         ),

@@ -36,40 +36,49 @@ def _field_kinds(df: DataFrame) -> dict[str, DataType]:
     return {f.name: f.dataType for f in df.schema["records"].dataType.elementType.fields}
 
 
-def _comparable_rows(df: DataFrame, names: list[str], side: str) -> DataFrame:
+def _comparable_records(df: DataFrame, names: list[str], side: str) -> DataFrame:
+    """``doc_id``, the number of records and the records as arrays of comparable texts, one struct per record."""
     kinds = _field_kinds(df)
-    record = F.col("_r")
-    values = [
-        (comparable(record[name], kinds[name]) if name in kinds else F.lit(None).cast("string")).alias(f"{side}{i}")
-        for i, name in enumerate(names)
-    ]
-    rows = df.select("doc_id", F.posexplode_outer("records").alias("pos", "_r")).where(F.col("pos").isNotNull())
-    return rows.select(
-        "doc_id", "pos", record.isNotNull().alias(f"{side}_here"), *values
-    )
+
+    def texts(record):
+        return F.struct(*[
+            (comparable(record[name], kinds[name]) if name in kinds else F.lit(None).cast("string")).alias(f"f{i}")
+            for i, name in enumerate(names)
+        ])
+
+    records = F.coalesce(F.col("records"), F.array())
+    return df.select("doc_id", F.size(records).alias(f"{side}_n"), F.transform(records, texts).alias(side))
+
+
+def paired_records(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Per ground-truth document ``doc_id, t_n, p_n, pairs``: record counts and one struct of flags per position.
+
+    Both sides are reduced to comparable text before the one join on the document; records pair up inside the
+    row, and one on a single side misses every field. ``p_n`` is null where there is no prediction.
+    """
+    left = _comparable_records(truth, [t for t, _ in fixed.SCORED_FIELDS], "t")
+    right = _comparable_records(predictions, [p for _, p in fixed.SCORED_FIELDS], "p")
+
+    def flags(t, p):
+        both = t.isNotNull() & p.isNotNull()
+        return F.struct(*[
+            (both & t[f"f{i}"].eqNullSafe(p[f"f{i}"])).alias(name) for i, (name, _) in enumerate(fixed.SCORED_FIELDS)
+        ])
+
+    joined = left.join(right, "doc_id", "left")
+    # without a prediction the other side is as empty as an array can be
+    found = F.coalesce(F.col("p"), F.slice("t", 1, 0))
+    return joined.select("doc_id", "t_n", "p_n", F.zip_with("t", found, flags).alias("pairs"))
 
 
 def field_matches(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row per compared record: ``doc_id, pos`` and one flag per scored field.
 
-    Records pair up by position; a record on one side only misses every field. Documents without ground truth
-    are left out, and both sides are reduced to comparable text before they are shuffled.
+    Documents without ground truth are left out. The rows stay where the join put their document, so grouping
+    them by document needs no further shuffle.
     """
-    left = _comparable_rows(truth, [t for t, _ in fixed.SCORED_FIELDS], "t")
-    known = truth.select("doc_id")
-    right = _comparable_rows(
-        predictions.join(known, "doc_id", "left_semi"), [p for _, p in fixed.SCORED_FIELDS], "p"
-    )
-    paired = left.join(right, ["doc_id", "pos"], "full")
-    both = F.col("t_here").isNotNull() & F.col("p_here").isNotNull()
-    return paired.select(
-        "doc_id",
-        "pos",
-        *[
-            (both & F.col(f"t{i}").eqNullSafe(F.col(f"p{i}"))).alias(name)
-            for i, (name, _) in enumerate(fixed.SCORED_FIELDS)
-        ],
-    )
+    paired = paired_records(truth, predictions).select("doc_id", F.posexplode("pairs").alias("pos", "_pair"))
+    return paired.select("doc_id", "pos", "_pair.*")
 
 
 def _ratio(matched: Column, total: Column) -> Column:
@@ -110,26 +119,18 @@ def accuracy(matches: DataFrame) -> DataFrame:
 
 def document_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Per ground-truth document: status, record counts, field accuracy."""
-    scored = field_matches(truth, predictions)
     names = [name for name, _ in fixed.SCORED_FIELDS]
-    hits = sum((F.col(n).cast("int") for n in names[1:]), F.col(names[0]).cast("int"))
-    per_document = scored.groupBy("doc_id").agg(
-        F.sum(hits).alias("matched"), (F.count(F.lit(1)) * len(names)).alias("total")
+    zero = F.lit(0).cast("bigint")
+    matched = F.aggregate("pairs", zero, lambda n, pair: n + sum((pair[f].cast("int") for f in names), zero))
+    counted = paired_records(truth, predictions).select(
+        "doc_id", "t_n", "p_n", matched.alias("matched"), (F.size("pairs") * len(names)).alias("total")
     )
-    size = lambda name: F.coalesce(F.size("records"), F.lit(0)).alias(name)
-    expected = truth.select("doc_id", size("records_expected"))
-    predicted = predictions.select("doc_id", size("records_predicted"), F.lit(True).alias("_there"))
-    matched, total = F.coalesce("matched", F.lit(0)), F.coalesce("total", F.lit(0))
-    return (
-        expected.join(predicted, "doc_id", "left")
-        .join(per_document, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.when(F.col("_there"), "scored").otherwise("missing_prediction").alias("status"),
-            "records_expected",
-            F.coalesce("records_predicted", F.lit(0)).alias("records_predicted"),
-            _ratio(matched, total).alias("field_accuracy"),
-        )
+    return counted.select(
+        "doc_id",
+        F.when(F.col("p_n").isNotNull(), "scored").otherwise("missing_prediction").alias("status"),
+        F.col("t_n").alias("records_expected"),
+        F.coalesce("p_n", F.lit(0)).alias("records_predicted"),
+        _ratio(F.col("matched"), F.col("total")).alias("field_accuracy"),
     )
 
 

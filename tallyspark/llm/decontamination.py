@@ -48,14 +48,21 @@ def windows(rows: DataFrame, *keep: str) -> DataFrame:
     return placed.select(*keep, "tokens", "at", F.explode(seed_hashes(F.col("tokens"), F.col("at"))).alias("hash"))
 
 
-def most_equal(tokens: Column, item_tokens: Column, item_at: Column, at: Column) -> Column:
+SLACK = OVERLAP - min(map(len, SEEDS))
+
+
+def around(tokens: Column, at: Column) -> Column:
+    """The tokens that a comparison around a hit at ``at`` can reach, null beyond the ends."""
+    return F.array(*(F.get(tokens, at + k) for k in range(-SLACK, OVERLAP)))
+
+
+def most_equal(tokens: Column, at: Column, item_around: Column) -> Column:
     """The most equal tokens of any ``OVERLAP`` aligned ones that hold the shortest seed's window at ``at``."""
-    slack = OVERLAP - min(map(len, SEEDS))
     marks = {
-        k: F.when(F.get(tokens, at + k) == F.get(item_tokens, item_at + k), 1).otherwise(0)
-        for k in range(-slack, OVERLAP)
+        k: F.when(F.get(tokens, at + k) == F.get(item_around, F.lit(k + SLACK)), 1).otherwise(0)
+        for k in range(-SLACK, OVERLAP)
     }
-    return F.greatest(*(sum((marks[k + j] for j in range(1, OVERLAP)), marks[k]) for k in range(-slack, 1)))
+    return F.greatest(*(sum((marks[k + j] for j in range(1, OVERLAP)), marks[k]) for k in range(-SLACK, 1)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows count as one document; other columns are not looked at; empty tables give no rows.
 
     The hash side is sent to all executors in blocks of a fixed number of windows, each joined with all documents,
-    so no text is shuffled and a benchmark of any size fits. A block also holds the tokens of its items.
+    so no text is shuffled and a benchmark of any size fits. With each window goes what a comparison can reach.
     """
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("all_tokens"))
@@ -93,10 +100,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in range(blocks):
         part = pieces.where(F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == block)
         sought = windows(part, "item_id").select(
-            "hash", "item_id", F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens")
+            "hash", "item_id", around(F.col("tokens"), F.col("at")).alias("item_around")
         )
         hits = seen.join(F.broadcast(sought), "hash")
-        equal = most_equal(F.col("tokens"), F.col("item_tokens"), F.col("item_at"), F.col("at"))
+        equal = most_equal(F.col("tokens"), F.col("at"), F.col("item_around"))
         found.append(hits.select("doc_id", "item_id", "at", equal.alias("equal")))
     # the comparison is filtered after grouping, or it would become part of the join's condition
     passed = F.col("equal") >= LEAST_EQUAL

@@ -17,7 +17,7 @@ WORDS = 5
 SIMILARITY = 0.8
 PARTS = 16  # parts of the shingles that have a fingerprint of their own
 PART_SIZE = 4  # shingles of a part at least, and twice that at most, unless the text is short
-DENSE_GROUP = 48  # members of a group from which on they are compared with two of them only
+DENSE_GROUP = 48  # members of a group from which on links are found by stars first, then by shared prefixes
 NO_ID = -(1 << 63)
 
 
@@ -76,11 +76,11 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, fp long, keys array<long>")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b)`` of ids that share a part key or whose whole fingerprints differ in two bits or fewer.
 
-    In a dense group, each member is paired with two of them that the group's key picks, so a group of similar
-    texts meets others of itself under each of its keys.
+    In a dense group, each member is paired with two of them that the group's key picks. That finds most links of
+    a group of copies without all its pairs; ``(key, id)`` of the dense groups is returned too, for ``missed``.
     """
     rows = signed.select("id", F.explode("keys").alias("key"))
     turned = F.col("id").bitwiseXOR(F.col("key"))
@@ -104,7 +104,56 @@ def candidates(signed: DataFrame) -> DataFrame:
     union = pairs[0]
     for more in pairs[1:]:
         union = union.unionAll(more)
-    return union.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    union = union.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return union, dense.select("key", "id")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """``(id, shingle)``: the least fifth of each shingle set and one more.
+
+    Sets of a Jaccard similarity of at least 0.8 share one of these. Of sets of x and y shingles, x at least as
+    large, they have 0.8 x or more in common, so no more than a fifth of either set is not; the least common
+    shingle therefore stands in both prefixes.
+    """
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            heads = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            heads = [h[: math.floor(len(h) * (1 - SIMILARITY) + 1e-6) + 1] for h in heads]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in heads])
+            columns = [pa.array(ids, pa.int64()), pa.array(np.concatenate(heads), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, shingle long")
+
+
+def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Pairs of members of dense groups that may be linked but are in different components so far.
+
+    A group all in one component has nothing to add. Members of the other groups are joined on the shingles of their
+    prefixes, which loses no link. Among those who share a shingle, only members outside the largest component that is
+    present look for partners, so a component of many copies is not paired with itself. None if no group is open.
+    """
+    placed = stored(
+        dense.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")),
+        "placed",
+    )
+    spans = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_keys = stored(spans.where("low <> high").select("key"), "open_keys")
+    if open_keys.isEmpty():
+        return None
+    asked = stored(placed.join(open_keys, "key").select("id", "root").distinct(), "open")
+    sizes = stored(asked.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    heads = prefixes(sets.join(asked.select("id"), "id"))
+    heads = stored(heads.join(stored(asked.join(sizes, "root"), "ranked"), "id"), "prefixes")
+    rank = F.struct("size", "root")
+    tops = heads.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low"))
+    tops = stored(tops.where("top <> low").select("shingle", "top"), "tops")
+    shared = stored(heads.join(tops, "shingle"), "shared")
+    seekers = shared.where(rank < F.col("top")).select("shingle", F.col("id").alias("a"), rank.alias("of_a"))
+    others = shared.select("shingle", F.col("id").alias("b"), rank.alias("of_b"))
+    pairs = seekers.join(others, "shingle").where("of_a < of_b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -146,7 +195,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Two documents are linked if their sets of five-word shingles (lower-cased as in ``simhash``; a text of fewer
     words is one shingle) have a Jaccard similarity of at least 0.8; a group is what links join. Candidates come
     from SimHash fingerprints of the whole set, joined on the popcount grid, and of parts of the set. Every link is
-    verified on the whole sets. Equal texts are one text from the start, by a 64-bit hash; null, empty and wordless
+    verified on the whole sets. Members of a dense group that its stars leave apart are joined exactly. Equal texts are one text from the start, by a 64-bit hash; null, empty and wordless
     texts are one group. A row without a doc_id counts as one with the least; repeated rows leave one.
     """
     link = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("link_id")
@@ -154,11 +203,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     firsts = stored(texts.groupBy("id").agg(F.min("link_id").alias("link_id")), "firsts")
     signed = stored(signatures(texts.select("id", "text")), "signatures").dropDuplicates(["id"])
     signed = stored(signed, "signatures")
-    pairs = stored(candidates(signed), "pairs")
+    pairs, dense = candidates(signed)
+    pairs = stored(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts, "id")
     shown = texts.join(stored(asked, "asked"), ["id", "link_id"], "left_semi").select("id", "text")
     sets = stored(shingle_sets(shown).dropDuplicates(["id"]), "sets")
-    roots = connected_components(verified(pairs, sets))
+    links = stored(verified(pairs, sets), "verified")
+    roots = connected_components(links)
+    more = missed(dense, roots, sets)
+    if more is not None:
+        more = stored(verified(stored(more, "more_pairs"), sets), "more_links")
+        if not more.isEmpty():
+            roots = connected_components(links.unionAll(more))
     groups = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left")
     groups = groups.select("id", "link_id", F.coalesce("root", "id").alias("root"))
     best = groups.groupBy("root").agg(F.min(F.struct("link_id", "id")).alias("best"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyspark.llm import simhash, similar
 from tallyspark.llm.components import connected_components
@@ -126,3 +127,24 @@ def test_a_large_group_of_near_copies_leaves_one(spark):
         copy[dice.randrange(300)] = f"x{dice.randrange(10**6)}"
         texts.append(" ".join(copy))
     assert [r.doc_id for r in similar.one_of_each(frame(spark, texts)).collect()] == [0]
+
+
+def test_a_dense_group_loses_no_link_that_its_stars_miss(spark):
+    # a chain of texts that share a part key: neighbours are alike, a star's centre is not like most others
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words[8 * k : 8 * k + 200]) for k in range(80)]
+    sets = [set(similar.shingle_set(t.encode()).tolist()) for t in texts]
+
+    def alike(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.col("text").cast("binary"))
+    dense = rows.select(F.lit(1).cast("long").alias("key"), "id")
+    sets_of = similar.shingle_sets(rows)
+    roots = spark.createDataFrame([(k, 0) for k in range(30)], "node long, root long")
+    pairs = similar.missed(dense, roots, sets_of)
+    found = {(r.a, r.b) for r in similar.verified(pairs, sets_of).collect()}
+    apart = lambda a, b: b >= 30 and a < b
+    assert found == {(a, b) for a in range(80) for b in range(80) if apart(a, b) and alike(a, b)}
+    assert similar.missed(dense, spark.createDataFrame([(k, 0) for k in range(80)], "node long, root long"), sets_of) is None

@@ -18,6 +18,7 @@ SIMILARITY = 0.8
 PARTS = 16  # parts of the shingles that have a fingerprint of their own
 PART_SIZE = 4  # shingles of a part at least, and twice that at most, unless the text is short
 DENSE_GROUP = 48  # members of a group from which on links are found by stars first, then by shared prefixes
+MARKS = [f"m{i}" for i in range(8)]
 NO_ID = -(1 << 63)
 
 
@@ -109,22 +110,33 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``(id, shingle)``: the least fifth of each shingle set and one more.
+    """``(id, shingle, n, place, m0, ...)``: the least fifth of each shingle set of ``n`` and one more.
 
     Sets of a Jaccard similarity of at least 0.8 share one of these. Of sets of x and y shingles, x at least as
     large, they have 0.8 x or more in common, so no more than a fifth of either set is not; the least common
-    shingle therefore stands in both prefixes.
+    shingle therefore stands in both prefixes. The marks are 512 bits that say whether an odd number of the set's
+    shingles fall to each; every shingle in one set alone changes one of them, so sets differ in as many shingles
+    as their marks differ in bits, or more.
     """
+    names = ["id", "shingle", "n", "place", *MARKS]
 
     def run(batches):
         for batch in slices(batches, 64):
-            heads = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
-            heads = [h[: math.floor(len(h) * (1 - SIMILARITY) + 1e-6) + 1] for h in heads]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in heads])
-            columns = [pa.array(ids, pa.int64()), pa.array(np.concatenate(heads), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle"])
-
-    return sets.select("id", "shingles").mapInArrow(run, "id long, shingle long")
+            full = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
+            sizes = np.array([len(s) for s in full])
+            heads = np.floor(sizes * (1 - SIMILARITY) + 1e-6).astype(np.int64) + 1
+            heads = np.minimum(heads, sizes)
+            spread = [(s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55) for s in full]
+            odd = np.array([np.bincount(s.astype(np.int64), minlength=64 * len(MARKS)) & 1 for s in spread], np.uint8)
+            marks = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+            columns = [batch.column(0).to_numpy(), sizes, *marks.T]
+            ids, sizes, *marks = (np.repeat(c, heads) for c in columns)
+            shingles = np.concatenate([s[:h] for s, h in zip(full, heads)]).view(np.int64)
+            places = np.concatenate([np.arange(h) for h in heads])
+            columns = [pa.array(c, pa.int64()) for c in (ids, shingles, sizes, places, *marks)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return sets.select("id", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -132,7 +144,8 @@ def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | N
 
     A group all in one component has nothing to add. Members of the other groups are joined on the shingles of their
     prefixes, which loses no link. Among those who share a shingle, only members outside the largest component that is
-    present look for partners, so a component of many copies is not paired with itself. None if no group is open.
+    present look for partners, so a component of many copies is not paired with itself. Pairs whose sizes, places or
+    marks rule out a similarity of 0.8 are dropped inside the join. None if no group is open.
     """
     placed = stored(
         dense.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")),
@@ -150,10 +163,17 @@ def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | N
     tops = heads.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low"))
     tops = stored(tops.where("top <> low").select("shingle", "top"), "tops")
     shared = stored(heads.join(tops, "shingle"), "shared")
-    seekers = shared.where(rank < F.col("top")).select("shingle", F.col("id").alias("a"), rank.alias("of_a"))
-    others = shared.select("shingle", F.col("id").alias("b"), rank.alias("of_b"))
-    pairs = seekers.join(others, "shingle").where("of_a < of_b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = {
+        side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", *MARKS)] + [rank.alias(f"rank_{side}")]
+        for side in "ab"
+    }
+    seekers = shared.where(rank < F.col("top")).select("shingle", *sides["a"])
+    apart = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
+    both, left = F.col("n_a") + F.col("n_b"), F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    # at 0.8, four ninths of both sizes are common and a ninth is not; the least common shingle has the rest behind it
+    may_link = (F.col("rank_a") < F.col("rank_b")) & (left * 9 >= both * 4) & (apart * 9 <= both)
+    pairs = seekers.join(shared.select("shingle", *sides["b"]), "shingle").where(may_link)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:

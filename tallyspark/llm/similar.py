@@ -1,4 +1,4 @@
-"""Whole near-duplicate documents: SimHash candidates, verified by the Jaccard similarity of their shingles."""
+"""Whole near-duplicate documents: SimHash and prefix candidates, verified by the Jaccard similarity of shingles."""
 
 from __future__ import annotations
 
@@ -17,17 +17,20 @@ WORDS = 5
 SIMILARITY = 0.8
 PARTS = 16  # parts of the shingles that have a fingerprint of their own
 PART_SIZE = 4  # shingles of a part at least, and twice that at most, unless the text is short
-DENSE_GROUP = 48  # members of a group from which on links are found by stars first, then by shared prefixes
+DENSE_GROUP = 48  # members of a group from which on links are looked for by stars only, before the prefixes
+SAMPLE = 8192  # texts, about, whose shingles tell which ones are common
+COMMON = 8  # texts of the sample that a common shingle is in at least
+MOST_COMMON = 500_000  # common shingles that are sent to the executors
 MARKS = [f"m{i}" for i in range(8)]
 NO_ID = -(1 << 63)
 
 
 def part_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys that two shingle sets of a Jaccard similarity of 0.8 or more share, but for a chance below 1 in 1000.
+    """Keys that two shingle sets of a Jaccard similarity of 0.8 or more mostly share; ``missed`` finds the others.
 
-    A hash deals the shingles out to parts of four to eight; sixteen parts are fingerprinted. Sets that share 8/9 of
-    their shingles agree on a part with a chance of 0.4 to 0.6, and there are sixteen. The number of parts
-    follows from the band of the set's size, and a set has keys for two bands, so that similar sets share one.
+    A hash deals the shingles out to parts of four to eight; sixteen parts are fingerprinted. As a rule a part agrees
+    only if no shingle of one set alone falls into it, so a few pairs in a hundred near 0.8 share no key. The number
+    of parts follows from the band of the set's size, and a set has keys for two bands, so that similar sets share one.
     """
     if not len(shingles):
         return np.empty(0, dtype=np.uint64)
@@ -77,11 +80,11 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, fp long, keys array<long>")
 
 
-def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(signed: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ids that share a part key or whose whole fingerprints differ in two bits or fewer.
 
     In a dense group, each member is paired with two of them that the group's key picks. That finds most links of
-    a group of copies without all its pairs; ``(key, id)`` of the dense groups is returned too, for ``missed``.
+    a group of copies without all its pairs.
     """
     rows = signed.select("id", F.explode("keys").alias("key"))
     turned = F.col("id").bitwiseXOR(F.col("key"))
@@ -105,50 +108,98 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     union = pairs[0]
     for more in pairs[1:]:
         union = union.unionAll(more)
-    union = union.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return union, dense.select("key", "id")
+    return union.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """``(id, shingle, n, place, m0, ...)``: the least fifth of each shingle set of ``n`` and one more.
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Hashes, in order, of the shingles that many of a sample of ``texts(id, text)`` have."""
+    share = max(1, texts.count() // SAMPLE)
+    sets = shingle_sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)).dropDuplicates(["id"])
 
-    Sets of a Jaccard similarity of at least 0.8 share one of these. Of sets of x and y shingles, x at least as
-    large, they have 0.8 x or more in common, so no more than a fifth of either set is not; the least common
-    shingle therefore stands in both prefixes. The marks are 512 bits that say whether an odd number of the set's
-    shingles fall to each; every shingle in one set alone changes one of them, so sets differ in as many shingles
-    as their marks differ in bits, or more.
+    def run(batches):
+        for batch in slices(batches, 64):
+            found = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["shingle"])
+
+    counts = sets.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON)
+    return np.sort(often.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """``(id, n, heads, wide, m0, ...)``: the first fifth of each shingle set of ``n``, and one more.
+
+    All sets are put into the same order, the ``common`` shingles last. Sets of a Jaccard similarity of at least 0.8
+    share one of the heads, whatever the order. Of sets of x and y shingles, x at least as large, they have 0.8 x or
+    more in common, so no more than a fifth of either set is not; the first common shingle therefore stands in both
+    prefixes. The marks are 512 bits that say whether an odd number of the set's shingles fall to each; every shingle
+    in one set alone changes one of them, so sets differ in as many shingles as their marks differ in bits, or more.
+    ``wide`` has such bits in a number that grows with the set, for ``not_ruled_out``.
     """
-    names = ["id", "shingle", "n", "place", *MARKS]
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def head(shingles: np.ndarray) -> np.ndarray:
+        size = min(len(shingles), int(len(shingles) * (1 - SIMILARITY) + 1e-6) + 1)
+        if len(sent.value):
+            place = np.minimum(np.searchsorted(sent.value, shingles), len(sent.value) - 1)
+            last = sent.value[place] == shingles
+            shingles = np.concatenate([shingles[~last], shingles[last]])
+        return shingles[:size].view(np.int64)
 
     def run(batches):
         for batch in slices(batches, 64):
-            full = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
-            sizes = np.array([len(s) for s in full])
-            heads = np.floor(sizes * (1 - SIMILARITY) + 1e-6).astype(np.int64) + 1
-            heads = np.minimum(heads, sizes)
+            full = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
             spread = [(s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55) for s in full]
             odd = np.array([np.bincount(s.astype(np.int64), minlength=64 * len(MARKS)) & 1 for s in spread], np.uint8)
             marks = np.packbits(odd, axis=1, bitorder="little").view("<i8")
-            columns = [batch.column(0).to_numpy(), sizes, *marks.T]
-            ids, sizes, *marks = (np.repeat(c, heads) for c in columns)
-            shingles = np.concatenate([s[:h] for s, h in zip(full, heads)]).view(np.int64)
-            places = np.concatenate([np.arange(h) for h in heads])
-            columns = [pa.array(c, pa.int64()) for c in (ids, shingles, sizes, places, *marks)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [batch.column("id"), pa.array([len(s) for s in full], pa.int64())]
+            columns += [pa.array([head(s) for s in full], pa.list_(pa.int64()))]
+            columns += [pa.array([parities(s) for s in full], pa.binary())]
+            columns += [pa.array(np.ascontiguousarray(m), pa.int64()) for m in marks.T]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "heads", "wide", *MARKS])
+
+    marks = ", ".join(f"{m} long" for m in MARKS)
+    return sets.select("id", "shingles").mapInArrow(run, f"id long, n long, heads array<long>, wide binary, {marks}")
 
-    return sets.select("id", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each of 512 or more ranges of hashes, twice the set's size at most: an odd number falls there."""
+    power = max(9, len(shingles).bit_length())
+    place = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - power)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=1 << power) & 1).tobytes()
 
-def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Pairs of members of dense groups that may be linked but are in different components so far.
+
+def not_ruled_out(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs whose ``wide(id, n, wide)`` parities do not show a similarity below 0.8; no link is lost."""
+
+    def run(batches):
+        for batch in slices(batches):
+            kept = []
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+            bits = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            for (n_a, n_b), both in zip(sizes, bits):
+                x, y = (np.unpackbits(np.frombuffer(b, np.uint8)) for b in sorted(both, key=len))
+                while len(y) > len(x):  # two neighbouring ranges make one of the shorter
+                    y = y[::2] ^ y[1::2]
+                kept.append(int((x ^ y).sum()) * 9 <= n_a + n_b)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    both = pairs.join(wide.toDF("a", "n_a", "x"), "a").join(wide.toDF("b", "n_b", "y"), "b")
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def missed(
+    groups: DataFrame, roots: DataFrame, sets: DataFrame, common: np.ndarray = np.empty(0, np.uint64)
+) -> DataFrame | None:
+    """Pairs of members of ``groups(key, id)`` that may be linked but are in different components so far.
 
     A group all in one component has nothing to add. Members of the other groups are joined on the shingles of their
     prefixes, which loses no link. Among those who share a shingle, only members outside the largest component that is
     present look for partners, so a component of many copies is not paired with itself. Pairs whose sizes, places or
-    marks rule out a similarity of 0.8 are dropped inside the join. None if no group is open.
+    marks rule out a similarity of 0.8 are dropped inside the join, those of long texts by more marks after it. None if no group is open. Sets may be repeated.
     """
     placed = stored(
-        dense.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")),
+        groups.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")),
         "placed",
     )
     spans = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -157,12 +208,17 @@ def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | N
         return None
     asked = stored(placed.join(open_keys, "key").select("id", "root").distinct(), "open")
     sizes = stored(asked.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    heads = prefixes(sets.join(asked.select("id"), "id"))
-    heads = stored(heads.join(stored(asked.join(sizes, "root"), "ranked"), "id"), "prefixes")
+    ranked = stored(asked.join(sizes, "root"), "ranked")
+    heads = prefixes(sets, common).dropDuplicates(["id"])
+    heads = stored(heads.join(ranked.select("id"), "id", "left_semi"), "prefixes")
+    rows = heads.select("id", F.posexplode("heads").alias("place", "shingle"))
+    # most shingles are in one text only: counted before anything else is carried along
+    repeated = stored(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle"), "repeated")
+    met = stored(rows.join(repeated, "shingle").join(ranked, "id"), "met")
     rank = F.struct("size", "root")
-    tops = heads.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low"))
+    tops = met.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low"))
     tops = stored(tops.where("top <> low").select("shingle", "top"), "tops")
-    shared = stored(heads.join(tops, "shingle"), "shared")
+    shared = stored(met.join(tops, "shingle").join(heads.select("id", "n", *MARKS), "id"), "shared")
     sides = {
         side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", *MARKS)] + [rank.alias(f"rank_{side}")]
         for side in "ab"
@@ -170,10 +226,11 @@ def missed(dense: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | N
     seekers = shared.where(rank < F.col("top")).select("shingle", *sides["a"])
     apart = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
     both, left = F.col("n_a") + F.col("n_b"), F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    # at 0.8, four ninths of both sizes are common and a ninth is not; the least common shingle has the rest behind it
+    # at 0.8, four ninths of both sizes are common and a ninth is not; the first common shingle has the rest behind it
     may_link = (F.col("rank_a") < F.col("rank_b")) & (left * 9 >= both * 4) & (apart * 9 <= both)
     pairs = seekers.join(shared.select("shingle", *sides["b"]), "shingle").where(may_link)
-    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return not_ruled_out(stored(pairs, "may_link"), heads.select("id", "n", "wide"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -214,25 +271,29 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Two documents are linked if their sets of five-word shingles (lower-cased as in ``simhash``; a text of fewer
     words is one shingle) have a Jaccard similarity of at least 0.8; a group is what links join. Candidates come
-    from SimHash fingerprints of the whole set, joined on the popcount grid, and of parts of the set. Every link is
-    verified on the whole sets. Members of a dense group that its stars leave apart are joined exactly. Equal texts are one text from the start, by a 64-bit hash; null, empty and wordless
-    texts are one group. A row without a doc_id counts as one with the least; repeated rows leave one.
+    from SimHash fingerprints of the whole set, joined on the popcount grid, and of parts of the set; texts that these
+    leave apart are joined on prefixes of their sets, which loses no link. Every link is verified on the whole sets.
+    Equal texts are one text from the start, by a 64-bit hash; null, empty and wordless texts are one group. A row without a doc_id counts as one with the least; repeated rows leave one.
     """
     link = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("link_id")
     texts = docs.select(text_id().alias("id"), link, utf8(F.col("text")).alias("text"))
     firsts = stored(texts.groupBy("id").agg(F.min("link_id").alias("link_id")), "firsts")
     signed = stored(signatures(texts.select("id", "text")), "signatures").dropDuplicates(["id"])
     signed = stored(signed, "signatures")
-    pairs, dense = candidates(signed)
-    pairs = stored(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts, "id")
-    shown = texts.join(stored(asked, "asked"), ["id", "link_id"], "left_semi").select("id", "text")
-    sets = stored(shingle_sets(shown).dropDuplicates(["id"]), "sets")
-    links = stored(verified(pairs, sets), "verified")
+
+    def links_of(pairs):
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts, "id")
+        shown = texts.join(stored(asked, "asked"), ["id", "link_id"], "left_semi").select("id", "text")
+        sets = stored(shingle_sets(shown).dropDuplicates(["id"]), "sets")
+        return stored(verified(pairs, sets), "verified")
+
+    links = links_of(stored(candidates(signed), "pairs"))
     roots = connected_components(links)
-    more = missed(dense, roots, sets)
+    everyone = signed.select(F.lit(0).cast("long").alias("key"), "id")
+    texts_only = texts.select("id", "text")
+    more = missed(everyone, roots, shingle_sets(texts_only), common_shingles(texts_only))
     if more is not None:
-        more = stored(verified(stored(more, "more_pairs"), sets), "more_links")
+        more = links_of(stored(more, "more_pairs"))
         if not more.isEmpty():
             roots = connected_components(links.unionAll(more))
     groups = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -148,3 +149,52 @@ def test_a_dense_group_loses_no_link_that_its_stars_miss(spark):
     apart = lambda a, b: b >= 30 and a < b
     assert found == {(a, b) for a in range(80) for b in range(80) if apart(a, b) and alike(a, b)}
     assert similar.missed(dense, spark.createDataFrame([(k, 0) for k in range(80)], "node long, root long"), sets_of) is None
+
+
+def test_links_that_share_no_part_key_are_found(spark):
+    dice = random.Random(4)
+    texts = []
+    while len(texts) < 6:
+        base = [f"w{dice.randrange(10**6)}" for _ in range(1004)]
+        other = base[:893] + [f"x{dice.randrange(10**6)}" for _ in range(111)]
+        sets = [similar.shingle_set(" ".join(t).encode()) for t in (base, other)]
+        both = len(np.intersect1d(*sets))
+        assert both >= 0.8 * (len(sets[0]) + len(sets[1]) - both)
+        if not len(np.intersect1d(*map(similar.part_keys, sets))):
+            texts += [" ".join(base), " ".join(other)]
+    assert sorted(r.doc_id for r in similar.one_of_each(frame(spark, texts)).collect()) == [0, 2, 4]
+
+
+def test_common_shingles_lose_no_link(spark, monkeypatch):
+    # every text has the same passage, so its shingles stand last; some texts are little more than the passage
+    monkeypatch.setattr(similar, "DENSE_GROUP", 1)
+    dice = random.Random(5)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [" ".join([f"w{dice.randrange(10**6)}" for _ in range(n)] + passage) for n in [3, 8, 12, 15, 40, 90] * 4]
+    sets = [set(similar.shingle_set(t.encode()).tolist()) for t in texts]
+
+    def alike(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, text binary")
+    common = similar.common_shingles(rows)
+    assert set(similar.shingle_set(" ".join(passage).encode()).tolist()) <= set(common.tolist())
+    alone = spark.createDataFrame([], "node long, root long")
+    everyone = rows.select(F.lit(0).cast("long").alias("key"), "id")
+    sets_of = similar.shingle_sets(rows)
+    found = {(r.a, r.b) for r in similar.verified(similar.missed(everyone, alone, sets_of, common), sets_of).collect()}
+    assert found == {(a, b) for a in range(24) for b in range(a + 1, 24) if alike(a, b)} != set()
+
+
+def test_long_texts_are_ruled_out_by_more_marks(spark):
+    dice = random.Random(9)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(4300)]
+    texts = [base, base[:3850] + ["x"] * 3, base[:3700] + [f"y{k}" for k in range(400)], base[:900] + [f"z{k}" for k in range(3500)]]
+    rows = spark.createDataFrame([(k, " ".join(t).encode()) for k, t in enumerate(texts)], "id long, text binary")
+    sets_of = similar.shingle_sets(rows)
+    wide = similar.prefixes(sets_of, np.empty(0, np.uint64)).select("id", "n", "wide")
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(a + 1, 4)], "a long, b long")
+    left = {(r.a, r.b) for r in similar.not_ruled_out(pairs, wide).collect()}
+    links = {(r.a, r.b) for r in similar.verified(pairs, sets_of).collect()}
+    assert links and links <= left and not left & {(0, 3), (1, 3), (2, 3)}

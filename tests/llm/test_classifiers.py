@@ -45,6 +45,19 @@ def test_declared_language_suffix_and_host_decide_unclear_texts(spark):
     assert (found[100], found[101], found[102]) == ("de", "en", "en")
 
 
+def test_rare_languages_are_known(spark):
+    # one row in two thousand, or a single one, declares the language
+    rows = [(k, "the words of this text are plain and they go on in the same way", "en") for k in range(4000)]
+    rows += [(5000, "αυτό είναι ένα κείμενο στα ελληνικά", "el"), (5001, "και αυτό είναι κείμενο στα ελληνικά", "el")]
+    rows += [(5002, "lo mbhalo ubhalwe ngolimi lwesizulu futhi mfushane", "zu-ZA"), (5003, "qzx qzx qzx", "nonsense")]
+    rows = [(k, t, d, "s", len(t), None, 1, 1) for k, t, d in rows]
+    frame = spark.createDataFrame(rows, KIND)
+    assert {5000, 5001, 5002} <= {r.doc_id for r in langid.in_known_language(frame).collect()}
+    evidence = langid.document_evidence(frame).withColumn("declared_as", F.col("declared"))
+    found = langid.identify(evidence, "declared_as").where("declared_as <> 'en'").select("declared_as", "language")
+    assert sorted(map(tuple, found.where("declared_as <> 'nonsense'").collect())) == [("el", "el")] * 2 + [("zu-za", "zu")]
+
+
 @here
 def test_languages_of_documents_and_pages(spark):
     rows = table(spark, FOLDER, "documents")

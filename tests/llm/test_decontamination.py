@@ -1,5 +1,6 @@
 """Benchmark overlaps against a comparison of all alignments."""
 
+import itertools
 import random
 import re
 
@@ -85,3 +86,46 @@ def test_empty_tables(spark):
     assert decontamination.contaminated(docs.limit(0), items).collect() == []
     assert decontamination.contaminated(docs, items.limit(0)).collect() == []
     assert decontamination.without_benchmark(docs, items.limit(0)).count() == 1
+
+
+def test_seeds_fit_any_two_substitutions():
+    places = [
+        {at + k for k, mark in enumerate(seed) if mark == "1"} for seed in SEEDS for at in range(OVERLAP - len(seed) + 1)
+    ]
+    assert all(len(seed) <= OVERLAP and seed.count("1") == 8 for seed in SEEDS)
+    for changed in itertools.combinations(range(OVERLAP), OVERLAP - LEAST_EQUAL):
+        assert any(not held & set(changed) for held in places), changed
+
+
+def test_overlaps_match_the_plain_rule(spark):
+    def plain(doc, item):
+        for shift in range(-len(item), len(doc)):
+            same = [0 <= shift + j < len(doc) and doc[shift + j] == w for j, w in enumerate(item)]
+            if any(sum(same[max(0, first) : first + OVERLAP]) >= LEAST_EQUAL for first in range(1 - OVERLAP, len(item))):
+                return True
+        return False
+
+    items = [(n, passage(n)) for n in (14, 15, 16, 17, 30)]
+    docs = []
+    for n, item in items[:4]:
+        for changed in itertools.combinations(range(n), 2 if n == 14 else 3):
+            part = [f"x{DICE.randrange(1000)}" if k in changed else w for k, w in enumerate(item)]
+            docs.append((len(docs), passage(3) + part + passage(3)))
+    for _ in range(40):
+        first = DICE.randrange(25)
+        docs.append((len(docs), passage(2) + items[4][1][first : first + DICE.randint(10, 16)] + passage(2)))
+    frames = tables(spark, [(k, " ".join(d)) for k, d in docs], [(k, " ".join(i)) for k, i in items])
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(*frames).collect()}
+    assert found == {(k, i) for k, doc in docs for i, item in items if set(doc) & set(item) and plain(doc, item)}
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(n, passage(n)) for n in range(1, 14)]
+    held = [(n, passage(20) + item + passage(n % 3)) for n, item in items]
+    broken = [(100 + n, passage(20) + item[: n // 2] + ["zz"] + item[n // 2 + 1 :]) for n, item in items]
+    docs = held + broken + [(200, items[12][1]), (201, items[12][1][:-1])]
+    within = lambda doc, item: any(doc[k : k + len(item)] == item for k in range(len(doc)))
+    frames = tables(spark, [(k, " ".join(d)) for k, d in docs], [(k, " ".join(i)) for k, i in items])
+    found = {(r.doc_id, r.item_id): r.equal_tokens for r in decontamination.contaminated(*frames).collect()}
+    assert found == {(k, n): n for k, doc in docs for n, item in items if within(doc, item)}
+    assert set(found) >= {(n, n) for n in range(1, 14)} | {(200, 13)}

@@ -165,5 +165,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, with all their columns; a null doc_id stays."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of ``docs`` that overlap no benchmark item, with all their columns; each row goes by its own text."""
+    marked = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    found = contaminated(marked.select(F.col("_row_key").alias("doc_id"), "text"), benchmark)
+    found = found.select(F.col("doc_id").alias("_row_key")).distinct()
+    return marked.join(found, "_row_key", "left_anti").select(*docs.columns)

@@ -129,3 +129,12 @@ def test_short_items_are_found_whole(spark):
     found = {(r.doc_id, r.item_id): r.equal_tokens for r in decontamination.contaminated(*frames).collect()}
     assert found == {(k, n): n for k, doc in docs for n, item in items if within(doc, item)}
     assert set(found) >= {(n, n) for n in range(1, 14)} | {(200, 13)}
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = " ".join(passage(30))
+    clean = [" ".join(passage(30)) for _ in range(3)]
+    docs, items = tables(spark, [(None, item), (None, clean[0]), (5, item), (5, clean[1]), (6, item), (6, item), (7, clean[2]), (8, None)], [(1, item)])
+    kept = decontamination.without_benchmark(docs, items)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, clean[0]), (5, clean[1]), (7, clean[2]), (8, None)}

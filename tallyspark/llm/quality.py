@@ -166,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     wanted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     wanted = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     wanted = stored(wanted.select("doc_id", (F.col("y") >= 0.5).cast("double").alias("y")), "labels")
-    labelled, total = wanted.count(), docs.count()
+    # labels may name documents that are not here, and so take no part in the counts
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    labelled, total = ids.join(wanted, "doc_id", "left_semi").count(), ids.count()
     near = min(1.0, LABELLED_ROWS / max(1, labelled))
     far = min(1.0, POOL_ROWS / max(1, total - labelled))
     sample = docs.where("doc_id IS NOT NULL").where(place("doc_id") < max(near, far))

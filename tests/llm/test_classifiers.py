@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,18 @@ def test_quality_of_odd_rows(spark):
     assert quality.of_good_quality(docs(spark, ODD), labels).columns == docs(spark, ODD).columns
 
 
+def test_labels_of_missing_documents_do_not_widen_the_samples(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POOL_ROWS", 20)
+    monkeypatch.setattr(quality, "LABELLED_ROWS", 20)
+    fitted, fit = [], quality.CoTrained.fit
+    monkeypatch.setattr(quality.CoTrained, "fit", lambda self, ids, x, y: fitted.append(y) or fit(self, ids, x, y))
+    rows = docs(spark, [(k, f"word {k}", "en", "s1", 6) for k in range(500)])
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(40), *range(1000, 1480)]], "doc_id long, quality int")
+    quality.fit(rows, labels)
+    known = ~np.isnan(fitted[0])
+    assert 8 <= known.sum() <= 32 and 5 <= (~known).sum() <= 60
+
+
 @here
 def test_toxicity_of_held_out_documents(spark):
     folder = FOLDER.replace("0.01", "0.1")

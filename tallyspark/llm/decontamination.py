@@ -81,7 +81,7 @@ def windows(rows: DataFrame, *keep: str) -> DataFrame:
     # no filter on the number of tokens: it would go below the projection and split every text twice
     starts = F.explode(F.when(size >= shortest, F.sequence(F.lit(0), size - shortest)))
     placed = rows.select(*keep, "tokens", starts.alias("at"))
-    # as columns first: inside the explode, the generated code is too long to be compiled
+    # as columns first: four seeds inside the explode took several times as long
     hashes = {f"_h{k}": h for k, h in enumerate(seed_hashes(F.col("tokens"), F.col("at")))}
     hashed = placed.select(*keep, "tokens", "at", *(h.alias(name) for name, h in hashes.items()))
     return hashed.select(*keep, "tokens", "at", F.explode(F.array(*hashes)).alias("hash"))

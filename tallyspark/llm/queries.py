@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import ann, bpe, chat, decontamination, langid, quality, simhash, token_files, toxicity, warc
+from tallyspark.llm import (
+    ann, bpe, chat, conversations, decontamination, filter_audit, langid, quality, quality_rules, simhash, token_files,
+    toxicity, warc,
+)
 from tallyspark.llm.base import table
 from tallyspark.session import tune
 
@@ -238,3 +241,269 @@ def bpe_round_trip(spark, folder):
 def identify_language(spark, folder):
     """The language of every web page from its text, declared language, address suffix and host."""
     return langid.identify(langid.page_evidence(table(spark, folder, "pages")), "page_id")
+
+
+def repair_sql() -> str:
+    """Costs to go and audits as strings that sort by both: twelve digits, then the audit."""
+    never = "900000000000"
+
+    def plus(value, cost, edit):
+        return f"lpad(CAST(CAST(substr({value}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{edit}' || substr({value}, 13)"
+
+    def edits(state, kept):
+        keep = " ".join(f"WHEN lower(symbol) = '{role}' THEN {plus(f'v{to}', 'extra', 'K')}" for role, to in kept.items())
+        rerole = plus(f"v{conversations.FORWARD[state]}", "extra + 2", "R")
+        return (
+            f"least({plus(f'v{state}', 3, 'D')}, CASE WHEN symbol = 'd' THEN '{never}' {keep} ELSE '{never}' END, "
+            f"CASE WHEN symbol = 'd' THEN '{never}' ELSE {rerole} END) AS b{state}"
+        )
+
+    bases = ", ".join(edits(state, kept) for state, kept in enumerate(conversations.KEEP))
+    pair = f"least(b2, {plus('b3', 2, 'I')}) AS w2, least(b3, {plus('b2', 2, 'I')}) AS w3"
+    zero = "000000000000"
+    return rf"""
+WITH RECURSIVE
+crc_bytes AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+            lambda x: CAST(ascii(x) AS BIGINT)) AS codes
+    FROM conversations
+),
+faulty AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, codes),
+        lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 20 AS fault
+    FROM keyed, crc_bytes
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faulty
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM damaged
+),
+seen AS (
+    SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again,
+        NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before
+    FROM placed
+),
+marked AS (
+    SELECT *, CASE WHEN blank OR again THEN 'd'
+        WHEN cut THEN upper(CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END)
+        WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS symbol
+    FROM seen
+),
+summed AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+        count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated,
+        count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+        string_agg(symbol, '' ORDER BY p) AS signature
+    FROM marked GROUP BY conv_id
+),
+walk AS (
+    SELECT signature, length(signature) AS k, '{zero}' AS v0, '000000000004II' AS v1, '000000000002I' AS v2, '{zero}' AS v3
+    FROM (SELECT DISTINCT signature FROM summed)
+    UNION ALL
+    SELECT signature, k - 1, least(b0, {plus("w2", 2, "I")}), least(b1, {plus("w2", 2, "I")}), w2, w3
+    FROM (
+        SELECT *, {pair} FROM (
+            SELECT *, {bases} FROM (
+                SELECT *, substr(signature, k, 1) AS symbol,
+                    CASE WHEN substr(signature, k, 1) IN ('S', 'U', 'A', 'X') THEN 1 ELSE 0 END AS extra
+                FROM walk WHERE k > 0
+            )
+        )
+    )
+),
+audited AS (
+    SELECT s.*, CAST(substr(v0, 1, 12) AS BIGINT) AS cost, substr(v0, 13) AS audit
+    FROM summed s JOIN walk w ON s.signature = w.signature AND w.k = 0
+),
+listed AS (
+    SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM audited
+),
+edited AS (
+    SELECT conv_id, i, substr(audit, i, 1) AS edit, length(replace(substr(audit, 1, i), 'I', '')) AS p FROM listed
+),
+met AS (
+    SELECT e.conv_id, e.i, e.edit, m.role, m.text,
+        row_number() OVER (PARTITION BY e.conv_id ORDER BY e.i) - 1 AS j,
+        first_value(CASE WHEN e.edit = 'K' AND m.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id ORDER BY e.i) AS led
+    FROM edited e LEFT JOIN marked m ON e.conv_id IS NOT DISTINCT FROM m.conv_id AND e.p = m.p AND e.edit <> 'I'
+    WHERE e.edit <> 'D'
+),
+hashed AS (
+    SELECT conv_id, sha256(string_agg(
+        CASE WHEN edit = 'K' THEN role WHEN (j - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+        chr(10) ORDER BY i)) AS digest
+    FROM met GROUP BY conv_id
+),
+named AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+    coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM named n LEFT JOIN audited a ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN hashed h ON n.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
+
+@query("op11_conversation_repair", repair_sql())
+def repair_conversations(spark, folder):
+    """Faults, cheapest edits and repaired texts of all conversations, damaged by a checksum."""
+    return conversations.repair_digests(table(spark, folder, "conversations"))
+
+
+AUDIT_SQL = r"""
+WITH measured AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words
+    FROM documents
+),
+label AS (
+    SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+judged AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        len(words) < 200 AS a,
+        100 * len(list_distinct(words)) < 50 * len(words) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(m.doc_id > min(m.doc_id) OVER (PARTITION BY text), false) AS e
+    FROM measured m LEFT JOIN label USING (doc_id)
+),
+grouped AS (
+    SELECT part, {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, count(*) AS n,
+        count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+    FROM judged GROUP BY ALL
+),
+patterns AS (
+    SELECT part, n, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN fails.A
+        WHEN 'B' THEN fails.B WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END) AS failed
+    FROM grouped
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS own,
+        string_split(substr(filter_order, 1, step - 1), '') AS earlier
+    FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)
+),
+met AS (
+    SELECT *, list_contains(failed, own) AS fails, list_has_any(failed, earlier) AS gone FROM patterns, steps
+),
+found AS (
+    SELECT part, filter_order, step, any_value(own) AS own,
+        CAST(sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN failed = [own] THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+    FROM met GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM found
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def audit_filters(spark, folder):
+    """What five filters remove in every order, per language."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def rules_sql() -> str:
+    """Base counts, histograms over all documents of a language, and distances to them."""
+    r = quality_rules
+    marks = "[" + r.SYMBOLS.decode().replace("|", "\\|") + "]"
+    of_class = [
+        "[a-z]", "[A-Z]", "[0-9]", " ", r"[\x09-\x0D]", "[" + r.STOPS.decode() + "]", marks, None,
+        r"[\x{80}-\x{27F}]", r"[\x{280}-\x{7FF}]", r"[\x{800}-\x{10FFFF}]",
+    ]
+    count = lambda p: f"length(text) - length(regexp_replace(text, '{p}', '', 'g'))"
+    other = " - ".join(f"c{k}" for k, p in enumerate(of_class) if p)
+    classes = ", ".join(f"{count(p)} AS c{k}" for k, p in enumerate(of_class) if p)
+    listed = ", ".join(f"c{k}" for k in range(r.CLASSES))
+    sums = ", ".join(f"sum(c{k})" for k in range(r.CLASSES))
+    codes = ", ".join(f"'{code}'" for code in sorted(r.LANGUAGE_CODES))
+    bits = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (p + q)) ELSE 0 END"
+    return rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+        CASE WHEN lang IN ({codes}) THEN lang ELSE '{r.UNKNOWN}' END AS lang
+    FROM documents
+),
+counted AS (
+    SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, {classes} FROM texts
+),
+full_classes AS (SELECT *, len(words) AS n, length(text) - ({other.replace(" - ", " + ")}) AS c7 FROM counted),
+spoken AS (
+    SELECT r, lang, w, trim(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{r.TRIMMED.decode().replace("'", "''")}') AS form
+    FROM (SELECT r, lang, unnest(words) AS w FROM counted)
+),
+common AS (
+    SELECT lang, form, count(*) AS m FROM spoken WHERE form <> '' AND strlen(form) <= {r.LONGEST_COMMON}
+    GROUP BY lang, form QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, form) <= {r.COMMON}
+),
+totals AS (SELECT lang, sum(n) AS all_words, [{sums}] AS all_classes FROM full_classes GROUP BY lang),
+bins AS (
+    SELECT lang, form, m FROM common
+    UNION ALL
+    SELECT t.lang, NULL, any_value(all_words) - coalesce(sum(m), 0) FROM totals t LEFT JOIN common c ON t.lang = c.lang GROUP BY t.lang
+),
+hits AS (
+    SELECT s.r, c.form, count(*) AS m FROM spoken s LEFT JOIN common c ON s.lang = c.lang AND s.form = c.form GROUP BY s.r, c.form
+),
+word_gaps AS (
+    SELECT f.r, CAST(coalesce(h.m, 0) AS DOUBLE) / f.n AS p, CAST(b.m AS DOUBLE) / t.all_words AS q
+    FROM full_classes f JOIN totals t ON f.lang = t.lang JOIN bins b ON f.lang = b.lang
+    LEFT JOIN hits h ON h.r = f.r AND h.form IS NOT DISTINCT FROM b.form
+    WHERE f.n >= {r.LEAST_WORDS} AND t.all_words >= {r.LEAST_REFERENCE}
+),
+class_gaps AS (
+    SELECT f.r, CAST(unnest([{listed}]) AS DOUBLE) / length(f.text) AS p,
+        CAST(unnest(t.all_classes) AS DOUBLE) / list_sum(t.all_classes) AS q
+    FROM full_classes f JOIN totals t ON f.lang = t.lang
+    WHERE f.n >= {r.LEAST_WORDS} AND t.all_words >= {r.LEAST_REFERENCE} AND length(f.text) >= {r.LEAST_CHARS}
+),
+by_word AS (SELECT r, sqrt(greatest(0, sum({bits("p")} + {bits("q")}) / 2)) AS d FROM word_gaps GROUP BY r),
+by_class AS (SELECT r, sqrt(greatest(0, sum({bits("p")} + {bits("q")}) / 2)) AS d FROM class_gaps GROUP BY r),
+lines AS (
+    SELECT r, count(*) - count(DISTINCT line) AS again FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)
+    WHERE regexp_matches(line, '[^ 	-]') GROUP BY r
+),
+windows AS (
+    SELECT r, i, [words[i], words[i + 1], words[i + 2]] AS three
+    FROM (SELECT r, words, unnest(range(1, n - 1)) AS i FROM full_classes WHERE n >= 3)
+),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+repeats AS (SELECT r, count(DISTINCT j) AS again FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+measured AS (
+    SELECT f.doc_id, n AS n_words, length(text) - c3 - c4 AS word_chars, c6 AS n_symbols,
+        coalesce(l.again, 0) AS n_dup_lines, coalesce(p.again, 0) AS n_repeat_words,
+        n < {r.LEAST_WORDS} OR 100 * coalesce(p.again, 0) > {r.MOST_REPEAT_PERCENT} * n AS base_failed,
+        coalesce(c.d > {r.CLASS_BASE} + {r.CLASS_SCATTER} / sqrt(n), false)
+            OR coalesce(w.d > {r.WORD_BASE} + {r.WORD_SCATTER} / sqrt(n), false) AS far
+    FROM full_classes f LEFT JOIN lines l ON f.r = l.r LEFT JOIN repeats p ON f.r = p.r
+    LEFT JOIN by_word w ON f.r = w.r LEFT JOIN by_class c ON f.r = c.r
+)
+SELECT * EXCLUDE (far), NOT base_failed AND NOT far AS kept FROM measured
+"""
+
+
+@query("op13_quality_rules", rules_sql())
+def judge_quality(spark, folder):
+    """Counts of every document, and whether rules and distances to its language keep it."""
+    return quality_rules.judged(table(spark, folder, "documents")).drop("class_distance", "word_distance")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark.llm.base import slices, utf8
 from tallyspark.llm.components import connected_components
@@ -17,7 +18,8 @@ WORDS = 5
 SIMILARITY = 0.8
 PARTS = 16  # parts of the shingles that have a fingerprint of their own
 PART_SIZE = 4  # shingles of a part at least, and twice that at most, unless the text is short
-DENSE_GROUP = 48  # members of a group from which on links are looked for by stars only, before the prefixes
+SMALL_GROUP = 16  # texts that share a shingle up to which partners are looked for by a join
+BLOCK = 2048  # texts of larger groups that a task compares with as many others
 SAMPLE = 8192  # texts, about, whose shingles tell which ones are common
 COMMON = 8  # texts of the sample that a common shingle is in at least
 MOST_COMMON = 500_000  # common shingles that are sent to the executors
@@ -26,10 +28,10 @@ NO_ID = -(1 << 63)
 
 
 def part_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys that two shingle sets of a Jaccard similarity of 0.8 or more mostly share; ``missed`` finds the others.
+    """Keys that two shingle sets of a Jaccard similarity of 0.8 or more mostly share.
 
     A hash deals the shingles out to parts of four to eight; sixteen parts are fingerprinted. As a rule a part agrees
-    only if no shingle of one set alone falls into it, so a few pairs in a hundred near 0.8 share no key. The number
+    only if no shingle of one set alone falls into it, so a few pairs in a hundred near 0.8 share no key; ``joined_up`` finds them. The number
     of parts follows from the band of the set's size, and a set has keys for two bands, so that similar sets share one.
     """
     if not len(shingles):
@@ -81,34 +83,27 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ids that share a part key or whose whole fingerprints differ in two bits or fewer.
+    """Pairs ``(a, b)`` of ids that share a part key with a hub or whose whole fingerprints differ in two bits or fewer.
 
-    In a dense group, each member is paired with two of them that the group's key picks. That finds most links of
-    a group of copies without all its pairs.
+    Every text that has a key is paired with one text only, the hub of that key: the one whose keys are shared most
+    often. Texts near the centre of a group share most, so the keys of a group have few hubs and its texts few pairs.
     """
     rows = signed.select("id", F.explode("keys").alias("key"))
-    turned = F.col("id").bitwiseXOR(F.col("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(turned).alias("a"), F.max(turned).alias("b"))
-    ends = [F.col(c).bitwiseXOR(F.col("key")).alias(c) for c in ("a", "b")]
-    groups = stored(groups.where("n > 1").select("key", "n", *ends), "groups")
-    members = stored(rows.join(groups.where("n > 2"), "key"), "members")
-    sparse = members.where(F.col("n") <= DENSE_GROUP).select("key", "id")
-    dense = members.where(F.col("n") > DENSE_GROUP)
+    groups = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    members = stored(rows.join(groups, "key"), "members")
+    shared = stored(members.groupBy("id").agg(F.sum("n").alias("shared")), "sharing")
+    ranked = stored(members.select("key", "id").join(shared, "id"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("shared", "id")).alias("hub"))
+    hubs = stored(hubs.select("key", F.col("hub.id").alias("hub")), "hubs")
     whole = stored(signed.groupBy("fp").agg(F.min("id").alias("first")), "whole")
     near = stored(linked(whole.select("fp")), "near")
     ends = [whole.select(F.col("fp").alias(c), F.col("first").alias(f"id_{c}")) for c in ("a", "b")]
-    pairs = [
-        groups.where("n = 2").select("a", "b"),
-        sparse.toDF("key", "a").join(sparse.toDF("key", "b"), "key").where("a < b").select("a", "b"),
-        dense.select("a", F.col("id").alias("b")),
-        dense.select("b", F.col("id").alias("a")).select("a", "b"),
-        signed.join(whole, "fp").select(F.col("first").alias("a"), F.col("id").alias("b")),
-        near.join(ends[0], "a").join(ends[1], "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")),
-    ]
-    union = pairs[0]
-    for more in pairs[1:]:
-        union = union.unionAll(more)
-    return union.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = (
+        ranked.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        .unionAll(signed.join(whole, "fp").select(F.col("first").alias("a"), F.col("id").alias("b")))
+        .unionAll(near.join(ends[0], "a").join(ends[1], "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    )
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
@@ -188,49 +183,157 @@ def not_ruled_out(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def missed(
-    groups: DataFrame, roots: DataFrame, sets: DataFrame, common: np.ndarray = np.empty(0, np.uint64)
-) -> DataFrame | None:
-    """Pairs of members of ``groups(key, id)`` that may be linked but are in different components so far.
+def may_link(n, place, other_n, other_place):
+    """Whether two sets of these sizes can be alike whose first common shingle stands at these places of their heads.
 
-    A group all in one component has nothing to add. Members of the other groups are joined on the shingles of their
-    prefixes, which loses no link. Among those who share a shingle, only members outside the largest component that is
-    present look for partners, so a component of many copies is not paired with itself. Pairs whose sizes, places or
-    marks rule out a similarity of 0.8 are dropped inside the join, those of long texts by more marks after it. None if no group is open. Sets may be repeated.
+    At 0.8, four ninths of both sizes are common, and the first common shingle has the rest behind it.
     """
-    placed = stored(
-        groups.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")),
-        "placed",
-    )
-    spans = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_keys = stored(spans.where("low <> high").select("key"), "open_keys")
-    if open_keys.isEmpty():
-        return None
-    asked = stored(placed.join(open_keys, "key").select("id", "root").distinct(), "open")
-    sizes = stored(asked.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    ranked = stored(asked.join(sizes, "root"), "ranked")
-    heads = prefixes(sets, common).dropDuplicates(["id"])
-    heads = stored(heads.join(ranked.select("id"), "id", "left_semi"), "prefixes")
+    left, other_left = (n - place) * 9, (other_n - other_place) * 9
+    both = (n + other_n) * 4
+    return (left >= both) & (other_left >= both)
+
+
+def in_small_groups(shared: DataFrame) -> DataFrame:
+    """Partners by a join: every text that seeks meets fewer than ``SMALL_GROUP`` others for a shingle."""
+    names = ["id", "root", "size", "n", "place", "seeks", "tried", *MARKS]
+    left, right = (shared.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+    apart = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
+    above = F.struct("size_a", "root_a") < F.struct(F.col("size_b").alias("size_a"), F.col("root_b").alias("root_a"))
+    fits = may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))
+    fits = fits & (apart * 9 <= F.col("n_a") + F.col("n_b")) & (F.col("root_a") != F.col("root_b"))
+    fits = fits & F.when(F.col("tried_a").isNull(), above).otherwise(~F.array_contains("tried_a", F.col("id_b")))
+    met = left.where("seeks_a").join(right, "shingle").where(fits)
+    return met.select(
+        F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("root_b").alias("root"), apart.cast("int").alias("apart"),
+        F.lit(False).alias("cut"),
+    )
+
+
+def in_large_groups(shared: DataFrame, limit: int) -> DataFrame:
+    """Partners inside tasks: of each other component, ``limit`` texts nearest by their marks for every text that seeks.
+
+    The texts of a shingle are dealt into blocks, and a task gets two blocks, so that no group of any size meets in
+    one task; what a task gives out grows with its texts, not with their pairs.
+    """
+    numbers = ["id", "root", "size", "n", "place", "own", *MARKS]
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shingle", "low", "high")], axis=1)
+            starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for first, end in zip([0, *starts], [*starts, len(keys)]):
+                if held and tuple(keys[first]) != key:
+                    yield partners(held, key[1] != key[2])
+                    held = []
+                if end > first:
+                    key = tuple(keys[first])
+                    held.append(batch.slice(first, end - first))
+        if held:
+            yield partners(held, key[1] != key[2])
+
+    def partners(held, two_blocks):
+        rows = pa.Table.from_batches(held)
+        node, root, size, n, place, own, *marks = (rows.column(c).to_numpy() for c in numbers)
+        marks, tried = np.stack(marks, axis=1).view(np.uint64), rows.column("tried")
+        found = []
+        for s in np.flatnonzero(rows.column("seeks").to_numpy()):
+            fits = (root != root[s]) & may_link(n[s], place[s], n, place)
+            if two_blocks:
+                fits &= own != own[s]
+            done = tried[int(s)].as_py()
+            if done is None:
+                fits &= (size > size[s]) | ((size == size[s]) & (root > root[s]))
+            else:
+                fits &= ~np.isin(node, done)
+            at = np.flatnonzero(fits)
+            apart = np.bitwise_count(marks[at] ^ marks[s]).sum(axis=1, dtype=np.int64)
+            near = apart * 9 <= n[at] + n[s]
+            at, apart = at[near], apart[near]
+            if not len(at):
+                continue
+            order = np.lexsort((node[at], apart, root[at]))
+            at, apart = at[order], apart[order]
+            new = np.concatenate(([True], root[at][1:] != root[at][:-1]))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            kept = np.arange(len(at)) - first < limit
+            cut = np.isin(root[at], root[at][~kept])
+            found += zip([node[s]] * int(kept.sum()), node[at][kept], root[at][kept], apart[kept], cut[kept])
+        columns = list(zip(*found)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        arrays = [pa.array(np.array(c, k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "root", "apart", "cut"])
+
+    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("texts") / BLOCK)).alias("own")
+    dealt = shared.select("*", own).select("*", F.explode(F.expr(f"sequence(0, CAST(ceil(texts / {BLOCK}) AS INT) - 1)")).alias("meets"))
+    dealt = dealt.withColumns({"low": F.least("own", "meets"), "high": F.greatest("own", "meets")})
+    place = ["shingle", "low", "high"]
+    ordered = dealt.select(*place, *numbers, "seeks", "tried").repartition(*place).sortWithinPartitions(*place)
+    return ordered.mapInArrow(run, "a long, b long, root long, apart int, cut boolean")
+
+
+def joined_up(roots: DataFrame, sets: DataFrame, links_of, common: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
+    """``(node, root)`` of every text of ``sets(id, shingles)`` when no link is missing between components.
+
+    ``roots(node, root)`` are the components so far; texts that it lacks are components of their own. Texts are joined on
+    the shingles of their prefixes, which loses no link. For a shingle whose texts are all in one component there is
+    nothing to do; else the texts outside its largest component seek partners. Pairs whose sizes, places or marks rule out a
+    similarity of 0.8 are passed over.
+
+    One link is enough to join two components, so that of each other component a text is compared with the one text that
+    is nearest by its marks. Only texts that were not joined so, and have more texts of that component left, seek again,
+    eight times as many each time, until none is left. ``links_of`` gives the verified ones of pairs. Sets may be repeated.
+    """
+    heads = stored(prefixes(sets, common).dropDuplicates(["id"]), "prefixes")
     rows = heads.select("id", F.posexplode("heads").alias("place", "shingle"))
     # most shingles are in one text only: counted before anything else is carried along
-    repeated = stored(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle"), "repeated")
-    met = stored(rows.join(repeated, "shingle").join(ranked, "id"), "met")
-    rank = F.struct("size", "root")
-    tops = met.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low"))
-    tops = stored(tops.where("top <> low").select("shingle", "top"), "tops")
-    shared = stored(met.join(tops, "shingle").join(heads.select("id", "n", *MARKS), "id"), "shared")
-    sides = {
-        side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", *MARKS)] + [rank.alias(f"rank_{side}")]
-        for side in "ab"
-    }
-    seekers = shared.where(rank < F.col("top")).select("shingle", *sides["a"])
-    apart = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
-    both, left = F.col("n_a") + F.col("n_b"), F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    # at 0.8, four ninths of both sizes are common and a ninth is not; the first common shingle has the rest behind it
-    may_link = (F.col("rank_a") < F.col("rank_b")) & (left * 9 >= both * 4) & (apart * 9 <= both)
-    pairs = seekers.join(shared.select("shingle", *sides["b"]), "shingle").where(may_link)
-    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    return not_ruled_out(stored(pairs, "may_link"), heads.select("id", "n", "wide"))
+    repeated = stored(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "repeated")
+    met = stored(rows.join(repeated, "shingle"), "met")
+    named = stored(roots.toDF("id", "root"), "named")
+    everyone = heads.select("id").join(named, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    everyone, tried, limit = stored(everyone, "everyone"), None, 1
+    while True:
+        sizes = stored(everyone.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+        ranked = stored(everyone.join(sizes, "root"), "ranked")
+        placed = stored(met.join(ranked, "id"), "placed")
+        rank = F.struct("size", "root")
+        if tried is None:
+            open_groups = placed.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where("top <> low")
+        else:
+            open_groups = placed.join(tried.select("id"), "id", "left_semi").select("shingle", F.lit(None).alias("top")).distinct()
+        open_groups = stored(open_groups.select("shingle", F.col("top").cast("struct<size:long,root:long>")), "open_groups")
+        shared = placed.join(open_groups, "shingle").join(heads.select("id", "n", *MARKS), "id")
+        if tried is None:
+            shared = shared.withColumns({"seeks": rank < F.col("top"), "tried": F.lit(None).cast("array<long>")})
+        else:
+            shared = shared.join(tried, "id", "left").withColumn("seeks", F.col("tried").isNotNull())
+        shared = stored(shared.drop("top"), "shared")
+        small = F.col("texts") <= SMALL_GROUP
+        found = in_small_groups(shared.where(small)).unionAll(in_large_groups(shared.where(~small), limit))
+        found = stored(found.groupBy("a", "b").agg(F.first("root").alias("root"), F.min("apart").alias("apart"), F.max("cut").alias("cut")), "found")
+        by_root = Window.partitionBy("a", "root")
+        order = F.row_number().over(by_root.orderBy("apart", "b"))
+        left = F.max("cut").over(by_root) | (F.count("*").over(by_root) > limit)
+        chosen = found.select("a", "b", "root", order.alias("k"), left.alias("left")).where(F.col("k") <= limit)
+        chosen = stored(chosen, "chosen")
+        if chosen.isEmpty():
+            return everyone.toDF("node", "root")
+        ends = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links_of(stored(not_ruled_out(ends, heads.select("id", "n", "wide")), "may_link"))
+        ends = [everyone.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        merged = connected_components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        merged = stored(merged.toDF("root", "next"), "merged")
+        everyone = stored(everyone.join(merged, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "everyone")
+        ends = [everyone.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        again = chosen.where("left").join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b").select(F.col("a").alias("id")).distinct()
+        again = stored(again, "again")
+        if again.isEmpty():
+            return everyone.toDF("node", "root")
+        pairs = chosen.select(F.col("a").alias("id"), "b")
+        if tried is not None:
+            pairs = pairs.unionAll(tried.select("id", F.explode("tried").alias("b")))
+        tried = stored(pairs.join(again, "id", "left_semi").groupBy("id").agg(F.collect_set("b").alias("tried")), "tried")
+        limit *= 8
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -288,21 +391,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return stored(verified(pairs, sets), "verified")
 
     links = links_of(stored(candidates(signed), "pairs"))
-    roots = connected_components(links)
-    everyone = signed.select(F.lit(0).cast("long").alias("key"), "id")
     texts_only = texts.select("id", "text")
-    more = missed(everyone, roots, shingle_sets(texts_only), common_shingles(texts_only))
-    if more is not None:
-        more = links_of(stored(more, "more_pairs"))
-        if not more.isEmpty():
-            roots = connected_components(links.unionAll(more))
+    common = common_shingles(texts_only)
+    roots = joined_up(connected_components(links), shingle_sets(texts_only), links_of, common)
     groups = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left")
     groups = groups.select("id", "link_id", F.coalesce("root", "id").alias("root"))
     best = groups.groupBy("root").agg(F.min(F.struct("link_id", "id")).alias("best"))
-    kept = stored(best.select("best.id", "best.link_id"), "kept").toDF("_kept_id", "_kept_link")
-    marked = docs.withColumns({"_kept_id": text_id(), "_kept_link": link})
-    return (
-        marked.join(kept, ["_kept_id", "_kept_link"], "left_semi")
-        .dropDuplicates(["_kept_id", "_kept_link"])
-        .select(*docs.columns)
-    )
+    kept = stored(best.select("best.id", "best.link_id"), "kept")
+    taken = {c.lower() for c in docs.columns}
+    names = [next(n for k in count() if (n := f"{c}{k}") not in taken) for c in ("kept_id", "kept_link")]
+    marked = docs.withColumns(dict(zip(names, [text_id(), link])))
+    return marked.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns)

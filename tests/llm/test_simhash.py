@@ -130,25 +130,82 @@ def test_a_large_group_of_near_copies_leaves_one(spark):
     assert [r.doc_id for r in similar.one_of_each(frame(spark, texts)).collect()] == [0]
 
 
-def test_a_dense_group_loses_no_link_that_its_stars_miss(spark):
-    # a chain of texts that share a part key: neighbours are alike, a star's centre is not like most others
-    words = [f"w{k}" for k in range(900)]
-    texts = [" ".join(words[8 * k : 8 * k + 200]) for k in range(80)]
+def components(roots):
+    groups = {}
+    for r in roots.collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    return sorted(map(sorted, groups.values()))
+
+
+def exact_components(texts):
     sets = [set(similar.shingle_set(t.encode()).tolist()) for t in texts]
 
     def alike(a, b):
         both = len(sets[a] & sets[b])
         return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
 
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.col("text").cast("binary"))
-    dense = rows.select(F.lit(1).cast("long").alias("key"), "id")
-    sets_of = similar.shingle_sets(rows)
-    roots = spark.createDataFrame([(k, 0) for k in range(30)], "node long, root long")
-    pairs = similar.missed(dense, roots, sets_of)
-    found = {(r.a, r.b) for r in similar.verified(pairs, sets_of).collect()}
-    apart = lambda a, b: b >= 30 and a < b
-    assert found == {(a, b) for a in range(80) for b in range(80) if apart(a, b) and alike(a, b)}
-    assert similar.missed(dense, spark.createDataFrame([(k, 0) for k in range(80)], "node long, root long"), sets_of) is None
+    groups = {}
+    for node, root in groups_of(range(len(texts)), alike).items():
+        groups.setdefault(root, set()).add(node)
+    return sorted(map(sorted, groups.values()))
+
+
+def join_up(spark, texts, known=(), pairs=None):
+    rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, text binary")
+    sets = similar.shingle_sets(rows)
+
+    def links_of(found):
+        if pairs is not None:
+            pairs.append(found.count())
+        return similar.verified(found, sets)
+
+    return similar.joined_up(spark.createDataFrame(list(known), "node long, root long"), sets, links_of, similar.common_shingles(rows))
+
+
+@pytest.mark.parametrize(("small", "block"), [(similar.SMALL_GROUP, similar.BLOCK), (1, 7), (1, 1000)])
+def test_a_dense_group_loses_no_link(spark, monkeypatch, small, block):
+    # a chain of texts: neighbours are alike, no text is like most others
+    monkeypatch.setattr(similar, "SMALL_GROUP", small)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words[8 * k : 8 * k + 200]) for k in range(80)]
+    assert components(join_up(spark, texts, [(k, 0) for k in range(30)])) == exact_components(texts)
+
+
+@pytest.mark.parametrize("small", [1, 100])
+def test_texts_that_are_nearly_alike_are_all_looked_at(spark, monkeypatch, small):
+    # pairs lie just above and just below 0.8, so that the nearest by its marks is not always alike
+    monkeypatch.setattr(similar, "SMALL_GROUP", small)
+    dice = random.Random(6)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for j in dice.sample(range(300), 4 + k % 5):
+            copy[j] = f"x{dice.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    assert components(join_up(spark, texts)) == exact_components(texts)
+
+
+def test_candidates_grow_with_the_texts(spark):
+    made, looked = [], []
+    for n in (100, 200, 400):
+        dice = random.Random(n)
+        base = [f"w{dice.randrange(10**6)}" for _ in range(300)]
+        texts = []
+        for _ in range(n):
+            copy = list(base)
+            for j in dice.sample(range(300), 4):
+                copy[j] = f"x{dice.randrange(10**6)}"
+            texts.append(" ".join(copy))
+        rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, text binary")
+        pairs = similar.candidates(similar.signatures(rows))
+        made.append(pairs.count())
+        roots = connected_components(similar.verified(pairs, similar.shingle_sets(rows)))
+        looked.append([])
+        join_up(spark, texts, [(r.node, r.root) for r in roots.collect()], looked[-1])
+    assert made[2] <= 4.8 * made[0]
+    assert sum(looked[2]) <= 6 * max(sum(looked[0]), 60)
 
 
 def test_links_that_share_no_part_key_are_found(spark):
@@ -165,26 +222,22 @@ def test_links_that_share_no_part_key_are_found(spark):
     assert sorted(r.doc_id for r in similar.one_of_each(frame(spark, texts)).collect()) == [0, 2, 4]
 
 
-def test_common_shingles_lose_no_link(spark, monkeypatch):
+def test_common_shingles_lose_no_link(spark):
     # every text has the same passage, so its shingles stand last; some texts are little more than the passage
-    monkeypatch.setattr(similar, "DENSE_GROUP", 1)
     dice = random.Random(5)
     passage = [f"p{k}" for k in range(100)]
     texts = [" ".join([f"w{dice.randrange(10**6)}" for _ in range(n)] + passage) for n in [3, 8, 12, 15, 40, 90] * 4]
-    sets = [set(similar.shingle_set(t.encode()).tolist()) for t in texts]
-
-    def alike(a, b):
-        both = len(sets[a] & sets[b])
-        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
-
     rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, text binary")
     common = similar.common_shingles(rows)
     assert set(similar.shingle_set(" ".join(passage).encode()).tolist()) <= set(common.tolist())
-    alone = spark.createDataFrame([], "node long, root long")
-    everyone = rows.select(F.lit(0).cast("long").alias("key"), "id")
-    sets_of = similar.shingle_sets(rows)
-    found = {(r.a, r.b) for r in similar.verified(similar.missed(everyone, alone, sets_of, common), sets_of).collect()}
-    assert found == {(a, b) for a in range(24) for b in range(a + 1, 24) if alike(a, b)} != set()
+    found = components(join_up(spark, texts))
+    assert found == exact_components(texts) and 1 < len(found) < 24
+
+
+def test_columns_with_the_names_used_inside_stay(spark):
+    rows = [(k, "one two three four five six", k, "x", "id", 7) for k in (3, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id0 long, kept_link0 string, id string, link_id int")
+    assert [tuple(r) for r in similar.one_of_each(docs).collect()] == [(1, "one two three four five six", 1, "x", "id", 7)]
 
 
 def test_long_texts_are_ruled_out_by_more_marks(spark):

@@ -19,7 +19,7 @@ SIMILARITY = 0.8
 PARTS = 16  # parts of the shingles that have a fingerprint of their own
 PART_SIZE = 4  # shingles of a part at least, and twice that at most, unless the text is short
 SMALL_GROUP = 16  # texts that share a shingle up to which partners are looked for by a join
-BLOCK = 2048  # texts of larger groups that a task compares with as many others
+BLOCK = 512  # texts of larger groups that a task compares with as many others
 SAMPLE = 8192  # texts, about, whose shingles tell which ones are common
 COMMON = 8  # texts of the sample that a common shingle is in at least
 MOST_COMMON = 500_000  # common shingles that are sent to the executors

@@ -1,140 +1,32 @@
 """Pages to billing records: one pass over all six document layouts.
 
-Plan shape: one shuffle gathers the (bounded) pages of each document; layout, provider and segments are columns
-of that row; segments are exploded, read with one regular expression per field, and collected again per
-document. The second grouping keeps the first one's partitioning, so it adds no exchange.
+Plan shape: ``segments`` cuts documents into segments, one row each, without holding a document; every segment is read
+with one regular expression per field. What concerns a document as a whole (numbering, payer vote, an impossible date)
+are windows over its records, which hold no texts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.dates import printed_range
 from tallyspark.functions.money import amount_after, amounts_in, labelled_amount
 from tallyspark.functions.parties import billing_section, third_parties
 from tallyspark.functions.payers import claim_payer, payer_in
-from tallyspark.functions.providers import provider_of
-from tallyspark.functions.text import (
-    all_matches, first_match, first_text, has, let, lines_of, name_words, rx, strip,
+from tallyspark.functions.text import all_matches, first_match, first_text, has, let, lines_of, name_words, rx, strip
+from tallyspark.operators.segments import (
+    ACCOUNT, ADMISSION, CLAIM, DIALYSIS, INPATIENT, MARKERS, PHARMACY, by_layout, document_facts, marker_line, segments_of,
 )
-from tallyspark.operators.pages import documents_of, page_range
 from tallyspark.schema import FLAG, MONEY_TYPE, RECORD, RECORD_FIELDS
 
-CLAIM, ACCOUNT, ADMISSION = "claim", "account", "admission"
-INPATIENT, DIALYSIS, PHARMACY = "inpatient", "dialysis", "pharmacy"
-LAYOUTS = [CLAIM, ACCOUNT, ADMISSION, INPATIENT, DIALYSIS, PHARMACY]
-
-# marker that opens a segment, and whether blanks may come before it
-_MARKERS = {
-    CLAIM: (fixed.CLAIM_MARKER, True),
-    ACCOUNT: (fixed.ACCOUNT_MARKER, True),
-    ADMISSION: (fixed.ADMISSION_MARKER, False),
-    INPATIENT: (fixed.INPATIENT_MARKER, False),
-    DIALYSIS: (fixed.DIALYSIS_MARKER, False),
-}
-
-
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
-def layout_of(text: Column) -> Column:
-    """Which of the six layouts a document text has; null when none."""
-    words = lambda phrases: [text.contains(p) for p in phrases]
-    both = lambda phrases: reduce(lambda a, b: a & b, words(phrases))
-    return (
-        F.when(has(text, fixed.CLAIM_TOTAL, "im"), CLAIM)
-        .when(_any(words(fixed.ACCOUNT_WORDS)), ACCOUNT)
-        .when(both(fixed.ADMISSION_WORDS), ADMISSION)
-        .when(both(fixed.INPATIENT_WORDS), INPATIENT)
-        .when(_any([has(text, p, "im") for p in fixed.DIALYSIS_TOTALS]), DIALYSIS)
-        .when(_any(words(fixed.PHARMACY_NAMES)) & _any(words(fixed.PHARMACY_TABLES)), PHARMACY)
-    )
-
-
-def _by_layout(choices: dict[str, Column], otherwise: Column | None = None) -> Column:
-    layout = F.col("layout")
-    chain = reduce(
-        lambda chain, item: chain.when(layout == item[0], item[1]), choices.items(), F.when(F.lit(False), None)
-    )
-    return chain if otherwise is None else chain.otherwise(otherwise)
-
-
-def cut_at_markers(text: Column, marker: str, indented: bool) -> Column:
-    """Cut before every marker: ``array<struct<text, start>>``, without the part before the first one.
-
-    Blank lines ahead of an indented marker belong to its segment: they move the start back.
-    """
-    lead = r"[^\S\n]*" if indented else ""
-    opening = rf"^{lead}{marker}"
-
-    def with_starts(parts: Column) -> Column:
-        def step(state: Column, part: Column) -> Column:
-            opens = has(part, rf"\A{lead}{marker}", "im")
-            blanks = F.length(F.regexp_extract(state["last"], rx(r"^\s+\z", "m"), 0)) if indented else F.lit(0)
-            segment = F.struct(part.alias("text"), (state["at"] - blanks).alias("start"))
-            return F.struct(
-                F.when(opens, F.concat(state["found"], F.array(segment))).otherwise(state["found"]).alias("found"),
-                (state["at"] + F.length(part)).alias("at"),
-                part.alias("last"),
-            )
-
-        begin = F.struct(
-            F.array().cast("array<struct<text:string,start:int>>").alias("found"),
-            F.lit(0).alias("at"),
-            F.lit("").alias("last"),
-        )
-        return F.aggregate(parts, begin, step, lambda state: state["found"])
-
-    return with_starts(F.split(text, rx(f"(?={opening})", "im"), -1))
-
-
-def segments_of(documents: DataFrame) -> DataFrame:
-    """One row per segment of every recognised document: ``seg, segment, start, end``."""
-    whole = F.array(F.struct(F.col("text"), F.lit(0).alias("start")))
-    cut = {name: cut_at_markers(F.col("text"), *marker) for name, marker in _MARKERS.items()}
-    segments = _by_layout({**cut, PHARMACY: whole})
-    # end of a segment = start of the next one, or the end of the document
-    size = F.length("text")
-    with_ends = let(
-        F.struct(segments.alias("s"), size.alias("size")),
-        lambda x: F.transform(
-            x["s"],
-            lambda s, i: F.struct(
-                i.alias("seg"),
-                s["text"].alias("segment"),
-                s["start"].alias("start"),
-                F.coalesce(F.get(x["s"], i + 1)["start"], x["size"]).alias("end"),
-            ),
-        ),
-    )
-    kept = [c for c in documents.columns if c != "text"]
-    return documents.select(*kept, F.inline(with_ends))
-
-
-def read_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Documents with their joined text, layout, provider, and document-wide payer."""
-    documents = documents_of(pages, max_pages)
-    text = F.col("text")
-    with_layout = documents.withColumn("layout", layout_of(text))
-    has_layout = F.col("layout").isNotNull()
-    shared_payer = F.col("layout").isin(ACCOUNT, ADMISSION, INPATIENT)
-    return with_layout.withColumn("provider", F.when(has_layout, provider_of(text))).withColumn(
-        "document_payer", F.when(shared_payer, payer_in(text))
-    )
-
 
 def _marker_group(number: int, layouts: list[str]) -> Column:
     """A group of the marker that opens the segment, for the layouts whose marker has it."""
     choices = {}
     for name in layouts:
-        marker, indented = _MARKERS[name]
-        lead = r"[^\S\n]*" if indented else ""
-        choices[name] = first_text(F.col("segment"), rf"\A{lead}{marker}", number, "im")
-    return _by_layout(choices)
+        choices[name] = first_text(F.col("segment"), rf"\A{marker_line(name)}", number, "im")
+    return by_layout(choices)
 
 
 def _four_amounts() -> Column:
@@ -142,7 +34,7 @@ def _four_amounts() -> Column:
     segment = F.col("segment")
     total = lambda pattern: amounts_in(first_text(segment, pattern, 0, "im"))
     labels = lambda names: F.array(*[labelled_amount(segment, n) for n in names])
-    return _by_layout(
+    return by_layout(
         {
             CLAIM: total(fixed.CLAIM_TOTAL_LINE),
             ACCOUNT: total(fixed.ACCOUNT_TOTAL_LINE),
@@ -188,26 +80,29 @@ def _segment_records(segments: DataFrame) -> DataFrame:
     segment, layout = F.col("segment"), F.col("layout")
 
     groups = (
-        segments.withColumn("_group1", _marker_group(1, list(_MARKERS)))
+        segments.withColumn("_group1", _marker_group(1, list(MARKERS)))
         .withColumn("_group2", _marker_group(2, [CLAIM, ADMISSION, INPATIENT, DIALYSIS]))
         .withColumn("_group3", _marker_group(3, [ADMISSION, DIALYSIS]))
         .withColumn("_group4", _marker_group(4, [DIALYSIS]))
     )
     claim_id = F.concat("_group1", "_group2")
-    claim_row = F.concat(
-        F.lit(rx(r"^\s*", "m")), claim_id, F.lit(rf"\s+({fixed.CODE})\s+({fixed.DATE})\s+.*?\bCHARGE\b")
+    # charge lines of any claim by one constant pattern; those of this one carry its number
+    line = rf"^\s*(\d+\s+{fixed.CODE}\s+{fixed.DATE})\s+.*?\bCHARGE\b"
+    mine = F.filter(all_matches(segment, line, 1, "m"), lambda x: first_text(x, r"^\d+", 0) == claim_id)
+    claim_rows = lambda group: F.transform(
+        F.col("_charges"), lambda x: first_text(x, rf"^\d+\s+({fixed.CODE})\s+({fixed.DATE})", group)
     )
-    claim_rows = lambda group: F.regexp_extract_all(segment, claim_row, F.lit(group))
     account_rows = lambda group: all_matches(segment, fixed.ACCOUNT_ROW, group, "m")
     none = F.array().cast("array<string>")
 
     read = (
-        groups.withColumn("_section", F.when(layout == PHARMACY, billing_section(segment)))
+        groups.withColumn("_charges", F.when(layout == CLAIM, mine))
+        .withColumn("_section", F.when(layout == PHARMACY, billing_section(segment)))
         .withColumn("_amounts", F.when(layout == PHARMACY, _pharmacy_amounts(segment)).otherwise(_four_amounts()))
-        .withColumn("_codes", _by_layout({CLAIM: claim_rows(1), ACCOUNT: account_rows(2)}, none))
+        .withColumn("_codes", by_layout({CLAIM: claim_rows(1), ACCOUNT: account_rows(2)}, none))
         .withColumn(
             "_dates",
-            _by_layout(
+            by_layout(
                 {
                     CLAIM: F.slice(claim_rows(2), 1, 1),
                     ACCOUNT: account_rows(1),
@@ -219,7 +114,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
 
     amount = lambda i: F.get("_amounts", F.lit(i))
     complete = (F.size("_amounts") == 4) & ~F.exists("_amounts", lambda a: a.isNull())
-    valid = _by_layout(
+    valid = by_layout(
         {
             CLAIM: complete & (F.size("_codes") > 0),
             ACCOUNT: complete & (F.size("_codes") > 0),
@@ -230,7 +125,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
         }
     )
     marker_range = F.concat("_group1", F.lit(" - "), "_group2")
-    dates = _by_layout(
+    dates = by_layout(
         {
             CLAIM: F.get("_dates", F.lit(0)),
             ACCOUNT: printed_range(F.col("_dates")),
@@ -238,7 +133,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
         },
         marker_range,
     )
-    description = _by_layout(
+    description = by_layout(
         {
             ADMISSION: _continued_diagnosis(),
             INPATIENT: strip(first_text(segment, fixed.INPATIENT_DIAGNOSIS, 1, "im")),
@@ -250,7 +145,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
             ),
         }
     )
-    own_payer = _by_layout(
+    own_payer = by_layout(
         {
             CLAIM: claim_payer(lines_of(segment), claim_id),
             DIALYSIS: strip(first_match(segment, fixed.DIALYSIS_INSURER, 1, "i")),
@@ -260,7 +155,7 @@ def _segment_records(segments: DataFrame) -> DataFrame:
         own_payer, F.when(layout.isin(CLAIM, DIALYSIS), payer_in(segment)).otherwise(F.col("document_payer"))
     )
     fields = {
-        "invoice_number": _by_layout(
+        "invoice_number": by_layout(
             {
                 CLAIM: F.concat(F.lit("Claim "), claim_id),
                 ACCOUNT: F.concat(F.lit("Account "), "_group1"),
@@ -278,108 +173,80 @@ def _segment_records(segments: DataFrame) -> DataFrame:
         "adjustment": amount(2),
         "payments": F.when(layout == PHARMACY, amount(3)),
         "balance": F.when(layout == PHARMACY, F.lit(0).cast(MONEY_TYPE)).otherwise(amount(3)),
-        "page": page_range(F.col("page_nums"), F.col("page_ends"), F.col("start"), F.col("end")),
+        "page": F.col("page"),
     }
     return read.select(
         "doc_id", "layout", "seg", valid.alias("valid"), *[fields[name].alias(name) for name in RECORD_FIELDS]
     )
 
 
-def settle_claim_payers(records: Column) -> Column:
-    """Rewrite variants of the payer named most often in a document to that name.
+def _voted(rows: DataFrame) -> DataFrame:
+    """Claims with the variants of the payer that their document names most often rewritten to that name.
 
-    The unnamed payer neither counts nor changes. Ties go to the name seen first.
+    The unnamed payer neither counts nor changes. Ties go to the name seen first. Votes are counted per document and
+    name, so the work is in proportion to the claims.
     """
+    payer = F.get("insurers", F.lit(0))
+    counts = F.col("valid") & (F.col("layout") == CLAIM) & payer.isNotNull() & (payer != fixed.UNNAMED_PAYER)
+    rows = rows.withColumn("_named", F.when(counts, payer))
+    document, name = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "_named")
+    vote = F.struct(
+        F.count(F.lit(1)).over(name).alias("n"), (-F.min("seg").over(name)).alias("order"), F.col("_named").alias("name")
+    )
+    rows = rows.withColumn("_vote", F.when(F.col("_named").isNotNull(), vote))
+    rows = rows.withColumns(
+        {"_top": F.max("_vote").over(document), "_claims": F.sum(F.col("valid").cast("int")).over(document)}
+    )
+    top, low = F.col("_top.name"), F.lower("_named")
+    key = F.lower(top)
+    alike = key.contains(low) | low.contains(key) | F.arrays_overlap(name_words(F.col("_named")), name_words(top))
+    enough = F.col("_top.n") >= F.greatest(F.lit(2), F.floor(F.col("_claims") / 4))
+    settled = F.when(F.coalesce(enough & alike, F.lit(False)), F.array(top)).otherwise(F.col("insurers"))
+    return rows.withColumn("insurers", settled).drop("_named", "_vote", "_top", "_claims")
 
-    def settled(rows: Column) -> Column:
-        payer = lambda r: F.get(r["insurers"], F.lit(0))
-        named = F.filter(
-            F.transform(rows, payer), lambda p: p.isNotNull() & (p != fixed.UNNAMED_PAYER)
-        )
-
-        def ranked(names: Column) -> Column:
-            votes = F.transform(
-                F.array_distinct(names),
-                lambda name, i: F.struct(
-                    F.size(F.filter(names, lambda other: other == name)).alias("n"),
-                    (-i).alias("order"),
-                    name.alias("name"),
-                ),
-            )
-            return F.array_max(votes)
-
-        def rewritten(top: Column) -> Column:
-            enough = top["n"] >= F.greatest(F.lit(2), F.floor(F.size(rows) / 4))
-            key = F.lower(top["name"])
-
-            def one(row: Column) -> Column:
-                value = payer(row)
-                low = F.lower(value)
-                alike = (
-                    key.contains(low)
-                    | low.contains(key)
-                    | F.arrays_overlap(name_words(value), name_words(top["name"]))
-                )
-                change = enough & value.isNotNull() & (value != fixed.UNNAMED_PAYER) & alike
-                return row.withField(
-                    "insurers",
-                    F.when(F.coalesce(change, F.lit(False)), F.array(top["name"])).otherwise(row["insurers"]),
-                )
-
-            return F.transform(rows, one)
-
-        return let(let(named, ranked), lambda top: F.when(top.isNull(), rows).otherwise(rewritten(top)))
-
-    return let(records, settled)
 
+_DONE = "done"
 
-def extract_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """``doc_id, layout, records, flagged`` for every document that yields records.
 
-    Documents without a known layout, without a readable row, or longer than the limit yield nothing here;
-    they are what ``unextracted_documents`` lists.
-    """
-    found = _gathered_records(pages, max_pages).where(F.col("_state") == _DONE)
-    records = F.transform("_rows", lambda r: r["record"])
-    return found.select(
-        "doc_id",
-        "layout",
-        let(records, lambda r: F.when(F.col("layout") == CLAIM, settle_claim_payers(r)).otherwise(r)).alias("records"),
-        F.array().cast(f"array<{FLAG}>").alias("flagged"),
-    )
+def _read_records(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    """Records of all segments with their number ``idx`` and the ``state`` of their document, invalid ones too."""
+    rows = _voted(_segment_records(segments_of(pages, max_pages)))
+    document = Window.partitionBy("doc_id")
+    usable = F.sum(F.col("valid").cast("int"))
+    bad = F.max(F.col("valid") & F.col("treatment_date").isNull()).over(document)
+    state = F.when(usable.over(document) == 0, "no_readable_rows").when(bad, "bad_date").otherwise(_DONE)
+    return rows.withColumns({"state": state, "idx": (usable.over(document.orderBy("seg")) - 1).cast("int")})
 
 
-_DONE = "done"
-
+def extract_records(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """One row per billing record, numbered from zero within its document.
 
-def _gathered_records(pages: DataFrame, max_pages: int | None) -> DataFrame:
-    """Records of every document that has segments, and whether they are usable."""
-    rows = _segment_records(segments_of(read_documents(pages, max_pages)))
-    numbered = F.struct("seg", F.struct(*RECORD_FIELDS).cast(RECORD).alias("record"))
-    gathered = rows.groupBy("doc_id").agg(
-        F.first("layout").alias("layout"), F.sort_array(F.collect_list(F.when(F.col("valid"), numbered))).alias("_rows")
+    Documents without a known layout, without a readable row, with an impossible date, or longer than the limit yield
+    nothing here; they are what ``unextracted_documents`` lists.
+    """
+    rows = _read_records(pages, max_pages).where(F.col("valid") & (F.col("state") == _DONE))
+    return rows.select("doc_id", "layout", "idx", F.struct(*RECORD_FIELDS).cast(RECORD).alias("_r")).select(
+        "doc_id", "layout", "idx", "_r.*"
     )
-    bad_date = F.exists("_rows", lambda r: r["record"]["treatment_date"].isNull())
-    state = F.when(F.size("_rows") == 0, "no_readable_rows").when(bad_date, "bad_date").otherwise(_DONE)
-    return gathered.withColumn("_state", state)
 
 
-def extract_records(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """One row per billing record, numbered from zero within its document."""
-    # every document here has records; the outer form keeps the planner from testing their number beforehand
-    return extract_documents(pages, max_pages).select(
-        "doc_id", "layout", F.posexplode_outer("records").alias("idx", "_r")
-    ).select("doc_id", "layout", "idx", "_r.*")
+def extract_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """``doc_id, layout, records, flagged`` for every document that yields records."""
+    numbered = F.struct("idx", F.struct(*RECORD_FIELDS).cast(RECORD).alias("record"))
+    gathered = extract_records(pages, max_pages).groupBy("doc_id", "layout").agg(F.sort_array(F.collect_list(numbered)).alias("_rows"))
+    return gathered.select(
+        "doc_id", "layout", F.col("_rows.record").alias("records"), F.array().cast(f"array<{FLAG}>").alias("flagged")
+    )
 
 
 def unextracted_documents(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Documents that need another way of extraction, and why."""
-    documents = read_documents(pages, max_pages).select("doc_id", "layout", F.col("text").isNull().alias("_long"))
-    states = _gathered_records(pages, max_pages).select("doc_id", "_state")
+    documents = document_facts(pages, max_pages).select("doc_id", "layout", "too_long")
+    states = _read_records(pages, max_pages).groupBy(F.col("doc_id").alias("s_doc")).agg(F.max("state").alias("state"))
     reason = (
-        F.when(F.col("_long"), "too_long")
+        F.when(F.col("too_long"), "too_long")
         .when(F.col("layout").isNull(), "unknown_layout")
-        .otherwise(F.coalesce("_state", F.lit("no_readable_rows")))
+        .otherwise(F.coalesce("state", F.lit("no_readable_rows")))
     )
-    found = documents.join(states, "doc_id", "left").select("doc_id", "layout", reason.alias("reason"))
-    return found.where(F.col("reason") != _DONE)
+    met = documents.join(states, F.col("doc_id").eqNullSafe(F.col("s_doc")), "left")
+    return met.select("doc_id", "layout", reason.alias("reason")).where(F.col("reason") != _DONE)

@@ -9,55 +9,6 @@ from tallyspark.functions.page_kinds import page_kind, page_use
 from tallyspark.functions.text import let, snippet, strip
 
 
-def documents_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Join the pages of each document into one text and keep where each page ends.
-
-    No page is dropped, whatever its number. With ``max_pages`` a document of more pages is refused whole: it comes
-    out with a null text.
-    """
-    page = F.struct("page_num", F.coalesce("page_content", F.lit("")).alias("page_content"))
-    gathered = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("_pages"))
-    too_long = F.lit(False) if max_pages is None else F.size("_pages") > max_pages
-    lengths = F.transform("_pages", lambda p: F.length(p["page_content"]) + 1)
-    ends = F.aggregate(
-        lengths,
-        F.array().cast("array<int>"),
-        lambda done, n: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n)),
-    )
-    return gathered.select(
-        "doc_id",
-        F.col("_pages.page_num").alias("page_nums"),
-        F.when(~too_long, F.array_join(F.col("_pages.page_content"), "\n")).alias("text"),
-        # end offset of each page in the joined text, counting the line break that follows it
-        ends.alias("page_ends"),
-    )
-
-
-def page_range(page_nums: Column, page_ends: Column, start: Column, end: Column) -> Column:
-    """Pages whose text overlaps ``[start, end)``: ``3`` or ``3-5``, empty when there is none."""
-    spans = F.zip_with(
-        page_nums,
-        F.zip_with(
-            page_ends,
-            F.concat(F.array(F.lit(0)), page_ends),
-            lambda stop, begin: F.struct(begin.alias("begin"), (stop - 1).alias("stop")),
-        ),
-        lambda n, span: F.struct(n.alias("n"), span["begin"].alias("begin"), span["stop"].alias("stop")),
-    )
-    hit = F.transform(
-        F.filter(spans, lambda s: s["n"].isNotNull() & (s["begin"] < end) & (s["stop"] > start)),
-        lambda s: s["n"],
-    )
-
-    def shown(found: Column) -> Column:
-        first, last = F.array_min(found).cast("string"), F.array_max(found).cast("string")
-        return (
-            F.when(F.size(found) == 0, "").when(first == last, first).otherwise(F.concat(first, F.lit("-"), last))
-        )
-
-    return let(hit, shown)
-
-
 OFFSET_BLOCK = 256
 
 

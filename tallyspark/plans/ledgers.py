@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import extraction as ops
 from tallyspark.operators.rules import prefer_ledger, prefer_summary
+from tallyspark.operators.segments import document_facts, segments_of
 from tallyspark.plans.oracle_tables import ORDER_TOTALS, with_tables
 from tallyspark.plans.registry import as_double, joined, query
 from tallyspark.schema import MONEY_COLUMNS
@@ -176,7 +177,7 @@ FROM ledger GROUP BY doc""",
     ),
 )
 def document_layouts(spark, folder):
-    return ops.read_documents(warehouse.ledger_pages(spark, folder)).select("doc_id", "layout", "provider")
+    return document_facts(warehouse.ledger_pages(spark, folder)).select("doc_id", "layout", "provider")
 
 
 @query(
@@ -190,9 +191,8 @@ FROM ledger""",
 )
 def claim_segments(spark, folder):
     """Claim documents cut at their markers."""
-    documents = ops.read_documents(warehouse.ledger_pages(spark, folder, "claim"))
-    segments = ops.segments_of(documents)
-    return segments.select("doc_id", "seg", F.substring_index("segment", "\n", 1).alias("heading"))
+    segments = segments_of(warehouse.ledger_pages(spark, folder, "claim"))
+    return segments.select("doc_id", F.col("seg").cast("int").alias("seg"), F.substring_index("segment", "\n", 1).alias("heading"))
 
 
 # ---------------------------------------------------------------- rules that combine sources

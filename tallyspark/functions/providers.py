@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tallyspark import fixed
-from tallyspark.functions.text import blank_to_null, first_text, is_upper, let, rx, strip, title_case
+from tallyspark.functions.text import is_upper, let, rx, strip, title_case
 
 
 def clean_provider(name: Column) -> Column:
     bare = F.regexp_replace(strip(name), rx(fixed.CUSTODIAN_SUFFIX), "")
     titled = lambda v: F.replace(title_case(v), F.lit(", Pc"), F.lit(", PC"))
     return let(bare, lambda v: F.when(is_upper(v), titled(v)).otherwise(v))
-
-
-def provider_of(text: Column) -> Column:
-    """The custodian's name when the document states one, else its first line."""
-    custodian = clean_provider(first_text(text, fixed.CUSTODIAN, 1, "im"))
-    first_line = strip(first_text(text, r"(\S[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*)"))
-    heading = F.regexp_replace(first_line, rx(fixed.STATEMENT_SUFFIX, "i"), "")
-    return F.coalesce(blank_to_null(custodian), clean_provider(heading))

@@ -29,8 +29,14 @@ MARKERS = {
     INPATIENT: (fixed.INPATIENT_MARKER, False),
     DIALYSIS: (fixed.DIALYSIS_MARKER, False),
 }
+# what a marker needs, lower-cased
+_MARKER_WORDS = {
+    CLAIM: "claim", ACCOUNT: "account", ADMISSION: "admission:", INPATIENT: "inpatient episode:", DIALYSIS: "treatment",
+}
 INDENTED = [name for name, (_, indented) in MARKERS.items() if indented]
 NO_NUMBER = -(1 << 40)  # block of the pages without a number, which come first
+NO_DOCUMENT = "\x00"  # key of the pages without a document, which are one document
+HEAD = 200  # code points of a text that tell the order of pages of one number where the text itself is not at hand
 
 
 def marker_line(layout: str) -> str:
@@ -49,33 +55,45 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _page_tests(text: Column) -> dict[str, Column]:
-    """What a page says about the layout and payer of its document; a document has what one of its pages has."""
+def _page_tests(text: Column, low: Column) -> dict[str, Column]:
+    """What a page says about the layout and payer of its document; a document has what one of its pages has.
+
+    A plain search for a word that a pattern needs spares most pages the pattern.
+    """
     words = lambda phrases: _any([text.contains(p) for p in phrases])
     tests = {
-        "claim": has(text, fixed.CLAIM_TOTAL, "im"),
+        "claim": low.contains("claim total:") & has(text, fixed.CLAIM_TOTAL, "im"),
         "account": words(fixed.ACCOUNT_WORDS),
-        "dialysis": _any([has(text, p, "im") for p in fixed.DIALYSIS_TOTALS]),
+        "dialysis": low.contains("period total") & _any([has(text, p, "im") for p in fixed.DIALYSIS_TOTALS]),
         "pharmacy": words(fixed.PHARMACY_NAMES),
         "fills": words(fixed.PHARMACY_TABLES),
-        "not_unnamed": has(text, fixed.UNNAMED_PAYER_EXCEPT, "i"),
+        "not_unnamed": low.contains("insurance pa") & has(text, fixed.UNNAMED_PAYER_EXCEPT, "i"),
     }
     for kind, phrases in (("admission", fixed.ADMISSION_WORDS), ("inpatient", fixed.INPATIENT_WORDS)):
         tests |= {f"{kind}{i}": text.contains(p) for i, p in enumerate(phrases)}
-    return tests | {f"unnamed{i}": has(text, p, "i") for i, p in enumerate(fixed.UNNAMED_PAYER_WORDS)}
+    needed = ("insurance", "payment")
+    return tests | {
+        f"unnamed{i}": low.contains(needed[i]) & has(text, p, "i") for i, p in enumerate(fixed.UNNAMED_PAYER_WORDS)
+    }
 
 
-def _page_names(text: Column) -> dict[str, Column]:
+def _page_names(text: Column, low: Column) -> dict[str, Column]:
     """Names as the page prints them first; of a document the first page's count."""
+    when = lambda word, value: F.when(low.contains(word), value)
     return {
-        "custodian": first_match(text, fixed.CUSTODIAN, 1, "im"),
-        "heading": first_match(text, r"(\S[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*)"),
-        "label": first_match(text, fixed.PAYER_LABEL, 1, "im"),
-        "table": first_match(text, fixed.PAYER_TABLE, 1, "im"),
-        "inline": first_match(text, fixed.PAYER_INLINE, 1, "im"),
+        "custodian": when("records custodian:", first_match(text, fixed.CUSTODIAN, 1, "im")),
+        "heading": first_match(text, r"(\S[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)"),
+        "label": F.when(low.contains("ins") | low.contains("payer"), first_match(text, fixed.PAYER_LABEL, 1, "im")),
+        "table": when("patient name", first_match(text, fixed.PAYER_TABLE, 1, "im")),
+        "inline": when("insurance", first_match(text, fixed.PAYER_INLINE, 1, "im")),
     }
 
 
+def _bits(tests) -> Column:
+    """Tests as the bits of one number, which adds up faster than as many columns."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)])
+
+
 def _layout(is_true) -> Column:
     both = lambda kind, phrases: reduce(lambda a, b: a & b, [is_true(f"{kind}{i}") for i in range(len(phrases))])
     return (
@@ -92,10 +110,12 @@ def _placed(pages: DataFrame) -> DataFrame:
     """Pages with their block and their place in it; pages of one number go by their text."""
     text = F.coalesce("page_content", F.lit(""))
     block = F.coalesce(F.expr(f"CAST(page_num AS BIGINT) div {OFFSET_BLOCK}"), F.lit(NO_NUMBER))
-    place = F.struct("page_num", F.left(text, F.lit(200)).alias("head"), F.xxhash64(text).alias("hash"))
-    return pages.select(
-        "doc_id", "page_num", text.alias("text"), block.alias("block"), place.alias("place"), F.length(text).alias("size")
-    )
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_DOCUMENT))
+    return pages.select(named.alias("doc_id"), "page_num", text.alias("text"), block.alias("block"), F.length(text).alias("size"))
+
+
+def _document_id() -> Column:
+    return F.nullif("doc_id", F.lit(NO_DOCUMENT)).alias("doc_id")
 
 
 def _solid(text: Column) -> Column:
@@ -106,22 +126,24 @@ def _solid(text: Column) -> Column:
 
 def _blocks(pages: DataFrame) -> DataFrame:
     """Per block: what lies before it in its document, and layout, names and size of the document."""
-    text, placed = F.col("text"), _placed(pages)
-    tests, names = _page_tests(text), _page_names(text)
-    marks = {name: F.regexp_count(text, F.lit(rx(f"(?=^{marker_line(name)})", "im"))) for name in MARKERS}
+    text, low = F.col("text"), F.col("low")
+    placed = _placed(pages).withColumn("low", F.lower("text"))
+    tests, names = _page_tests(text, low), _page_names(text, low)
+    count = lambda name: F.regexp_count(text, F.lit(rx(f"(?=^{marker_line(name)})", "im"))).cast("long")
+    marks = {name: F.when(low.contains(word), count(name)).otherwise(F.lit(0)) for name, word in _MARKER_WORDS.items()}
     facts = placed.select(
-        "doc_id", "block", "place", (F.col("size") + 1).cast("long").alias("size"),
-        _solid(F.concat(text, F.lit("\n"))).cast("long").alias("solid"),
-        *[test.alias(f"is_{name}") for name, test in tests.items()],
+        "doc_id", "block", F.struct("page_num", F.left("text", F.lit(HEAD)).alias("head")).alias("place"),
+        (F.col("size") + 1).cast("long").alias("size"), _solid(F.concat(text, F.lit("\n"))).cast("long").alias("solid"),
+        _bits(tests.values()).alias("tests"),
         *[value.alias(f"name_{name}") for name, value in names.items()],
-        *[count.cast("long").alias(f"marks_{name}") for name, count in marks.items()],
+        *[value.alias(f"marks_{name}") for name, value in marks.items()],
     )
     earlier = Window.partitionBy("doc_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("size").over(earlier), F.lit(0))
     first = lambda c: F.min_by(F.struct("place", F.col(c).alias("name")), F.when(F.col(c).isNotNull(), F.col("place")))
     sums = facts.withColumn("solid", F.col("solid") + begin).groupBy("doc_id", "block").agg(
         F.sum("size").alias("size"), F.max("solid").alias("solid"), F.count(F.lit(1)).alias("pages"),
-        *[F.max(f"is_{name}").alias(f"is_{name}") for name in tests],
+        F.bit_or("tests").alias("tests"),
         *[first(f"name_{name}").alias(f"name_{name}") for name in names],
         *[F.sum(f"marks_{name}").alias(f"marks_{name}") for name in marks],
     )
@@ -133,11 +155,12 @@ def _blocks(pages: DataFrame) -> DataFrame:
         (F.sum("size").over(document) - 1).alias("doc_size"),
         F.sum("pages").over(document).alias("pages"),
         F.first("block").over(document.orderBy("block")).alias("first_block"),
-        *[F.max(f"is_{name}").over(document).alias(f"is_{name}") for name in tests],
+        F.bit_or("tests").over(document).alias("tests"),
         *[F.min(f"name_{name}").over(document)["name"].alias(f"name_{name}") for name in names],
         *[F.coalesce(F.sum(f"marks_{name}").over(before), F.lit(0)).alias(f"marks_{name}") for name in marks],
     )
-    is_true = lambda name: F.col(f"is_{name}")
+    place_of = {name: 1 << i for i, name in enumerate(tests)}
+    is_true = lambda name: F.col("tests").bitwiseAND(F.lit(place_of[name])) != 0
     heading = F.regexp_replace(strip(F.col("name_heading")), rx(fixed.STATEMENT_SUFFIX, "i"), "")
     provider = F.coalesce(
         blank_to_null(clean_provider(F.coalesce("name_custodian", F.lit("")))), clean_provider(heading), F.lit("")
@@ -172,7 +195,7 @@ def document_facts(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     With ``max_pages`` a document of more pages is refused whole: ``too_long``, with no layout.
     """
     blocks = _within(_blocks(pages), max_pages).where("is_first")
-    return blocks.select("doc_id", "layout", "provider", "document_payer", "too_long")
+    return blocks.select(_document_id(), "layout", "provider", "document_payer", "too_long")
 
 
 def segments_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -188,10 +211,9 @@ def segments_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
         F.col("doc_id").alias("b_doc"), F.col("block").alias("b_block"), "base", "doc_size", "solid_before", "layout",
         "provider", "document_payer", "marks",
     )
-    same = F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("block") == F.col("b_block"))
-    rows = _placed(pages).join(bases, same)
+    rows = _placed(pages).join(bases, (F.col("doc_id") == F.col("b_doc")) & (F.col("block") == F.col("b_block")))
     in_block = Window.partitionBy("doc_id", "block")
-    rows = rows.withColumn("place", F.row_number().over(in_block.orderBy("place")))
+    rows = rows.withColumn("place", F.row_number().over(in_block.orderBy("page_num", "text")))
 
     # the part of a page before its first marker goes on with the segment before; it may be empty
     def cut(name):
@@ -228,7 +250,7 @@ def segments_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
         "page_num", F.col("page_begin").alias("begin"), (F.col("page_begin") + F.col("size")).alias("stop")
     )
     null = lambda kind: F.lit(None).cast(kind)
-    trailing = F.length(with_break) - F.coalesce(F.col("solid"), F.lit(0)) > 1
+    trailing = F.col("solid").isNull() | (F.length(with_break) - F.col("solid") > 1)
     item = lambda seg, text, at, end, on: F.struct(
         seg.cast("long").alias("seg"), text.alias("text"), at.cast("long").alias("start"), end.cast("long").alias("end"),
         on.alias("page"),
@@ -240,7 +262,8 @@ def segments_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     ends = F.when(opens, item(F.col("seg") - 1, null("string"), null("long"), start, F.when(F.lit(False), page)))
     # blank lines at the end of a page may belong to the next segment
     ahead = F.when(
-        is_last & trailing & F.col("layout").isin(*INDENTED), item(F.col("seg") + 1, null("string"), null("long"), null("long"), page)
+        is_last & trailing & F.col("layout").isin(*INDENTED),
+        item(F.col("seg") + 1, null("string"), null("long"), null("long"), page),
     )
     items = pieces.select(
         "doc_id", "block", "place", "layout", "provider", "document_payer", "doc_size",
@@ -263,5 +286,5 @@ def segments_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
         lambda x: F.when(x["a"].isNull(), "").when(x["a"] == x["b"], x["a"]).otherwise(F.concat(x["a"], F.lit("-"), x["b"])),
     )
     return found.where("start IS NOT NULL").select(
-        "doc_id", "seg", "segment", "layout", "provider", "document_payer", shown.alias("page")
+        _document_id(), "seg", "segment", "layout", "provider", "document_payer", shown.alias("page")
     )

@@ -10,11 +10,19 @@ from tallyspark.operators.segments import document_facts, segments_of
 from tallyspark.plans.oracle_tables import ORDER_TOTALS, with_tables
 from tallyspark.plans.registry import as_double, joined, query
 from tallyspark.schema import MONEY_COLUMNS
-from tallyspark.sources import warehouse
+from tallyspark.session import new_folder
+from tallyspark.sources import files, warehouse
+
+
+def _pages(spark, folder, layout=None):
+    """The printed ledgers as page files in the shared folder, read back."""
+    path = new_folder(spark, "pages")
+    warehouse.ledger_pages(spark, folder, layout).write.parquet(path)
+    return files.read_pages(spark, path)
 
 
 def _records(spark, folder, layout):
-    return ops.extract_records(warehouse.ledger_pages(spark, folder, layout))
+    return ops.extract_records(_pages(spark, folder, layout))
 
 
 def _scalars(records):
@@ -71,6 +79,24 @@ def extract_claims(spark, folder):
     return _scalars(_records(spark, folder, "claim"))
 
 
+# All orders as one document whose page numbers have gaps; a claim on two pages names both.
+_LONG = _CLAIM_PAYERS.replace("k // 8 AS doc", "0 AS doc").replace("PARTITION BY k // 8", "PARTITION BY 0").replace(
+    "(k % 8) // 3 + 2 AS INTEGER", "k // 8 * 16 + (k % 8) // 3 + 2 AS INTEGER"
+)
+
+
+@query("extract_long_document", with_tables(_LONG, CLAIMS_SQL.replace("CAST(doc AS VARCHAR)", "'all'")))
+def extract_long_document(spark, folder):
+    """All claims of all orders as one document, sixteen page numbers apart; the first heading stands for all."""
+    pages = _pages(spark, folder, "claim")
+    document = F.col("doc_id").cast("int")
+    first = pages.agg(F.min(document).alias("first"))
+    kept = (F.col("page_num") > 1) | (document == F.col("first"))
+    one = pages.join(F.broadcast(first), kept)  # one row: the least document
+    number = (document * 16 + F.col("page_num")).cast("int")
+    return _scalars(ops.extract_records(one.select(F.lit("all").alias("doc_id"), number.alias("page_num"), "page_content")))
+
+
 @query("extract_accounts", with_tables(ORDER_TOTALS, ACCOUNTS_SQL))
 def extract_accounts(spark, folder):
     return _scalars(_records(spark, folder, "account"))
@@ -138,7 +164,7 @@ _MIXED = ORDER_TOTALS + """, mixed AS (
 )
 def extract_mixed(spark, folder):
     """All layouts in one pass, counted per layout."""
-    documents = ops.extract_documents(warehouse.ledger_pages(spark, folder))
+    documents = ops.extract_documents(_pages(spark, folder))
     charges = F.aggregate(
         "records", F.lit(0).cast("decimal(28,2)"),
         lambda acc, r: (acc + r["total_charges"]).cast("decimal(28,2)"),
@@ -162,7 +188,7 @@ WHERE kind = 6 GROUP BY doc""",
     ),
 )
 def unextracted_documents(spark, folder):
-    return ops.unextracted_documents(warehouse.ledger_pages(spark, folder))
+    return ops.unextracted_documents(_pages(spark, folder))
 
 
 @query(
@@ -177,7 +203,7 @@ FROM ledger GROUP BY doc""",
     ),
 )
 def document_layouts(spark, folder):
-    return document_facts(warehouse.ledger_pages(spark, folder)).select("doc_id", "layout", "provider")
+    return document_facts(_pages(spark, folder)).select("doc_id", "layout", "provider")
 
 
 @query(
@@ -191,7 +217,7 @@ FROM ledger""",
 )
 def claim_segments(spark, folder):
     """Claim documents cut at their markers."""
-    segments = segments_of(warehouse.ledger_pages(spark, folder, "claim"))
+    segments = segments_of(_pages(spark, folder, "claim"))
     return segments.select("doc_id", F.col("seg").cast("int").alias("seg"), F.substring_index("segment", "\n", 1).alias("heading"))
 
 

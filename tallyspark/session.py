@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when that costs one more exchange above the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # collected parts of segments: more groups in memory before an aggregation turns to sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     # texts are large: fewer rows at once in Python tasks
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -117,8 +117,7 @@ def extract_dialysis(spark, folder):
     return _scalars(_records(spark, folder, "dialysis"))
 
 
-# Party names per fill in printed order; in lists of fifty and more a name must occur three times (three percent
-# of at most 64 fills never asks for more).
+# Party names per fill in printed order; in lists of fifty and more a name must occur three times, or in three percent.
 _PHARMACY = ORDER_TOTALS + """, fills AS (
   SELECT s.k // 8 AS doc, s.part % 4 AS party, row_number() OVER (PARTITION BY s.k // 8 ORDER BY s.k, s.slot) AS pos,
     s.first_ship FROM slots s), counted AS (
@@ -127,7 +126,7 @@ _PHARMACY = ORDER_TOTALS + """, fills AS (
   FROM fills GROUP BY doc), parties AS (
   SELECT s.doc, string_agg(CASE party WHEN 0 THEN 'Corner Discount' WHEN 1 THEN 'Delta PBM' WHEN 2 THEN 'Sun Saver Card'
     ELSE 'CAREX' END, '|' ORDER BY pos) AS names
-  FROM sized s JOIN counted c ON s.doc = c.doc WHERE n >= CASE WHEN fills >= 50 THEN 3 ELSE 1 END GROUP BY s.doc),
+  FROM sized s JOIN counted c ON s.doc = c.doc WHERE n >= CASE WHEN fills >= 50 THEN greatest(3, floor(fills * 0.03)) ELSE 1 END GROUP BY s.doc),
   sums_of AS (SELECT doc, sum(total) AS total, sum(paid) AS paid, sum(open) AS open FROM ledger GROUP BY doc)"""
 
 
@@ -235,7 +234,7 @@ def summary_over_items(spark, folder):
     """Order totals from a summary where there is one (every second order), else from the items."""
     orders = warehouse.order_totals(spark, folder)
     null = lambda *names: [F.lit(None).cast("decimal(18,2)").alias(n) for n in names]
-    items = warehouse.line_slots(spark, folder).select(
+    items = warehouse.order_lines(spark, folder).select(
         "k", F.col("gross").cast("decimal(18,2)").alias("total_charges"),
         *null("ins_paid", "adjustment", "payments", "balance"),
     )

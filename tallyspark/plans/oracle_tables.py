@@ -1,14 +1,17 @@
 """The derived tables of ``sources.warehouse`` once more, as SQL for the oracles."""
 
 SLOTS = """slots AS (
-  SELECT l_orderkey AS k, l_linenumber % 8 AS slot,
-    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS gross,
-    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS disc,
-    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS tax,
-    max(l_tax) AS max_tax, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship,
-    min(l_returnflag) AS flag, min(l_linestatus) AS line_status, min(l_suppkey) AS supp, min(l_partkey) AS part,
-    max(l_quantity) AS qty, count(*) AS n
-  FROM lineitem GROUP BY l_orderkey, l_linenumber % 8)"""
+  SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST,
+      l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST, l_extendedprice NULLS FIRST,
+      l_discount NULLS FIRST, l_tax NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST,
+      l_shipdate NULLS FIRST) AS slot,
+    CAST(l_extendedprice AS DECIMAL(18,2)) AS gross,
+    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS disc,
+    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS tax,
+    l_tax AS max_tax, l_shipdate AS first_ship, l_shipdate + to_days(CAST(l_partkey % 5 AS INTEGER)) AS last_ship,
+    l_returnflag AS flag, l_linestatus AS line_status, l_suppkey AS supp, l_partkey AS part,
+    l_quantity AS qty, l_partkey % 2 + 1 AS n
+  FROM lineitem)"""
 
 RECORDS = SLOTS + """, parts_of AS (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS idx,

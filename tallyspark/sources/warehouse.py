@@ -1,18 +1,21 @@
 """Billing tables derived from the order tables of a warehouse folder.
 
-Line items are first added up per order and line slot (eight slots), so a job holds at most eight records
-and a ledger document (eight orders) at most 64 lines, however many rows one order may have.
+Every line item is a record of its own, numbered inside its order; a job holds as many records as its order has lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyspark import fixed
 from tallyspark.schema import FLAG, MONEY_COLUMNS, RECORD, RESULT
 
-SLOTS = 8
 ORDERS_PER_DOCUMENT = 8
+#: Order of the lines of an order; lines equal in all of them are interchangeable.
+LINE_ORDER = [
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+]
 PAYER_NAMES = ["Quartz Meadow Health", "Quartz Meadow Plan", "Granite Mutual", "Harbor Life", fixed.UNNAMED_PAYER]
 PARTY_NAMES = ["Corner Discount", "Delta PBM", "Sun Saver Card", "CAREX"]
 
@@ -21,39 +24,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def line_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items per order ``k`` and ``slot``, combined before the shuffle.
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as ``k``, ``slot`` (from one inside the order) and their values; one exchange, by order.
 
-    Amounts are summed as whole cents (and hundredths of cents), which is exact and stays in machine integers.
-    One-letter flags are compared as numbers: a text minimum would turn the hash aggregate into two sorts.
+    Amounts are taken as whole cents (and hundredths of cents), which is exact and stays in machine integers.
     """
     hundredths = lambda name: F.round(F.col(name) * 100).cast("bigint")
-    price = hundredths("l_extendedprice")
-    sums = (
-        table(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % SLOTS).alias("slot"))
-        .agg(
-            F.sum(price).alias("gross"),
-            F.sum(price * hundredths("l_discount")).alias("disc"),
-            F.sum(price * hundredths("l_tax")).alias("tax"),
-            F.max("l_tax").alias("max_tax"),
-            F.min("l_shipdate").alias("first_ship"),
-            F.max("l_shipdate").alias("last_ship"),
-            F.min(F.ascii("l_returnflag")).alias("flag"),
-            F.min(F.ascii("l_linestatus")).alias("line_status"),
-            F.min("l_suppkey").alias("supp"),
-            F.min("l_partkey").alias("part"),
-            F.max("l_quantity").alias("qty"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    scaled = lambda name, unit: (F.col(name).cast("decimal(18,0)") * F.lit(unit).cast("decimal(4,4)"))
-    return (
-        sums.withColumn("gross", scaled("gross", "0.01").cast("decimal(18,2)"))
-        .withColumn("disc", scaled("disc", "0.0001"))
-        .withColumn("tax", scaled("tax", "0.0001"))
-        .withColumn("flag", F.char("flag"))
-        .withColumn("line_status", F.char("line_status"))
+    scaled = lambda value, unit: value.cast("decimal(18,0)") * F.lit(unit).cast("decimal(4,4)")
+    price, part = hundredths("l_extendedprice"), F.col("l_partkey")
+    days = F.make_dt_interval((part % 5).cast("int"))
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("k"),
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).alias("slot"),
+        scaled(price, "0.01").cast("decimal(18,2)").alias("gross"),
+        scaled(price * hundredths("l_discount"), "0.0001").alias("disc"),
+        scaled(price * hundredths("l_tax"), "0.0001").alias("tax"),
+        F.col("l_tax").alias("max_tax"),
+        F.col("l_shipdate").alias("first_ship"),
+        (F.col("l_shipdate") + days).alias("last_ship"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("line_status"),
+        F.col("l_suppkey").alias("supp"),
+        part.alias("part"),
+        F.col("l_quantity").alias("qty"),
+        (part % 2 + 1).alias("n"),
     )
 
 
@@ -66,7 +60,7 @@ def _us(value: Column) -> Column:
 
 
 def slot_record() -> Column:
-    """The billing record of one line slot."""
+    """The billing record of one line."""
     c = F.col
     k = c("k").cast("string")
     invoice = F.concat(F.lit("INV-"), k, F.lit("-"), (c("slot") % 2).cast("string"))
@@ -108,8 +102,8 @@ def slot_record() -> Column:
 
 
 def order_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``k, records, flagged`` per order that has line items; flags mark slots of high quantity."""
-    slots = line_slots(spark, folder).select("k", F.struct("slot", "qty", slot_record().alias("record")).alias("_s"))
+    """``k, records, flagged`` per order that has line items; flags mark lines of high quantity."""
+    slots = order_lines(spark, folder).select("k", F.struct("slot", "qty", slot_record().alias("record")).alias("_s"))
     gathered = slots.groupBy("k").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     flags = F.array_compact(
         F.transform(
@@ -287,8 +281,8 @@ def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- ledger documents
 
 def order_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Per order: totals, dates and its at most eight slot lines, with the document and page it is printed on."""
-    slots = line_slots(spark, folder).withColumn("amount", _cents(F.col("gross")))
+    """Per order: totals, dates and its lines, with the document and page it is printed on."""
+    slots = order_lines(spark, folder).withColumn("amount", _cents(F.col("gross")))
     line = F.struct("slot", "part", "first_ship", "amount", "n")
     totals = slots.groupBy("k").agg(
         F.sort_array(F.collect_list(line)).alias("lines"),
@@ -341,8 +335,8 @@ def _claim_block() -> tuple[Column, Column]:
     tail = F.when(unnamed, "\nPayment").otherwise("")
     opening = F.when(F.col("k") % 2 == 0, _text("** CLAIM ", number, " **")).otherwise(_text("Claim ID ", number))
     charge = lambda s: _text(
-        "Therapy hour / ", shown, "\n", number, " 9", F.lpad((s["part"] % 10000).cast("string"), 4, "0"), " ",
-        _us(s["first_ship"]), " CHARGE OKORO LENA ", _money(s["amount"]), tail, "\nPAYMENT ACH ****1234 $-1.00",
+        "Item ", s["part"].cast("string"), " / ", shown, "\n", number, " 9", F.lpad((s["part"] % 10000).cast("string"), 4, "0"),
+        " ", _us(s["first_ship"]), " CHARGE VESTER IDA ", _money(s["amount"]), tail, "\nPAYMENT CARD at the desk $-1.00",
     )
     body = _text(opening, "\n", F.array_join(F.transform("lines", charge), "\n"))
     return body, _text("CLAIM TOTAL: ", _amounts())
@@ -364,7 +358,7 @@ def _admission_block() -> tuple[Column, Column]:
     wrapped = F.when(F.col("k") % 2 == 1, "\nexacerbation").otherwise("")
     body = _text(
         "Admission: ", _us(F.col("first_ship")), " | Discharge: ", _us(F.col("last_ship")), " | Diagnosis: ",
-        _diagnosis(), wrapped, "\nRev\nDate Description Qty Unit Charge Total Charge",
+        _diagnosis(), wrapped, "\nCode\nBoard and care by night",
     )
     return body, _text(
         "Payment Summary\nTotal Charges: ", _money(F.col("total")), " Insurance Paid: ", _money(F.col("paid")),
@@ -399,8 +393,8 @@ def _dialysis_block() -> tuple[Column, Column]:
 def _pharmacy_block() -> tuple[Column, Column]:
     fill = lambda s: _text(
         _us(s["first_ship"]), " ", (F.col("k") % 9000000 + 1000000).cast("string"),
-        " Loratadine 10mg 51079-0246-20 WEBER NADIA 14 90 ", _money(s["amount"]), " ",
-        _pick(PARTY_NAMES, s["part"] % len(PARTY_NAMES)), " (BIN 730418)",
+        " Ramipril 5mg 40118-0932-75 STRAND OLE 56 28 ", _money(s["amount"]), " ",
+        _pick(PARTY_NAMES, s["part"] % len(PARTY_NAMES)), " (BIN 550071)",
     )
     lines = F.transform("lines", fill)
     all_but_last = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
@@ -414,15 +408,15 @@ _BLOCKS = {
     "inpatient": _inpatient_block, "dialysis": _dialysis_block, "pharmacy": _pharmacy_block,
 }
 _HEADINGS = {
-    "claim": "Page one\nRECORDS CUSTODIAN:\nALDER GROVE CLINIC, PC (Billing Records)",
+    "claim": "Copies for the file\nRECORDS CUSTODIAN:\nALDER GROVE CLINIC, PC (Billing Records)",
     "account": "Pinecrest Scan Partners, Inc. Patient Billing Statement\nPatient Name Date of Birth Insurance\n"
-    "Ruth Okafor 03/14/1971 Lantern Bay Coverage",
+    "Mads Elgin 12/08/1959 Lantern Bay Coverage",
     "admission": "Harrow Lane Care Patient Account Statement\nInsurance: Cedar Mutual Plan",
     "inpatient": "MERCY HOSPITAL\nPayer: Harbor Life (HL 22)",
     "dialysis": "Kidney Partners Patient Billing Statement",
     "pharmacy": "Juniper Street Pharmacy Pharmacy Expense Report\n"
     "Date Rx # Drug NDC Prescriber Qty Days Charge 3rd Party",
-    "prose": "Some unrelated page of prose.",
+    "prose": "Minutes of the gardening club.",
 }
 MIXED_LAYOUTS = ["claim", "account", "admission", "inpatient", "dialysis", "pharmacy", "prose"]
 

@@ -23,7 +23,7 @@ from tallyspark.sources import files
         ("Prescriber: X\nNPI: 1\nDiagnosis: J06.9", "prescription"),
         ("  \n ", "empty"),
         (None, "empty"),
-        ("Some unrelated page of prose.", "other"),
+        ("A letter about the weather.", "other"),
     ],
 )
 def test_page_kind(spark, text, kind):

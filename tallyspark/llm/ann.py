@@ -164,16 +164,23 @@ def best_of_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Da
         for row in range(len(product)):
             q_id, vector = q_ids[first + row], q[first + row]
             scale = np.abs(product[row]).max()
-            near = np.flatnonzero(product[row] >= edge[row] - SLACK * scale)
-            scores = (kinds[near] * vector).sum(axis=1)
-            found = [order[starts[n] : starts[n + 1]][: 2 * k + 2] for n in near]
-            at = ids[np.concatenate(found)]
-            score = np.repeat(scores, [len(f) for f in found])
-            best = np.lexsort((at, -score))
-            at, score = at[best], score[best]
-            fresh = at != q_id
-            fresh[1:] &= (at[1:] != at[:-1]) | (score[1:] != score[:-1])
-            out.append((np.full(len(at), q_id)[fresh][:k], at[fresh][:k], score[fresh][:k]))
+            least, wanted = edge[row], k + 1
+            while True:
+                near = np.flatnonzero(product[row] >= least - SLACK * scale)
+                scores = (kinds[near] * vector).sum(axis=1)
+                found = [order[starts[n] : starts[n + 1]][: k + 1] for n in near]  # an id stands once in a kind
+                at = ids[np.concatenate(found)]
+                score = np.repeat(scores, [len(f) for f in found])
+                best = np.lexsort((at, -score))
+                at, score = at[best], score[best]
+                # an id counts by its best vector
+                fresh = np.sort(np.unique(at, return_index=True)[1])
+                fresh = fresh[at[fresh] != q_id]
+                if len(fresh) >= k or len(near) == len(kinds):
+                    break
+                wanted = min(2 * wanted, len(kinds))
+                least = -np.partition(-product[row], wanted - 1)[wanted - 1]
+            out.append((np.full(len(fresh[:k]), q_id), at[fresh[:k]], score[fresh[:k]]))
     return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(empty)})
 
 
@@ -203,7 +210,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     rows = rows.where(F.size("vector") == size)
     share = min(1.0, SAMPLE_ROWS / max(1, total))
     chosen = F.pmod(F.xxhash64("vec_id", F.lit("index")), F.lit(SCALE)) / float(SCALE) < share
-    sample = rows.where(chosen).select("vec_id", "vector").orderBy("vec_id", "vector").toPandas()
+    sample = rows.where(chosen).select("vec_id", "vector").distinct().orderBy("vec_id", "vector").toPandas()
     points = np.stack(sample["vector"]).astype(np.float64) if len(sample) else np.zeros((0, size))
     sent = spark.sparkContext.broadcast(fit(points, total))
 
@@ -218,7 +225,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             yield batch.append_column("parts", parts).append_column("visits", visits)
 
     kinds = "vec_id long, vector array<double>, asks boolean, parts array<long>, visits array<long>"
-    routed = stored(rows.mapInArrow(route, kinds), "routed")
+    once = rows.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
+    routed = stored(once.mapInArrow(route, kinds), "routed")
     visits = routed.where("asks").select(
         F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.explode("visits").alias("part")
     )
@@ -230,11 +238,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         (p, -(-n // BLOCK_ROWS), max(1, -(-n_asks.get(p, 0) // BLOCK_QUERIES))) for p, n in sorted(n_rows.items())
     ]
     plan = F.broadcast(spark.createDataFrame(blocks, "part long, row_blocks long, ask_blocks long"))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    deal = lambda n, *keys: F.pmod(F.xxhash64(*keys), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(plan, "part").withColumn("row_block", deal("vec_id", "row_blocks"))
+    left = indexed.join(plan, "part").withColumn("row_block", deal("row_blocks", "vec_id", "vector"))
     left = left.select("part", "row_block", every("ask_blocks").alias("ask_block"), "vec_id", "vector")
-    right = visits.join(plan, "part").withColumn("ask_block", deal("query_id", "ask_blocks"))
+    right = visits.join(plan, "part").withColumn("ask_block", deal("ask_blocks", "query_id", "asked"))
     right = right.select("part", every("row_blocks").alias("row_block"), "ask_block", "query_id", "asked")
     keys = ["part", "row_block", "ask_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

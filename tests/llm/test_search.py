@@ -72,3 +72,13 @@ def test_unusable_vectors_take_no_part(spark):
 def test_parts_are_balanced(clustered):
     parts = ann.balanced_parts(ann.neighbour_graph(clustered[:640]), 16)
     assert sorted(np.bincount(parts)) == [40] * 16
+
+
+def test_repeated_ids_hide_no_others(spark):
+    # one id stands sixty times beside 32 others with its vector; another id has forty vectors, all of them near
+    rows = [(0, [1.0, 0.1])] + [(7, [3.0, 1.0])] * 60 + [(100 + k, [3.0, 1.0]) for k in range(32)]
+    rows += [(50, [4.0, 1.0 + k / 100]) for k in range(40)] + [(200 + k, [1.0, -k / 10]) for k in range(30)]
+    found = ann.search(frame(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [50, 7, *range(100, 118)]
+    assert found[0].score == pytest.approx(4.0 + 0.1 * 1.39)
+    assert [r.rank for r in found] == list(range(1, 21))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -9,6 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``frame`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in frame.columns}
+    return next(n for k in count() if (n := f"{name}{k}") not in taken)
+
+
 def utf8(text: Column) -> Column:
     """A text column as UTF-8 bytes, null as empty: tasks then need not decode what they only hash."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyspark.llm.base import unused
+
 # Which of the tokens of a window a seed looks at. Every seed has eight tokens. Whichever two of 14
 # aligned tokens are substituted, one of the seeds fits among the others at some place.
 SEEDS = ["11101110011", "11010011111", "10011111101", "110110010111"]
@@ -166,7 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, with all their columns; each row goes by its own text."""
-    marked = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    found = contaminated(marked.select(F.col("_row_key").alias("doc_id"), "text"), benchmark)
-    found = found.select(F.col("doc_id").alias("_row_key")).distinct()
-    return marked.join(found, "_row_key", "left_anti").select(*docs.columns)
+    name = unused(docs, "row_key")
+    marked = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    found = contaminated(marked.select(F.col(name).alias("doc_id"), "text"), benchmark)
+    found = found.select(F.col("doc_id").alias(name)).distinct()
+    return marked.join(found, name, "left_anti").select(*docs.columns)

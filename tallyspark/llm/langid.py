@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.base import slices, utf8
+from tallyspark.llm.base import slices, unused, utf8
 from tallyspark.session import stored
 
 BUCKETS = 32_768  # hashed letter trigrams
@@ -261,5 +261,6 @@ def row_key() -> Column:
 def in_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with all their columns."""
     rejected = identify(document_evidence(docs), "row_key").where(~F.col("accepted")).select("row_key").distinct()
-    kept = docs.withColumn("_row_key", row_key())
-    return kept.join(rejected, F.col("_row_key") == F.col("row_key"), "left_anti").drop("_row_key")
+    name = unused(docs, "row_key")
+    kept = docs.withColumn(name, row_key())
+    return kept.join(rejected.toDF(name), name, "left_anti").select(*docs.columns)

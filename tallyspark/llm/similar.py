@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyspark.llm.base import slices, utf8
+from tallyspark.llm.base import slices, unused, utf8
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.simhash import bit_counts, linked, majority, shingle_hashes
 from tallyspark.session import stored
@@ -398,7 +397,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = groups.select("id", "link_id", F.coalesce("root", "id").alias("root"))
     best = groups.groupBy("root").agg(F.min(F.struct("link_id", "id")).alias("best"))
     kept = stored(best.select("best.id", "best.link_id"), "kept")
-    taken = {c.lower() for c in docs.columns}
-    names = [next(n for k in count() if (n := f"{c}{k}") not in taken) for c in ("kept_id", "kept_link")]
+    names = [unused(docs, "kept_id"), unused(docs, "kept_link")]
     marked = docs.withColumns(dict(zip(names, [text_id(), link])))
     return marked.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns)

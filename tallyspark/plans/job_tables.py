@@ -10,7 +10,8 @@ from tallyspark.operators import jobs as ops
 from tallyspark.plans.oracle_tables import JOBS, RECORDS, with_tables
 from tallyspark.plans.registry import query, stamp
 from tallyspark.schema import MONEY_COLUMNS
-from tallyspark.sources import warehouse
+from tallyspark.session import new_folder
+from tallyspark.sources import files, warehouse
 
 NOW = "1998-06-01 12:00:00"
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -287,25 +288,54 @@ def resolve_submissions(spark, folder):
 @query(
     "submitted_jobs",
     with_tables(
-        _RESOLVED,
+        RECORDS + ", " + _RESOLVED + """, sums AS (
+  SELECT k, count(*) AS n, CAST(sum(total_charges) AS DOUBLE) AS charges FROM recs GROUP BY k)""",
         f"""SELECT r.request_id AS id, r.owner_id, 'up-' || r.k || '.pdf' AS pdf_filename,
   CASE WHEN r.outcome = 'cached' THEN j.pdf_path ELSE '/app/pdfs/new/' || r.k END AS pdf_path,
   CASE WHEN r.outcome = 'cached' THEN 'completed' ELSE 'pending' END AS status, r.content_hash,
   CASE WHEN r.outcome = 'cached' THEN (j.k % 5000) / 10000.0 END AS cost_usd,
   CASE WHEN r.outcome = 'cached' THEN CAST(0 AS DOUBLE) END AS duration,
-  CASE WHEN r.outcome = 'cached' THEN '{NOW}' END AS completed_at, '{NOW}' AS created_at
-FROM resolved r LEFT JOIN jobs j ON r.target_id = j.id WHERE r.outcome IN ('created', 'cached')""",
+  CASE WHEN r.outcome = 'cached' THEN '{NOW}' END AS completed_at, '{NOW}' AS created_at,
+  CASE WHEN r.outcome = 'cached' THEN CAST(coalesce(s.n, 0) AS INTEGER) END AS result_records,
+  CASE WHEN r.outcome = 'cached' THEN coalesce(s.charges, 0) END AS result_charges,
+  CASE WHEN r.outcome = 'cached' THEN j.k % 5000 + j.k % 700 + 1050 END AS tokens
+FROM resolved r LEFT JOIN jobs j ON r.target_id = j.id LEFT JOIN sums s ON j.k = s.k WHERE r.outcome IN ('created', 'cached')""",
     ),
 )
 def submitted_jobs(spark, folder):
-    """Rows that the resolved submissions add to the job table."""
-    rows = warehouse.job_rows(spark, folder).drop("k", "priority", "order_year")
-    rows = rows.withColumn("result", F.lit(None).cast("string"))
+    """Rows that the resolved submissions add to the job table, with the results and usage that they copy."""
+    rows = warehouse.jobs(spark, folder).drop("k", "priority", "order_year")
     requests = _requests(spark, folder)
     new = ops.jobs_from_submissions(requests, ops.resolve_submissions(requests, rows), rows, _now())
     return new.select(
         "id", "owner_id", "pdf_filename", "pdf_path", "status", "content_hash", "cost_usd",
         F.col("processing_duration_seconds").alias("duration"), stamp("completed_at"), stamp("created_at"),
+        F.when(F.col("result").isNotNull(), F.size("result.records")).alias("result_records"),
+        F.aggregate(
+            "result.records", F.lit(0).cast("decimal(28,2)"),
+            lambda sum_, r: (sum_ + F.coalesce(r["total_charges"], F.lit(0))).cast("decimal(28,2)"),
+        ).cast("double").alias("result_charges"),
+        F.col("token_usage")["total"].alias("tokens"),
+    )
+
+
+@query(
+    "stored_jobs",
+    with_tables(
+        JOBS,
+        """SELECT status, count(*) AS jobs, CAST(sum(attempts) AS BIGINT) AS attempts,
+  strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM jobs GROUP BY status""",
+    ),
+)
+def stored_jobs(spark, folder):
+    """The job table appended in two batches, one folder per status, and read back."""
+    rows, path = warehouse.job_rows(spark, folder), new_folder(spark, "jobs")
+    for batch in (0, 1):
+        files.append_jobs(rows.where(F.col("k") % 2 == batch).drop("k", "priority", "order_year"), path)
+    return (
+        files.read_jobs(spark, path).groupBy("status")
+        .agg(F.count(F.lit(1)).alias("jobs"), F.sum("attempts").alias("attempts"), F.max("created_at").alias("newest"))
+        .select("status", "jobs", "attempts", stamp("newest"))
     )
 
 

@@ -8,7 +8,8 @@ from tallyspark import fixed
 from tallyspark.operators import evaluation as ops
 from tallyspark.plans.oracle_tables import RECORDS, with_tables
 from tallyspark.plans.registry import query
-from tallyspark.sources import warehouse
+from tallyspark.session import new_folder
+from tallyspark.sources import files, warehouse
 
 # Truth and prediction pair up by position; dropping the first record moves all later ones up.
 _PAIRED = RECORDS + """, truth AS (
@@ -77,3 +78,15 @@ def duplicate_truth(spark, folder):
     """Document ids that occur more than once; suppliers of line items stand for them."""
     rows = warehouse.table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc_id"))
     return ops.duplicate_documents(rows)
+
+
+@query(
+    "written_report",
+    """SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, count(*) AS copies FROM lineitem
+GROUP BY l_suppkey HAVING count(*) > 1""",
+)
+def written_report(spark, folder):
+    """The report of documents that occur more than once, written as JSON lines and read back."""
+    report, path = duplicate_truth(spark, folder), new_folder(spark, "report")
+    files.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)

@@ -12,6 +12,7 @@ from tallyspark.session import new_folder
 from tallyspark.sources import warehouse
 from tallyspark.streaming.admission import StreamAdmission
 from tallyspark.streaming.jobs import first_submissions, live_summary, newest_states, stall_sweep
+from tallyspark.streaming.versions import VersionedTable
 
 DAY = 86_400
 
@@ -174,19 +175,19 @@ def stream_first_submissions(spark, folder):
     ),
 )
 def stream_stall_sweep(spark, folder):
-    """The job table after a timer-driven recovery of stalled jobs."""
-    target = new_folder(spark, "sweep")
-    versions = []  # each tick reads the table that the last one wrote
-
-    def current():
-        return spark.read.parquet(versions[-1]) if versions else warehouse.job_rows(spark, folder)
-
-    def replace(jobs, batch):
-        jobs.write.mode("overwrite").parquet(f"{target}/{batch}")
-        versions.append(f"{target}/{batch}")
-
-    sweep = stall_sweep(current, replace, F.lit(NOW).cast("timestamp"), 60, 2)
-    ticks = _stream(spark, folder, "orders").select("o_orderkey").where(F.lit(True))
-    stream = ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{target}-progress")
+    """The job table after timer-driven recoveries of stalled jobs, in several batches, the last one run twice."""
+    folder_of = new_folder(spark, "sweep")
+    jobs = warehouse.job_rows(spark, folder)
+    # a tick per job status, each a file of its own and so a batch
+    ticks = jobs.select("status").distinct().repartitionByRange(3, "status")
+    ticks.write.parquet(f"{folder_of}/ticks")
+    table = VersionedTable(spark, f"{folder_of}/table")
+    sweep = stall_sweep(table, jobs, F.lit(NOW).cast("timestamp"), 60, 2)
+    source = spark.readStream.schema("status string").option("maxFilesPerTrigger", 1).parquet(f"{folder_of}/ticks")
+    stream = source.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{folder_of}/progress")
     stream.trigger(availableNow=True).start().awaitTermination()
-    return current().select("id", "status", stamp("updated_at"))
+    # as after a restart: the table is found in its folder, and the last batch comes once more
+    table = VersionedTable(spark, f"{folder_of}/table")
+    last = table.versions().agg(F.max("batch")).first()[0]
+    stall_sweep(table, jobs, F.lit(NOW).cast("timestamp"), 60, 2)(jobs, last)
+    return table.read().select("id", "status", stamp("updated_at"))

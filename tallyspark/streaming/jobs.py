@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark import fixed
 from tallyspark.operators.jobs import recover_stalled
+from tallyspark.streaming.versions import VersionedTable
 
 JOB_EVENT = "job_id string, owner_id string, content_hash string, status string, at timestamp"
 
@@ -33,13 +34,15 @@ def first_submissions(events: DataFrame, within: str) -> DataFrame:
     return events.withWatermark("at", within).dropDuplicatesWithinWatermark(["owner_id", "content_hash"])
 
 
-def stall_sweep(read_jobs, write_jobs, now: Column, timeout_minutes: int, max_attempts: int):
+def stall_sweep(table: VersionedTable, first: DataFrame, now: Column, timeout_minutes: int, max_attempts: int):
     """``foreachBatch`` function that recovers stalled jobs each time its trigger fires.
 
-    ``read_jobs()`` gives the current table; ``write_jobs(frame, batch)`` must replace the output of the batch.
+    Each batch adds a version to ``table``, from that of the batch before or, at the start, from ``first``. A batch that is
+    run again gives the same version again.
     """
 
     def sweep(_: DataFrame, batch: int) -> None:
-        write_jobs(recover_stalled(read_jobs(), now, timeout_minutes, max_attempts), batch)
+        jobs = table.read(before=batch)
+        table.write(recover_stalled(first if jobs is None else jobs, now, timeout_minutes, max_attempts), batch)
 
     return sweep

@@ -64,8 +64,8 @@ def drug_words(text: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(F.concat(long_words, strong), F.lower), extra))
 
 
-def party_fragment(line: Column, prescribers: Column | None, drugs: Column | None) -> Column:
-    """What remains of a table line once codes, dates, money, doses and people are gone; null if nothing."""
+def fragment_words(line: Column) -> Column:
+    """Words of a table line that are no codes, dates, money or doses; none for a heading."""
     text = F.regexp_replace(line, rx(r"\([^)]*\)"), " ")
     text = F.regexp_replace(text, rx(fixed.FRAGMENT_CLINICIAN), " ")
     text = F.regexp_replace(text, rx(fixed.FRAGMENT_TOKENS), " ")
@@ -75,32 +75,42 @@ def party_fragment(line: Column, prescribers: Column | None, drugs: Column | Non
         F.split(squeeze(text), " "),
         lambda token: F.btrim(F.btrim(token, F.lit(fixed.FRAGMENT_EDGE_CHARS)), F.lit("-")),
     )
+    words = F.filter(bare, lambda token: (token != "") & ~has(token, r"\d"))
+    return F.when(~has(line, fixed.FRAGMENT_HEADER, "i"), words)
+
+
+def party_fragment(line: Column, prescribers: Column | None, drugs: Column | None) -> Column:
+    """What remains of a table line once codes, dates, money, doses and people are gone; null if nothing."""
 
     def kept(token: Column) -> Column:
-        keep = (token != "") & ~has(token, r"\d")
+        keep = token.isNotNull()
         if prescribers is not None:
             keep = keep & ~F.array_contains(prescribers, F.upper(token))
         if drugs is not None:
             keep = keep & ~F.array_contains(drugs, F.lower(token))
         return keep
 
-    value = F.array_join(F.filter(bare, kept), " ")
-    return F.when(~has(line, fixed.FRAGMENT_HEADER, "i"), blank_to_null(value))
+    return blank_to_null(F.array_join(F.filter(fragment_words(line), kept), " "))
 
 
-def party_name(value: Column, prescribers: Column | None = None, drugs: Column | None = None) -> Column:
-    """A plausible payer name of at most five words, or null."""
+def without_codes(value: Column) -> Column:
     text = F.regexp_replace(squeeze(value), rx(fixed.PARTY_CODE), "")
     text = F.regexp_replace(text, rx(fixed.PARTY_CODE_TAIL), "")
-    text = F.btrim(text, F.lit(fixed.PAYER_EDGE_CHARS))
-    return let(
-        party_fragment(text, prescribers, drugs),
-        lambda v: F.when(v.rlike("^[A-Z]{2,}$"), F.when(F.length(v) <= 5, v)).when(
-            ~has(v, r"\d") & (F.size(F.split(v, " ")) <= 5), v
-        ),
+    return F.btrim(text, F.lit(fixed.PAYER_EDGE_CHARS))
+
+
+def plausible(name: Column) -> Column:
+    """The name itself if a payer may be called so: five words or fewer, one short word of capitals; else null."""
+    return F.when(name.rlike("^[A-Z]{2,}$"), F.when(F.length(name) <= 5, name)).when(
+        ~has(name, r"\d") & (F.size(F.split(name, " ")) <= 5), name
     )
 
 
+def party_name(value: Column, prescribers: Column | None = None, drugs: Column | None = None) -> Column:
+    """A plausible payer name of at most five words, or null."""
+    return let(party_fragment(without_codes(value), prescribers, drugs), plausible)
+
+
 def detail_names(text: Column) -> Column:
     """Names listed in a payer detail section, or an empty list."""
     section = first_text(text, fixed.PARTY_DETAIL, 0, "is")
@@ -135,21 +145,25 @@ def _names_before_bin(lines: Column, prescribers: Column, drugs: Column) -> Colu
     return let(markers, names)
 
 
+def party_cell(row: Column) -> Column:
+    """Of a squeezed fill row, the text of its party column, maybe empty; null for any other row."""
+    tail = F.trim(first_text(row, rf"^.*?\b{fixed.ITEM_CODE}\b(.*)$"))
+    is_fill = has(row, fixed.FILL_ROW) & has(row, rf"\b{fixed.ITEM_CODE}\b")
+    return F.when(is_fill, first_text(tail, fixed.PARTY_COLUMN_TAIL))
+
+
 def _names_in_party_column(text: Column, lines: Column, prescribers: Column, drugs: Column) -> Column:
     """Per fill row, the party cell, or the fragments of the lines above and below when it is empty."""
 
     def one(line: Column, i: Column) -> Column:
         def from_row(row: Column) -> Column:
-            tail = F.trim(first_text(row, rf"^.*?\b{fixed.ITEM_CODE}\b(.*)$"))
-            cell = first_text(tail, fixed.PARTY_COLUMN_TAIL)
             beside = F.concat_ws(
                 " ",
                 party_fragment(F.when(i > 0, F.get(lines, i - 1)), prescribers, drugs),
                 party_fragment(F.get(lines, i + 1), prescribers, drugs),
             )
-            named = F.coalesce(party_fragment(cell, prescribers, drugs), blank_to_null(beside))
-            is_fill = has(row, fixed.FILL_ROW) & has(row, rf"\b{fixed.ITEM_CODE}\b")
-            return F.when(is_fill, named)
+            named = lambda cell: F.coalesce(party_fragment(cell, prescribers, drugs), blank_to_null(beside))
+            return let(party_cell(row), lambda cell: F.when(cell.isNotNull(), named(cell)))
 
         return let(squeeze(line), from_row)
 

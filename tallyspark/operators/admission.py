@@ -1,11 +1,12 @@
 """Sliding-window admission: at most ``budget`` accepted requests per key in any window.
 
-Whether a request is accepted depends on earlier acceptances, so a key is a chain. The chain is cut into time
-slices that run as separate tasks, and a hot key spreads over as many tasks as it has slices. A slice needs
-from the past only the accepted times of the last window, which are at most ``budget``; those are handed from
-slice to slice until no hand-over changes any more. Each slice streams through its task in time order and
-keeps nothing but those times, so neither a key nor a slice is ever held in memory; runs of rejected requests
-are skipped by binary search instead of being looked at one by one.
+Whether a request is accepted depends on earlier acceptances, but seldom on many of them. A request that has at most
+``budget`` requests of its key in its window, itself included, is accepted whatever came before: window functions find
+all of those. Only the others, with what lies within one window of them, have to be walked in time order. They form
+islands, which know nothing of each other, and a task streams through an island keeping nothing but ``budget`` times. Every
+request is looked at once. The window functions run over stretches of time that overlap, so a hot key is many groups.
+An island as long as its key, of a key over its budget all the time, is one stream through one task: there each
+acceptance does depend on the one before.
 """
 
 from __future__ import annotations
@@ -23,11 +24,10 @@ from tallyspark.session import stored
 SECOND = 1_000_000
 HITS = "key string, ts_us bigint, seq bigint, budget int"
 CARRY = "key string, live array<bigint>"
-_ROWS = "key string, slice bigint, ts_us bigint, seq bigint, budget int, live array<bigint>"
-_DECISIONS = "key string, seq bigint, ts_us bigint, admitted boolean, retry_after bigint"
-_STATES = "key string, slice bigint, live array<bigint>"
-# sorts the handed-over times of a slice before its requests
-_OPENING = -(2**63)
+_DECISIONS = "key string, seq bigint, ts_us bigint, at_us bigint, admitted boolean, retry_after bigint"
+# length of a stretch of time, in windows; it copies what lies within three windows of its edges
+STRETCH = 64
+_BEHIND, _AHEAD = 3, 1
 
 
 def hits(events: DataFrame, key: Column, ts: Column, seq: Column, budget: Column) -> DataFrame:
@@ -74,170 +74,135 @@ def _pass_over(ts: np.ndarray, budget: np.ndarray, live: deque, window_us: int):
     return admitted, blocker
 
 
-def _walker(window_us: int, emit: str):
-    """Partition function over rows sorted by key, slice and time; yields decisions or closing states."""
+def _walker(window_us: int):
+    """Partition function over rows sorted by key, island and time; carried times come before requests."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, live = None, deque()
         for batch in batches:
-            keys, parts = batch["key"].to_numpy(), batch["slice"].to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
-            closed, decided = [], []
+            keys, islands = batch["key"].to_numpy(), batch["island"].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (islands[1:] != islands[:-1])) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(keys)]):
                 if start == stop:
                     continue
                 run = batch.iloc[start:stop]
-                if (keys[start], parts[start]) != current:
-                    if current is not None:
-                        closed.append((*current, list(live)))
-                    current, live = (keys[start], parts[start]), deque()
-                    if run["ts_us"].iat[0] == _OPENING:
-                        live.extend(int(t) for t in run["live"].iat[0])
-                        run = run.iloc[1:]
+                if (keys[start], islands[start]) != current:
+                    current, live = (keys[start], islands[start]), deque()
+                given = run["given"].to_numpy(dtype=bool)
+                live.extend(int(t) for t in run["at_us"].to_numpy()[given])
+                run = run[~given]
                 if len(run) == 0:
                     continue
-                ts = run["ts_us"].to_numpy()
-                admitted, blocker = _pass_over(ts, run["budget"].to_numpy(), live, window_us)
-                if emit == "decisions":
-                    # whole seconds, cut towards zero
-                    wait = np.maximum(1, (window_us - (ts - blocker)) // SECOND)
-                    decided.append(
-                        pd.DataFrame(
-                            {
-                                "key": run["key"],
-                                "seq": run["seq"],
-                                "ts_us": ts,
-                                "admitted": admitted,
-                                "retry_after": pd.array(np.where(admitted, 0, wait), dtype="Int64"),
-                            }
-                        )
-                    )
-                    decided[-1].loc[admitted, "retry_after"] = pd.NA
-            if emit == "states" and closed:
-                yield pd.DataFrame(closed, columns=["key", "slice", "live"])
-            if decided:
-                yield pd.concat(decided, ignore_index=True)
-        if emit == "states" and current is not None:
-            yield pd.DataFrame([(*current, list(live))], columns=["key", "slice", "live"])
+                at = run["at_us"].to_numpy(dtype=np.int64)
+                admitted, blocker = _pass_over(at, run["budget"].to_numpy(dtype=np.int64), live, window_us)
+                # whole seconds, cut towards zero
+                wait = np.maximum(1, (window_us - (at - blocker)) // SECOND)
+                yield pd.DataFrame(
+                    {
+                        "key": run["key"], "seq": run["seq"], "ts_us": run["ts_us"], "at_us": at, "admitted": admitted,
+                        "retry_after": pd.Series(wait, index=run.index, dtype="Int64").mask(admitted),
+                    }
+                )
 
     return walk
 
 
-def _opened(rows: DataFrame, states: DataFrame) -> DataFrame:
-    """Requests plus one opening row per slice that carries the times handed to it."""
-    opening = states.select(
-        "key", "slice",
-        F.lit(_OPENING).cast("bigint").alias("ts_us"),
-        F.lit(-1).cast("bigint").alias("seq"),
-        F.lit(0).alias("budget"),
-        "live",
-    )
-    plain = rows.withColumn("live", F.lit(None).cast("array<bigint>"))
-    return plain.select(*opening.columns).unionByName(opening)
-
-
-def _run(rows: DataFrame, window_us: int, emit: str) -> DataFrame:
-    ordered = rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "ts_us", "seq")
-    return ordered.mapInPandas(_walker(window_us, emit), _DECISIONS if emit == "decisions" else _STATES)
-
-
-def _still_live(live: Column, first_us: Column, window_us: int) -> Column:
-    return F.filter(live, lambda t: t >= first_us - window_us)
+def _with_carried(requests: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Requests and carried times as rows with the time they count at, ``at_us``.
 
-
-def settle_slices(rows: DataFrame, carry: DataFrame, window_us: int) -> DataFrame:
-    """Opening and closing times of every slice: ``key, slice, first_us, opening, live``.
-
-    All slices run once as if nothing had come before; then only those whose opening turns out different run
-    again. A slice forgets its opening at its first quiet window, so a few rounds are enough on most traffic; at
-    worst each round settles one more slice of every key, so rounds never exceed the number of slices.
+    A request older than a time carried for its key comes late and counts at that time.
     """
-    bounds = rows.groupBy("key", "slice").agg(F.min("ts_us").alias("first_us"))
-    closing = _run(_opened(rows, _no_states(rows)), window_us, "states")
-    empty = F.array().cast("array<bigint>")
-    states = stored(bounds.join(closing, ["key", "slice"]).withColumn("opening", empty), "states")
-
-    by_time = Window.partitionBy("key").orderBy("slice")
-    start = carry.select("key", F.col("live").alias("_carried"))
-    while True:
-        handed = states.join(start, "key", "left").withColumn(
-            "_given", F.coalesce(F.lag("live").over(by_time), F.col("_carried"), empty)
-        )
-        wanted = handed.withColumn("_given", _still_live(F.col("_given"), F.col("first_us"), window_us))
-        differs = F.col("_given") != F.col("opening")
-        changed = stored(wanted.where(differs).select("key", "slice", F.col("_given").alias("live")), "changed")
-        if changed.isEmpty():
-            return states.select("key", "slice", "first_us", "opening", "live")
-        again = rows.join(changed.select("key", "slice"), ["key", "slice"], "left_semi")
-        closed = _run(_opened(again, changed), window_us, "states").withColumnRenamed("live", "_live")
-        update = changed.withColumnRenamed("live", "_opening").join(closed, ["key", "slice"])
-        renewed = states.join(update, ["key", "slice"], "left").select(
-            "key", "slice", "first_us",
-            F.coalesce("_live", "live").alias("live"),
-            F.coalesce("_opening", "opening").alias("opening"),
+    rows = requests.withColumns({"at_us": F.col("ts_us"), "given": F.lit(False)})
+    if carry is None:
+        return rows
+    newest = carry.select(F.col("key").alias("_key"), F.array_max("live").alias("_newest"))
+    rows = rows.join(newest, F.col("key").eqNullSafe(F.col("_key")), "left")
+    rows = rows.withColumn("at_us", F.greatest("ts_us", "_newest")).drop("_key", "_newest")
+    times = carry.select("key", F.explode("live").alias("ts_us"))
+    null = F.lit(None)
+    carried = times.select(
+        "key", "ts_us", null.cast("bigint").alias("seq"), null.cast("int").alias("budget"),
+        F.col("ts_us").alias("at_us"), F.lit(True).alias("given"),
+    )
+    return rows.unionByName(carried)
+
+
+def _islands(rows: DataFrame, window_us: int, stretch: int) -> DataFrame:
+    """``rows`` with ``island``: where the island begins that a row is walked in, null for a row that is surely accepted."""
+    width = max(stretch, _BEHIND) * window_us
+    at, own = F.col("at_us"), F.expr(f"(at_us - pmod(at_us, {width}L)) div {width}L")
+    into = at - own * width
+    copies = F.array_compact(
+        F.array(
+            own,
+            F.when(into >= width - _BEHIND * window_us, own + 1),
+            F.when(into <= _AHEAD * window_us, own - 1),
         )
-        states = stored(renewed, "states")
-
-
-def _no_states(rows: DataFrame) -> DataFrame:
-    return rows.sparkSession.createDataFrame([], _STATES)
-
-
-def _sliced(
-    requests: DataFrame, window_us: int, rows_per_slice: int, max_slices: int
-) -> tuple[DataFrame, int, int | None]:
-    """Number the time slices, none shorter than the window; also their count and the latest time.
-
-    As many slices as would keep one key, should it hold all rows, at ``rows_per_slice`` each.
-    """
-    first, last, rows = requests.agg(F.min("ts_us"), F.max("ts_us"), F.count(F.lit(1))).first()
-    if rows == 0:
-        return requests.withColumn("slice", F.lit(0).cast("bigint")), 1, None
-    slices = min(max_slices, -(-rows // rows_per_slice))
-    width = max(window_us, (last - first) // slices + 1)
-    return requests.withColumn("slice", F.expr(f"(ts_us - {first}L) div {width}L")), slices, last
-
-
-def _forget_idle(states: DataFrame, carry: DataFrame, latest: int | None, window_us: int) -> DataFrame:
-    """Latest accepted times per key; keys idle for a whole window before the latest request are dropped."""
-    last = states.groupBy("key").agg(F.max_by("live", "slice").alias("_new"))
-    merged = carry.join(last, "key", "full").select("key", F.coalesce("_new", "live").alias("live"))
-    return merged if latest is None else merged.where(F.array_max("live") >= latest - window_us)
+    )
+    spread = rows.withColumn("own", own).withColumn("stretch", F.explode(copies))
+    in_time = Window.partitionBy("key", "stretch").orderBy("at_us")
+    by_row = Window.partitionBy("key", "stretch").orderBy("at_us", F.desc("given"), "seq")
+    crowded = F.count(F.lit(1)).over(in_time.rangeBetween(-window_us, 0)) > F.col("budget")
+    near = F.max("crowded").over(in_time.rangeBetween(-window_us, window_us))
+    apart = F.lag("walked").over(by_row).isNull() | ~F.lag("walked").over(by_row) | (at - F.lag("at_us").over(by_row) > window_us)
+    marked = (
+        spread.withColumn("crowded", F.coalesce(crowded, F.lit(False)))
+        .withColumn("walked", near)
+        .withColumn("start", F.when(F.col("walked") & apart, at))
+        .where(F.col("own") == F.col("stretch"))
+        .withColumn("begin", F.max("start").over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .drop("own", "crowded")
+    )
+    marked = stored(marked, "requests")
+    # an island that began in an earlier stretch
+    last = marked.groupBy("key", "stretch").agg(F.max("start").alias("last"))
+    before = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    opened = last.select(F.col("key").alias("_key"), F.col("stretch").alias("_stretch"), F.max("last").over(before).alias("opened"))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("stretch") == F.col("_stretch"))
+    island = F.when(F.col("walked"), F.coalesce("begin", "opened"))
+    return marked.join(opened, same, "left").withColumn("island", island).drop("_key", "_stretch", "opened", "begin", "start")
+
+
+def _decided(requests: DataFrame, carry: DataFrame | None, window_us: int, stretch: int) -> DataFrame:
+    rows = _islands(_with_carried(requests, carry), window_us, stretch)
+    sure = rows.where("island IS NULL AND NOT given").select(
+        "key", "seq", "ts_us", "at_us", F.lit(True).alias("admitted"), F.lit(None).cast("bigint").alias("retry_after")
+    )
+    walked = rows.where("island IS NOT NULL").select("key", "island", "at_us", "given", "seq", "ts_us", "budget")
+    walked = walked.withColumns({"seq": F.coalesce("seq", F.lit(-1)), "budget": F.coalesce("budget", F.lit(0))})
+    ordered = walked.repartition("key", "island").sortWithinPartitions("key", "island", "at_us", F.desc("given"), "seq")
+    return sure.unionByName(ordered.mapInPandas(_walker(window_us), _DECISIONS))
+
+
+def _left_behind(decided: DataFrame, carry: DataFrame | None, window_us: int) -> DataFrame:
+    """Accepted times per key in the window before its newest one; keys idle for a whole window are dropped."""
+    latest = decided.agg(F.max("at_us")).first()[0]
+    times = decided.where("admitted").select("key", F.col("at_us").alias("t"))
+    if carry is not None:
+        times = times.unionByName(carry.select("key", F.explode("live").alias("t")))
+    if latest is not None:
+        times = times.where(F.col("t") >= latest - 2 * window_us)
+    # two windows hold at most two budgets of accepted times
+    kept = times.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("live"))
+    kept = kept.withColumn("live", F.filter("live", lambda t: t >= F.array_max("live") - window_us))
+    return kept if latest is None else kept.where(F.array_max("live") >= latest - window_us)
 
 
 def admit_with_state(
-    requests: DataFrame,
-    window_seconds: float,
-    rows_per_slice: int = 2_000_000,
-    max_slices: int = 256,
-    carry: DataFrame | None = None,
+    requests: DataFrame, window_seconds: float, stretch: int = STRETCH, carry: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Decisions for ``requests`` (see ``HITS``) and the times each key carries into later requests.
 
-    ``carry(key, live)`` is what an earlier call returned.
+    ``carry(key, live)`` is what an earlier call returned; ``stretch`` is the length in windows of the stretches of time
+    that the window functions run over, and changes no decision.
     """
     window_us = int(window_seconds * SECOND)
-    spark = requests.sparkSession
-    carry = spark.createDataFrame([], CARRY) if carry is None else carry
-    sliced, slices, latest = _sliced(requests, window_us, rows_per_slice, max_slices)
-    rows = stored(sliced, "requests")
-    if slices == 1:
-        opening = carry.join(rows.select("key").distinct(), "key", "left_semi").select(
-            "key", F.lit(0).cast("bigint").alias("slice"), "live"
-        )
-        states = _run(_opened(rows, opening), window_us, "states")
-    else:
-        states = settle_slices(rows, carry, window_us)
-        opening = states.where(F.size("opening") > 0).select("key", "slice", F.col("opening").alias("live"))
-    decisions = _run(_opened(rows, opening), window_us, "decisions")
-    return decisions, _forget_idle(states, carry, latest, window_us)
+    decided = stored(_decided(requests, carry, window_us, stretch), "decisions")
+    return decided.drop("at_us"), _left_behind(decided, carry, window_us)
 
 
 def admit(
-    requests: DataFrame,
-    window_seconds: float = fixed.RATE_WINDOW_SECONDS,
-    rows_per_slice: int = 2_000_000,
-    max_slices: int = 256,
+    requests: DataFrame, window_seconds: float = fixed.RATE_WINDOW_SECONDS, stretch: int = STRETCH
 ) -> DataFrame:
-    """``key, seq, ts_us, admitted, retry_after`` for every request, in time order per key."""
-    return admit_with_state(requests, window_seconds, rows_per_slice, max_slices)[0]
+    """``key, seq, ts_us, admitted, retry_after`` for every request."""
+    return _decided(requests, None, int(window_seconds * SECOND), stretch).drop("at_us")

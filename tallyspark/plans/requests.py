@@ -78,6 +78,13 @@ def admission_totals(spark, folder):
     )
 
 
+@query("admission_saturated", _chain("'all'", "20 + event_id % 3", 21_600))
+def admission_saturated(spark, folder):
+    """Every decision of a key that is over its changing budget all the time."""
+    hits = ops.hits(_events(spark, folder), F.lit("all"), F.col("ts"), F.col("event_id"), 20 + F.col("event_id") % 3)
+    return ops.admit(hits, 21_600)
+
+
 # ---------------------------------------------------------------- streams
 
 def _stream(spark: SparkSession, folder: str, name: str):

@@ -6,7 +6,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators.admission import HITS, SECOND, admit, admit_with_state, bucket_budget, bucket_key
+from tallyspark.operators.admission import HITS, SECOND, _islands, _with_carried, admit, admit_with_state, bucket_budget, bucket_key
 
 
 def simulate(rows, window_us):
@@ -23,9 +23,9 @@ def simulate(rows, window_us):
     return out
 
 
-def run(spark, rows, window, rows_per_slice=1000):
+def run(spark, rows, window, stretch=3):
     frame = spark.createDataFrame(rows, HITS)
-    decided = admit(frame, window, rows_per_slice).collect()
+    decided = admit(frame, window, stretch).collect()
     return {r["seq"]: (None if r["admitted"] else r["retry_after"]) for r in decided}
 
 
@@ -53,7 +53,8 @@ def test_keys_are_independent(spark):
     assert run(spark, rows, 60) == {0: None, 1: None, 2: 59}
 
 
-def test_hot_key_cut_into_slices_equals_the_chain(spark):
+@pytest.mark.parametrize("stretch", [3, 5, 64])
+def test_hot_key_cut_into_stretches_equals_the_chain(spark, stretch):
     draw = random.Random(7)
     rows = []
     # dense and regular traffic never forgets its phase; sparse traffic does
@@ -62,7 +63,11 @@ def test_hot_key_cut_into_slices_equals_the_chain(spark):
     for i in range(3000, 4000):
         rows.append((f"k{draw.randrange(20)}", draw.randrange(2100) * SECOND, i, draw.choice([2, 3])))
     expected = simulate(rows, 60 * SECOND)
-    assert run(spark, rows, 60, rows_per_slice=400) == expected
+    # quiet after busy hours, ties at the edge of a window, and times before the epoch
+    for i in range(4000, 4600):
+        rows.append(("tide", draw.choice([0, 0, 900]) * SECOND + draw.randrange(-300, 300) * SECOND, i, 4))
+    expected = simulate(rows, 60 * SECOND)
+    assert run(spark, rows, 60, stretch) == expected
 
 
 def test_state_carries_over_to_later_requests(spark):
@@ -72,7 +77,7 @@ def test_state_carries_over_to_later_requests(spark):
     carry, found = None, {}
     for low, high in [(0, 200), (200, 210), (210, 600)]:
         part = [r for r in rows if low <= r[1] // SECOND < high]
-        decisions, carry = admit_with_state(spark.createDataFrame(part, HITS), 60, 60, carry=carry)
+        decisions, carry = admit_with_state(spark.createDataFrame(part, HITS), 60, 3, carry=carry)
         carry = spark.createDataFrame(carry.collect(), carry.schema)
         found.update({r["seq"]: (None if r["admitted"] else r["retry_after"]) for r in decisions.collect()})
     assert found == expected
@@ -83,3 +88,24 @@ def test_bucket_key_and_budget(spark):
         bucket_key(F.col("id") == 0, F.lit("ip")).alias("key"), bucket_budget(F.col("id") == 0).alias("budget")
     )
     assert [tuple(r) for r in row.collect()] == [("u:ip", 15), ("g:ip", 120)]
+
+
+def test_only_crowded_requests_are_walked(spark):
+    quiet = seconds(range(0, 6000, 40), 2, "quiet")
+    rows = quiet + [("busy", t * SECOND, 1000 + t, 2) for t in range(300)]
+    islands = _islands(_with_carried(spark.createDataFrame(rows, HITS), None), 60 * SECOND, 3).where("island IS NOT NULL")
+    assert {r.key for r in islands.collect()} == {"busy"}
+
+
+def test_nothing_to_decide(spark):
+    decisions, state = admit_with_state(spark.createDataFrame([], HITS), 60)
+    assert decisions.collect() == [] and state.collect() == []
+
+
+def test_late_request_counts_at_the_newest_carried_time(spark):
+    carry = spark.createDataFrame([("u", [10 * SECOND, 20 * SECOND])], "key string, live array<bigint>")
+    late = spark.createDataFrame([("u", 5 * SECOND, 1, 2), ("v", 5 * SECOND, 2, 2)], HITS)
+    decisions, _ = admit_with_state(late, 60, carry=carry)
+    assert {r.seq: (r.ts_us, r.admitted, r.retry_after) for r in decisions.collect()} == {
+        1: (5 * SECOND, False, 50), 2: (5 * SECOND, True, None),
+    }

@@ -11,7 +11,8 @@ from tallyspark.plans.registry import query, stamp
 from tallyspark.session import new_folder
 from tallyspark.sources import warehouse
 from tallyspark.streaming.admission import StreamAdmission
-from tallyspark.streaming.jobs import first_submissions, live_summary, newest_states, stall_sweep
+from tallyspark.streaming.jobs import first_submissions, stall_sweep
+from tallyspark.streaming.keyed import DELTA, JOB_STEP, idle_sweep, job_deltas, live_totals
 from tallyspark.streaming.versions import VersionedTable
 
 DAY = 86_400
@@ -106,9 +107,12 @@ def stream_admission(spark, folder):
 
 
 def _job_events(spark, folder):
-    """Order rows as job events: submission time, owner, content and state."""
+    """Order rows as a stream of job events: submission time, owner, content and state."""
+    return _job_rows(_stream(spark, folder, "orders"))
+
+
+def _job_rows(orders):
     c = F.col
-    orders = _stream(spark, folder, "orders")
     low = c("o_orderpriority") == "5-LOW"
     status = (
         F.when(c("o_orderstatus") == "F", "completed")
@@ -138,27 +142,117 @@ def _drain(frame, spark, mode: str, label: str):
     return rows.drop("batch") if mode != "complete" else rows
 
 
+def _in_parts(spark, rows, at: str, parts: int, label: str):
+    """Give ``rows`` out in ``parts`` equal stretches of time, each added to a folder of its own; yields that folder."""
+    folder = new_folder(spark, label)
+    rows.write.parquet(f"{folder}-all")
+    whole = spark.read.parquet(f"{folder}-all")
+    low, high = whole.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return
+    part = F.expr(f"{parts}L * ({at} - {low}L) div ({high}L - {low}L + 1L)")
+    for number in range(parts):
+        whole.where(part == number).write.mode("append").parquet(folder)
+        yield folder
+
+
+def _run_out(writer, folder: str) -> None:
+    """Run a stream with state over what is new to it, from its checkpoint on.
+
+    State is split once for all batches and not joined by adaptive execution: as many parts as there are cores.
+    """
+    spark, name = SparkSession.active(), "spark.sql.shuffle.partitions"
+    parts = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        stream = writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    finally:
+        spark.conf.set(name, parts)
+
+
+def _append_to(frame, folder: str) -> None:
+    _run_out(frame.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append"), folder)
+
+
+_CLIENT_HITS = """hits AS (SELECT user_id || '|' || event_type AS key, epoch_us(ts) AS t FROM events
+  WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL), span AS (SELECT min(t) AS low, max(t) AS high FROM hits),
+  parted AS (SELECT key, t, 3 * (t - low) // (high - low + 1) AS part FROM hits, span),
+  ends AS (SELECT part, max(max(t)) OVER (ORDER BY part) AS mark FROM parted GROUP BY part),
+  marks AS (SELECT p AS part, (SELECT max(mark) FROM ends e WHERE e.part <= p) AS mark FROM range(3) r(p)),
+  seen AS (SELECT key, part, max(t) AS newest, lead(part) OVER (PARTITION BY key ORDER BY part) AS next FROM parted GROUP BY key, part)"""
+
+
+@query(
+    "stream_idle_sweep",
+    with_tables(
+        _CLIENT_HITS,
+        """SELECT key, 'seen' AS kind, newest AS newest_us FROM seen
+UNION ALL SELECT key, 'forgotten', newest FROM seen JOIN marks ON marks.part = coalesce(next, 3) - 1
+WHERE mark > newest + 12 * 3600 * 1000000::BIGINT""",
+    ),
+)
+def stream_idle_sweep(spark, folder):
+    """Clients held and forgotten, from a stream that is stopped and started again between three stretches of time."""
+    events = _events(spark, folder)
+    key = F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type")
+    at = F.col("ts").cast("timestamp")
+    hits = events.select(key.alias("key"), F.unix_micros(at).alias("ts_us"), at.alias("at"))
+    found = new_folder(spark, "idle")
+    for source in _in_parts(spark, hits, "ts_us", 3, "hits"):
+        rows = spark.readStream.schema(hits.schema).parquet(source)
+        _append_to(idle_sweep(rows, 43_200), found)
+    return spark.read.schema("key string, kind string, newest_us bigint").parquet(f"{found}/rows")
+
+
+_LIVE = JOBS + """, line_sums AS (
+  SELECT l_orderkey AS k, count(*) AS records, count(*) FILTER (WHERE l_quantity > 45) AS flagged,
+    sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS charges FROM lineitem GROUP BY l_orderkey)"""
+
+
 @query(
     "stream_live_summary",
     with_tables(
-        JOBS,
+        _LIVE,
         """SELECT owner_id, count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS pending,
   count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'completed') AS completed,
   count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'cancelled') AS cancelled,
-  count(*) FILTER (WHERE status IN ('pending','processing')) AS live FROM jobs GROUP BY owner_id""",
+  count(*) FILTER (WHERE status IN ('pending','processing')) AS live, CAST(coalesce(sum(records), 0) AS BIGINT) AS records,
+  CAST(coalesce(sum(flagged), 0) AS BIGINT) AS flagged,
+  CAST(coalesce(sum(charges) FILTER (WHERE status = 'completed'), 0) AS DOUBLE) AS charges
+FROM jobs LEFT JOIN line_sums ON jobs.k = line_sums.k GROUP BY owner_id""",
     ),
 )
 def stream_live_summary(spark, folder):
-    """Three events for most jobs: only the newest state of each counts."""
-    events = _job_events(spark, folder)
-    hours = lambda n: F.col("at") + F.expr(f"interval {n} hours")
+    """Three steps for every job, in three stretches of time: each step takes back what the one before had added."""
+    lines = warehouse.order_lines(spark, folder).groupBy(F.concat(F.lit("job-"), F.col("k").cast("string")).alias("_job")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("qty") > 45).alias("flagged"),
+        (F.sum("gross") * 100).cast("bigint").alias("charges_cents"),
+    )
+    jobs = _job_rows(warehouse.table(spark, folder, "orders")).join(lines, F.col("job_id") == F.col("_job"), "left")
+    later = lambda days: F.col("at") + F.expr(f"interval {days} days")
+    step = lambda status, at, share: F.struct(
+        status.alias("status"), at.alias("at"),
+        *[F.floor(F.coalesce(c, F.lit(0)) * share).cast("bigint").alias(c) for c in ("records", "flagged", "charges_cents")],
+    )
     steps = F.array(
-        F.struct(F.lit("pending").alias("status"), F.col("at")),
-        F.struct(F.lit("processing").alias("status"), hours(1).alias("at")),
-        F.struct("status", hours(2).alias("at")),
+        step(F.lit("pending"), F.col("at"), 0), step(F.lit("processing"), later(300), F.lit(0.5)), step(F.col("status"), later(600), 1)
     )
-    events = events.withColumn("step", F.explode(steps)).select("job_id", "owner_id", "step.status", "step.at")
-    return live_summary(_drain(newest_states(events), spark, "complete", "summary"))
+    history = jobs.select("job_id", "owner_id", F.explode(steps).alias("s")).select("job_id", "owner_id", "s.*")
+    history = history.withColumn("at_us", F.unix_micros("at"))
+    changes, totals = new_folder(spark, "changes"), new_folder(spark, "totals")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{totals}/rows/batch={number}")
+
+    for source in _in_parts(spark, history, "at_us", 3, "steps"):
+        _append_to(job_deltas(spark.readStream.schema(JOB_STEP).parquet(source), "1 day", DAY * 1000), changes)
+        deltas = live_totals(spark.readStream.schema(DELTA).parquet(f"{changes}/rows"))
+        _run_out(deltas.writeStream.outputMode("update").foreachBatch(keep), totals)
+    names = [c for c in live_totals(spark.createDataFrame([], DELTA)).columns if c != "owner_id"]
+    rows = spark.read.parquet(f"{totals}/rows")
+    newest = rows.groupBy("owner_id").agg(F.max_by(F.struct(*names), "batch").alias("newest")).select("owner_id", "newest.*")
+    return newest.withColumn("charges", (F.col("charges_cents") / 100).cast("double")).drop("charges_cents")
 
 
 @query(

@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # collected parts of segments: more groups in memory before an aggregation turns to sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
+    # state of streams on disk beside memory; keyed state with timers needs it
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # texts are large: fewer rows at once in Python tasks
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -1,31 +1,12 @@
-"""Job tables as streams: live summary, active-job deduplication, stall detection."""
+"""Job tables as streams: active-job deduplication, stall detection. Live totals are in ``keyed``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
-from tallyspark import fixed
 from tallyspark.operators.jobs import recover_stalled
 from tallyspark.streaming.versions import VersionedTable
 
-JOB_EVENT = "job_id string, owner_id string, content_hash string, status string, at timestamp"
-
-
-def newest_states(events: DataFrame) -> DataFrame:
-    """``(job_id, owner_id, status)``: the newest event of each job, for complete output mode; state is a row a job."""
-    newest = events.groupBy("job_id").agg(F.max_by(F.struct("owner_id", "status"), F.struct("at", "status")).alias("s"))
-    return newest.select("job_id", "s.owner_id", "s.status")
-
-
-def live_summary(states: DataFrame) -> DataFrame:
-    """Jobs per owner and status, from the newest state of every job."""
-    return states.groupBy("owner_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in fixed.STATUSES],
-        F.count_if(F.col("status").isin(fixed.LIVE_STATUSES)).alias("live"),
-    )
-
-
 def first_submissions(events: DataFrame, within: str) -> DataFrame:
     """One submission per owner and content within a time bound, which stands for the job being active.
 

@@ -339,6 +339,23 @@ def stored_jobs(spark, folder):
     )
 
 
+@query(
+    "expired_uploads",
+    with_tables(
+        JOBS,
+        f"""SELECT pdf_path AS path, k % 1000 AS length, {STAMP.format('created_at')} FROM jobs
+WHERE created_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY""",
+    ),
+)
+def expired_uploads(spark, folder):
+    """The uploads of all jobs that are past their retention, listed as stored files; none are with a retention of zero."""
+    listed = warehouse.job_rows(spark, folder).select(
+        F.col("pdf_path").alias("path"), (F.col("k") % 1000).alias("length"), F.col("created_at").alias("modificationTime")
+    )
+    expired = files.expired_files(listed, _now()).unionByName(files.expired_files(listed, _now(), 0))
+    return expired.withColumnRenamed("modificationTime", "created_at").select("path", "length", stamp("created_at"))
+
+
 @query(
     "insert_if_inactive",
     with_tables(

@@ -81,28 +81,29 @@ def _walker(window_us: int):
         current, live = None, deque()
         for batch in batches:
             keys, islands = batch["key"].to_numpy(), batch["island"].to_numpy()
+            given, at = batch["given"].to_numpy(dtype=bool), batch["at_us"].to_numpy(dtype=np.int64)
+            budget = batch["budget"].to_numpy(dtype=np.int64)
+            admitted, blocker = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (islands[1:] != islands[:-1])) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(keys)]):
                 if start == stop:
                     continue
-                run = batch.iloc[start:stop]
                 if (keys[start], islands[start]) != current:
                     current, live = (keys[start], islands[start]), deque()
-                given = run["given"].to_numpy(dtype=bool)
-                live.extend(int(t) for t in run["at_us"].to_numpy()[given])
-                run = run[~given]
-                if len(run) == 0:
-                    continue
-                at = run["at_us"].to_numpy(dtype=np.int64)
-                admitted, blocker = _pass_over(at, run["budget"].to_numpy(dtype=np.int64), live, window_us)
-                # whole seconds, cut towards zero
-                wait = np.maximum(1, (window_us - (at - blocker)) // SECOND)
-                yield pd.DataFrame(
-                    {
-                        "key": run["key"], "seq": run["seq"], "ts_us": run["ts_us"], "at_us": at, "admitted": admitted,
-                        "retry_after": pd.Series(wait, index=run.index, dtype="Int64").mask(admitted),
-                    }
-                )
+                first = start + int(given[start:stop].sum())
+                live.extend(int(t) for t in at[start:first])
+                if first < stop:
+                    run = slice(first, stop)
+                    admitted[run], blocker[run] = _pass_over(at[run], budget[run], live, window_us)
+            # whole seconds, cut towards zero
+            wait = np.maximum(1, (window_us - (at - blocker)) // SECOND)
+            decided = pd.DataFrame(
+                {
+                    "key": keys, "seq": batch["seq"].to_numpy(), "ts_us": batch["ts_us"].to_numpy(), "at_us": at,
+                    "admitted": admitted, "retry_after": pd.Series(wait, dtype="Int64").mask(admitted),
+                }
+            )
+            yield decided[~given]
 
     return walk
 

@@ -15,7 +15,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark import fixed
@@ -56,7 +56,6 @@ def _pass_over(ts: np.ndarray, budget: np.ndarray, live: deque, window_us: int):
     """
     admitted = np.zeros(len(ts), dtype=bool)
     blocker = np.zeros(len(ts), dtype=np.int64)
-    same_budget = bool((budget == budget[0]).all())
     i = 0
     while i < len(ts):
         now = ts[i]
@@ -67,22 +66,24 @@ def _pass_over(ts: np.ndarray, budget: np.ndarray, live: deque, window_us: int):
             live.append(int(now))
             i += 1
             continue
-        # nothing is accepted before the oldest time leaves the window
-        stop = int(np.searchsorted(ts, live[0] + window_us, side="right")) if same_budget else i + 1
+        # nothing is accepted before the oldest time leaves the window or a request with a larger budget comes
+        stop = int(np.searchsorted(ts, live[0] + window_us, side="right"))
+        larger = budget[i:stop] > len(live)
+        if larger.any():
+            stop = i + int(larger.argmax())
         blocker[i:stop] = live[0]
         i = stop
     return admitted, blocker
 
 
 def _walker(window_us: int):
-    """Partition function over rows sorted by key, island and time; carried times come before requests."""
+    """Arrow function over rows sorted by key, island and time; carried times come before requests."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live = None, deque()
         for batch in batches:
-            keys, islands = batch["key"].to_numpy(), batch["island"].to_numpy()
-            given, at = batch["given"].to_numpy(dtype=bool), batch["at_us"].to_numpy(dtype=np.int64)
-            budget = batch["budget"].to_numpy(dtype=np.int64)
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            keys, islands, given, at, budget = [column(c) for c in ("key", "island", "given", "at_us", "budget")]
             admitted, blocker = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (islands[1:] != islands[:-1])) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(keys)]):
@@ -97,13 +98,12 @@ def _walker(window_us: int):
                     admitted[run], blocker[run] = _pass_over(at[run], budget[run], live, window_us)
             # whole seconds, cut towards zero
             wait = np.maximum(1, (window_us - (at - blocker)) // SECOND)
-            decided = pd.DataFrame(
-                {
-                    "key": keys, "seq": batch["seq"].to_numpy(), "ts_us": batch["ts_us"].to_numpy(), "at_us": at,
-                    "admitted": admitted, "retry_after": pd.Series(wait, dtype="Int64").mask(admitted),
-                }
-            )
-            yield decided[~given]
+            names = ["key", "seq", "ts_us", "at_us"]
+            decided = pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array(admitted), pa.array(wait, pa.int64(), mask=admitted)],
+                names=[*names, "admitted", "retry_after"],
+            )
+            yield decided.filter(pa.array(~given))
 
     return walk
 
@@ -143,8 +143,12 @@ def _islands(rows: DataFrame, window_us: int, stretch: int) -> DataFrame:
     spread = rows.withColumn("own", own).withColumn("stretch", F.explode(copies))
     in_time = Window.partitionBy("key", "stretch").orderBy("at_us")
     by_row = Window.partitionBy("key", "stretch").orderBy("at_us", F.desc("given"), "seq")
-    crowded = F.count(F.lit(1)).over(in_time.rangeBetween(-window_us, 0)) > F.col("budget")
-    near = F.max("crowded").over(in_time.rangeBetween(-window_us, window_us))
+    # a frame that starts with the group grows by its new rows; one that slides would be added up anew at every row
+    upto = lambda value, after: F.coalesce(F.sum(value).over(in_time.rangeBetween(Window.unboundedPreceding, after)), F.lit(0))
+    one = F.lit(1)
+    crowded = upto(one, Window.currentRow) - upto(one, -window_us - 1) > F.col("budget")
+    crowds = F.col("crowded").cast("int")
+    near = upto(crowds, window_us) - upto(crowds, -window_us - 1) > 0
     apart = F.lag("walked").over(by_row).isNull() | ~F.lag("walked").over(by_row) | (at - F.lag("at_us").over(by_row) > window_us)
     marked = (
         spread.withColumn("crowded", F.coalesce(crowded, F.lit(False)))
@@ -172,7 +176,7 @@ def _decided(requests: DataFrame, carry: DataFrame | None, window_us: int, stret
     walked = rows.where("island IS NOT NULL").select("key", "island", "at_us", "given", "seq", "ts_us", "budget")
     walked = walked.withColumns({"seq": F.coalesce("seq", F.lit(-1)), "budget": F.coalesce("budget", F.lit(0))})
     ordered = walked.repartition("key", "island").sortWithinPartitions("key", "island", "at_us", F.desc("given"), "seq")
-    return sure.unionByName(ordered.mapInPandas(_walker(window_us), _DECISIONS))
+    return sure.unionByName(ordered.mapInArrow(_walker(window_us), _DECISIONS))
 
 
 def _left_behind(decided: DataFrame, carry: DataFrame | None, window_us: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import admission
 from tallyspark.operators.admission import HITS, SECOND, _islands, _with_carried, admit, admit_with_state, bucket_budget, bucket_key
 
 
@@ -109,3 +110,13 @@ def test_late_request_counts_at_the_newest_carried_time(spark):
     assert {r.seq: (r.ts_us, r.admitted, r.retry_after) for r in decisions.collect()} == {
         1: (5 * SECOND, False, 50), 2: (5 * SECOND, True, None),
     }
+
+
+def test_window_frames_never_slide(spark, monkeypatch):
+    # a range frame with two moving ends is added up anew at every row, so a crowd of one key takes time by its square
+    plans, stored = [], admission.stored
+    keep = lambda df, label: plans.append(df._jdf.queryExecution().toString()) or stored(df, label)
+    monkeypatch.setattr(admission, "stored", keep)
+    rows = [("hot", i * 500, i, i % 3 + 5) for i in range(5000)]
+    assert run(spark, rows, 60) == simulate(rows, 60 * SECOND)
+    assert "RangeFrame, unboundedpreceding" in plans[0] and "RangeFrame, -" not in plans[0]

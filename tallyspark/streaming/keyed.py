@@ -1,7 +1,9 @@
 """Streams with state per key and event-time timers: idle clients, and live totals that take back what they added.
 
-Rows of a key may come in any order inside a batch: only the newest counts, so a hot key needs one row of state and its
-rows are streamed. State lies in RocksDB (``session.RUNTIME_CONF``) and in the checkpoint, so a restart goes on from it.
+Rows of a key may come in any order inside a batch: only the newest counts, so a hot key needs one row of state. Keys are
+dealt into ``BUCKETS`` buckets by their hash, and the state of a bucket is one value, the Arrow table of its keys: a batch
+calls Python once a bucket, not once a key. A bucket has one timer, due with the first of its keys. State lies in RocksDB
+(``session.RUNTIME_CONF``) and in the checkpoint, so a restart goes on from it.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tallyspark import fixed
@@ -22,43 +25,87 @@ _ADDED = ["records", "flagged", "charges_cents"]
 DELTA = "owner_id string, status string, jobs bigint, records bigint, flagged bigint, charges_cents bigint"
 MILLI = 1000
 FINAL = [status for status in fixed.STATUSES if status not in fixed.LIVE_STATUSES]
+# each bucket costs some Python calls a batch; 10,000 keys are about a megabyte of state
+BUCKETS = 256
 
 
-class IdleSweep(StatefulProcessor):
-    """Keeps a key from its first request until no request came for a window; emits ``seen`` and ``forgotten`` rows."""
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-    def __init__(self, window_us: int):
-        self.window_us = window_us
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "newest_us bigint")
+class _Bucketed(StatefulProcessor):
+    """State of a bucket of keys: a frame with the columns of ``empty`` and ``due``, the milliseconds a key goes after (0: never)."""
 
-    def _due(self, newest: int) -> int:
-        # the next whole millisecond after the window
-        return (newest + self.window_us) // MILLI + 1
+    empty: pd.DataFrame
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = before = self.newest.get()[0] if self.newest.exists() else None
-        for batch in rows:
-            latest = int(batch["ts_us"].max())
-            newest = latest if newest is None else max(newest, latest)
-        if newest != before:
-            if before is not None:
-                self.handle.deleteTimer(self._due(before))
-            self.newest.update((newest,))
-            self.handle.registerTimer(self._due(newest))
-        yield pd.DataFrame({"key": [key[0]], "kind": ["seen"], "newest_us": [newest]})
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.keys = handle.getValueState("keys", "timer bigint, held binary")
+
+    def _read(self) -> tuple[int, pd.DataFrame]:
+        """The timer of the bucket (0: none) and its keys."""
+        if not self.keys.exists():
+            return 0, self.empty
+        timer, held = self.keys.get()
+        return timer, pa.ipc.open_stream(held).read_pandas()
+
+    def _write(self, timer: int, held: pd.DataFrame) -> None:
+        """Keep ``held``; the timer goes to the first key that is due."""
+        due = held["due"][held["due"] > 0]
+        first = int(due.min()) if len(due) else 0
+        if first != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if first:
+                self.handle.registerTimer(first)
+        if not len(held):
+            self.keys.clear()
+            return
+        table = pa.Table.from_pandas(held, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        self.keys.update((first, sink.getvalue().to_pybytes()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = self.newest.get()[0]
-        self.newest.clear()
-        yield pd.DataFrame({"key": [key[0]], "kind": ["forgotten"], "newest_us": [newest]})
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        mark = max(fired + 1, timerValues.getCurrentWatermarkInMs())
+        timer, held = self._read()
+        over = (held["due"] > 0) & (held["due"] < mark)
+        # a timer that has fired is gone by itself
+        self._write(0 if timer == fired else timer, held[~over])
+        return self.left(held[over])
+
+    def left(self, keys: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """What is said of keys that go."""
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+class IdleSweep(_Bucketed):
+    """Keeps a key from its first request until no request came for a window; emits ``seen`` and ``forgotten`` rows."""
+
+    empty = pd.DataFrame({"key": pd.Series(dtype=object), "newest_us": pd.Series(dtype="int64"), "due": pd.Series(dtype="int64")})
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest = pd.concat([batch.groupby("key")["ts_us"].max() for batch in rows]).groupby(level=0).max()
+        timer, held = self._read()
+        newest = pd.concat([held.set_index("key")["newest_us"], latest]).groupby(level=0).max().astype("int64")
+        # the next whole millisecond after the window
+        due = (newest + self.window_us) // MILLI + 1
+        self._write(timer, pd.DataFrame({"key": newest.index, "newest_us": newest.to_numpy(), "due": due.to_numpy()}))
+        seen = newest[latest.index]
+        yield pd.DataFrame({"key": seen.index, "kind": "seen", "newest_us": seen.to_numpy()})
+
+    def left(self, keys: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"key": keys["key"], "kind": "forgotten", "newest_us": keys["newest_us"]})
+
+
 def idle_sweep(requests: DataFrame, window_seconds: float) -> DataFrame:
     """``SIGHTING`` rows of a stream ``requests(key, ts_us, at)``; ``at`` is the event time of ``ts_us``.
 
@@ -67,47 +114,39 @@ def idle_sweep(requests: DataFrame, window_seconds: float) -> DataFrame:
     """
     rows = requests.where("key IS NOT NULL AND ts_us IS NOT NULL").withWatermark("at", "0 seconds")
     processor = IdleSweep(int(window_seconds * 1_000_000))
-    return rows.groupBy("key").transformWithStateInPandas(processor, SIGHTING, "append", "EventTime")
+    return rows.withColumn("bucket", _bucket("key")).groupBy("bucket").transformWithStateInPandas(processor, SIGHTING, "append", "EventTime")
 
 
-class JobDeltas(StatefulProcessor):
+class JobDeltas(_Bucketed):
     """Keeps the newest step of a job; emits what it added before as a negative row and what it adds now."""
 
+    # of steps at one time the last status in the alphabet, as everywhere; then by the other values
+    order = ["at_us", "status", "owner_id", *_ADDED]
+    empty = pd.DataFrame(
+        {c: pd.Series(dtype=object if c in ("job_id", "status", "owner_id") else "int64") for c in ["job_id", *order, "due"]}
+    )
+
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState(
-            "newest", "at_us bigint, status string, owner_id string, records bigint, flagged bigint, charges_cents bigint"
-        )
+    def _newest(self, steps: pd.DataFrame) -> pd.DataFrame:
+        return steps.sort_values(["job_id", *self.order]).drop_duplicates("job_id", keep="last")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.newest.get()) if self.newest.exists() else None
-        best = before
-        for batch in rows:
-            # of steps at one time the last status in the alphabet, as everywhere; then by the other values
-            top = batch.sort_values(["at_us", "status", "owner_id", *_ADDED]).iloc[-1]
-            step = (int(top["at_us"]), top["status"], top["owner_id"], *[int(top[c]) for c in _ADDED])
-            best = step if best is None else max(best, step)
-        if best == before:
+        came = self._newest(pd.concat([self._newest(batch[["job_id", *self.order]]) for batch in rows]))
+        timer, held = self._read()
+        before = held[["job_id", *self.order]]
+        newest = self._newest(pd.concat([before, came]).astype(self.empty.dtypes.drop("due")))
+        # a step that changes nothing is in both
+        moved = pd.concat([before, newest]).drop_duplicates(keep=False)["job_id"].unique()
+        if not len(moved):
             return
-        self.newest.update(best)
-        if best[1] in FINAL:
-            self.handle.registerTimer(best[0] // MILLI + self.keep_ms)
-        steps = [(step, sign) for step, sign in ((before, -1), (best, 1)) if step is not None]
-        yield pd.DataFrame(
-            [(s[2], s[1], sign, *[sign * value for value in s[3:]]) for s, sign in steps],
-            columns=["owner_id", "status", "jobs", *_ADDED],
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.newest.exists() and self.newest.get()[1] in FINAL:
-            self.newest.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+        final = newest["status"].isin(FINAL)
+        self._write(timer, newest.assign(due=(newest["at_us"] // MILLI + self.keep_ms).where(final, 0)))
+        for steps, sign in ((before, -1), (newest, 1)):
+            changed = steps[steps["job_id"].isin(moved)]
+            values = {c: sign * changed[c] for c in _ADDED}
+            yield pd.DataFrame({"owner_id": changed["owner_id"], "status": changed["status"], "jobs": sign, **values})
 
 
 def job_deltas(steps: DataFrame, late: str, late_ms: int) -> DataFrame:
@@ -118,7 +157,7 @@ def job_deltas(steps: DataFrame, late: str, late_ms: int) -> DataFrame:
     """
     known = steps.where("job_id IS NOT NULL AND owner_id IS NOT NULL AND status IS NOT NULL AND at IS NOT NULL")
     rows = known.fillna(0, _ADDED).withColumn("at_us", F.unix_micros("at")).withWatermark("at", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(JobDeltas(late_ms), DELTA, "append", "EventTime")
+    return rows.withColumn("bucket", _bucket("job_id")).groupBy("bucket").transformWithStateInPandas(JobDeltas(late_ms), DELTA, "append", "EventTime")
 
 
 def live_totals(deltas: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark import fixed
-from tallyspark.functions.parties import drug_words, fragment_words, party_cell, plausible, prescriber_tokens, without_codes
+from tallyspark.functions.parties import (
+    drug_row_words, drug_strength_words, fragment_words, lone_surnames, party_cell, plausible, prescriber_tokens, without_codes,
+)
 from tallyspark.functions.text import blank_to_null, has, lines_of, rx, squeeze
 from tallyspark.session import stored
 
@@ -76,7 +78,7 @@ def between(lines: DataFrame, start: str, stop: str, flags: str = "", otherwise_
 
     A document without a start gives nothing, or all its lines if ``otherwise_all``. Two small aggregates find the places.
     """
-    marked = lines.where(has(F.col("text"), start, flags) | has(F.col("text"), stop, flags))
+    marked = stored(lines.where(has(F.col("text"), start, flags) | has(F.col("text"), stop, flags)), "marked-lines")
     starts = marked.groupBy("doc_id").agg(F.min(_place(start, flags)).alias("start")).where("start IS NOT NULL")
     follows = _with_facts(marked, starts, "doc_id", how="inner").where(F.col("line") >= F.col("start.line"))
     at = F.when(F.col("line") == F.col("start.line"), F.col("start.at")).otherwise(F.lit(0)).cast("int")
@@ -106,7 +108,7 @@ def _around(lines: DataFrame) -> DataFrame:
     )
     spread = lines.withColumn("own", block).withColumn("line_block", F.explode(copies))
     in_block = Window.partitionBy("doc_id", "line_block").orderBy("line")
-    marker = F.when(has(F.col("text"), fixed.BIN_MARKER, "i"), F.col("line"))
+    marker = F.when(F.col("text").contains("(") & has(F.col("text"), fixed.BIN_MARKER, "i"), F.col("line"))
     return (
         spread.withColumn("marker", marker)
         .withColumns(
@@ -127,18 +129,29 @@ def _piece(source: int, at: Column, sub: Column, text: Column) -> Column:
 
 
 def _readings(lines: DataFrame) -> DataFrame:
-    """Per line, its people, its drug words, whether it heads a party column, and the pieces of names on it."""
+    """Per line, its people, its drug words, whether it heads a party column, and the pieces of names on it.
+
+    A plain search for what a pattern needs spares most lines the pattern. What goes on over the next lines is read where
+    it begins.
+    """
     c = F.col
+    text, low = c("text"), F.lower("text")
     together = F.concat_ws("\n", "text", "below", "below2")
+    dated = text.contains("/")
     # a fill row that names no party takes the lines above and below; which of them counts is known once words are gone
-    cell = party_cell(squeeze(c("text")))
+    around = _around(lines).withColumn("row", F.when(dated, squeeze(text)))
+    around = around.withColumn("cell", F.when(c("row").isNotNull(), party_cell(c("row"))))
     before_marker = _piece(_BIN, c("target"), c("line") - c("target"), F.regexp_replace("text", rx(fixed.BIN_MARKER + ".*$", "i"), ""))
     beside = [_piece(_COLUMN, c("line"), F.lit(n), text) for n, text in enumerate([c("cell"), c("above"), c("below")])]
-    return _around(lines).withColumn("cell", cell).select(
+    none = F.array().cast("array<string>")
+    dosed = low.contains("mg") | low.contains("mcg") | low.contains("ml")
+    return around.select(
         "doc_id",
-        prescriber_tokens(F.array("text")).alias("people"),
-        drug_words(together).alias("drugs"),
-        has(together, fixed.PARTY_COLUMN_HEADER, "i").alias("heads"),
+        F.when(text.contains("$"), prescriber_tokens(F.array("text"))).otherwise(lone_surnames(F.array("text"))).alias("people"),
+        F.concat(
+            F.when(dated, drug_row_words(together)).otherwise(none), F.when(dosed, drug_strength_words(text)).otherwise(none)
+        ).alias("drugs"),
+        (low.contains("3rd party") & has(together, fixed.PARTY_COLUMN_HEADER, "i")).alias("heads"),
         F.concat(
             F.when(c("target").isNotNull(), F.array(before_marker)).otherwise(F.array()),
             F.when(c("cell").isNotNull(), F.array(*beside)).otherwise(F.array()),
@@ -149,7 +162,8 @@ def _readings(lines: DataFrame) -> DataFrame:
 def _unknown_words(rows: DataFrame, people: DataFrame, drugs: DataFrame) -> DataFrame:
     """``rows(doc_id, word, ...)`` whose word names neither a person nor a drug of its document."""
     words = rows.select("doc_id", "word").distinct()
-    found = words.withColumns({"upper": F.upper("word"), "lower": F.lower("word")})
+    extra = [F.lit(w) for w in fixed.DRUG_EXTRA_WORDS]
+    found = words.withColumns({"upper": F.upper("word"), "lower": F.lower("word")}).where(~F.col("lower").isin(*extra))
     found = found.join(people, found["doc_id"].eqNullSafe(people["doc_id"]) & (found["upper"] == people["person"]), "left_anti")
     found = found.join(drugs, found["doc_id"].eqNullSafe(drugs["doc_id"]) & (found["lower"] == drugs["drug"]), "left_anti")
     kept = found.select(F.col("doc_id").alias("_doc"), F.col("word").alias("_word"))
@@ -167,7 +181,7 @@ def _table_names(lines: DataFrame) -> DataFrame:
     in_column = in_column.join(headed, in_column["doc_id"].eqNullSafe(headed["_doc"]), "left_semi")
     pieces = pieces.where(F.col("source") == _BIN).unionByName(in_column)
     words = pieces.select("doc_id", "source", "at", "sub", F.posexplode(fragment_words(F.col("text"))).alias("i", "word"))
-    words = _unknown_words(words, people, drugs)
+    words = _unknown_words(stored(words, "party-words"), people, drugs)
     # five lines at most make a name
     listed = F.sort_array(F.collect_list(F.struct("sub", "i", "word")))
     names = words.groupBy("doc_id", "source", "at").agg(listed.alias("words"))
@@ -249,7 +263,8 @@ def third_parties(pages: DataFrame) -> DataFrame:
     ``n`` counts mentions, ``first`` is the place that orders the names of a document. A payer detail section is taken as it
     is; without one the names come from the fill tables, rare ones and fragments left out.
     """
-    lines = document_lines(pages)
+    # lines are looked at several times; their numbers cost two exchanges of the texts
+    lines = stored(document_lines(pages), "lines")
     detail = stored(_first_spelling(_detail_names(lines)), "party-details")
     start, stop = _either(fixed.PHARMACY_SECTION_START), _either(fixed.PHARMACY_SECTION_END)
     table = between(lines, start, stop, otherwise_all=True)

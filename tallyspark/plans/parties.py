@@ -16,8 +16,12 @@ _ORDER_PAGE = 2
 
 
 def _pages(spark, lines: DataFrame, top: str, bottom: str | None = None) -> DataFrame:
-    """``lines(doc_id, k, slot, text)`` as page files read back: a page per order, a heading, maybe a last page."""
-    pages = lines.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list(F.struct("slot", "text")))["text"].alias("texts"))
+    """``lines(doc_id, k, slot, text)`` as page files read back: a page per order, a heading, maybe a last page.
+
+    Lines that are dealt by ``doc`` stay where they are.
+    """
+    dealt = ["doc"] if "doc" in lines.columns else []
+    pages = lines.groupBy(*dealt, "doc_id", "k").agg(F.sort_array(F.collect_list(F.struct("slot", "text")))["text"].alias("texts"))
     orders = pages.select(
         "doc_id", (F.col("k") + _ORDER_PAGE).cast("int").alias("page_num"), F.array_join("texts", "\n").alias("page_content")
     )
@@ -37,10 +41,11 @@ def _listed(found: DataFrame) -> DataFrame:
     return found.select("doc_id", place, F.col("name").alias("third_party"), F.col("n").alias("mentions"))
 
 
-def _fill_values(spark, folder) -> DataFrame:
+def _fill_values(spark, folder, by_document: bool = False) -> DataFrame:
     part = F.col("part")
     name = F.get(F.array(*[F.lit(n) for n in NAMES]), (part % 4).cast("int"))
-    lines = warehouse.order_lines(spark, folder).withColumns(
+    dealt = warehouse.ledger_document() if by_document else None
+    lines = warehouse.order_lines(spark, folder, dealt).withColumns(
         {
             "name": name, "day": F.date_format("first_ship", "MM/dd/yyyy"),
             "number": (F.col("k") % 9000000 + 1000000).cast("string"),
@@ -100,7 +105,7 @@ WHERE n >= CASE WHEN fills >= 50 THEN greatest(3, floor(fills * 0.03)) ELSE 1 EN
 )
 def extract_party_columns(spark, folder):
     """Documents with a party column; every third name stands on the lines above and below its row instead."""
-    fills = _fill_values(spark, folder)
+    fills = _fill_values(spark, folder, by_document=True)
     words = F.split("name", " ")
     row = lambda *cell: F.concat_ws(
         " ", "number", "day", F.lit("Zinc 40118-0932-77"), *cell, F.lit("LUNDE KIM 30 15"), "cost", F.lit("$1.00")
@@ -108,7 +113,7 @@ def extract_party_columns(spark, folder):
     rest = F.array_join(F.slice(words, 2, 4), " ")
     beside = (F.col("part") % 3 == 0) & (F.size(words) > 1)
     text = F.when(beside, F.concat_ws("\n", F.element_at(words, 1), row(), rest)).otherwise(row("name"))
-    lines = fills.select((F.floor(F.col("k") / 8)).cast("string").alias("doc_id"), (F.col("k") % 8).alias("k"), "slot", text.alias("text"))
+    lines = fills.select("doc", (F.floor(F.col("k") / 8)).cast("string").alias("doc_id"), (F.col("k") % 8).alias("k"), "slot", text.alias("text"))
     top = "Juniper Street Pharmacy Pharmacy Expense Report\nRx # Date Drug NDC 3rd Party\nPrescriber Qty Days Charge Copay"
     return _listed(third_parties(_pages(spark, lines, top)))
 
@@ -128,12 +133,12 @@ _DETAILS = SLOTS + f""", entries AS (
 )
 def extract_party_details(spark, folder):
     """Documents with a payer detail section: rows without money, and capitals too long for a name, are left out."""
-    values = _fill_values(spark, folder)
+    values = _fill_values(spark, folder, by_document=True)
     part = F.col("part")
     name = F.when(part % 5 == 4, "LONGCARD").when((part % 4 == 1) & (F.col("slot") % 2 == 0), "delta pbm").otherwise(F.col("name"))
     paid = F.when(F.col("qty") <= 45, F.col("cost")).otherwise("open")
     text = F.concat_ws(" ", name, F.lit(" BIN 0042 "), paid)
-    lines = values.select((F.floor(F.col("k") / 8)).cast("string").alias("doc_id"), (F.col("k") % 8).alias("k"), "slot", text.alias("text"))
+    lines = values.select("doc", (F.floor(F.col("k") / 8)).cast("string").alias("doc_id"), (F.col("k") % 8).alias("k"), "slot", text.alias("text"))
     top = "Juniper Street Pharmacy Pharmacy Expense Report\nThird-Party Payer Detail\nPayer Name BIN Paid"
     return _listed(third_parties(_pages(spark, lines, top, "Grand Total $9.00\nLate Comer $1.00")))
 

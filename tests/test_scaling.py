@@ -41,6 +41,19 @@ def claims(spark, payers):
     return spark.createDataFrame([("a", 1, "Copies"), ("a", 2, text), (None, 1, text)], PAGES)
 
 
+def test_lines_of_documents_are_numbered_once(spark, monkeypatch):
+    seen = {}
+
+    def keep(df, label):
+        seen[label] = plan(df)
+        return stored(df, label)
+
+    monkeypatch.setattr(parties, "stored", keep)
+    pages = spark.createDataFrame([("a", 1, "Date Rx #\nMoon Plan (BIN 1)\nPayment Summary")], PAGES)
+    assert [r["name"] for r in parties.third_parties(pages).collect()] == ["Moon Plan"]
+    assert "Window" in seen["lines"] and "Window" not in seen["party-details"]
+
+
 def test_printed_documents_cross_one_exchange(spark, folder):
     pages = warehouse.ledger_pages(spark, folder, "claim")
     assert plan(pages).count("Exchange") == 1

@@ -41,6 +41,21 @@ def claims(spark, payers):
     return spark.createDataFrame([("a", 1, "Copies"), ("a", 2, text), (None, 1, text)], PAGES)
 
 
+def test_records_are_numbered_in_blocks(spark, monkeypatch):
+    payers = ["Quartz Meadow Plan", "Granite Mutual", "Quartz Meadow Health", "Quartz Meadow Health", "Granite Life"] * 2
+    whole = extraction.extract_records(claims(spark, payers))
+    # no window goes over the records of a whole document
+    assert not re.search(r"windowspecdefinition\((doc_id|_doc)#\d+, seg#", plan(whole))
+    monkeypatch.setattr(extraction, "RECORD_BLOCK", 2)
+    blocks = extraction.extract_records(claims(spark, payers))
+    rows = lambda df: sorted((str(r["doc_id"]), r["idx"], r["invoice_number"], r["insurers"][0]) for r in df.collect())
+    assert rows(blocks) == rows(whole)
+    settled = [p.replace("Meadow Plan", "Meadow Health") for p in payers]
+    assert rows(blocks) == sorted(
+        (doc, i, f"Claim {i + 100001}", p) for doc in ("a", "None") for i, p in enumerate(settled)
+    )
+
+
 def test_lines_of_documents_are_numbered_once(spark, monkeypatch):
     seen = {}
 

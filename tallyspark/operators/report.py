@@ -16,6 +16,7 @@ from tallyspark.functions.money import has_money, totals_or_null, totals_or_zero
 from tallyspark.functions.text import file_name
 from tallyspark.operators.paging import Places
 from tallyspark.schema import MONEY_COLUMNS
+from tallyspark.session import stored
 
 
 @dataclass(frozen=True)
@@ -180,7 +181,11 @@ def job_totals(rows: DataFrame) -> DataFrame:
 
 
 def report_page(rows: DataFrame, page: int, page_rows: int = fixed.REPORT_PAGE_ROWS) -> DataFrame:
-    """One page of the report in job and record order, the page number kept within what exists."""
+    """One page of the report in job and record order, the page number kept within what exists.
+
+    The rows are stored: dealing their keys into ranges, counting them and reading the page would each make them again.
+    """
+    rows = stored(rows, "report")
     places = Places(rows, {"job_id": False, "idx": False})
     pages = max(1, -(-places.total // page_rows))
     page = min(max(1, page), pages)

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import evaluation, extraction, parties
+from tallyspark.operators import evaluation, extraction, parties, report
 from tallyspark.schema import PAGES
 from tallyspark.session import stored
 from tallyspark.sources import warehouse
@@ -85,3 +85,21 @@ def test_truth_and_predictions_meet_without_another_exchange(spark, folder):
         assert paired.count() == 67
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_values_of_lines_are_derived_after_their_exchange(spark, folder):
+    for dealt, rows in [(None, 200), (warehouse.ledger_document(), 200)]:
+        lines = warehouse.order_lines(spark, folder, dealt)
+        above, below = plan(lines).split("Exchange")
+        assert "gross" in above and "gross" not in below and "first_ship" not in below
+        assert lines.count() == rows
+
+
+def test_report_rows_are_made_once(spark):
+    rows = spark.range(30).select(
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"), F.concat(F.lit("job-"), "id").alias("job_id")
+    )
+    page = report.report_page(rows, 3, 50)
+    assert "Range (" not in plan(page) and "Generate" not in plan(page)
+    every = sorted((f"job-{i}", n) for i in range(30) for n in range(4))
+    assert [(r.job_id, r.idx) for r in page.orderBy("row_no").collect()] == every[100:]

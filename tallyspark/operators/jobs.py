@@ -236,10 +236,17 @@ def resolve_submissions(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+def copied_jobs(decisions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The rows of ``jobs`` that ``decisions`` copy, so that results need to be read or made for these only."""
+    copied = decisions.where(F.col("outcome") == "cached").select(F.col("target_id").alias("id"))
+    return jobs.join(copied, "id", "left_semi")
+
+
 def jobs_from_submissions(requests: DataFrame, decisions: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """The rows that resolved submissions add: new pending jobs and completed copies.
 
-    ``requests`` also holds ``pdf_filename`` and ``pdf_path``. Append the result to the table.
+    ``requests`` also holds ``pdf_filename`` and ``pdf_path``; of ``jobs``, ``copied_jobs`` are enough. Append the result to
+    the table.
     """
     new = decisions.where(F.col("outcome").isin("created", "cached")).select("request_id", "outcome", "target_id")
     cached = jobs.select(F.col("id").alias("target_id"), F.struct(*REUSED).alias("_old"))

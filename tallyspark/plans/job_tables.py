@@ -10,7 +10,7 @@ from tallyspark.operators import jobs as ops
 from tallyspark.plans.oracle_tables import JOBS, RECORDS, with_tables
 from tallyspark.plans.registry import query, stamp
 from tallyspark.schema import MONEY_COLUMNS
-from tallyspark.session import new_folder
+from tallyspark.session import new_folder, stored
 from tallyspark.sources import files, warehouse
 
 NOW = "1998-06-01 12:00:00"
@@ -304,9 +304,11 @@ FROM resolved r LEFT JOIN jobs j ON r.target_id = j.id LEFT JOIN sums s ON j.k =
 )
 def submitted_jobs(spark, folder):
     """Rows that the resolved submissions add to the job table, with the results and usage that they copy."""
-    rows = warehouse.jobs(spark, folder).drop("k", "priority", "order_year")
-    requests = _requests(spark, folder)
-    new = ops.jobs_from_submissions(requests, ops.resolve_submissions(requests, rows), rows, _now())
+    rows, requests = warehouse.job_rows(spark, folder), _requests(spark, folder)
+    decisions = stored(ops.resolve_submissions(requests, rows), "decisions")
+    # results are large: they are made for the jobs that are copied and cross an exchange for these only
+    jobs = warehouse.with_results(spark, folder, ops.copied_jobs(decisions, rows)).drop("k", "priority", "order_year")
+    new = ops.jobs_from_submissions(requests, decisions, jobs, _now())
     return new.select(
         "id", "owner_id", "pdf_filename", "pdf_path", "status", "content_hash", "cost_usd",
         F.col("processing_duration_seconds").alias("duration"), stamp("completed_at"), stamp("created_at"),

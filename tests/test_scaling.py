@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import evaluation, extraction, parties, report
-from tallyspark.schema import PAGES
+from tallyspark.operators import evaluation, extraction, jobs, parties, report
+from tallyspark.schema import JOBS, PAGES
 from tallyspark.session import stored
 from tallyspark.sources import warehouse
 
@@ -103,3 +103,18 @@ def test_report_rows_are_made_once(spark):
     assert "Range (" not in plan(page) and "Generate" not in plan(page)
     every = sorted((f"job-{i}", n) for i in range(30) for n in range(4))
     assert [(r.job_id, r.idx) for r in page.orderBy("row_no").collect()] == every[100:]
+
+
+def test_results_are_needed_for_copied_jobs_only(spark):
+    decisions = spark.createDataFrame(
+        [("r1", "u", "h", "cached", "a"), ("r2", "u", "h", "cached", "a"), ("r3", "u", "g", "created", "r3"), ("r4", "u", "g", "joined", "b")],
+        "request_id string, owner_id string, content_hash string, outcome string, target_id string",
+    )
+    requests = decisions.select("request_id", "owner_id", "content_hash", F.lit("f").alias("pdf_filename"), F.lit("p").alias("pdf_path"))
+    row = lambda job_id: (job_id, "u", "f", f"/{job_id}", "completed", "h", ([], []), None, None, 0.5, *[None] * 6)
+    table = spark.createDataFrame([row("a"), row("a"), row("b"), row(None), row("c")], JOBS)
+    copied = jobs.copied_jobs(decisions, table)
+    assert [r.id for r in copied.collect()] == ["a", "a"] and copied.schema == table.schema
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    new = [sorted(jobs.jobs_from_submissions(requests, decisions, t, now).collect(), key=str) for t in (table, copied)]
+    assert new[0] == new[1] and [r.id for r in new[0]] == ["r1", "r1", "r2", "r2", "r3"]

@@ -217,31 +217,50 @@ def without_fragments(names: DataFrame) -> DataFrame:
     """``names(doc_id, name, ...)`` without those that are only a fragment of another name of their document.
 
     A one-word name is a fragment if another name holds it as a whole word, a name of two words that ends in one of the
-    fixed endings if another one goes on after it; case does not count. Each name is listed under its words and under its
-    first two; a possible fragment looks itself up, so names are never compared in pairs. Names are not null.
+    fixed endings if another one goes on after it; case does not count. Possible fragments look themselves up in an index of
+    words, so names are never compared in pairs; all others stay where they are. For a name of word characters only, and
+    for one of two words, the entry alone decides, so entries are distinct and hold no names. Any other one-word name, as
+    ``O'Dell``, is looked for in the names that have a word of such a mixed kind. ``names`` are not null, and are read
+    several times: store them.
     """
     key = F.lower("name")
     words = F.split(key, " ")
-    runs = lambda k: F.regexp_extract_all(k, F.lit(r"(?U)\w+|\W+"), F.lit(0))
-    pair = F.array_join(F.slice(words, 1, 2), " ")
-    entries = F.concat(
-        F.transform(F.array_distinct(runs(key)), lambda run: F.struct(F.lit(1).alias("size"), run.alias("word"))),
-        F.when(F.size(words) > 2, F.array(F.struct(F.lit(2).alias("size"), pair.alias("word")))).otherwise(F.array()),
-    )
-    index = names.select(F.col("doc_id").alias("_doc"), key.alias("_other"), F.inline(entries)).distinct()
-    index = index.withColumnsRenamed({"size": "_size", "word": "_word"})
-    # every run of word characters in a one-word name is a run of the name that holds it
+    # word characters and spaces only, as in most names: the words are what lies between the spaces
+    simple = ~key.rlike(r"(?U)[^\w ]")
+    single = ~key.contains(" ")
+    plain = simple & single & (key != "")
+    ending = lambda word: word.isin(fixed.PARTY_FRAGMENT_ENDINGS)
+    pair = (F.size(words) == 2) & ending(F.element_at(words, -1))
+    # join keys as columns, so that distinct entries and the join share an exchange
+    document = [F.coalesce("doc_id", F.lit("")).alias("_doc"), F.col("doc_id").isNull().alias("_none")]
+    on = ["_doc", "_none", "_word"]
+    runs = lambda text, kind: F.regexp_extract_all(text, F.lit(f"(?U){kind}"), F.lit(0))
+
+    # a name's own text is no entry: only another name may hold it
+    held = F.filter(F.when(simple, words).otherwise(runs(key, r"\w+")), lambda run: (run != key) & (run != ""))
+    begun = F.when((F.size(words) > 2) & ending(F.get(words, 1)), F.array(F.array_join(F.slice(words, 1, 2), " ")))
+    # the outer form: for the plain one the planner makes the list a second time, to leave out empty ones
+    every = F.explode_outer(F.concat(held, F.coalesce(begun, F.array())))
+    entries = names.where(~plain).select(*document, every.alias("_word")).where("_word IS NOT NULL").distinct()
+    asked = names.where(F.when(single, plain).otherwise(pair)).select("*", *document, key.alias("_word"))
+    looked_up = asked.join(entries, on, "left_anti")
+
+    mixed = F.filter(words, lambda word: word.rlike(r"(?U)\w") & word.rlike(r"(?U)\W"))
+    pieces = F.explode_outer(F.array_distinct(F.flatten(F.transform(mixed, lambda word: runs(word, r"\w+|\W+")))))
+    within = names.where(~simple).select(*document, key.alias("_other"), pieces.alias("_word"))
+    within = within.where("_word IS NOT NULL")
     spelled = F.regexp_extract(key, r"(?U)\w+", 0)
-    probe = F.when(F.size(words) == 1, F.when(spelled != "", spelled).otherwise(key)).when(
-        (F.size(words) == 2) & F.element_at(words, -1).isin(fixed.PARTY_FRAGMENT_ENDINGS), key
+    odd = names.where(single & ~plain).select(
+        "*", *document, F.when(spelled != "", spelled).otherwise(key).alias("_word"), key.alias("_key")
     )
-    probes = names.withColumns({"_key": key, "_probe": probe, "_words": F.size(words)})
-    holds = (F.col("_words") == 2) | F.rlike(F.col("_other"), F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b")))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_probe") == F.col("_word"))
-        & (F.col("_words") == F.col("_size")) & (F.col("_key") != F.col("_other")) & holds
-    )
-    return probes.join(index, same, "left_anti").drop("_key", "_probe", "_words")
+    holds = F.rlike(F.col("_other"), F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b")))
+    same = (F.col("_key") != F.col("_other")) & holds
+    for name in on:
+        same = (odd[name] == within[name]) & same
+    searched = odd.join(within, same, "left_anti")
+
+    rest = names.where(F.coalesce(~single & ~pair, F.lit(True)))
+    return rest.unionByName(looked_up.select(names.columns)).unionByName(searched.select(names.columns))
 
 
 def _detail_names(lines: DataFrame) -> DataFrame:

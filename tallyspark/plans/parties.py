@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyspark.operators.parties import third_parties, without_fragments
 from tallyspark.plans.oracle_tables import SLOTS, with_tables
 from tallyspark.plans.registry import query
-from tallyspark.session import new_folder
+from tallyspark.session import new_folder, stored
 from tallyspark.sources import files, warehouse
 
 NAMES = ["Corner Discount", "Delta PBM", "Sun Saver Card", "CAREX"]
@@ -162,15 +162,19 @@ WHERE NOT (strpos(name, ' ') = 0 AND EXISTS (SELECT 1 FROM words w WHERE w.doc_i
 )
 def party_fragments(spark, folder):
     """Names of every document of eight orders, and of all orders as one, without those that are part of another name."""
-    lines = warehouse.order_lines(spark, folder)
-    places = F.array(
-        F.struct(F.lit("all").alias("doc_id"), F.col("part").cast("long").alias("p")),
-        F.struct(F.floor(F.col("k") / 8).cast("string").alias("doc_id"), (F.col("part") % 20).cast("long").alias("p")),
+    lines = warehouse.order_lines(spark, folder, warehouse.ledger_document())
+    part, kind = F.col("part").cast("long"), (F.col("slot") % 4).cast("int")
+    place = lambda whole, doc, p: F.struct(
+        F.lit(whole).alias("whole"), doc.alias("doc"), p.alias("p"), F.when(p.isNotNull(), kind).alias("kind")
     )
+    places = F.array(place(True, F.lit(None).cast("long"), part), place(False, F.floor(F.col("k") / 8), part % 20))
+    # the names as numbers first, of which each document has few
+    different = lines.select(F.inline(places)).distinct()
     p = F.col("p").cast("string")
     kinds = [
         F.concat(F.lit("W"), p), F.concat(F.lit("Plan w"), p, F.lit(" Fund")), F.concat(F.lit("Group"), p, F.lit(" Health")),
         F.concat(F.lit("group"), p, F.lit(" health Trust")),
     ]
-    names = lines.select("slot", F.inline(places)).select("doc_id", F.get(F.array(*kinds), (F.col("slot") % 4).cast("int")).alias("name"))
-    return without_fragments(names.distinct())
+    doc_id = F.when(F.col("whole"), "all").otherwise(F.col("doc").cast("string"))
+    names = different.select(doc_id.alias("doc_id"), F.get(F.array(*kinds), F.col("kind")).alias("name"))
+    return without_fragments(stored(names, "names"))

@@ -118,3 +118,19 @@ def test_results_are_needed_for_copied_jobs_only(spark):
     now = F.lit("2026-01-02 00:00:00").cast("timestamp")
     new = [sorted(jobs.jobs_from_submissions(requests, decisions, t, now).collect(), key=str) for t in (table, copied)]
     assert new[0] == new[1] and [r.id for r in new[0]] == ["r1", "r1", "r2", "r2", "r3"]
+
+
+def test_plain_words_share_one_index_without_names(spark):
+    listed = [("a", n) for n in ["Sun", "Sun Saver", "Sun Day", "O'Dell", "O'Dell-West Plan", "West", "Blue Health", "Blue Health Fund", "Blue X Fund", "été", "Grand Été"]]
+    listed += [(None, "Sun"), (None, "sun"), ("", "Sun Saver"), ("b", "-"), ("b", "x-y Plan"), ("b", "x - y"), ("b", "Y"), ("c", ""), ("c", "a  b")]
+    names = spark.createDataFrame(listed, "doc_id string, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = parties.without_fragments(names)
+        index = re.search(r"keys=\[(_doc#\d+, _none#\d+, _word#\d+)\]", plan(kept))
+        assert index and plan(kept).count("Exchange") == 4
+        left = {(r.doc_id, r.name) for r in kept.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    gone = {("a", "Sun"), ("a", "O'Dell"), ("a", "West"), ("a", "Blue Health"), ("a", "été"), ("b", "-"), ("b", "Y")}
+    assert left == set(listed) - gone

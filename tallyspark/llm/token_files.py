@@ -2,212 +2,289 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.llm.base import utf8
 from tallyspark.session import new_folder
 
-BLOCK_IDS = 16_384
-LANES = 512  # blocks that are coded side by side
-MAGIC = b"TID1"
-CONTEXTS = 14  # bits of the hashed context tables
-TOP, BOTTOM, WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-STEP, LIMIT = 24, 60_000  # what a symbol's count grows by, and the sum at which counts are halved
+BLOCK_IDS = 1 << 21
+LANE_IDS = 512  # about so many ids of a block are coded one after another, the rest of it side by side
+MAGIC = b"TID2"
+SLOTS = 18  # bits of the hashed table of order 2
+WEIGHT = 8  # bits of the weights
+FLOOR, EDGE, WORD = np.uint64(1 << 40), np.uint64(1 << 48), np.uint64(16)
+
+KNOWN_PIECES = 500_000  # pieces of texts that a task remembers; more would only save time
+KNOWN_LENGTH = 48
+POOL_IDS = 8_000_000
+SLICE_ROWS, SLICE_BYTES = 4_096, 16_000_000
+# A piece begins at a space before anything but white space. No token of a byte-level tokenizer crosses such a place.
+CUT, SPACE = re.compile(r" (?=\S)"), re.compile(r"\s")
+ODD_SPACES = (
+    r" ([\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|$)"
+)
 
 
 class Mixer:
-    """Adaptive predictions of the next id in each lane, all from an empty start.
+    """Mixed predictions of the next id, for all lanes of a block, from an empty start.
 
-    Order 2 and order 1 keep the id that last followed a context, with a confidence of 0 to 3. How much each of them
-    weighs against order 0 is learnt for every pair of confidences, as the share of ids that it gets right. Order 0
-    counts the ids, first their upper part and then, for that, their last eight bits.
+    Order 2 and order 1 give all their mass to the id that last followed a context, with a confidence of 0 to 3. Order
+    0 has a share for every id, by the ids counted so far. The three are added up, and the sum is what is coded:
+    ``P = w2 P2 + w1 P1 + w0 P0``. There are weights for every pair of confidences, learnt from the part that each order
+    had in the mass of the ids that came. Lanes share the model of their block; it learns after every step of the lanes.
     """
 
-    def __init__(self, lanes: int, uppers: int):
-        size = 1 << CONTEXTS
-        self.follower = [np.zeros((lanes, size), np.int32) for _ in range(2)]
-        self.trust = [np.zeros((lanes, size), np.uint8) for _ in range(2)]
-        self.weights = np.ones((lanes, 16, 3), np.uint32) * np.array([4, 2, 2], np.uint32)
-        self.weights[:, :4, 0] = 0  # order 2 knows nothing
-        self.weights[:, ::4, 1] = 0  # order 1 knows nothing, or the same as order 2
-        self.upper = np.ones((lanes, uppers), np.uint32)
-        self.lower = np.ones((lanes, uppers, 256), np.uint16)
-        self.upper_sum = np.full(lanes, uppers)
-        self.lower_sum = np.full((lanes, uppers), 256)
-        self.last = np.zeros((2, lanes), np.uint64)
-
-    def look(self, n: int):
-        """For the first ``n`` lanes: contexts, followers, confidences and the pair of confidences."""
-        one = self.last[0, :n]
-        both = (self.last[1, :n] * np.uint64(0x9E3779B97F4A7C15)) ^ (one * np.uint64(0xC2B2AE3D27D4EB4F))
-        shift = np.uint64(64 - CONTEXTS)
-        slots = [(both * np.uint64(0x9E3779B97F4A7C15)) >> shift, (one * np.uint64(0x9E3779B97F4A7C15)) >> shift]
-        lane = np.arange(n)
-        followers = [t[lane, s] for t, s in zip(self.follower, slots)]
-        trusts = [t[lane, s] for t, s in zip(self.trust, slots)]
-        useful = np.where((trusts[0] > 0) & (followers[0] == followers[1]), 0, trusts[1])
-        return slots, followers, trusts, (trusts[0] * 4 + useful).astype(np.int64)
-
-    def learn(self, n: int, ids, slots, followers, trusts, pair, which) -> None:
-        lane = np.arange(n)
-        self.weights[lane, pair, which] += STEP
-        full = self.weights[lane, pair].sum(axis=1) > LIMIT
-        if full.any():
-            self.weights[lane[full], pair[full]] = (self.weights[lane[full], pair[full]] + 1) >> 1
+    TRUST = [1, 1, 1, 2, 1, 2, 3, 3]  # what follows trust t: at t after a miss, at 4 + t after a hit
+
+    def __init__(self, lanes: int, vocabulary: int):
+        self.vocabulary, self.bits = vocabulary, max(vocabulary - 1, 1).bit_length() + 4
+        self.total = self.bits + WEIGHT  # bits of the whole mass
+        self.kind = np.int32 if self.total < 31 else np.int64
+        self.sign = np.dtype(self.kind).itemsize * 8 - 1
+        self.trust = np.array(self.TRUST, self.kind)
+        self.followers = [np.zeros(1 << SLOTS, self.kind), np.zeros(vocabulary + 1, self.kind)]  # id * 4 + trust
+        self.last, self.before = np.full(lanes, vocabulary), np.full(lanes, vocabulary)
+        self.parts = np.array([[4.0, 2.0, 2.0]] * 16)
+        self.parts[:4, 0] = 0  # order 2 knows nothing
+        self.parts[::4, 1] = 0  # order 1 knows nothing, or the same as order 2
+        self.possible = self.parts > 0
+        self.counts = np.zeros(vocabulary, np.int64)
+        self.weigh()
+        self.count(np.empty(0, np.int64))
+
+    def weigh(self) -> None:
+        sums = self.parts.sum(axis=1, keepdims=True)
+        spare = (1 << WEIGHT) - self.possible.sum(axis=1, keepdims=True)
+        weights = (self.possible + np.floor(self.parts * spare / sums)).astype(self.kind)
+        weights[:, 2] = (1 << WEIGHT) - weights[:, 0] - weights[:, 1]
+        self.weights = [weights[:, 0] << self.bits, weights[:, 1] << self.bits, np.ascontiguousarray(weights[:, 2])]
+
+    def count(self, ids) -> None:
+        """Order 0 learns ``ids``; every id keeps a share."""
+        self.counts += np.bincount(ids, minlength=self.vocabulary)
+        sum_, room = int(self.counts.sum()), (1 << self.bits) - self.vocabulary
+        size = 1 + (self.counts * room // sum_ if sum_ else np.full(self.vocabulary, room // self.vocabulary))
+        size[self.counts.argmax()] += (1 << self.bits) - size.sum()
+        ends = np.cumsum(size)
+        self.size, self.ends, self.start = size.astype(self.kind), ends, (ends - size).astype(self.kind)
+        # the id at every 16th place
+        cells = np.diff(ends + 15 >> 4, prepend=0)
+        self.cells = np.repeat(np.arange(self.vocabulary, dtype=np.int32), cells)
+
+    def look(self, n: int) -> None:
+        """What the orders predict in the first ``n`` lanes."""
+        last = self.last[:n]
+        slot = last * 0x2545F491
+        slot += self.before[:n] * 0x9E3779B1
+        slot >>= 7
+        slot &= (1 << SLOTS) - 1
+        self.places = slot, last
+        two, one = self.entries = self.followers[0].take(slot), self.followers[1].take(last)
+        self.ids, self.trusts = (two >> 2, one >> 2), (two & 3, one & 3)
+        self.pair = self.trusts[0] * 4
+        self.pair += np.where((self.ids[0] == self.ids[1]) & (self.trusts[0] > 0), 0, self.trusts[1])
+        self.now = [w.take(self.pair) for w in self.weights]
+
+    def mass(self, ids):
+        """Where the mass of an id begins in each lane, and how much it is."""
+        w2, w1, w0 = self.now
+        start, self.got = self.start.take(ids), self.size.take(ids)
+        start *= w0
+        self.got *= w0
+        self.hits = []
+        for follower, weight in zip(self.ids, (w2, w1)):
+            apart = follower - ids.astype(self.kind)
+            start += (apart >> self.sign) & weight  # all bits are set if the follower comes before
+            hit = ~((apart | -apart) >> self.sign)  # all bits are set if it is the id
+            self.got += hit & weight
+            self.hits.append(hit)
+        return start, self.got
+
+    def find(self, point):
+        """The id of each lane whose mass holds ``point``."""
+        (a, b), (w2, w1, w0) = self.ids, self.now
+        apart = a - b
+        low = w0 * self.start.take(a) + (-(apart > 0).astype(self.kind) & w1)
+        after = point - low
+        width = w0 * self.size.take(a) + w2
+        of_a, past_a = (after >= 0) & (after < width), after >= width
+        low = w0 * self.start.take(b) + ((apart >> self.sign) & w2)
+        after = point - low
+        width = w0 * self.size.take(b) + w1
+        of_b, past_b = (after >= 0) & (after < width), after >= width
+        ids = np.where(of_a, a, b)
+        k = np.flatnonzero(~(of_a | of_b))
+        rest = point.take(k) - w2.take(k) * past_a.take(k) - w1.take(k) * past_b.take(k)
+        place = (rest / w0.take(k)).astype(np.int64)  # exact: both are below 2 to the 53rd by far
+        found = self.cells.take(place >> 4)
+        late = np.flatnonzero(self.ends.take(found) <= place)
+        while len(late):
+            found[late] += 1
+            late = late[self.ends.take(found[late]) <= place[late]]
+        ids[k] = found
+        return ids.astype(np.int64)
+
+    def learn(self, ids, step: int) -> None:
+        n, entry = len(ids), (ids * 4).astype(self.kind)
         for k in range(2):
-            hit = followers[k] == ids
-            trust = np.where(hit, np.minimum(trusts[k] + 1, 3), np.where(trusts[k] > 1, trusts[k] - 1, 1))
-            self.follower[k][lane, slots[k]] = np.where(hit | (trusts[k] > 1), followers[k], ids)
-            self.trust[k][lane, slots[k]] = np.where((trusts[k] == 0), 1, trust)
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids.astype(np.uint64) + np.uint64(1)
-
-    def count(self, lane, upper, lower) -> None:
-        self.upper[lane, upper] += STEP
-        self.upper_sum[lane] += STEP
-        full = lane[self.upper_sum[lane] > LIMIT]
-        if len(full):
-            self.upper[full] = (self.upper[full] + 1) >> 1
-            self.upper_sum[full] = self.upper[full].sum(axis=1)
-        self.lower[lane, upper, lower] += STEP
-        self.lower_sum[lane, upper] += STEP
-        over = self.lower_sum[lane, upper] > LIMIT
-        if over.any():
-            lane, upper = lane[over], upper[over]
-            self.lower[lane, upper] = (self.lower[lane, upper] + 1) >> 1
-            self.lower_sum[lane, upper] = self.lower[lane, upper].sum(axis=1)
+            state = self.hits[k] & 4
+            state += self.trusts[k]
+            new = self.trust.take(state)
+            new += entry
+            # an id that was trusted stays after a miss
+            self.followers[k][self.places[k]] = np.where(state >> 1 == 1, self.entries[k] - 1, new)
+        if step < 32 or step % 4 == 0:
+            rest = np.bincount(self.pair, minlength=16) * 256.0
+            for k in range(2):
+                of = np.flatnonzero(self.hits[k] & self.now[k])
+                # whole numbers below 2 to the 53rd: sums do not depend on their order
+                part = self.now[k].take(of).astype(np.int64) * 256 // self.got.take(of)
+                part = np.bincount(self.pair.take(of), part, minlength=16)
+                self.parts[:, k] += part
+                rest -= part
+            self.parts[:, 2] += rest
+            self.weigh()
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
 
 
 class Coder:
-    """A carry-less range coder for many lanes; with ``data`` it decodes."""
+    """A carry-less range coder for many lanes, in words of 16 bits; with ``words`` it decodes."""
 
-    def __init__(self, lanes: int, data: list[bytes] | None = None):
+    def __init__(self, lanes: int, words: np.ndarray | None = None, at: np.ndarray | None = None):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, WORD, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        if data is None:
-            self.bytes, self.code = np.zeros((lanes, 1 << 12), np.uint8), None
+        self.range = np.full(lanes, 2**64 - 1, np.uint64)
+        self.words, self.at, self.out = words, at, []
+        if words is not None:
+            self.left = np.zeros(lanes, np.uint64)  # how far the code lies above low
+            for _ in range(4):
+                self._move(np.arange(lanes), self.low)
+
+    def _move(self, lane, low) -> None:
+        if self.words is None:
+            self.out.append((lane.astype(np.uint32), (low >> np.uint64(48)).astype("<u2")))
             return
-        self.bytes = np.zeros((lanes, max(map(len, data), default=0) + 8), np.uint8)
-        for k, row in enumerate(data):
-            self.bytes[k, : len(row)] = np.frombuffer(row, np.uint8)
-        self.code = np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self.code = (self.code << np.uint64(8)) | self._next(np.arange(lanes))
-
-    def _next(self, lane):
-        found = self.bytes[lane, np.minimum(self.at[lane], self.bytes.shape[1] - 1)].astype(np.uint64)
-        self.at[lane] += 1
-        return found
-
-    def encode(self, lane, counts, symbol) -> None:
-        ends = np.cumsum(counts, axis=1, dtype=np.uint32)
-        row = np.arange(len(lane))
-        count = counts[row, symbol].astype(np.uint64)
-        self._narrow(lane, ends[row, symbol] - count, count, self.range[lane] // ends[:, -1])
-
-    def decode(self, lane, counts) -> np.ndarray:
-        ends = np.cumsum(counts, axis=1, dtype=np.uint32)
-        row = np.arange(len(lane))
-        unit = self.range[lane] // ends[:, -1]
-        point = np.minimum(((self.code[lane] - self.low[lane]) & WORD) // unit, ends[:, -1] - np.uint64(1))
-        symbol = (ends > point[:, None].astype(np.uint32)).argmax(axis=1)
-        count = counts[row, symbol].astype(np.uint64)
-        self._narrow(lane, ends[row, symbol] - count, count, unit)
-        return symbol
-
-    def _narrow(self, lane, start, count, unit) -> None:
-        self.low[lane] = (self.low[lane] + start * unit) & WORD
-        self.range[lane] = count * unit
+        at = self.at.take(lane)
+        self.left[lane] = self.left.take(lane) << WORD | self.words.take(at, mode="clip")
+        self.at[lane] = at + 1
+
+    def point(self, n: int, bits: int):
+        found = self.left[:n] // (self.range[:n] >> np.uint64(bits))
+        return np.minimum(found, np.uint64((1 << bits) - 1))
+
+    def narrow(self, start, size, bits: int) -> None:
+        n = len(start)
+        low, width = self.low[:n], self.range[:n]
+        width >>= np.uint64(bits)
+        skipped = start.astype(np.uint64) * width
+        low += skipped
+        if self.words is not None:
+            self.left[:n] -= skipped
+        width *= size.astype(np.uint64)
+        lane = np.flatnonzero(width < FLOOR)
         while len(lane):
-            low, width = self.low[lane], self.range[lane]
-            settled = (low ^ ((low + width) & WORD)) < TOP
-            tight = ~settled & (width < BOTTOM)
-            width = np.where(tight, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), width)
-            moving = settled | tight
-            lane, low, width = lane[moving], low[moving], width[moving]
-            if not len(lane):
-                break
-            if self.code is None:
-                if self.at[lane].max() >= self.bytes.shape[1]:
-                    self.bytes = np.hstack([self.bytes, np.zeros_like(self.bytes)])
-                self.bytes[lane, self.at[lane]] = (low >> np.uint64(24)).astype(np.uint8)
-                self.at[lane] += 1
-            else:
-                self.code[lane] = ((self.code[lane] << np.uint64(8)) & WORD) | self._next(lane)
-            self.low[lane], self.range[lane] = (low << np.uint64(8)) & WORD, (width << np.uint64(8)) & WORD
-
-    def close(self) -> list[bytes]:
-        out = []
-        for k in range(len(self.low)):
-            out.append(self.bytes[k, : self.at[k]].tobytes() + int(self.low[k]).to_bytes(4, "big"))
-        return out
+            some = low.take(lane)
+            # the bits that leave are the same for the whole range, which is cut where they would not be
+            rest = np.minimum(width.take(lane), EDGE - (some & (EDGE - np.uint64(1)))) << WORD
+            self._move(lane, some)
+            low[lane], width[lane] = some << WORD, rest
+            lane = lane[rest < FLOOR]
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of all lanes, lane by lane, and how many each has."""
+        lanes = np.arange(len(self.low))
+        ends = self.low + np.uint64(2**32 - 1)
+        for _ in range(2):
+            self._move(lanes, ends)
+            ends = ends << WORD
+        lane, words = (np.concatenate(c) for c in zip(*self.out))
+        return words[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=len(self.low))
+
+
+def shape(n: int) -> tuple[int, int]:
+    """Lanes of a block of ``n`` ids and the ids of each; the last lane may have fewer."""
+    steps = -(-n // max(1, n // LANE_IDS))
+    return -(-n // steps), steps
+
+
+def learns_at(step: int) -> bool:
+    """Whether order 0 learns before this step: at first often, then twice while the steps double."""
+    return step > 0 and step % (1 << max(0, step.bit_length() - 2)) == 0
 
 
 def compress(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """A payload for every block of ids below ``vocabulary``; each starts from an empty model."""
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    rows = [blocks[k].astype(np.int64) for k in order]
-    lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    ids = np.zeros((len(rows), int(lengths.max(initial=0))), np.int64)
-    for k, r in enumerate(rows):
-        ids[k, : len(r)] = r
-    mixer, coder = Mixer(len(rows), (vocabulary - 1 >> 8) + 1), Coder(len(rows))
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-lengths, -t))  # lanes with an id here
-        now = ids[:n, t]
-        slots, followers, trusts, pair = mixer.look(n)
-        which = np.where(
-            (pair >= 4) & (followers[0] == now), 0, np.where((pair % 4 > 0) & (followers[1] == now), 1, 2)
-        )
-        lane = np.arange(n)
-        coder.encode(lane, mixer.weights[lane, pair], which)
-        lane = lane[which == 2]
-        if len(lane):
-            upper, lower = now[lane] >> 8, now[lane] & 255
-            coder.encode(lane, mixer.upper[lane], upper)
-            coder.encode(lane, mixer.lower[lane, upper], lower)
-            mixer.count(lane, upper, lower)
-        mixer.learn(n, now, slots, followers, trusts, pair, which)
-    out = [b""] * len(blocks)
-    for place, payload in zip(order, coder.close()):
-        out[place] = payload
-    return out
+    return [_compress(np.asarray(ids, np.int64), vocabulary) for ids in blocks]
+
+
+def _compress(ids: np.ndarray, vocabulary: int) -> bytes:
+    if not len(ids):
+        return b""
+    lanes, steps = shape(len(ids))
+    rows = np.zeros(lanes * steps, np.int64)
+    rows[: len(ids)] = ids
+    rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
+    full = len(ids) - (lanes - 1) * steps  # steps of the last lane
+    mixer, coder, learnt = Mixer(lanes, vocabulary), Coder(lanes), 0
+    for t in range(steps):
+        if learns_at(t):
+            mixer.count(_seen(rows, learnt, t, full))
+            learnt = t
+        now = rows[t] if t < full else rows[t, :-1]
+        mixer.look(len(now))
+        coder.narrow(*mixer.mass(now), mixer.total)
+        mixer.learn(now, t)
+    words, sizes = coder.close()
+    return sizes.astype("<u2").tobytes() + words.tobytes()
+
+
+def _seen(rows: np.ndarray, first: int, end: int, full: int) -> np.ndarray:
+    """The ids of steps ``first`` to ``end``, without the places after the end of the last lane."""
+    if end <= full:
+        return rows[first:end].ravel()
+    return np.concatenate([rows[first:end, :-1].ravel(), rows[first : max(first, full), -1]])
 
 
 def expand(payloads: list[bytes], lengths: list[int], vocabulary: int) -> list[np.ndarray]:
     """The ids of every payload, the way ``compress`` took them."""
-    order = sorted(range(len(payloads)), key=lambda k: -lengths[k])
-    sizes = np.array([lengths[k] for k in order], dtype=np.int64)
-    ids = np.zeros((len(order), int(sizes.max(initial=0))), np.int64)
-    mixer = Mixer(len(order), (vocabulary - 1 >> 8) + 1)
-    coder = Coder(len(order), [payloads[k] for k in order])
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t))
-        slots, followers, trusts, pair = mixer.look(n)
-        lane = np.arange(n)
-        which = coder.decode(lane, mixer.weights[lane, pair])
-        now = np.where(which == 0, followers[0], followers[1]).astype(np.int64)
-        lane = lane[which == 2]
-        if len(lane):
-            upper = coder.decode(lane, mixer.upper[lane])
-            lower = coder.decode(lane, mixer.lower[lane, upper])
-            now[lane] = upper << 8 | lower
-            mixer.count(lane, upper, lower)
-        mixer.learn(n, now, slots, followers, trusts, pair, which)
-        ids[:n, t] = now
-    out = [np.empty(0, np.int64)] * len(payloads)
-    for k, place in enumerate(order):
-        out[place] = ids[k, : sizes[k]]
-    return out
+    return [_expand(p, n, vocabulary) for p, n in zip(payloads, lengths)]
+
+
+def _expand(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.int64)
+    lanes, steps = shape(n)
+    if len(payload) < 6 * lanes or len(payload) % 2:
+        raise ValueError("a block of token ids is damaged")
+    sizes = np.frombuffer(payload, "<u2", lanes).astype(np.int64)
+    words = np.frombuffer(payload, "<u2", offset=2 * lanes).astype(np.uint64)
+    rows = np.zeros((steps, lanes), np.int64)
+    full = n - (lanes - 1) * steps
+    mixer, coder, learnt = Mixer(lanes, vocabulary), Coder(lanes, words, np.cumsum(sizes) - sizes), 0
+    for t in range(steps):
+        if learns_at(t):
+            mixer.count(_seen(rows, learnt, t, full))
+            learnt = t
+        lane = lanes if t < full else lanes - 1
+        mixer.look(lane)
+        now = mixer.find(coder.point(lane, mixer.total).astype(mixer.kind))
+        coder.narrow(*mixer.mass(now), mixer.total)
+        mixer.learn(now, t)
+        rows[t, :lane] = now
+    return rows.T.ravel()[:n]
 
 
 def seal(ids: np.ndarray, payload: bytes, vocabulary: int) -> bytes:
@@ -235,68 +312,181 @@ def unseal(blocks: list[bytes]) -> list[np.ndarray]:
     return found
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores already
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of whole texts by the tokenizers library, which is asked once for each piece that comes again and again.
+
+    Only a byte-level tokenizer that takes texts as they are is asked for pieces, and only for texts without its added
+    tokens; others get whole texts.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores already
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec["pre_tokenizer"] or {}
+        self.cut = (
+            not any(spec.get(part) for part in ("normalizer", "truncation", "padding"))
+            and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+            and spec["model"]["type"] == "BPE"
+            and not spec["model"].get("dropout")
+        )
+        self.added = [token["content"] for token in spec["added_tokens"]]
+        line = self.whole(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.end = {}, 0  # the number of each piece; ids of all pieces lie in the pool
+        self.pool, self.starts, self.sizes = np.empty(1 << 16, np.int32), array("q"), array("q")
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text of a ``large_string`` array without nulls."""
+        if not self.cut:
+            return [np.array(ids, np.int32) for ids in self.whole(texts.to_pylist())]
+        if len(self.known) > KNOWN_PIECES or self.end > POOL_IDS:
+            self.forget()
+        odd = pc.match_substring_regex(texts, ODD_SPACES)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        # a line feed marks the piece that a text begins with; the others lack the space that they begin with
+        marked = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
+        lists = pc.split_pattern(marked.filter(pa.array(~odd)), " ")
+        few = [self.pieces(text) for text in marked.filter(pa.array(odd)).to_pylist()]
+        words = pa.concat_arrays([lists.flatten(), pa.array([w for f in few for w in f], texts.type)])
+        counts = np.empty(len(texts), np.int64)
+        counts[~odd] = pc.list_value_length(lists).to_numpy()
+        counts[odd] = [len(f) for f in few]
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        coded = words.dictionary_encode()
+        starts, sizes = self.places(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        sizes = sizes[codes]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(starts[codes] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        bounds = np.concatenate([[0], ends])[np.cumsum(counts[order])]
+        out = [None] * len(texts)
+        for place, found in zip(order.tolist(), np.split(ids, bounds[:-1])):
+            out[place] = found
+        return out
+
+    def pieces(self, marked: str) -> list[str]:
+        return [marked] if any(token in marked for token in self.added) else CUT.split(marked)
+
+    def places(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pieces lie in the pool, and how many there are."""
+        found = np.array([*map(self.known.get, pieces, repeat(-1))], np.int64)
+        new = [pieces[k] for k in np.flatnonzero(found < 0).tolist()]
+        joined, single = [], []
+        for piece in new:
+            (single if self.line is None or SPACE.search(piece) else joined).append(piece)
+        ids: list = []
+        for first in range(0, len(joined), 2_000):
+            ids += self.apart([" " + piece for piece in joined[first : first + 2_000]])
+        alone = [piece[1:] if piece[0] == "\n" else " " + piece for piece in single]
+        ids += [np.array(i, np.int32) for i in self.whole(alone)]
+        numbers = dict(zip([*joined, *single], range(len(self.starts), len(self.starts) + len(new))))
+        found[found < 0] = [*map(numbers.get, new)]
+        self.known.update((p, n) for p, n in numbers.items() if len(p) <= KNOWN_LENGTH)
+        sizes = np.array([*map(len, ids)], np.int64)
+        self.starts.frombytes((self.end + np.cumsum(sizes) - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.end += int(sizes.sum())
+        if self.end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(self.end, len(self.pool)), np.int32)])
+        if ids:
+            fresh = np.concatenate(ids)
+            self.pool[self.end - len(fresh) : self.end] = fresh
+        # copies, as an array that is looked at can't grow
+        return np.array(self.starts).take(found), np.array(self.sizes).take(found)
+
+    def apart(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces without inner white space, from one text with a line for each."""
+        ids = np.array(self.whole(["\n".join(pieces)])[0], np.int32)
+        at = np.flatnonzero(ids == self.line)
+        if len(at) != len(pieces) - 1:
+            return [np.array(i, np.int32) for i in self.whole(pieces)]
+        return [ids[a + 1 : b] for a, b in zip([-1, *at.tolist()], [*at.tolist(), len(ids)])]
 
-    return Tokenizer.from_file(path)
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def text_slices(batches):
+    """``(doc_ids, texts)`` of parts of Arrow batches with columns doc_id and text, the latter as UTF-8 bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            limit = (ends[first - 1] if first else 0) + SLICE_BYTES
+            rows = min(max(1, int(np.searchsorted(ends, limit)) - first), SLICE_ROWS)
+            doc_ids, texts = (batch.column(k).slice(first, rows) for k in range(2))
+            first += rows
+            try:
+                texts = texts.cast(pa.large_binary()).cast(pa.large_string())
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                texts = pa.array([t.decode("utf-8", errors="replace") for t in texts.to_pylist()], pa.large_string())
+            yield doc_ids.to_pylist(), texts
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
     """Encode ``docs(doc_id, text)`` with the tokenizer at ``path`` and write the ids to ``folder``.
 
     Documents are dealt by ranges of doc_id and lie in ascending order over the files, null ids first, equal ids by
-    text. ``end_id`` follows every document. A file holds blocks of 16,384 ids, the last may be shorter, each with
+    text. ``end_id`` follows every document. A file holds blocks of 2,097,152 ids, the last may be shorter, each with
     the documents that lie in it: ``first`` is the number of its first document in the file, ``doc_ids`` and
     ``sizes`` say how many of the block's ids belong to which document.
     """
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        of = tokenizer(path)
-        vocabulary = of.get_vocab_size(with_added_tokens=True)
+        of = encoder(path)
         waiting, held = [], 0  # (doc number, doc_id, ids)
         number, block = 0, 0
 
-        def blocks(last: bool):
+        def sealed(last: bool):
             nonlocal waiting, held, block
-            out = []
+            at = 0
             while held >= BLOCK_IDS or (last and held):
                 taken, room = [], BLOCK_IDS
-                while waiting and room:
-                    n, doc_id, ids = waiting[0]
+                while at < len(waiting) and room:
+                    n, doc_id, ids = waiting[at]
                     taken.append((n, doc_id, ids[:room]))
-                    room -= len(ids[:room])
-                    waiting[0] = (n, doc_id, ids[len(taken[-1][2]) :])
-                    if not len(waiting[0][2]):
-                        waiting.pop(0)
-                held -= sum(len(t[2]) for t in taken)
-                out.append(taken)
-            for first in range(0, len(out), LANES):
-                group = out[first : first + LANES]
-                ids = [np.concatenate([t[2] for t in taken]) for taken in group]
-                sealed = [seal(i, p, vocabulary) for i, p in zip(ids, compress(ids, vocabulary))]
+                    if len(ids) > room:
+                        waiting[at] = (n, doc_id, ids[room:])
+                    else:
+                        at += 1
+                    room -= len(taken[-1][2])
+                held -= BLOCK_IDS - room
+                ids = np.concatenate([t[2] for t in taken])
                 columns = [
-                    pa.array([part] * len(group), pa.int64()),
-                    pa.array(range(block, block + len(group)), pa.int64()),
-                    pa.array([taken[0][0] for taken in group], pa.int64()),
-                    pa.array([[t[1] for t in taken] for taken in group], pa.list_(pa.int64())),
-                    pa.array([[len(t[2]) for t in taken] for taken in group], pa.list_(pa.int64())),
-                    pa.array(sealed, pa.binary()),
+                    pa.array([part], pa.int64()),
+                    pa.array([block], pa.int64()),
+                    pa.array([taken[0][0]], pa.int64()),
+                    pa.array([[t[1] for t in taken]], pa.list_(pa.int64())),
+                    pa.array([[len(t[2]) for t in taken]], pa.list_(pa.int64())),
+                    pa.array([seal(ids, compress([ids], of.vocabulary)[0], of.vocabulary)], pa.binary()),
                 ]
                 names = ["part", "block", "first", "doc_ids", "sizes", "data"]
-                block += len(group)
+                block += 1
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            waiting = waiting[at:]
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = of.encode(text.decode("utf-8", errors="replace"), add_special_tokens=False).ids
-                waiting.append((number, doc_id, np.array([*ids, end_id], dtype=np.int64)))
+        for doc_ids, texts in text_slices(batches):
+            for doc_id, ids in zip(doc_ids, of.encode(texts)):
+                waiting.append((number, doc_id, np.append(ids, np.int32(end_id))))
                 number, held = number + 1, held + len(ids) + 1
-                if held >= BLOCK_IDS * LANES:
-                    yield from blocks(False)
-        yield from blocks(True)
+            yield from sealed(False)
+        yield from sealed(True)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -309,18 +499,20 @@ def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, LANES):
-                some = batch.slice(first, LANES)
-                part, block, start, doc_ids, sizes, data = (some.column(k).to_pylist() for k in range(6))
-                out = []
-                for k, ids in enumerate(unseal(data)):
-                    if sum(sizes[k]) != len(ids):
-                        raise ValueError("a block does not hold the ids of its documents")
-                    ends = np.cumsum(sizes[k])
-                    for j, piece in enumerate(np.split(ids, ends[:-1])):
-                        crc = zlib.crc32(piece.astype("<u4").tobytes())
-                        out.append((part[k], start[k] + j, block[k], doc_ids[k][j], len(piece), crc))
-                columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6
+            for row in range(batch.num_rows):
+                part, block, start, doc_ids, sizes, data = (batch.column(k)[row].as_py() for k in range(6))
+                ids = unseal([data])[0]
+                if sum(sizes) != len(ids):
+                    raise ValueError("a block does not hold the ids of its documents")
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), list(accumulate(sizes, initial=0))
+                columns = [
+                    pa.array([part] * len(sizes), pa.int64()),
+                    pa.array(range(start, start + len(sizes)), pa.int64()),
+                    pa.array([block] * len(sizes), pa.int64()),
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])], pa.int64()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "number", "block", "doc_id", "n", "crc"])
 
     kind = "part long, number long, block long, doc_id long, n long, crc long"
@@ -352,7 +544,7 @@ def token_index(docs: DataFrame, path: str) -> DataFrame:
             crcs = [joined_crc([(p["crc"], 4 * p["n"]) for p in pieces]) for pieces in batch.column("pieces").to_pylist()]
             yield batch.drop_columns(["pieces"]).append_column("ids_crc32", pa.array(crcs, pa.int64()))
 
-    # a document has a piece for each block of 16,384 ids
+    # a document has a piece for each block of 2,097,152 ids
     pieces = read_pieces(spark, folder).groupBy("part", "number")
     pieces = pieces.agg(
         F.min("doc_id").alias("doc_id"),

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.llm.base import utf8
+from tallyspark.llm.bpe import PRINTED_BYTES
 from tallyspark.session import new_folder
 
 BLOCK_IDS = 1 << 21
@@ -27,15 +28,18 @@ SLOTS = 18  # bits of the hashed table of order 2
 WEIGHT = 8  # bits of the weights
 FLOOR, EDGE, WORD = np.uint64(1 << 40), np.uint64(1 << 48), np.uint64(16)
 
-KNOWN_PIECES = 500_000  # pieces of texts that a task remembers; more would only save time
+KNOWN_PIECES, KNOWN_WORDS = 500_000, 600_000  # what a task remembers; more would only save time
 KNOWN_LENGTH = 48
 POOL_IDS = 8_000_000
 SLICE_ROWS, SLICE_BYTES = 4_096, 16_000_000
 # A piece begins at a space before anything but white space. No token of a byte-level tokenizer crosses such a place.
-CUT, SPACE = re.compile(r" (?=\S)"), re.compile(r"\s")
+CUT = re.compile(r" (?=\S)")
 ODD_SPACES = (
     r" ([\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|$)"
 )
+# Pieces of Latin letters, digits and marks but the apostrophe: a word of a byte-level tokenizer is a run of one kind.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ɏ]+")
+WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
 
 
 class Mixer:
@@ -47,14 +51,11 @@ class Mixer:
     had in the mass of the ids that came. Lanes share the model of their block; it learns after every step of the lanes.
     """
 
-    TRUST = [1, 1, 1, 2, 1, 2, 3, 3]  # what follows trust t: at t after a miss, at 4 + t after a hit
-
     def __init__(self, lanes: int, vocabulary: int):
         self.vocabulary, self.bits = vocabulary, max(vocabulary - 1, 1).bit_length() + 4
         self.total = self.bits + WEIGHT  # bits of the whole mass
         self.kind = np.int32 if self.total < 31 else np.int64
         self.sign = np.dtype(self.kind).itemsize * 8 - 1
-        self.trust = np.array(self.TRUST, self.kind)
         self.followers = [np.zeros(1 << SLOTS, self.kind), np.zeros(vocabulary + 1, self.kind)]  # id * 4 + trust
         self.last, self.before = np.full(lanes, vocabulary), np.full(lanes, vocabulary)
         self.parts = np.array([[4.0, 2.0, 2.0]] * 16)
@@ -68,9 +69,9 @@ class Mixer:
     def weigh(self) -> None:
         sums = self.parts.sum(axis=1, keepdims=True)
         spare = (1 << WEIGHT) - self.possible.sum(axis=1, keepdims=True)
-        weights = (self.possible + np.floor(self.parts * spare / sums)).astype(self.kind)
-        weights[:, 2] = (1 << WEIGHT) - weights[:, 0] - weights[:, 1]
-        self.weights = [weights[:, 0] << self.bits, weights[:, 1] << self.bits, np.ascontiguousarray(weights[:, 2])]
+        weights = (self.possible + np.floor(self.parts * spare / sums)).astype(np.int32)
+        # both in one number: the third weight is what is left
+        self.weights = weights[:, 0] << 16 | weights[:, 1]
 
     def count(self, ids) -> None:
         """Order 0 learns ``ids``; every id keeps a share."""
@@ -79,11 +80,15 @@ class Mixer:
         size = 1 + (self.counts * room // sum_ if sum_ else np.full(self.vocabulary, room // self.vocabulary))
         size[self.counts.argmax()] += (1 << self.bits) - size.sum()
         ends = np.cumsum(size)
-        self.size, self.ends, self.start = size.astype(self.kind), ends, (ends - size).astype(self.kind)
+        self.ends, self.shares = ends, (ends - size) << 32 | size  # where the share of an id begins, and its size
         # the id at every 16th place
         cells = np.diff(ends + 15 >> 4, prepend=0)
         self.cells = np.repeat(np.arange(self.vocabulary, dtype=np.int32), cells)
 
+    def share(self, ids):
+        both = self.shares.take(ids)
+        return (both >> 32).astype(self.kind), both.astype(np.int32).astype(self.kind, copy=False)
+
     def look(self, n: int) -> None:
         """What the orders predict in the first ``n`` lanes."""
         last = self.last[:n]
@@ -96,17 +101,19 @@ class Mixer:
         self.ids, self.trusts = (two >> 2, one >> 2), (two & 3, one & 3)
         self.pair = self.trusts[0] * 4
         self.pair += np.where((self.ids[0] == self.ids[1]) & (self.trusts[0] > 0), 0, self.trusts[1])
-        self.now = [w.take(self.pair) for w in self.weights]
+        both = self.weights.take(self.pair).astype(self.kind, copy=False)
+        w2, w1 = both >> 16, both & 0xFFFF
+        self.now = w2 << self.bits, w1 << self.bits, (1 << WEIGHT) - w2 - w1
 
     def mass(self, ids):
         """Where the mass of an id begins in each lane, and how much it is."""
         w2, w1, w0 = self.now
-        start, self.got = self.start.take(ids), self.size.take(ids)
+        start, self.got = self.share(ids)
         start *= w0
         self.got *= w0
-        self.hits = []
+        self.hits, narrow = [], ids.astype(self.kind)
         for follower, weight in zip(self.ids, (w2, w1)):
-            apart = follower - ids.astype(self.kind)
+            apart = follower - narrow
             start += (apart >> self.sign) & weight  # all bits are set if the follower comes before
             hit = ~((apart | -apart) >> self.sign)  # all bits are set if it is the id
             self.got += hit & weight
@@ -117,35 +124,37 @@ class Mixer:
         """The id of each lane whose mass holds ``point``."""
         (a, b), (w2, w1, w0) = self.ids, self.now
         apart = a - b
-        low = w0 * self.start.take(a) + (-(apart > 0).astype(self.kind) & w1)
-        after = point - low
-        width = w0 * self.size.take(a) + w2
-        of_a, past_a = (after >= 0) & (after < width), after >= width
-        low = w0 * self.start.take(b) + ((apart >> self.sign) & w2)
-        after = point - low
-        width = w0 * self.size.take(b) + w1
-        of_b, past_b = (after >= 0) & (after < width), after >= width
-        ids = np.where(of_a, a, b)
-        k = np.flatnonzero(~(of_a | of_b))
-        rest = point.take(k) - w2.take(k) * past_a.take(k) - w1.take(k) * past_b.take(k)
-        place = (rest / w0.take(k)).astype(np.int64)  # exact: both are below 2 to the 53rd by far
-        found = self.cells.take(place >> 4)
-        late = np.flatnonzero(self.ends.take(found) <= place)
+        rest = point.copy()
+        spans = []
+        for follower, weight, other in ((a, w2, (-apart >> self.sign) & w1), (b, w1, (apart >> self.sign) & w2)):
+            start, size = self.share(follower)
+            start *= w0
+            start += other
+            size *= w0
+            size += weight
+            after = point - start
+            past = after - size  # below zero before the end
+            rest -= ~(past >> self.sign) & weight
+            spans.append(~after & past < 0)
+        # exact: both are below 2 to the 53rd by far. Where a follower comes it is not looked at
+        place = (rest / w0).astype(np.int64)
+        ids = self.cells.take(place >> 4, mode="clip")
+        late = np.flatnonzero(self.ends.take(ids) <= place)
+        late = late[~(spans[0] | spans[1]).take(late)]
         while len(late):
-            found[late] += 1
-            late = late[self.ends.take(found[late]) <= place[late]]
-        ids[k] = found
+            ids[late] += 1
+            late = late[self.ends.take(ids.take(late)) <= place.take(late)]
+        ids = np.where(spans[0], a, np.where(spans[1], b, ids))
         return ids.astype(np.int64)
 
     def learn(self, ids, step: int) -> None:
         n, entry = len(ids), (ids * 4).astype(self.kind)
         for k in range(2):
-            state = self.hits[k] & 4
-            state += self.trusts[k]
-            new = self.trust.take(state)
+            hit, trust = self.hits[k], self.trusts[k]
+            new = np.maximum(np.minimum(trust + 1, 3) & hit, 1)
             new += entry
             # an id that was trusted stays after a miss
-            self.followers[k][self.places[k]] = np.where(state >> 1 == 1, self.entries[k] - 1, new)
+            self.followers[k][self.places[k]] = np.where(trust & ~hit > 1, self.entries[k] - 1, new)
         if step < 32 or step % 4 == 0:
             rest = np.bincount(self.pair, minlength=16) * 256.0
             for k in range(2):
@@ -324,7 +333,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.model, self.vocabulary = self.library.model, self.library.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec["pre_tokenizer"] or {}
@@ -335,12 +344,14 @@ class Encoder:
             and not spec["model"].get("dropout")
         )
         self.added = [token["content"] for token in spec["added_tokens"]]
-        line = self.whole(["\n"])[0]
-        self.line = line[0] if len(line) == 1 else None
+        others = (b for b in range(256) if b not in set(PRINTED_BYTES))
+        printed = {b: chr(b) for b in PRINTED_BYTES} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.printed = {c: "".join(printed[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x250)]}
+        self.words = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.end = {}, 0  # the number of each piece; ids of all pieces lie in the pool
+        self.known, self.end = {}, 0  # the number of each piece; its ids lie in the pool
         self.pool, self.starts, self.sizes = np.empty(1 << 16, np.int32), array("q"), array("q")
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -370,7 +381,9 @@ class Encoder:
         codes = coded.indices.to_numpy()
         sizes = sizes[codes]
         ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(starts[codes] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        at = np.repeat(starts[codes] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        ids = self.pool.take(at)
         bounds = np.concatenate([[0], ends])[np.cumsum(counts[order])]
         out = [None] * len(texts)
         for place, found in zip(order.tolist(), np.split(ids, bounds[:-1])):
@@ -384,36 +397,42 @@ class Encoder:
         """Where the ids of pieces lie in the pool, and how many there are."""
         found = np.array([*map(self.known.get, pieces, repeat(-1))], np.int64)
         new = [pieces[k] for k in np.flatnonzero(found < 0).tolist()]
-        joined, single = [], []
+        plain, other = [], []
         for piece in new:
-            (single if self.line is None or SPACE.search(piece) else joined).append(piece)
-        ids: list = []
-        for first in range(0, len(joined), 2_000):
-            ids += self.apart([" " + piece for piece in joined[first : first + 2_000]])
-        alone = [piece[1:] if piece[0] == "\n" else " " + piece for piece in single]
-        ids += [np.array(i, np.int32) for i in self.whole(alone)]
-        numbers = dict(zip([*joined, *single], range(len(self.starts), len(self.starts) + len(new))))
+            (plain if PLAIN.fullmatch(piece) else other).append(piece)
+        if len(self.words) > KNOWN_WORDS:
+            self.words = {}
+        ids = [self.plain(piece) for piece in plain]
+        whole = self.whole([piece[1:] if piece[0] == "\n" else " " + piece for piece in other])
+        ids += [np.array(i, np.int32).tobytes() for i in whole]
+        numbers = dict(zip([*plain, *other], range(len(self.starts), len(self.starts) + len(new))))
         found[found < 0] = [*map(numbers.get, new)]
         self.known.update((p, n) for p, n in numbers.items() if len(p) <= KNOWN_LENGTH)
-        sizes = np.array([*map(len, ids)], np.int64)
+        sizes = np.array([*map(len, ids)], np.int64) // 4
         self.starts.frombytes((self.end + np.cumsum(sizes) - sizes).tobytes())
         self.sizes.frombytes(sizes.tobytes())
         self.end += int(sizes.sum())
         if self.end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(max(self.end, len(self.pool)), np.int32)])
         if ids:
-            fresh = np.concatenate(ids)
+            fresh = np.frombuffer(b"".join(ids), np.int32)
             self.pool[self.end - len(fresh) : self.end] = fresh
         # copies, as an array that is looked at can't grow
         return np.array(self.starts).take(found), np.array(self.sizes).take(found)
 
-    def apart(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of pieces without inner white space, from one text with a line for each."""
-        ids = np.array(self.whole(["\n".join(pieces)])[0], np.int32)
-        at = np.flatnonzero(ids == self.line)
-        if len(at) != len(pieces) - 1:
-            return [np.array(i, np.int32) for i in self.whole(pieces)]
-        return [ids[a + 1 : b] for a, b in zip([-1, *at.tolist()], [*at.tolist(), len(ids)])]
+    def plain(self, piece: str) -> bytes:
+        """The ids of a plain piece, word by word."""
+        words = WORDS.findall(piece)
+        words[0] = " " + words[0]
+        return b"".join([self.words.get(word) or self.word(word) for word in words])
+
+    def word(self, word: str) -> bytes:
+        # the vocabulary has a character for each byte
+        tokens = self.model.tokenize(word.translate(self.printed))
+        ids = array("i", [token.id for token in tokens]).tobytes()
+        if len(word) <= KNOWN_LENGTH:
+            self.words[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)

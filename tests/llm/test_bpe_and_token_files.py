@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,3 +98,57 @@ def test_files_hold_all_documents_in_order(spark, monkeypatch):
     repeated = docs(spark, ["a b"]).unionAll(docs(spark, ["a b"]))
     assert sorted((r.start, r.n_tokens) for r in token_files.token_index(repeated, PATH).collect()) == [(0, 3), (3, 3)]
     assert token_files.token_index(docs(spark, []), PATH).collect() == []
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    of, dice = token_files.Encoder(PATH), random.Random(11)
+    assert of.cut
+    pieces = [
+        " ", " ", "  ", "\n", " \n", "\t", "the", "ing", "é", "ęst", "ÿ×÷", "Ġ", "Ėx", "😀", "日本", "\x0b", "\x1c", "\x85", "\xa0", "\xad",
+        "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff", "1", "42", "'s", "'", ",", '."', "<|", "|>", "<|endoftext|>", "Zz", "x" * 60,
+    ]
+    texts = TEXTS[1:] + ["".join(dice.choice(pieces) for _ in range(dice.randint(0, 25))) for _ in range(4000)]
+    for _ in range(2):  # with all pieces new, and known
+        found = of.encode(pa.array(texts, pa.large_string()))
+        assert [ids.tolist() for ids in found] == [library_ids(t) for t in texts]
+    assert of.encode(pa.array([], pa.large_string())) == []
+
+
+def test_the_library_is_asked_once_for_a_piece(monkeypatch):
+    of, asked = token_files.Encoder(PATH), []
+    whole, word = of.whole, of.word
+    monkeypatch.setattr(of, "whole", lambda texts: asked.extend(texts) or whole(texts))
+    monkeypatch.setattr(of, "word", lambda w: asked.append(w) or word(w))
+    found = of.encode(pa.array(["the cat, the dog"] * 50, pa.large_string()))
+    assert all(ids.tolist() == library_ids("the cat, the dog") for ids in found)
+    assert sorted(asked) == [" cat", " dog", " the", ",", "the"]
+
+
+def test_predictions_are_mixed():
+    mixer = token_files.Mixer(2, 1000)
+    for step in range(40):  # the same id again and again: all orders predict it
+        ids = np.array([7, 9])
+        mixer.look(2)
+        mixer.mass(ids)
+        mixer.learn(ids, step)
+    mixer.count(np.array([7, 9] * 40))
+    mixer.look(2)
+    every = np.array([mixer.mass(np.full(2, k))[1] for k in range(1000)], np.int64)
+    assert (every.sum(axis=0) == 1 << mixer.total).all() and every.min() >= 1
+    starts = np.array([mixer.mass(np.full(2, k))[0] for k in range(1000)], np.int64)
+    assert (starts == np.cumsum(every, axis=0) - every).all()
+    # order 2 has its weight and the part of order 0
+    w2, w1, w0 = mixer.now
+    size = np.diff(mixer.ends, prepend=0)
+    assert every[7, 0] == w2[0] + w0[0] * size[7] and w2[0] > w0[0] * size[7] > 0 and w1[0] == 0
+    assert (mixer.find(starts[7].astype(mixer.kind)) == 7).all()
+    assert (mixer.find((starts[7] + every[7] - 1).astype(mixer.kind)) == 7).all()
+
+
+def test_lanes_of_any_shape_come_back_exactly():
+    dice = np.random.default_rng(5)
+    for n in (1, 2, 511, 512, 1023, 1024, 1025, 20_011):
+        ids = dice.zipf(1.3, n) % 300_000
+        for vocabulary in (300_000, 300_001):
+            payload = token_files.compress([ids], vocabulary)[0]
+            assert (token_files.expand([payload], [n], vocabulary)[0] == ids).all()

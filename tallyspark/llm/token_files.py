@@ -28,18 +28,17 @@ SLOTS = 18  # bits of the hashed table of order 2
 WEIGHT = 8  # bits of the weights
 FLOOR, EDGE, WORD = np.uint64(1 << 40), np.uint64(1 << 48), np.uint64(16)
 
-KNOWN_PIECES, KNOWN_WORDS = 500_000, 600_000  # what a task remembers; more would only save time
+KNOWN_PIECES = 900_000  # pieces of texts that a task remembers; more would only save time
 KNOWN_LENGTH = 48
 POOL_IDS = 8_000_000
-SLICE_ROWS, SLICE_BYTES = 4_096, 16_000_000
-# A piece begins at a space before anything but white space. No token of a byte-level tokenizer crosses such a place.
-CUT = re.compile(r" (?=\S)")
-ODD_SPACES = (
-    r" ([\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|$)"
-)
-# Pieces of Latin letters, digits and marks but the apostrophe: a word of a byte-level tokenizer is a run of one kind.
-PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ɏ]+")
-WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
+SLICE_ROWS, SLICE_BYTES = 4_096, 12_000_000
+# Kinds of bytes: 1 to 3 letters, digits and marks of ASCII, 4 the apostrophe, 5 space, 6 line feed, 7 the first byte of
+# U+00C0 to U+024F, 0 all others.
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127], KINDS[48:58], KINDS[65:91], KINDS[97:123] = 3, 2, 1, 1
+KINDS[39], KINDS[32], KINDS[10], KINDS[0xC3:0xCA] = 4, 5, 6, 7
+# A piece that is one word of a byte-level tokenizer.
+WORD_PIECE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
 
 class Mixer:
@@ -347,7 +346,6 @@ class Encoder:
         others = (b for b in range(256) if b not in set(PRINTED_BYTES))
         printed = {b: chr(b) for b in PRINTED_BYTES} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.printed = {c: "".join(printed[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x250)]}
-        self.words = {}
         self.forget()
 
     def forget(self) -> None:
@@ -363,48 +361,57 @@ class Encoder:
             return [np.array(ids, np.int32) for ids in self.whole(texts.to_pylist())]
         if len(self.known) > KNOWN_PIECES or self.end > POOL_IDS:
             self.forget()
-        odd = pc.match_substring_regex(texts, ODD_SPACES)
+        texts = pa.concat_arrays([texts, pa.array([], texts.type)])  # begins at the first byte
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64, len(texts) + 1) if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8, int(ends[-1])) if ends[-1] else np.empty(0, np.uint8)
+        begins = self.begins(raw)
         for token in self.added:
-            odd = pc.or_(odd, pc.match_substring(texts, token))
-        odd = odd.to_numpy(zero_copy_only=False)
-        # a line feed marks the piece that a text begins with; the others lack the space that they begin with
-        marked = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
-        lists = pc.split_pattern(marked.filter(pa.array(~odd)), " ")
-        few = [self.pieces(text) for text in marked.filter(pa.array(odd)).to_pylist()]
-        words = pa.concat_arrays([lists.flatten(), pa.array([w for f in few for w in f], texts.type)])
-        counts = np.empty(len(texts), np.int64)
-        counts[~odd] = pc.list_value_length(lists).to_numpy()
-        counts[odd] = [len(f) for f in few]
-        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+            for k in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                begins[ends[k] : ends[k + 1]] = False
+        begins[ends[:-1][ends[:-1] < len(raw)]] = True
+        cuts = np.append(np.flatnonzero(begins), len(raw))
+        words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw))
         coded = words.dictionary_encode()
         starts, sizes = self.places(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
         sizes = sizes[codes]
-        ends = np.cumsum(sizes)
-        at = np.repeat(starts[codes] - (ends - sizes), sizes)
+        last = np.cumsum(sizes)
+        at = np.repeat(starts[codes] - (last - sizes), sizes)
         at += np.arange(len(at))
         ids = self.pool.take(at)
-        bounds = np.concatenate([[0], ends])[np.cumsum(counts[order])]
-        out = [None] * len(texts)
-        for place, found in zip(order.tolist(), np.split(ids, bounds[:-1])):
-            out[place] = found
+        bounds = np.concatenate([[0], last])[np.searchsorted(cuts, ends[1:])]
+        return np.split(ids, bounds[:-1]) if len(texts) else []
+
+    @staticmethod
+    def begins(raw: np.ndarray) -> np.ndarray:
+        """Where a word of the tokenizer is sure to begin: pieces from there on have the ids that they have in the text.
+
+        That is at a space before anything but white space, where letters, digits and marks meet (but not after an
+        apostrophe, which may begin a word with the letters after it), and around a lone line feed.
+        """
+        kinds = KINDS[raw]
+        out = np.zeros(len(raw), bool)
+        if len(raw) < 3:
+            return out
+        seen = (kinds > 0) & (kinds != 5) & (kinds != 6)  # no white space
+        out[:-1] |= (kinds[:-1] == 5) & seen[1:]
+        before, now = kinds[:-1], kinds[1:]
+        out[1:] |= (before != now) & (before > 0) & (before < 4) & (now > 0) & (now < 5) & ~((before == 3) & (now == 4))
+        lone = (kinds[1:-1] == 6) & seen[2:] & (kinds[:-2] > 0) & (kinds[:-2] < 5)
+        out[1:-1] |= lone
+        out[2:] |= lone
         return out
 
-    def pieces(self, marked: str) -> list[str]:
-        return [marked] if any(token in marked for token in self.added) else CUT.split(marked)
-
     def places(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of pieces lie in the pool, and how many there are."""
         found = np.array([*map(self.known.get, pieces, repeat(-1))], np.int64)
         new = [pieces[k] for k in np.flatnonzero(found < 0).tolist()]
         plain, other = [], []
         for piece in new:
-            (plain if PLAIN.fullmatch(piece) else other).append(piece)
-        if len(self.words) > KNOWN_WORDS:
-            self.words = {}
-        ids = [self.plain(piece) for piece in plain]
-        whole = self.whole([piece[1:] if piece[0] == "\n" else " " + piece for piece in other])
-        ids += [np.array(i, np.int32).tobytes() for i in whole]
+            (plain if WORD_PIECE.fullmatch(piece) else other).append(piece)
+        ids = [*map(self.word, plain)]
+        ids += [np.array(i, np.int32).tobytes() for i in self.whole(other)]
         numbers = dict(zip([*plain, *other], range(len(self.starts), len(self.starts) + len(new))))
         found[found < 0] = [*map(numbers.get, new)]
         self.known.update((p, n) for p, n in numbers.items() if len(p) <= KNOWN_LENGTH)
@@ -420,19 +427,11 @@ class Encoder:
         # copies, as an array that is looked at can't grow
         return np.array(self.starts).take(found), np.array(self.sizes).take(found)
 
-    def plain(self, piece: str) -> bytes:
-        """The ids of a plain piece, word by word."""
-        words = WORDS.findall(piece)
-        words[0] = " " + words[0]
-        return b"".join([self.words.get(word) or self.word(word) for word in words])
-
     def word(self, word: str) -> bytes:
         # the vocabulary has a character for each byte
-        tokens = self.model.tokenize(word.translate(self.printed))
-        ids = array("i", [token.id for token in tokens]).tobytes()
-        if len(word) <= KNOWN_LENGTH:
-            self.words[word] = ids
-        return ids
+        printed = word.replace(" ", self.printed[32]) if word.isascii() else word.translate(self.printed)
+        tokens = self.model.tokenize(printed)
+        return array("i", [token.id for token in tokens]).tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -111,7 +111,10 @@ def test_pieces_give_the_ids_of_whole_texts():
     for _ in range(2):  # with all pieces new, and known
         found = of.encode(pa.array(texts, pa.large_string()))
         assert [ids.tolist() for ids in found] == [library_ids(t) for t in texts]
+    tail = of.encode(pa.array(texts, pa.large_string()).slice(3000))
+    assert [ids.tolist() for ids in tail] == [library_ids(t) for t in texts[3000:]]
     assert of.encode(pa.array([], pa.large_string())) == []
+    assert [len(ids) for ids in of.encode(pa.array(["", ""], pa.large_string()))] == [0, 0]
 
 
 def test_the_library_is_asked_once_for_a_piece(monkeypatch):

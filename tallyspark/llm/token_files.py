@@ -28,7 +28,7 @@ SLOTS = 18  # bits of the hashed table of order 2
 WEIGHT = 8  # bits of the weights
 FLOOR, EDGE, WORD = np.uint64(1 << 40), np.uint64(1 << 48), np.uint64(16)
 
-KNOWN_PIECES = 900_000  # pieces of texts that a task remembers; more would only save time
+KNOWN_PIECES = 1_300_000  # pieces of texts that a task remembers; more would only save time
 KNOWN_LENGTH = 48
 POOL_IDS = 8_000_000
 SLICE_ROWS, SLICE_BYTES = 4_096, 12_000_000
@@ -154,7 +154,7 @@ class Mixer:
             new += entry
             # an id that was trusted stays after a miss
             self.followers[k][self.places[k]] = np.where(trust & ~hit > 1, self.entries[k] - 1, new)
-        if step < 32 or step % 4 == 0:
+        if step < 32 or step % 16 == 0:
             rest = np.bincount(self.pair, minlength=16) * 256.0
             for k in range(2):
                 of = np.flatnonzero(self.hits[k] & self.now[k])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm.base import hex64, slices, utf8
 from tallyspark.llm.components import connected_components
-from tallyspark.session import stored
+from tallyspark.session import stored, unsent
 
 SEED = 42
 CHUNK = 65_536  # shingles hashed at once, so that a text of any length needs bounded memory
@@ -96,7 +96,7 @@ def linked(fps: DataFrame) -> DataFrame:
     """
     cells = grid_cells(fps)
     dense = stored(cells.groupBy("cell").count().where(F.col("count") > DENSE_CELL).select("cell"), "dense")
-    sparse = cells.join(dense, "cell", "left_anti")
+    sparse = unsent(cells.join(dense, "cell", "left_anti"))
     pairs = (
         sparse.withColumnRenamed("fp", "a")
         .join(sparse.withColumnRenamed("fp", "b"), "cell")
@@ -105,7 +105,7 @@ def linked(fps: DataFrame) -> DataFrame:
     )
     members = cells.join(dense, "cell", "left_semi").select("fp").distinct()
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(bit)) for bit in [1 << i for i in range(63)] + [-(1 << 63)]]
-    values = members.select("fp", F.explode(F.array(*flips)).alias("value"))
+    values = unsent(members.select("fp", F.explode(F.array(*flips)).alias("value")))
     least = values.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = values.join(least, "value").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionAll(stars)

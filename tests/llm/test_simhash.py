@@ -251,3 +251,16 @@ def test_long_texts_are_ruled_out_by_more_marks(spark):
     left = {(r.a, r.b) for r in similar.not_ruled_out(pairs, wide).collect()}
     links = {(r.a, r.b) for r in similar.verified(pairs, sets_of).collect()}
     assert links and links <= left and not left & {(0, 3), (1, 3), (2, 3)}
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_fingerprints_are_not_sent_to_all_executors(spark):
+    # Spark takes a fingerprint's 33 cells and a value's 65 neighbours for one row each
+    lines = plan(simhash.linked(spark.range(100).select(F.xxhash64("id").alias("fp")))).splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    sent = [k for k, line in enumerate(lines) if "BroadcastExchange" in line]
+    ends = [next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines)) for k in sent]
+    assert sent and not [line for k, end in zip(sent, ends) for line in lines[k:end] if "Generate" in line]

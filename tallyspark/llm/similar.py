@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyspark.llm.base import slices, unused, utf8
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.simhash import bit_counts, linked, majority, shingle_hashes
-from tallyspark.session import stored
+from tallyspark.session import stored, unsent
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -287,7 +287,7 @@ def joined_up(roots: DataFrame, sets: DataFrame, links_of, common: np.ndarray =
     rows = heads.select("id", F.posexplode("heads").alias("place", "shingle"))
     # most shingles are in one text only: counted before anything else is carried along
     repeated = stored(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "repeated")
-    met = stored(rows.join(repeated, "shingle"), "met")
+    met = stored(unsent(rows).join(repeated, "shingle"), "met")
     named = stored(roots.toDF("id", "root"), "named")
     everyone = heads.select("id").join(named, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     everyone, tried, limit = stored(everyone, "everyone"), None, 1

@@ -264,3 +264,18 @@ def test_exploded_fingerprints_are_not_sent_to_all_executors(spark):
     sent = [k for k, line in enumerate(lines) if "BroadcastExchange" in line]
     ends = [next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines)) for k in sent]
     assert sent and not [line for k, end in zip(sent, ends) for line in lines[k:end] if "Generate" in line]
+
+
+def test_exploded_prefixes_are_not_sent_to_all_executors(spark, monkeypatch):
+    seen, kept = [], similar.stored
+
+    def keep(df, label):
+        seen.append((label, plan(df)))
+        if label == "met":
+            raise InterruptedError
+        return kept(df, label)
+
+    monkeypatch.setattr(similar, "stored", keep)
+    with pytest.raises(InterruptedError):
+        join_up(spark, ["one two three four five six", "one two three four five"])
+    assert "Generate" in dict(seen)["met"] and "BroadcastExchange" not in dict(seen)["met"]

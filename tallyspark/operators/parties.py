@@ -4,6 +4,7 @@ Lines are numbered by sums over blocks of pages. A name in front of a payer mark
 belongs to the next marker at most four lines below it. Windows run over blocks of lines that overlap by as many lines as
 a line may look around, so no task holds a document. Words of people and drugs leave by a join with a document's distinct
 words, names are counted per document, and fragments of other names leave by an anti-join with an index of their words.
+What a document has many times, as a cell, a person or the words of a name, is made distinct before it is looked into.
 
 Patterns are read within a line, but for a drug name and the heading of the party column, which may go on over the next two.
 A null ``doc_id`` is a document like any other, a null text is an empty page, pages of one number stand in the order of
@@ -12,13 +13,15 @@ their texts, and a page given twice counts twice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.parties import (
-    drug_row_words, drug_strength_words, fragment_words, lone_surnames, party_cell, plausible, prescriber_tokens, without_codes,
+    drug_name_words, drug_strength_words, fragment_words, party_cell, plausible, prescriber_cells, prescriber_words, without_codes,
 )
-from tallyspark.functions.text import blank_to_null, has, lines_of, rx, squeeze
+from tallyspark.functions.text import all_matches, blank_to_null, first_match, has, lines_of, rx, squeeze
 from tallyspark.session import stored
 
 PAGE_BLOCK = 256
@@ -73,12 +76,14 @@ def _place(pattern: str, flags: str = "") -> Column:
     return F.when(has(F.col("text"), pattern, flags), F.struct("line", F.length(ahead).cast("long").alias("at")))
 
 
-def between(lines: DataFrame, start: str, stop: str, flags: str = "", otherwise_all: bool = False) -> DataFrame:
+def between(lines: DataFrame, start: str, stop: str, flags: str = "", otherwise_all: bool = False, likely: Column | None = None) -> DataFrame:
     """Lines from the first ``start`` of their document to the first ``stop`` after it, cut at both.
 
     A document without a start gives nothing, or all its lines if ``otherwise_all``. Two small aggregates find the places.
+    ``likely`` is a plain search that spares most lines the patterns.
     """
-    marked = stored(lines.where(has(F.col("text"), start, flags) | has(F.col("text"), stop, flags)), "marked-lines")
+    matched = has(F.col("text"), start, flags) | has(F.col("text"), stop, flags)
+    marked = stored(lines.where(matched if likely is None else likely & matched), "marked-lines")
     starts = marked.groupBy("doc_id").agg(F.min(_place(start, flags)).alias("start")).where("start IS NOT NULL")
     follows = _with_facts(marked, starts, "doc_id", how="inner").where(F.col("line") >= F.col("start.line"))
     at = F.when(F.col("line") == F.col("start.line"), F.col("start.at")).otherwise(F.lit(0)).cast("int")
@@ -124,39 +129,33 @@ def _around(lines: DataFrame) -> DataFrame:
     )
 
 
-def _piece(source: int, at: Column, sub: Column, text: Column) -> Column:
-    return F.struct(F.lit(source).alias("source"), at.alias("at"), sub.cast("int").alias("sub"), text.alias("text"))
-
-
 def _readings(lines: DataFrame) -> DataFrame:
-    """Per line, its people, its drug words, whether it heads a party column, and the pieces of names on it.
+    """Per line, what names its people and drugs, whether it heads a party column, and the texts that name a party on it.
 
     A plain search for what a pattern needs spares most lines the pattern. What goes on over the next lines is read where
-    it begins.
+    it begins. ``before`` has the words that stand before the marker of line ``target``; ``cell`` is the text of a fill
+    row's party column, for which ``above`` and ``below`` count if no word of it does.
     """
     c = F.col
     text, low = c("text"), F.lower("text")
     together = F.concat_ws("\n", "text", "below", "below2")
-    dated = text.contains("/")
+    dated, priced = text.contains("/"), text.contains("$")
     # a fill row that names no party takes the lines above and below; which of them counts is known once words are gone
     around = _around(lines).withColumn("row", F.when(dated, squeeze(text)))
     around = around.withColumn("cell", F.when(c("row").isNotNull(), party_cell(c("row"))))
-    before_marker = _piece(_BIN, c("target"), c("line") - c("target"), F.regexp_replace("text", rx(fixed.BIN_MARKER + ".*$", "i"), ""))
-    beside = [_piece(_COLUMN, c("line"), F.lit(n), text) for n, text in enumerate([c("cell"), c("above"), c("below")])]
-    none = F.array().cast("array<string>")
+    before_marker = fragment_words(F.regexp_replace("text", rx(fixed.BIN_MARKER + ".*$", "i"), ""))
     dosed = low.contains("mg") | low.contains("mcg") | low.contains("ml")
     return around.select(
-        "doc_id",
-        F.when(text.contains("$"), prescriber_tokens(F.array("text"))).otherwise(lone_surnames(F.array("text"))).alias("people"),
-        F.concat(
-            F.when(dated, drug_row_words(together)).otherwise(none), F.when(dosed, drug_strength_words(text)).otherwise(none)
-        ).alias("drugs"),
+        "doc_id", "line", "target", "cell",
+        F.when(priced, prescriber_cells(text)).alias("staff"),
+        F.when(~priced, first_match(text, r"\A\s*([A-Z][A-Z'-]{3,})\s*\z")).alias("surname"),
+        F.when(dated, all_matches(together, fixed.DRUG_ROW)).alias("drug_names"),
+        F.when(dosed, drug_strength_words(text)).alias("dosed"),
         (low.contains("3rd party") & has(together, fixed.PARTY_COLUMN_HEADER, "i")).alias("heads"),
-        F.concat(
-            F.when(c("target").isNotNull(), F.array(before_marker)).otherwise(F.array()),
-            F.when(c("cell").isNotNull(), F.array(*beside)).otherwise(F.array()),
-        ).alias("pieces"),
-    )
+        F.when(c("target").isNotNull(), before_marker).alias("before"),
+        F.when(c("cell").isNotNull(), c("above")).alias("above"),
+        F.when(c("cell").isNotNull(), c("below")).alias("below"),
+    )
 
 
 def _unknown_words(rows: DataFrame, people: DataFrame, drugs: DataFrame) -> DataFrame:
@@ -170,25 +169,46 @@ def _unknown_words(rows: DataFrame, people: DataFrame, drugs: DataFrame) -> Data
     return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_doc"]) & (rows["word"] == kept["_word"]), "left_semi")
 
 
+def _left_names(places: DataFrame, people: DataFrame, drugs: DataFrame) -> DataFrame:
+    """``doc_id, source, at, n, raw``: what people and drugs leave of ``places(doc_id, source, at, n, words)``, if anything."""
+    words = _unknown_words(places.select("doc_id", "source", "at", "n", F.posexplode("words").alias("i", "word")), people, drugs)
+    listed = F.sort_array(F.collect_list(F.struct("i", "word")))["word"]
+    return words.groupBy("doc_id", "source", "at").agg(F.first("n").alias("n"), F.array_join(listed, " ").alias("raw"))
+
+
 def _table_names(lines: DataFrame) -> DataFrame:
     """``doc_id, name, n, first``: plausible names in the fill tables, how often and where they stand first."""
     read = stored(_readings(lines), "party-lines")
-    people = read.select("doc_id", F.explode("people").alias("person")).distinct()
-    drugs = read.select("doc_id", F.explode("drugs").alias("drug")).distinct()
+    staff = read.select("doc_id", F.explode("staff").alias("cell")).distinct().where(squeeze(F.col("cell")).contains(" "))
+    people = staff.select("doc_id", F.explode(prescriber_words(F.col("cell"))).alias("person"))
+    people = people.unionAll(read.where("surname IS NOT NULL").select("doc_id", "surname")).distinct()
+    drugs = read.select("doc_id", F.explode("drug_names").alias("name")).distinct()
+    drugs = drugs.select("doc_id", F.explode(drug_name_words(F.col("name"))).alias("drug"))
+    drugs = drugs.unionAll(read.select("doc_id", F.explode("dosed"))).distinct()
     headed = read.where("heads").select(F.col("doc_id").alias("_doc")).distinct()
-    pieces = read.select("doc_id", F.inline("pieces"))
-    in_column = pieces.where(F.col("source") == _COLUMN)
+    in_column = read.where("cell IS NOT NULL").select("doc_id", "line", "cell", "above", "below")
     in_column = in_column.join(headed, in_column["doc_id"].eqNullSafe(headed["_doc"]), "left_semi")
-    pieces = pieces.where(F.col("source") == _BIN).unionByName(in_column)
-    words = pieces.select("doc_id", "source", "at", "sub", F.posexplode(fragment_words(F.col("text"))).alias("i", "word"))
-    words = _unknown_words(stored(words, "party-words"), people, drugs)
+    # places of a text or of a list of words are counted first, so each is looked into once in a document; the first
+    # place tells them apart from then on
+    cells = in_column.groupBy("doc_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("at"))
+    cells = stored(cells.withColumn("words", fragment_words(F.col("cell"))), "party-cells")
+    in_cell = _left_names(cells.withColumn("source", F.lit(_COLUMN)), people, drugs)
+    in_cell = stored(in_cell, "party-cell-names")
+    empty = cells.select("doc_id", "cell", "at").join(in_cell.select("doc_id", "at"), _on(cells, in_cell, "doc_id", "at"), "left_anti")
+    empty = stored(empty.select("doc_id", "cell"), "empty-cells")
+    beside = in_column.join(empty, _on(in_column, empty, "doc_id", "cell"), "left_semi")
+    none = F.array().cast("array<string>")
+    both = [F.coalesce(fragment_words(F.col(side)), none) for side in ("above", "below")]
+    beside = beside.select("doc_id", F.lit(_COLUMN).alias("source"), F.col("line").alias("at"), F.concat(*both).alias("words"))
     # five lines at most make a name
-    listed = F.sort_array(F.collect_list(F.struct("sub", "i", "word")))
-    names = words.groupBy("doc_id", "source", "at").agg(listed.alias("words"))
-    in_cell = F.filter("words", lambda w: w["sub"] == 0)
-    chosen = F.when((F.col("source") == _COLUMN) & (F.size(in_cell) > 0), in_cell).otherwise(F.col("words"))
-    names = names.select("doc_id", F.array_join(chosen["word"], " ").alias("raw"), F.struct("source", "at").alias("first"))
-    raw = names.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    pieces = read.where("target IS NOT NULL").groupBy("doc_id", F.col("target").alias("at"))
+    pieces = pieces.agg(F.sort_array(F.collect_list(F.struct("line", F.coalesce("before", none).alias("words")))).alias("pieces"))
+    ahead = pieces.select("doc_id", F.lit(_BIN).alias("source"), "at", F.flatten(F.col("pieces.words")).alias("words"))
+    places = ahead.unionByName(beside).groupBy("doc_id", "source", "words")
+    places = stored(places.agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")), "party-words")
+    names = in_cell.unionByName(_left_names(places, people, drugs))
+    names = names.select("doc_id", "raw", "n", F.struct("source", "at").alias("first"))
+    raw = names.groupBy("doc_id", "raw").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     words = raw.select("doc_id", "raw", "n", "first", F.posexplode(fragment_words(without_codes(F.col("raw")))).alias("i", "word"))
     named = _unknown_words(words, people, drugs).groupBy("doc_id", "raw").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("i", "word")))["word"], " ").alias("name"),
@@ -265,7 +285,12 @@ def without_fragments(names: DataFrame) -> DataFrame:
 
 def _detail_names(lines: DataFrame) -> DataFrame:
     """Names listed in the payer details of a document, where it has such a section."""
-    section = between(lines, r"Third[- ]Party Payer Detail(?=\s|$)", r"Payment Summary|Grand Total|Page\s+\d+", "i")
+    # without the letters i, k and s, which stand for others when case does not count
+    low = F.lower("text")
+    likely = low.contains("party payer") | low.contains("payment") | low.contains("grand total") | low.contains("page")
+    section = between(
+        lines, r"Third[- ]Party Payer Detail(?=\s|$)", r"Payment Summary|Grand Total|Page\s+\d+", "i", likely=likely
+    )
     rows = section.select("doc_id", "line", squeeze(F.col("text")).alias("row")).where(
         (F.col("row") != "") & ~has(F.col("row"), fixed.PARTY_DETAIL_HEADER, "i") & has(F.col("row"), fixed.MONEY)
     )
@@ -286,7 +311,8 @@ def third_parties(pages: DataFrame) -> DataFrame:
     lines = stored(document_lines(pages), "lines")
     detail = stored(_first_spelling(_detail_names(lines)), "party-details")
     start, stop = _either(fixed.PHARMACY_SECTION_START), _either(fixed.PHARMACY_SECTION_END)
-    table = between(lines, start, stop, otherwise_all=True)
+    markers = [F.col("text").contains(m) for m in fixed.PHARMACY_SECTION_START + fixed.PHARMACY_SECTION_END]
+    table = between(lines, start, stop, otherwise_all=True, likely=reduce(Column.__or__, markers))
     listed = detail.select(F.col("doc_id").alias("_doc")).distinct()
     table = table.join(listed, table["doc_id"].eqNullSafe(listed["_doc"]), "left_anti")
     names = stored(_first_spelling(frequent(_table_names(table))), "party-names")

@@ -90,3 +90,33 @@ def test_fragments_among_many_names(spark):
     single = spark.range(10_000).select(F.lit("d").alias("doc_id"), F.concat(F.lit("W"), F.col("id") * 2).alias("name"))
     kept = parties.without_fragments(numbered.unionByName(single))
     assert kept.count() == 15_000
+
+
+def test_repeated_names_are_looked_into_once(spark, monkeypatch):
+    looked, kept = {}, parties.stored
+
+    def keep(df, label):
+        done = kept(df, label)
+        looked[label] = looked.get(label, 0) + done.count()
+        return done
+
+    monkeypatch.setattr(parties, "stored", keep)
+    fills = [FILLS[0].replace("4410273", f"44{k:05}") for k in range(300)]
+    cells = [f"44{k:05} 03/17/2022 Zinc 40118-0932-77 Delta PBM LUNDE KIM 30 15 $3.00 $1.00" for k in range(300)]
+    beside = ["Sun\n4500001 03/17/2022 Zinc 40118-0932-77 LUNDE KIM 30 15 $3.00 $1.00\nSaver Card"] * 20
+    head = "Rx # Date Drug NDC 3rd Party\nPrescriber Qty"
+    documents = {"bin": [(1, "Date Rx #"), (2, "\n".join(fills))], "column": [(1, head), (2, "\n".join(cells + beside))]}
+    names = found(parties.third_parties(shuffled(spark, documents)))
+    assert names == expected(spark, documents) == {"bin": ["Corner Discount"], "column": ["Delta PBM", "Sun Saver Card"]}
+    # a row for each different list of words or cell, not for each word of each fill
+    assert looked["party-words"] < 20 and looked["party-cells"] == 2
+
+
+def test_headings_in_other_letters(spark):
+    detail = "Moon Rx BIN 44 $5.00\nSun Rx $1.00\n{}\nLate Rx $2.00"
+    starts = ["Third-Party Payer Detail", "THIRD PARTY PAYER DETAIL", "Thırd party payer detaİl"]
+    stops = ["Payment Summary", "payment ſummary", "GRAND TOTAL", "Page 7", "pages", "Payment"]
+    documents = {f"{i}{j}": [(1, f"{a}\n{detail.format(b)}")] for i, a in enumerate(starts) for j, b in enumerate(stops)}
+    names = found(parties.third_parties(shuffled(spark, documents)))
+    assert names["10"] == ["Moon Rx", "Sun Rx"] and names["04"] == ["Moon Rx", "Sun Rx", "Late Rx"]
+    assert names["21"] == names["10"] and names["23"] == names["10"] and names["25"] == names["04"]
